@@ -102,7 +102,7 @@ HOURLY_SQL = """hourly AS (SELECT event_type AS symbol, date_trunc('hour', ts) A
     CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2)"""
 MACRO_SQL = """macro_obs AS (SELECT o_orderpriority AS series_id, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH')
     THEN CAST(date_trunc('month', o_orderdate) AS DATE) ELSE CAST(o_orderdate AS DATE) END AS ref_date,
-    CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 1000000 AS value FROM orders GROUP BY 1, 2)"""
+    CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) // count(*) AS DOUBLE) / 1000000 AS value FROM orders GROUP BY 1, 2)"""
 SPEC_SQL = """spec(series_id, name, lag_days, has_consensus) AS (VALUES ('1-URGENT', 'cpi', 43, true),
     ('2-HIGH', 'unemployment', 36, true), ('3-MEDIUM', 'yield_2y', 1, false),
     ('4-NOT SPECIFIED', 'yield_10y', 1, false), ('5-LOW', 'credit_spread', 1, false))"""
@@ -154,7 +154,7 @@ class Tables:
         )
 
     def macro_obs(self) -> DataFrame:
-        """Two monthly and three daily series; cents are summed as integers, so the mean is exact."""
+        """Two monthly and three daily series; the mean is in whole cents, so it is exact."""
         monthly = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
         day = F.to_date("o_orderdate")
         return (
@@ -163,7 +163,7 @@ class Tables:
                 F.col("o_orderpriority").alias("series_id"),
                 F.when(monthly, F.trunc(day, "month")).otherwise(day).alias("ref_date"),
             )
-            .agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).cast("double") / F.count("*") / 1000000).alias("value"))
+            .agg((F.expr("sum(cast(round(o_totalprice * 100) as bigint)) div count(*)") / 1000000).alias("value"))
         )
 
     def series_spec(self) -> DataFrame:
