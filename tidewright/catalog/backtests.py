@@ -1,0 +1,166 @@
+"""Back-test queries. The oracle walks the bars one by one; the library uses window expressions."""
+
+from pyspark.sql import functions as F
+
+from tidewright.catalog.aggregates import STAT_OUT, stats_sql
+from tidewright.catalog.registry import longs, query, rounded
+from tidewright.catalog.windows import INDEX, STOCK, W, rows
+from tidewright.operators import backtest as bt
+from tidewright.operators import windows as win
+from tidewright.tables import Tables
+
+
+def scan_sql(src: str, keys: str, c: float = 0.0006, warm: str = "warmup") -> str:
+    """Sequential fold with state (cash, units) over each run's bars; ``src`` has keys, ts, open, close, signal, warmup."""
+    p = f"PARTITION BY {keys} ORDER BY ts"
+    return f"""b0 AS (SELECT {keys}, ts, open, close, signal, {warm} AS wu, row_number() OVER ({p}) AS pos FROM {src}),
+b1 AS (SELECT *, coalesce(last_value(CASE WHEN pos >= greatest(wu, 1) THEN least(greatest(signal, 0), 1) END IGNORE NULLS) OVER ({p} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e FROM b0),
+b2 AS (SELECT * FROM b1 WHERE pos > greatest(wu, 1)),
+b3 AS (SELECT {keys}, list({{'ts': ts, 'o': open, 'c': close, 'e': e}} ORDER BY ts) AS l FROM b2 GROUP BY {keys}),
+b4 AS (SELECT {keys}, list_reduce(l, lambda a, x: {{'cash': a.cash + a.units * x.o - x.e * (a.cash + a.units * x.o) - abs(x.e * (a.cash + a.units * x.o) / x.o - a.units) * x.o * {c},
+    'units': x.e * (a.cash + a.units * x.o) / x.o, 'out': list_append(a.out, {{'ts': x.ts, 'e': x.e, 'eq': a.cash + a.units * x.o - x.e * (a.cash + a.units * x.o) - abs(x.e * (a.cash + a.units * x.o) / x.o - a.units) * x.o * {c} + x.e * (a.cash + a.units * x.o) / x.o * x.c,
+    'cost': abs(x.e * (a.cash + a.units * x.o) / x.o - a.units) * x.o * {c}, 'bm': 10000 * (1 - {c}) / l[1].o * x.c}})}},
+    {{'cash': CAST(10000 AS DOUBLE), 'units': CAST(0 AS DOUBLE), 'out': CAST([] AS STRUCT(ts DATE, e DOUBLE, eq DOUBLE, cost DOUBLE, bm DOUBLE)[])}}) AS r FROM b3),
+b5 AS (SELECT {keys}, unnest(r.out) AS u FROM b4),
+result AS (SELECT {keys}, u.ts AS ts, u.e AS exposure, u.eq AS equity, u.bm AS benchmark, u.cost AS cost FROM b5)"""
+
+
+_MA = f"CASE WHEN count(close) OVER {rows(49)} < 50 THEN 0 WHEN avg(close) OVER {rows(9)} > avg(close) OVER {rows(49)} THEN 1 ELSE 0 END"
+_MR = f"CASE WHEN stddev_samp(close) OVER {rows(20)} > 1e-9 THEN CASE WHEN (close - avg(close) OVER {rows(20)}) / stddev_samp(close) OVER {rows(20)} <= -1 THEN 1 WHEN (close - avg(close) OVER {rows(20)}) / stddev_samp(close) OVER {rows(20)} >= 0.5 THEN 0 ELSE (0.5 - (close - avg(close) OVER {rows(20)}) / stddev_samp(close) OVER {rows(20)}) / 1.5 END ELSE 0 END"
+_SIG = f"""sig AS (SELECT symbol, 0::BIGINT AS run_id, ts, open, close, CAST(1 AS DOUBLE) AS signal, 1 AS warmup FROM stocks UNION ALL SELECT symbol, 1, ts, open, close, {_MA}, 51 FROM stocks UNION ALL SELECT symbol, 2, ts, open, close, {_MR}, 22 FROM stocks)"""
+
+
+def three_runs(t: Tables):
+    s = t.stocks()
+    a = bt.grid_signals(s, "buy-and-hold", [{}], 0)
+    b = bt.grid_signals(s, "ma-crossover", [{"fast": 10, "slow": 50}], 1)
+    c = bt.grid_signals(s, "mean-reversion", [{"window": 21, "entry_z": -1.0, "exit_z": 0.5}], 2)
+    return a.unionByName(b).unionByName(c)
+
+
+@query("bt04_backtest_equity", f"{STOCK}, {_SIG}, {scan_sql('sig', 'symbol, run_id')} SELECT symbol, run_id, ts, round(exposure, 6) AS exposure, round(equity, 5) AS equity, round(benchmark, 5) AS benchmark, round(cost, 6) AS cost FROM result")
+def _(t: Tables):
+    r = bt.run_backtest(three_runs(t))
+    return rounded(r.drop("traded"), 6, equity=5, benchmark=5)
+
+
+@query("bt04_run_summaries", f"{STOCK}, {_SIG}, {scan_sql('sig', 'symbol, run_id')}, {stats_sql('result', 'symbol, run_id')}, tot AS (SELECT symbol, run_id, sum(cost) AS total_costs FROM result GROUP BY 1, 2) SELECT symbol, run_id, {STAT_OUT}, round(total_costs, 4) AS total_costs FROM stats JOIN tot USING (symbol, run_id)")
+def _(t: Tables):
+    s = bt.run_summary(bt.run_backtest(three_runs(t)))
+    return rounded(s.drop("benchmark_return_pct", "trades", "excess_return_pct"), 6, total_costs=4)
+
+
+@query("bt01_simple_signals", f"""{STOCK}, d AS (SELECT symbol, ts, close, close - lag(close) OVER {W} AS d, row_number() OVER {W} AS pos FROM stocks), l AS (SELECT *, list(greatest(d, 0)) FILTER (d IS NOT NULL) OVER p AS g, list(greatest(-d, 0)) FILTER (d IS NOT NULL) OVER p AS s FROM d WINDOW p AS {rows('UNBOUNDED')}),
+a AS (SELECT symbol, ts, close, CASE WHEN pos > 14 THEN list_reduce(list_concat([list_avg(g[1:14])], g[15:]), lambda a, x: (a * 13 + x) / 14) END AS ag, CASE WHEN pos > 14 THEN list_reduce(list_concat([list_avg(s[1:14])], s[15:]), lambda a, x: (a * 13 + x) / 14) END AS al FROM l),
+r AS (SELECT *, CASE WHEN ag IS NULL THEN NULL WHEN al <= 1e-12 THEN CASE WHEN ag > 0 THEN 100 ELSE 50 END ELSE 100 - 100 / (1 + ag / al) END AS rsi FROM a)
+SELECT symbol, ts, CAST({_MA} AS DOUBLE) AS ma_signal, CAST(CASE WHEN rsi IS NULL THEN 0 WHEN rsi <= 30 THEN 1 WHEN rsi >= 70 THEN 0 ELSE 0.5 END AS DOUBLE) AS rsi_signal FROM r""")
+def _(t: Tables):
+    b = bt.with_inputs(t.stocks(), "rsi", [{"period": 14}])
+    return b.select("symbol", "ts", bt.ma_crossover(10, 50)[0].alias("ma_signal"), bt.rsi_threshold(14, 30, 70)[0].alias("rsi_signal"))
+
+
+_WTS = "[" + ", ".join(str(0.94**k) for k in range(39, -1, -1)) + "]::DOUBLE[]"
+
+
+@query("bt02_quant_signals", f"""{STOCK}, r AS (SELECT *, ln(close / lag(close) OVER {W}) AS lr FROM stocks), l AS (SELECT *, list(lr * lr) FILTER (lr IS NOT NULL) OVER {rows(39)} AS sq FROM r),
+v AS (SELECT *, CASE WHEN len(sq) = 40 THEN sqrt(list_dot_product(sq, {_WTS}) / list_sum({_WTS})) * sqrt(252) * 100 END AS vol FROM l)
+SELECT symbol, ts, round(CASE WHEN vol > 1e-6 THEN least(10 / vol, 1) ELSE 0 END, 6) AS vol_signal, round({_MR}, 6) AS reversion_signal, CAST(CASE WHEN lag(close, 126) OVER {W} > 0 THEN CAST(lag(close, 21) OVER {W} > lag(close, 126) OVER {W} AS INT) ELSE 0 END AS DOUBLE) AS momentum_signal FROM v""")
+def _(t: Tables):
+    b = bt.with_inputs(t.stocks(), "vol-target", [])
+    return rounded(b.select("symbol", "ts", bt.vol_target(10.0, 40)[0].alias("vol_signal"), bt.mean_reversion(21, -1.0, 0.5)[0].alias("reversion_signal"), bt.momentum(126, 21)[0].alias("momentum_signal")))
+
+
+_GRID = [(10, 50), (20, 100), (50, 200), (5, 20)]
+_GSIG = "sig AS (" + " UNION ALL ".join(
+    f"SELECT symbol, {i}::BIGINT AS run_id, ts, open, close, row_number() OVER {W} AS bar, CAST(CASE WHEN count(close) OVER {rows(s - 1)} < {s} THEN 0 WHEN avg(close) OVER {rows(f - 1)} > avg(close) OVER {rows(s - 1)} THEN 1 ELSE 0 END AS DOUBLE) AS signal, {s + 1} AS warmup FROM bars"
+    for i, (f, s) in enumerate(_GRID)) + ")"
+FOLD_SQL = "fd AS (SELECT symbol, CAST(unnest(range((count(*) - 504) // 126)) AS BIGINT) AS fold FROM bars GROUP BY symbol HAVING count(*) >= 630), folds AS (SELECT symbol, fold, fold * 126 + 1 AS train_start, fold * 126 + 504 AS train_end, fold * 126 + 505 AS test_start, fold * 126 + 630 AS test_end FROM fd)"
+
+
+def _named(sql: str, p: str) -> str:
+    for n in ("b0", "b1", "b2", "b3", "b4", "b5"):
+        sql = sql.replace(f"{n} AS", f"{p}{n} AS").replace(f"FROM {n}", f"FROM {p}{n}")
+    return sql.replace("result AS", f"{p}result AS")
+
+
+WALK_SQL = f"""{_GSIG}, {FOLD_SQL}, cut AS (SELECT s.symbol, f.fold, s.run_id, ts, open, close, signal, warmup FROM sig s JOIN folds f ON s.symbol = f.symbol AND s.bar BETWEEN train_start AND train_end WHERE 504 >= warmup + 2),
+{_named(scan_sql('cut', 'symbol, fold, run_id'), 'tr_')}, {stats_sql('tr_result', 'symbol, fold, run_id', 'tr_')},
+pick AS (SELECT symbol, fold, run_id FROM (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY round(sharpe, 9) DESC NULLS LAST, run_id) AS r FROM tr_stats) WHERE r = 1),
+ev AS (SELECT s.symbol, f.fold, s.run_id, ts, open, close, signal, warmup FROM sig s JOIN pick p ON s.symbol = p.symbol AND s.run_id = p.run_id JOIN folds f ON f.symbol = p.symbol AND f.fold = p.fold AND s.bar BETWEEN greatest(test_start - greatest(warmup, 1), 1) AND test_end),
+{_named(scan_sql('ev', 'symbol, fold, run_id'), 'te_')}"""
+
+
+def walked(t: Tables):
+    return bt.walk_forward(t.bars(), "ma-crossover")
+
+
+@query("bt05_walk_forward", f"{INDEX}, {WALK_SQL} SELECT symbol, fold, run_id, count(*) AS bars, round(arg_max(equity, ts), 4) AS final_equity, round(arg_max(benchmark, ts), 4) AS final_benchmark FROM te_result GROUP BY 1, 2, 3")
+def _(t: Tables):
+    r = walked(t).groupBy("symbol", "fold", "run_id").agg(F.count("*").alias("bars"), F.max_by("equity", "ts").alias("final_equity"), F.max_by("benchmark", "ts").alias("final_benchmark"))
+    return rounded(r, 4)
+
+
+@query("bt05_stitched_curve", f"""{INDEX}, {WALK_SQL}, rt AS (SELECT symbol, ts, equity / lag(equity) OVER (PARTITION BY symbol, fold ORDER BY ts) - 1 AS ret, benchmark / lag(benchmark) OVER (PARTITION BY symbol, fold ORDER BY ts) - 1 AS br FROM te_result)
+SELECT symbol, ts, round(10000 * exp(sum(ln(1 + ret)) OVER {rows('UNBOUNDED')}), 4) AS equity, round(10000 * exp(sum(ln(1 + br)) OVER {rows('UNBOUNDED')}), 4) AS benchmark FROM rt WHERE ret IS NOT NULL""")
+def _(t: Tables):
+    return rounded(bt.stitched(walked(t)), 4)
+
+
+@query("agg25_walk_forward_summary", f"""{INDEX}, {WALK_SQL}, g AS (SELECT symbol, fold, run_id, (arg_max(equity, ts) / arg_min(equity, ts) - arg_max(benchmark, ts) / arg_min(benchmark, ts)) * 100 AS ex, sum(cost) AS cost FROM te_result GROUP BY 1, 2, 3)
+SELECT symbol, count(*) AS folds, count(*) FILTER (ex > 0.01) AS folds_beating, count(DISTINCT run_id) AS distinct_settings, round(sum(cost), 4) AS total_costs FROM g GROUP BY 1""")
+def _(t: Tables):
+    return rounded(bt.walk_forward_summary(walked(t)).drop("trades"), 4)
+
+
+_SW = bt.AXES["ma-crossover"]
+_POINTS = [(f, s) for s in _SW[1][1] for f in _SW[0][1] if f < s]
+_SSIG = f"""ind AS (SELECT symbol, ts, open, close, {", ".join(f"count(close) OVER {rows(n - 1)} AS n{n}, avg(close) OVER {rows(n - 1)} AS a{n}" for n in sorted({x for p in _POINTS for x in p}))} FROM bars), sig AS (""" + " UNION ALL ".join(
+    f"SELECT symbol, {i}::BIGINT AS run_id, ts, open, close, CAST(CASE WHEN n{s} < {s} THEN 0 WHEN a{f} > a{s} THEN 1 ELSE 0 END AS DOUBLE) AS signal, {s + 1} AS warmup FROM ind" for i, (f, s) in enumerate(_POINTS)) + ")"
+_PT = "pt(run_id, fast, slow) AS (VALUES " + ", ".join(f"({i}, {f}::DOUBLE, {s}::DOUBLE)" for i, (f, s) in enumerate(_POINTS)) + ")"
+SWEEP_SQL = f"{_SSIG}, {_PT}, {scan_sql('sig', 'symbol, run_id')}, {stats_sql('result', 'symbol, run_id')}, surface AS (SELECT symbol, run_id, fast, slow, sharpe, total_return_pct FROM stats JOIN pt USING (run_id))"
+
+
+@query("bt06_parameter_sweep", f"{INDEX}, {SWEEP_SQL} SELECT symbol, fast, slow, round(sharpe, 6) AS sharpe, round(total_return_pct, 6) AS total_return_pct FROM surface")
+def _(t: Tables):
+    return rounded(bt.sweep(t.bars(), "ma-crossover").drop("run_id"))
+
+
+@query("top03_best_grid_point", f"{INDEX}, {SWEEP_SQL} SELECT symbol, fast, slow, round(sharpe, 6) AS sharpe FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(sharpe, 9) DESC NULLS LAST, run_id) AS r FROM surface) WHERE r = 1")
+def _(t: Tables):
+    from pyspark.sql import Window
+
+    s = bt.sweep(t.bars(), "ma-crossover")
+    w = Window.partitionBy("symbol").orderBy(F.desc_nulls_last(F.round("sharpe", 9)), "run_id")
+    return rounded(s.withColumn("r", F.row_number().over(w)).filter("r = 1").select("symbol", "fast", "slow", "sharpe"))
+
+
+@query("agg24_surface_ruggedness", f"""{INDEX}, {SWEEP_SQL}, ful AS (SELECT s.symbol, x.fast, y.slow, sharpe FROM (SELECT DISTINCT symbol FROM surface) s, (SELECT DISTINCT fast FROM pt) x, (SELECT DISTINCT slow FROM pt) y LEFT JOIN surface z ON z.symbol = s.symbol AND z.fast = x.fast AND z.slow = y.slow),
+df AS (SELECT symbol, sharpe, abs(lead(sharpe) OVER (PARTITION BY symbol, slow ORDER BY fast) - sharpe) AS dx, abs(lead(sharpe) OVER (PARTITION BY symbol, fast ORDER BY slow) - sharpe) AS dy FROM ful),
+g AS (SELECT symbol, (sum(dx) + sum(dy)) / (count(dx) + count(dy)) / (max(sharpe) - min(sharpe)) * 6 / 4 AS rugged FROM df GROUP BY 1) SELECT symbol, round(rugged, 6) AS ruggedness, CASE WHEN rugged > 0.35 THEN 'sharp' WHEN rugged > 0.18 THEN 'noticeable' ELSE 'similar' END AS verdict FROM g""")
+def _(t: Tables):
+    from tidewright.operators.stats import surface_ruggedness
+
+    full = bt.sweep(t.bars(), "ma-crossover")
+    (xn, xs), (yn, ys) = bt.AXES["ma-crossover"]
+    cells = F.array(*[F.struct(F.lit(float(x)).alias(xn), F.lit(float(y)).alias(yn)) for x in xs for y in ys])
+    grid = full.select("symbol").distinct().select("symbol", F.explode(cells).alias("c")).select("symbol", "c.*")
+    return rounded(surface_ruggedness(grid.join(full, ["symbol", xn, yn], "left"), ["symbol"], xn, yn, "sharpe"))
+
+
+@query("bt10_user_rule", f"{STOCK}, r AS (SELECT *, ln(close / lag(close) OVER {W}) AS lr FROM stocks), i AS (SELECT symbol, ts, close, avg(close) OVER {rows(19)} AS sma_20, (close / lag(close, 10) OVER {W} - 1) * 100 AS ret_10, CASE WHEN count(lr) OVER {rows(19)} >= 2 THEN stddev_samp(lr) OVER {rows(19)} * sqrt(252) * 100 END AS vol_20 FROM r) SELECT symbol, ts, coalesce(close > sma_20 AND ret_10 BETWEEN -1 AND 6 AND vol_20 < 40, false) AS flag FROM i")
+def _(t: Tables):
+    return rule_flags(t).select("symbol", "ts", "flag")
+
+
+def rule_flags(t: Tables):
+    return bt.rule_signal(t.stocks(), "close > sma_20 AND ret_10 BETWEEN -1 AND 6 AND vol_20 < 40", [("sma", 20), ("ret", 10), ("vol", 20)])
+
+
+@query("agg28_rule_diagnosis", f"""{STOCK}, r AS (SELECT *, ln(close / lag(close) OVER {W}) AS lr, row_number() OVER {W} - 1 AS pos FROM stocks), i AS (SELECT symbol, ts, pos, close > avg(close) OVER {rows(19)} AND (close / lag(close, 10) OVER {W} - 1) * 100 BETWEEN -1 AND 6 AND CASE WHEN count(lr) OVER {rows(19)} >= 2 THEN stddev_samp(lr) OVER {rows(19)} * sqrt(252) * 100 END < 40 AS f FROM r),
+k AS (SELECT symbol, coalesce(f, false) AS f, lag(coalesce(f, false)) OVER {W} AS p FROM i WHERE pos >= 22 AND (pos - 22) % 2 = 0), g AS (SELECT symbol, count(*) AS n, count(*) FILTER (f) AS tr, count(*) FILTER (f <> p) AS fl FROM k GROUP BY 1)
+SELECT symbol, n AS bars_tested, tr AS times_true, fl AS flips, round(tr / n, 6) AS fraction_true, concat_ws(';', CASE WHEN tr / n >= 0.99 THEN 'always_true' WHEN tr / n <= 0.01 THEN 'never_true' END, CASE WHEN fl > n * 0.4 THEN 'flips_often' END) AS warnings, tr / n > 0.01 AND tr / n < 0.99 AS ok FROM g""")
+def _(t: Tables):
+    return rounded(bt.diagnose_rule(rule_flags(t), 22, 2))
+
+
+_ = (longs, win)

@@ -79,7 +79,7 @@ def _(t: Tables):
     obs = win.move_observation(t.stocks()).groupBy("symbol").agg(F.max_by(F.struct("ts", "return_pct", "sigma_multiple"), "ts").alias("o"))
     obs = obs.select("symbol", F.col("o.ts").alias("session"), "o.return_pct", "o.sigma_multiple")
     f = ranked(t).select("symbol", "factor_id", "rank", "hit_rate", "base_rate", "sample_size", "confidence", "beats_base_rate")
-    return rounded(longs(obs.join(f, "symbol")), 8).withColumns({"return_pct": F.round("return_pct", 6), "sigma_multiple": F.round("sigma_multiple", 6)})
+    return rounded(longs(obs.join(f, "symbol")), 8, return_pct=6, sigma_multiple=6)
 
 
 @query("top01_ranked_factors", f"WITH {RANKED_SQL} SELECT symbol, factor_id, rank, beats_base_rate AS supported FROM ranked")
@@ -96,7 +96,7 @@ SELECT symbol, sessions, move_pct, market_pct, round(beta, 8) AS beta, round(bet
 def _(t: Tables):
     market = returns_pct(t.bars()).filter("symbol = 'AF'").drop("symbol")
     m = ev.market_model(stock_targets(t), market)
-    return rounded(m, 8).withColumn("explained_share_pct", F.round("explained_share_pct", 5))
+    return rounded(m, 8, explained_share_pct=5)
 
 
 @query("agg10_sector_breadth", f"""WITH {INDEX_SQL}, r AS (SELECT * FROM (SELECT symbol, ts, close / lag(close) OVER {W} - 1 AS ret FROM bars) WHERE ret IS NOT NULL)
@@ -114,7 +114,7 @@ c AS (SELECT ts, symbol, ret, weight * ret AS contribution, row_number() OVER (P
 SELECT c.ts, c.symbol, rank, c.ret, round(contribution, 9) AS contribution, round(CASE WHEN abs(i.ret) > 1e-9 THEN abs(contribution / i.ret) END * 100, 4) AS share_pct FROM c JOIN r i ON i.symbol = 'AF' AND i.ts = c.ts WHERE rank <= 2""")
 def _(t: Tables):
     r = returns_pct(t.bars())
-    return longs(rounded(ev.index_contributions(r, WEIGHTS, r.filter("symbol = 'AF'")), 9).withColumn("share_pct", F.round("share_pct", 4)))
+    return longs(rounded(ev.index_contributions(r, WEIGHTS, r.filter("symbol = 'AF'")), 9, share_pct=4))
 
 
 @query("agg12_peer_medians", """WITH m AS (SELECT s_suppkey AS symbol, s_nationkey AS sector, 'profit_margin' AS metric, round(s_acctbal / 10000, 6) AS value FROM supplier),
@@ -122,7 +122,7 @@ p AS (SELECT a.symbol, a.sector, a.metric, a.value, count(*) AS peers, median(b.
 SELECT symbol, CAST(sector AS BIGINT) AS sector, metric, value, peers, round(peer_median, 8) AS peer_median, round((CASE WHEN abs(peer_median) > 1e-12 THEN value / peer_median END - 1) * 100, 4) AS vs_median_pct FROM p WHERE peers >= 3""")
 def _(t: Tables):
     m = t.fundamentals().select("symbol", "sector", F.lit("profit_margin").alias("metric"), F.col("profit_margin").alias("value"))
-    return longs(rounded(ev.peer_comparison(m), 8).withColumn("vs_median_pct", F.round("vs_median_pct", 4)))
+    return longs(rounded(ev.peer_comparison(m), 8, vs_median_pct=4))
 
 
 TREND_SQL = f"""b AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS b, close / lag(close) OVER {W} - 1 AS ret FROM stocks),

@@ -34,11 +34,14 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double so that two engines' last-bit differences do not show; -0.0 becomes 0.0."""
+def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
+    """Round every double so that two engines' last-bit differences do not show; -0.0 becomes 0.0.
+
+    ``special`` names columns that get their own number of digits.
+    """
     return df.select(
         *[
-            (F.round(F.col(f"`{n}`"), digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(f"`{n}`")
+            (F.round(F.col(f"`{n}`"), special.get(n, digits)) + F.lit(0.0)).alias(n) if t == "double" else F.col(f"`{n}`")
             for n, t in df.dtypes
         ]
     )

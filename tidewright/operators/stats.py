@@ -9,8 +9,14 @@ from tidewright.functions.nulls import safe_div
 from tidewright.operators import windows as win
 
 
+FLAT = 1e-12
+
+
 def performance_stats(equity: DataFrame, keys: list[str], periods: int = 252, risk_free: float = 0.0) -> DataFrame:
-    """Return, volatility, Sharpe, drawdown and win statistics of each equity curve, in one shuffle on its keys."""
+    """Return, volatility, Sharpe, drawdown and win statistics of each equity curve, in one shuffle on its keys.
+
+    A period whose return is zero up to rounding noise is flat: neither a win nor a loss.
+    """
     w = Window.partitionBy(*keys).orderBy("ts")
     every = Window.partitionBy(*keys)
     prefix = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -23,8 +29,8 @@ def performance_stats(equity: DataFrame, keys: list[str], periods: int = 252, ri
         F.count("*").alias("n_periods"), F.max_by("equity", "pos").alias("last"), F.min_by("equity", "pos").alias("first"),
         F.stddev_samp("ret").alias("sd"), F.avg("ret").alias("mean"), F.min("dd").alias("max_drawdown_pct"), F.max("trough").alias("trough"),
         F.max(F.when((F.col("dd") >= -1e-12) & (F.col("pos") <= F.col("trough")), F.col("pos"))).alias("peak"),
-        F.sum((F.col("ret") > 0).cast("long")).alias("wins"), F.sum((F.col("ret") < 0).cast("long")).alias("losses"),
-        F.avg(F.when(F.col("ret") > 0, F.col("ret"))).alias("win"), F.avg(F.when(F.col("ret") < 0, F.col("ret"))).alias("loss"),
+        F.sum((F.col("ret") > FLAT).cast("long")).alias("wins"), F.sum((F.col("ret") < -FLAT).cast("long")).alias("losses"),
+        F.avg(F.when(F.col("ret") > FLAT, F.col("ret"))).alias("win"), F.avg(F.when(F.col("ret") < -FLAT, F.col("ret"))).alias("loss"),
     ).filter("n_periods >= 3")
     growth = F.col("last") / F.col("first")
     moving = F.col("wins") + F.col("losses")
