@@ -15,7 +15,7 @@ def stats_sql(src: str, keys: str = "symbol", prefix: str = "") -> str:
     x = prefix
     return f"""{x}e AS (SELECT {keys}, ts, equity, row_number() OVER ({p} ORDER BY ts) AS pos, equity / lag(equity) OVER ({p} ORDER BY ts) - 1 AS ret,
     (equity / max(equity) OVER ({p} ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1) * 100 AS dd FROM {src}),
-{x}tr AS (SELECT {keys}, arg_min(pos, {{'d': dd, 'p': pos}}) AS trough, min(dd) AS worst FROM {x}e GROUP BY {keys}),
+{x}tr AS (SELECT {keys}, arg_min(pos, {{'d': round(dd, 9), 'p': pos}}) AS trough, min(dd) AS worst FROM {x}e GROUP BY {keys}),
 {x}st AS (SELECT {", ".join("e." + k for k in keys.split(", "))}, count(*) AS n_periods, arg_max(equity, pos) / arg_min(equity, pos) AS growth, stddev_samp(ret) AS sd, avg(ret) AS mean, max(worst) AS max_drawdown_pct, max(trough) AS trough,
     max(pos) FILTER (dd >= -1e-12 AND pos <= trough) AS peak, count(*) FILTER (ret > 1e-12) AS wins, count(*) FILTER (ret < -1e-12) AS losses, avg(ret) FILTER (ret > 1e-12) AS win, avg(ret) FILTER (ret < -1e-12) AS loss
   FROM {x}e e JOIN {x}tr USING ({keys}) GROUP BY {", ".join("e." + k for k in keys.split(", "))} HAVING count(*) >= 3),

@@ -1,0 +1,154 @@
+"""Classifier evaluation queries."""
+
+from itertools import combinations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidewright.catalog.filters import FEAT, SIGNAL, labelled
+from tidewright.catalog.registry import longs, query, rounded
+from tidewright.catalog.windows import FEATURES
+from tidewright.functions.nulls import drop_unknown
+from tidewright.operators import classify as cl
+from tidewright.tables import Tables
+
+PAIRS = ["momentum_12", "relative_volume_20", "atr_percent", "volatility_20", "candle_strength"]
+
+
+def features(t: Tables):
+    """Complete labelled rows; the label's horizon runs past the end for the last rows, which stay neutral."""
+    df = drop_unknown(labelled(t), FEATURES)
+    return df.select("symbol", "ts", "signal", *[F.round(c, 6).alias(c) for c in FEATURES])
+
+
+def predicted(t: Tables):
+    return features(t).withColumn("pred", F.when(F.col("momentum_12") > 0.5, 2).when(F.col("momentum_12") < -0.5, 0).otherwise(1))
+
+
+BASE = f"""{FEAT}, lb AS (SELECT symbol, ts, {SIGNAL}, {", ".join(f"round({c}, 6) AS {c}" for c in FEATURES)} FROM features), fx AS (SELECT * FROM lb WHERE {" AND ".join(f"{c} IS NOT NULL" for c in FEATURES)}),
+pr AS (SELECT *, CASE WHEN momentum_12 > 0.5 THEN 2 WHEN momentum_12 < -0.5 THEN 0 ELSE 1 END AS pred FROM fx)"""
+
+
+SPLIT = """sp AS (SELECT *, CASE WHEN pos < floor(n * 0.60) THEN 'train' WHEN pos < floor(n * 0.75) THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM fx))"""
+
+
+@query("agg01_label_counts", f"{BASE}, {SPLIT} SELECT split, signal, count(*) AS n FROM sp GROUP BY 1, 2")
+def _(t: Tables):
+    return longs(cl.chronological_split(features(t)).groupBy("split", "signal").agg(F.count("*").alias("n")))
+
+
+@query("agg02_confusion_matrix", f"{BASE} SELECT signal AS actual, count(*) FILTER (pred = 0) AS pred_0, count(*) FILTER (pred = 1) AS pred_1, count(*) FILTER (pred = 2) AS pred_2 FROM pr GROUP BY 1")
+def _(t: Tables):
+    return cl.confusion_matrix(cl.confusion(predicted(t), "signal", "pred"), [0, 1, 2])
+
+
+@query("agg03_class_weights", f"{BASE} SELECT signal, n, round(tot / (n * 3), 8) AS weight, round(sqrt(tot / (n * 3)), 8) AS soft_weight FROM (SELECT signal, count(*) AS n, CAST(sum(count(*)) OVER () AS DOUBLE) AS tot FROM fx GROUP BY 1)")
+def _(t: Tables):
+    return longs(rounded(cl.class_weights(features(t), "signal"), 8))
+
+
+_F1 = " + ".join(f"CASE WHEN count(*) FILTER (signal = {c}) + count(*) FILTER (pred = {c}) > 0 THEN 2 * count(*) FILTER (signal = {c} AND pred = {c}) / (count(*) FILTER (signal = {c}) + count(*) FILTER (pred = {c})) ELSE 0 END" for c in (0, 1, 2))
+_BASEL = "greatest(" + ", ".join(f"count(*) FILTER (signal = {c})" for c in (0, 1, 2)) + ") / count(*)"
+
+
+@query("agg04_scores", f"{BASE} SELECT round(count(*) FILTER (signal = pred) / count(*), 8) AS accuracy, round(({_F1}) / 3, 8) AS macro_f1, round({_BASEL}, 8) AS baseline, round(count(*) FILTER (signal = pred) / count(*) - {_BASEL}, 8) AS improvement FROM pr")
+def _(t: Tables):
+    return rounded(cl.scores(cl.confusion(predicted(t), "signal", "pred"), [0, 1, 2]), 8)
+
+
+@query("agg04_auc", f"{BASE}, r AS (SELECT signal = 2 AS y, rank() OVER (ORDER BY momentum_12) + (count(*) OVER (PARTITION BY momentum_12) - 1) / 2 AS rk FROM fx WHERE signal <> 1) SELECT round((sum(rk) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 8) AS auc FROM r")
+def _(t: Tables):
+    d = features(t).filter("signal <> 1").withColumn("y", (F.col("signal") == 2).cast("int"))
+    return rounded(cl.auc(d, "momentum_12", "y"), 8)
+
+
+@query("agg05_precision", f"{BASE} SELECT CAST(pred AS BIGINT) AS pred, count(*) AS signals, round(avg(CAST(signal = pred AS INT)), 8) AS precision FROM pr GROUP BY 1")
+def _(t: Tables):
+    return rounded(cl.precision_by_class(cl.confusion(predicted(t), "signal", "pred")), 8)
+
+
+_CUT = "ct AS (SELECT " + ", ".join(f"quantile_cont({f}, 1.0::DOUBLE / 3) AS lo_{f}, quantile_cont({f}, 2.0::DOUBLE / 3) AS hi_{f}" for f in PAIRS) + " FROM fx)"
+_BK = "bk AS (SELECT signal, " + ", ".join(f"CASE WHEN {f} <= lo_{f} THEN 'LOW' WHEN {f} >= hi_{f} THEN 'HIGH' END AS {f}" for f in PAIRS) + " FROM fx, ct)"
+_UN = "un AS (" + " UNION ALL ".join(f"SELECT signal, '{a} ' || {a} || ' + {b} ' || {b} AS combo FROM bk WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in combinations(PAIRS, 2)) + ")"
+PAIR_SQL = f"""{BASE}, {_CUT}, {_BK}, {_UN}, gp AS (SELECT combo, count(*) AS n, count(*) FILTER (signal = 0) AS n0, count(*) FILTER (signal = 1) AS n1, count(*) FILTER (signal = 2) AS n2 FROM un GROUP BY 1 HAVING count(*) >= 15),
+pairs AS (SELECT combo, n, n0 / n * 100 AS pct_0, n1 / n * 100 AS pct_1, n2 / n * 100 AS pct_2, CAST(CASE greatest(n0, n1, n2) WHEN n0 THEN 0 WHEN n1 THEN 1 ELSE 2 END AS BIGINT) AS dominant, greatest(n0, n1, n2) / n * 100 AS dominant_pct FROM gp)"""
+
+
+@query("agg06_feature_pairs", f"{PAIR_SQL} SELECT combo, n, round(pct_0, 6) AS pct_0, round(pct_1, 6) AS pct_1, round(pct_2, 6) AS pct_2, dominant, round(dominant_pct, 6) AS dominant_pct FROM pairs")
+def _(t: Tables):
+    return rounded(cl.feature_pairs(features(t), PAIRS))
+
+
+@query("top02_strongest_pairs", f"{PAIR_SQL} SELECT combo, n, dominant, round(dominant_pct, 6) AS dominant_pct FROM pairs ORDER BY round(dominant_pct, 9) DESC, combo LIMIT 15")
+def _(t: Tables):
+    p = cl.feature_pairs(features(t), PAIRS).select("combo", "n", "dominant", "dominant_pct")
+    return rounded(p.orderBy(F.desc(F.round("dominant_pct", 9)), "combo").limit(15))
+
+
+@query("join15_feature_pair_rows", f"{BASE}, {_CUT}, {_BK}, {_UN} SELECT combo, signal, count(*) AS n FROM un GROUP BY 1, 2 HAVING count(*) > 0")
+def _(t: Tables):
+    g = cl.feature_pairs(features(t), PAIRS, min_rows=1)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).cast("long").alias("signal"), F.round(F.col("n") * F.col(f"pct_{c}") / 100).cast("long").alias("n")) for c in (0, 1, 2)])).alias("c")
+    return g.select("combo", cells).select("combo", "c.signal", "c.n").filter("n > 0")
+
+
+@query("est01_chronological_split", f"{BASE}, {SPLIT} SELECT symbol, split, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM sp GROUP BY 1, 2")
+def _(t: Tables):
+    return cl.chronological_split(features(t)).groupBy("symbol", "split").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query("est02_standardised", f"{BASE}, {SPLIT}, ms AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in PAIRS) + " FROM sp WHERE split = 'train') SELECT symbol, ts, split, " + ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in PAIRS) + " FROM sp, ms")
+def _(t: Tables):
+    return rounded(cl.standardise(cl.chronological_split(features(t)), PAIRS).select("symbol", "ts", "split", *PAIRS))
+
+
+@query("top05_largest_correlations", f"{BASE}, fw AS (SELECT *, lead(momentum_12, 12) OVER (PARTITION BY symbol ORDER BY ts) AS y FROM fx), c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, y) AS correlation FROM fw" for c in PAIRS) + ") SELECT feature, round(correlation, 6) AS correlation FROM c ORDER BY abs(round(correlation, 9)) DESC, feature LIMIT 3")
+def _(t: Tables):
+    y = F.lead("momentum_12", 12).over(Window.partitionBy("symbol").orderBy("ts"))
+    d = features(t).withColumn("y", y)
+    one = d.agg(*[F.corr(c, "y").alias(c) for c in PAIRS]).unpivot([], PAIRS, "feature", "correlation")
+    return rounded(one.orderBy(F.desc(F.abs(F.round("correlation", 9))), "feature").limit(3))
+
+
+@query("est05_huber_regression")
+def _(t: Tables):
+    d = cl.chronological_split(features(t).withColumn("y", F.lead("momentum_12", 12).over(Window.partitionBy("symbol").orderBy("ts"))).filter("y IS NOT NULL"))
+    model, v = cl.huber_regression(cl.standardise(d, PAIRS), PAIRS, "y")
+    return rounded(model.transform(v).filter("split = 'test'").select("symbol", "ts", "y", "prediction"))
+
+
+@query("est06_neural_net_classes")
+def _(t: Tables):
+    model, v = cl.perceptron(cl.standardise(cl.chronological_split(features(t)), PAIRS), PAIRS, "signal")
+    p = cl.probabilities(model.transform(v).filter("split = 'test'"), 3)
+    return rounded(p.select("symbol", "ts", "signal", "prediction", "p_0", "p_1", "p_2"))
+
+
+def direction_rows(t: Tables):
+    return cl.chronological_split(features(t).filter("signal <> 1").withColumn("direction", (F.col("signal") == 2).cast("double")))
+
+
+@query("est07_boosted_direction")
+def _(t: Tables):
+    model, v = cl.boosted_direction(direction_rows(t), PAIRS, "direction")
+    return rounded(cl.probabilities(model.transform(v).filter("split = 'test'"), 2).select("symbol", "ts", "direction", "prediction", "p_0", "p_1"))
+
+
+@query("est07_boosted_regime")
+def _(t: Tables):
+    model, v = cl.boosted_regime(cl.chronological_split(features(t)), PAIRS, "signal")
+    return rounded(model.transform(v).filter("split = 'test'").select("symbol", "ts", "signal", "prediction"))
+
+
+@query("top09_feature_importance")
+def _(t: Tables):
+    model, _v = cl.boosted_direction(direction_rows(t), PAIRS, "direction")
+    return rounded(cl.importances(model, PAIRS, t.spark))
+
+
+@query("q7_model_report")
+def _(t: Tables):
+    """Train, score the test rows and report accuracy, macro-F1, baseline and improvement."""
+    model, v = cl.boosted_regime(cl.chronological_split(features(t)), PAIRS, "signal")
+    cells = cl.confusion(model.transform(v).filter("split = 'test'"), "signal", "prediction")
+    return rounded(cl.scores(cells, [0, 1, 2]))

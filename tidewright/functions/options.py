@@ -1,14 +1,10 @@
-"""Option arithmetic as native columns: quotes, Black-Scholes prices and greeks, smile formulas."""
+"""Option arithmetic as native columns: quotes, smile formulas and times to expiry."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.normal import ncdf, npdf
-
 IV_BAND = (0.01, 4.0)
 
 
@@ -25,45 +21,6 @@ def quote_columns(q: DataFrame) -> DataFrame:
     )
 
 
-def _d1(s: Column, k: Column, t: Column, r: Column, v: Column) -> Column:
-    return (F.ln(s / k) + (r + v * v / 2) * t) / (v * F.sqrt(t))
-
-
-def _live(t: Column, v: Column) -> Column:
-    return (t > 0) & (v > 0)
-
-
-def bs_price(s: Column, k: Column, t: Column, r: Column, v: Column, kind: Column) -> Column:
-    """Call or put price; the intrinsic value when no time or no volatility is left."""
-    call = kind == "call"
-    d1 = _d1(s, k, t, r, v)
-    d2 = d1 - v * F.sqrt(t)
-    pv = k * F.exp(-r * t)
-    live = F.when(call, s * ncdf(d1) - pv * ncdf(d2)).otherwise(pv * ncdf(-d2) - s * ncdf(-d1))
-    intrinsic = F.when(call, F.greatest(s - k, F.lit(0.0))).otherwise(F.greatest(k - s, F.lit(0.0)))
-    return F.when(_live(t, v), live).otherwise(intrinsic)
-
-
-def bs_greeks(s: Column, k: Column, t: Column, r: Column, v: Column, kind: Column, units: str = "desk") -> dict[str, Column]:
-    """Delta, gamma, vega, theta, rho. ``desk``: per calendar day, vol point and rate point; ``raw``: per year and 1.00."""
-    call = kind == "call"
-    d1 = _d1(s, k, t, r, v)
-    d2 = d1 - v * F.sqrt(t)
-    pv = k * F.exp(-r * t)
-    decay = -s * npdf(d1) * v / (2 * F.sqrt(t))
-    theta = F.when(call, decay - r * pv * ncdf(d2)).otherwise(decay + r * pv * ncdf(-d2))
-    day, point = (365.0, 100.0) if units == "desk" else (1.0, 1.0)
-    live = {
-        "delta": F.when(call, ncdf(d1)).otherwise(ncdf(d1) - 1),
-        "gamma": npdf(d1) / (s * v * F.sqrt(t)),
-        "vega": s * npdf(d1) * F.sqrt(t) / point,
-        "theta": theta / day,
-        "rho": F.when(call, k * t * F.exp(-r * t) * ncdf(d2)).otherwise(-k * t * F.exp(-r * t) * ncdf(-d2)) / point,
-    }
-    dead = F.when(call, (s > k).cast("double")).otherwise(-(s < k).cast("double"))
-    return {n: F.when(_live(t, v), x).otherwise(dead if n == "delta" else F.lit(0.0)) for n, x in live.items()}
-
-
 def svi_variance(a: Column, b: Column, rho: Column, m: Column, sigma: Column, k: Column) -> Column:
     """Total variance of the smile at log-moneyness k."""
     return a + b * (rho * (k - m) + F.sqrt((k - m) * (k - m) + sigma * sigma))
@@ -84,5 +41,3 @@ def years_to_close(expiry: Column, now: Column) -> Column:
 def days_to_expiry(expiry: Column, now: Column) -> Column:
     return F.greatest(F.datediff(expiry, F.to_date(now)), F.lit(0))
 
-
-SQRT_2PI = math.sqrt(2 * math.pi)

@@ -100,8 +100,10 @@ def buy_and_hold(**_) -> tuple[Column, int]:
 
 
 def ma_crossover(fast: int, slow: int, w=win.BY_SYMBOL) -> tuple[Column, int]:
-    up = F.avg("close").over(win.trailing(fast, w)) > F.avg("close").over(win.trailing(slow, w))
-    return F.when(F.count("close").over(win.trailing(slow, w)) < slow, 0.0).otherwise(up.cast("double")), slow + 1
+    """Needs ``bar`` and ``close_sum`` (running count and sum), so a mean costs one lag, not a frame."""
+    def mean(n: int) -> Column:
+        return (F.col("close_sum") - F.coalesce(F.lag("close_sum", n).over(w), F.lit(0.0))) / n
+    return F.when(F.col("bar") < slow, 0.0).otherwise((mean(fast) > mean(slow)).cast("double")), slow + 1
 
 
 def rsi_threshold(period: int, oversold: float, overbought: float) -> tuple[Column, int]:
@@ -156,13 +158,13 @@ AXES = {
 
 
 def with_inputs(bars: DataFrame, strategy: str, grid: list[dict]) -> DataFrame:
-    """Add the columns the strategy's signals read (RSI per period, log returns)."""
+    """Add the columns the strategy's signals read (bar number, running sum, log return, RSI per period)."""
     from tidewright.operators.scan import wilder_rsi
 
     if strategy == "rsi":
         for period in sorted({p["period"] for p in grid}):
             bars = wilder_rsi(bars, period, f"rsi_{period}")
-    return bars.withColumn("log_ret", win.log_return("close"))
+    return bars.select("*", win.log_return("close").alias("log_ret"), win.position().alias("bar"), F.sum("close").over(win.whole_prefix()).alias("close_sum"))
 
 
 def grid_signals(bars: DataFrame, strategy: str, grid: list[dict], first_id: int = 0, spread: bool = False) -> DataFrame:
@@ -177,7 +179,7 @@ def grid_signals(bars: DataFrame, strategy: str, grid: list[dict], first_id: int
     for i, params in enumerate(grid):
         signal, warmup = STRATEGIES[strategy](**params)
         runs.append((i + first_id, signal, warmup))
-    df = base.select("symbol", "ts", "open", "close", win.position().alias("bar"), *[x.cast("double").alias(f"s{i}") for i, x, _ in runs])
+    df = base.select("symbol", "ts", "open", "close", "bar", *[x.cast("double").alias(f"s{i}") for i, x, _ in runs])
     points = F.array(*[F.struct(F.lit(i).cast("long").alias("run_id"), F.col(f"s{i}").alias("signal"), F.lit(n).alias("warmup")) for i, _, n in runs])
     out = df.select("symbol", "ts", "open", "close", "bar", F.explode(points).alias("p")).select("symbol", "p.run_id", "ts", "open", "close", "bar", "p.signal", "p.warmup")
     return out.repartition("symbol", "run_id") if spread else out

@@ -15,7 +15,8 @@ FLAT = 1e-12
 def performance_stats(equity: DataFrame, keys: list[str], periods: int = 252, risk_free: float = 0.0) -> DataFrame:
     """Return, volatility, Sharpe, drawdown and win statistics of each equity curve, in one shuffle on its keys.
 
-    A period whose return is zero up to rounding noise is flat: neither a win nor a loss.
+    A period whose return is zero up to rounding noise is flat: neither a win nor a loss,
+    and equal troughs up to that noise count as one, at the first of them.
     """
     w = Window.partitionBy(*keys).orderBy("ts")
     every = Window.partitionBy(*keys)
@@ -23,7 +24,7 @@ def performance_stats(equity: DataFrame, keys: list[str], periods: int = 252, ri
     e = equity.filter("equity IS NOT NULL").select(
         *keys, "ts", "equity", F.row_number().over(w).alias("pos"), (F.col("equity") / F.lag("equity").over(w) - 1).alias("ret"),
         ((F.col("equity") / F.max("equity").over(prefix) - 1) * 100).alias("dd"))
-    e = e.withColumn("trough", F.min_by("pos", F.struct("dd", "pos")).over(every))
+    e = e.withColumn("trough", F.min_by("pos", F.struct(F.round("dd", 9), "pos")).over(every))
     per_period = (1 + risk_free) ** (1.0 / periods) - 1
     g = e.groupBy(*keys).agg(
         F.count("*").alias("n_periods"), F.max_by("equity", "pos").alias("last"), F.min_by("equity", "pos").alias("first"),
