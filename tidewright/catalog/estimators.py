@@ -1,0 +1,139 @@
+"""Estimator queries."""
+
+from pyspark.sql import functions as F
+
+from tidewright.catalog.registry import query, rounded
+from tidewright.catalog.windows import BASE, INDEX, W, macro_daily
+from tidewright.operators import diagnostics as dg
+from tidewright.operators import estimators as es
+from tidewright.operators import macro
+from tidewright.operators import windows as win
+from tidewright.operators.asof import asof_join
+from tidewright.operators.filters import usable_quotes
+from tidewright.session import checkpointed
+from tidewright.tables import Tables
+
+FEATURES = [c for c in BASE if not c.endswith("chg63")]
+
+
+def design(t: Tables):
+    """Macro features per business day with the market's next 21-session return as the target."""
+    market = t.bars().filter("symbol = 'AF'").select(F.lit("macro").alias("symbol"), "ts", "close")
+    f = macro.macro_features(macro_daily(t), zscore_window=250).select("symbol", "ts", *FEATURES)
+    d = asof_join(f, market, ["symbol"], "ts", "ts", ["close"]).drop("src_ts")
+    return d.withColumn("y", F.lead("close", 21).over(win.BY_SYMBOL) / F.col("close") - 1).filter("cpi_yoy_z IS NOT NULL AND cpi_surprise_z IS NOT NULL AND unemployment_surprise_z IS NOT NULL")
+
+
+def forecasts(t: Tables, every: int = 63):
+    d = checkpointed(design(t))
+    models = checkpointed(es.fit_quantiles(es.training_rows(d, 21, 750, every), FEATURES, "y"))
+    return es.quantile_moments(es.predict_quantiles(d, models, FEATURES))
+
+
+@query("est03_quantile_models")
+def _(t: Tables):
+    """One penalised quantile regression per refit date and level."""
+    m = es.fit_quantiles(es.training_rows(checkpointed(design(t)), 21, 750, 126), FEATURES, "y")
+    used = F.size(F.filter("coefficients", lambda c: F.abs(c) > 1e-6)).cast("bigint")
+    return rounded(m.select("symbol", "refit", "level", "intercept", used.alias("nonzero"), "n_train"))
+
+
+@query("est13_walk_forward_forecasts")
+def _(t: Tables):
+    f = forecasts(t)
+    return rounded(f.select("symbol", "ts", "refit", F.col("quantiles")[0].alias("q05"), F.col("quantiles")[3].alias("q50"), F.col("quantiles")[6].alias("q95"), "n_train"))
+
+
+@query("est11_forecast_moments")
+def _(t: Tables):
+    return rounded(forecasts(t).select("symbol", "ts", "mean", "variance", "skew"))
+
+
+@query("est04_ridge_baseline")
+def _(t: Tables):
+    d = checkpointed(design(t))
+    r = es.ridge_forecast(d, es.ridge_fits(d, "symbol", FEATURES, "y"), "symbol", FEATURES, "y")
+    return rounded(r.select("symbol", "ts", "mean", "variance", "skew"))
+
+
+_R = f"x AS (SELECT symbol, ts, close / lag(close) OVER {W} - 1 AS x, close / lag(close, 5) OVER {W} - 1 AS x5, lead(close, 5) OVER {W} / close - 1 AS y FROM bars), d AS (SELECT * FROM x WHERE x IS NOT NULL AND x5 IS NOT NULL AND y IS NOT NULL)"
+
+
+@query("est04_ridge_two_features", f"""{INDEX}, {_R}, s AS (SELECT symbol, avg(x) AS mx, avg(x5) AS m5, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(x5) AS s5, count(*) AS n FROM d GROUP BY 1),
+z AS (SELECT d.symbol, (x - mx) / sx AS a, (x5 - m5) / s5 AS b, y - my AS y FROM d JOIN s USING (symbol)), g AS (SELECT symbol, sum(a * a) + 1 AS aa, sum(a * b) AS ab, sum(b * b) + 1 AS bb, sum(a * y) AS ay, sum(b * y) AS yb FROM z GROUP BY 1),
+o AS (SELECT symbol, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS c1, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS c2 FROM g),
+e AS (SELECT z.symbol, stddev_samp(z.y - c1 * a - c2 * b) AS sd FROM z JOIN o USING (symbol) GROUP BY 1)
+SELECT symbol, round(c1 / sx, 6) AS coef_ret, round(c2 / s5, 6) AS coef_ret5, round(sd, 8) AS residual_std, n AS n_train FROM o JOIN s USING (symbol) JOIN e USING (symbol)""")
+def _(t: Tables):
+    """The ridge fit on two features, where the oracle can solve the normal equations by hand."""
+    d = t.bars().select("symbol", "ts", win.pct_return("close").alias("x"), win.pct_return("close", 5).alias("x5"), (F.lead("close", 5).over(win.BY_SYMBOL) / F.col("close") - 1).alias("y"))
+    m = es.ridge_fits(d, "symbol", ["x", "x5"], "y")
+    return rounded(m.select("symbol", F.col("coefficients")[0].alias("coef_ret"), F.col("coefficients")[1].alias("coef_ret5"), "residual_std", "n_train"), 6, residual_std=8)
+
+
+@query("est08_garch_forecasts")
+def _(t: Tables):
+    return rounded(es.garch(t.stocks()), 4)
+
+
+@query("est12_unit_root_tests")
+def _(t: Tables):
+    return rounded(es.unit_root(t.stocks()), 5)
+
+
+@query("agg32_volatility_summary")
+def _(t: Tables):
+    return rounded(volatility_summary(t), 4)
+
+
+def volatility_summary(t: Tables):
+    s = t.stocks()
+    j = dg.close_to_close_vol(s).join(dg.yang_zhang_vol(s), "symbol").join(dg.ewma_vol(s), "symbol").join(es.garch(s), "symbol", "left")
+    j = j.withColumn("forecast_pct", F.coalesce("forecast_pct", "ewma_pct"))
+    return j.withColumn("regime", dg.vol_regime(F.col("ewma_pct"), F.col("long_run_pct")))
+
+
+def return_panel(t: Tables):
+    r = t.bars().select("symbol", "ts", win.log_return("close").alias("r"))
+    cols = ["AF", "NO", "RF", "RO"]
+    p = r.filter(F.col("symbol").isin(cols)).groupBy("ts").agg(*[F.max(F.when(F.col("symbol") == c, F.col("r"))).alias(c) for c in cols])
+    return p.dropna().withColumn("symbol", F.lit("panel")), cols
+
+
+@query("est10_window_topology")
+def _(t: Tables):
+    p, cols = return_panel(t)
+    return rounded(es.window_topology(p, cols, window=30))
+
+
+@query("win19_topology_signal")
+def _(t: Tables):
+    p, cols = return_panel(t)
+    return rounded(es.topology_signal(es.window_topology(p, cols, window=30)))
+
+
+def day_chains(t: Tables):
+    """One option chain per session: strikes around the market's close, a smile around its realised volatility."""
+    m = dg.realized_vol(t.bars().filter("symbol = 'AF'"), 21, 0.004).withColumnRenamed("rv", "rv")
+    spot = t.bars().filter("symbol = 'AF'").select("ts", F.col("close").alias("spot"))
+    day = m.join(spot, "ts").select("ts", "spot", (F.col("rv") * F.sqrt(F.lit(252.0))).alias("vol0")).filter("vol0 IS NOT NULL")
+    q = t.raw("lineitem").select(F.to_date("l_shipdate").alias("ts"), ((F.col("l_quantity") - 1) / 49).alias("u"), F.col("l_tax").alias("noise"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    q = q.groupBy("ts", "u").agg(F.min_by("noise", "seq").alias("noise"), F.min("seq").alias("seq"))
+    j = q.join(day, "ts")
+    half = 2.5 * F.col("vol0") * (21 / 252.0) ** 0.5
+    k = (2 * F.col("u") - 1) * half
+    iv = F.col("vol0") * (1.1 - 0.15 * k / half + 0.12 * (k / half) * (k / half)) + (F.col("noise") - 0.04) * 0.05
+    return j.select(F.col("ts").cast("string").alias("symbol"), (F.col("spot") * F.exp(k)).alias("strike"), iv.alias("iv"), "seq", "spot", F.lit(21 / 252.0).alias("years"), F.lit(0.03).alias("rate"))
+
+
+@query("est09_smile_fits")
+def _(t: Tables):
+    c = usable_quotes(day_chains(t))
+    forward = F.col("spot") * F.exp(F.col("rate") * F.col("years"))
+    q = c.select("symbol", F.ln(F.col("strike") / forward).alias("k"), (F.col("iv") * F.col("iv") * F.col("years")).alias("w"))
+    return rounded(es.fit_smiles(q, "symbol").select("symbol", "rmse", "n_quotes", "k_min", "k_max"), 5)
+
+
+@query("est14_implied_views")
+def _(t: Tables):
+    return rounded(es.implied_view(usable_quotes(day_chains(t)), "symbol").select("symbol", "mean_return", "variance_return", "skew_return", "atm_vol", "forward_error", "n_quotes"), 4)
