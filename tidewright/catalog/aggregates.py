@@ -87,7 +87,7 @@ def _(t: Tables):
 
 @query("agg22_prediction_accuracy", f"{STOCK}, p AS (SELECT symbol, close / lag(close, 5) OVER {W} - 1 AS p, lead(close, 5) OVER {W} / close - 1 AS y FROM stocks) SELECT symbol, round(corr(p, y), 6) AS correlation, round(avg(CAST((p > 0) = (y > 0) AS INT)), 6) AS directional_accuracy, round(avg(CAST(y > 0 AS INT)), 6) AS up_share, count(*) AS n FROM p WHERE p IS NOT NULL AND y IS NOT NULL GROUP BY 1")
 def _(t: Tables):
-    p = t.stocks().select("symbol", win.pct_return("close", 5).alias("p"), (F.lead("close", 5).over(win.BY_SYMBOL) / F.col("close") - 1).alias("y")).dropna()
+    p = t.stocks().select("symbol", win.pct_return("close", 5).alias("p"), (F.lead("close", 5).over(win.by_symbol()) / F.col("close") - 1).alias("y")).dropna()
     same = ((F.col("p") > 0) == (F.col("y") > 0)).cast("double")
     return rounded(p.groupBy("symbol").agg(F.corr("p", "y").alias("correlation"), F.avg(same).alias("directional_accuracy"), F.avg((F.col("y") > 0).cast("double")).alias("up_share"), F.count("*").alias("n")))
 

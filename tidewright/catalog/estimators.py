@@ -21,13 +21,13 @@ def design(t: Tables):
     market = t.bars().filter("symbol = 'AF'").select(F.lit("macro").alias("symbol"), "ts", "close")
     f = macro.macro_features(macro_daily(t), zscore_window=250).select("symbol", "ts", *FEATURES)
     d = asof_join(f, market, ["symbol"], "ts", "ts", ["close"]).drop("src_ts")
-    return d.withColumn("y", F.lead("close", 21).over(win.BY_SYMBOL) / F.col("close") - 1).filter("cpi_yoy_z IS NOT NULL AND cpi_surprise_z IS NOT NULL AND unemployment_surprise_z IS NOT NULL")
+    return d.withColumn("y", F.lead("close", 21).over(win.by_symbol()) / F.col("close") - 1).filter("cpi_yoy_z IS NOT NULL AND cpi_surprise_z IS NOT NULL AND unemployment_surprise_z IS NOT NULL")
 
 
 def forecasts(t: Tables, every: int = 63):
     d = checkpointed(design(t))
-    models = checkpointed(es.fit_quantiles(es.training_rows(d, 21, 750, every), FEATURES, "y"))
-    return es.quantile_moments(es.predict_quantiles(d, models, FEATURES))
+    models = es.fit_quantiles(es.training_rows(d, 21, 750, every), FEATURES, "y")
+    return es.quantile_moments(es.predict_quantiles(d.select("symbol", "ts", "y", *FEATURES), models, FEATURES, every))
 
 
 @query("est03_quantile_models")
@@ -66,7 +66,7 @@ e AS (SELECT z.symbol, stddev_samp(z.y - c1 * a - c2 * b) AS sd FROM z JOIN o US
 SELECT symbol, round(c1 / sx, 6) AS coef_ret, round(c2 / s5, 6) AS coef_ret5, round(sd, 8) AS residual_std, n AS n_train FROM o JOIN s USING (symbol) JOIN e USING (symbol)""")
 def _(t: Tables):
     """The ridge fit on two features, where the oracle can solve the normal equations by hand."""
-    d = t.bars().select("symbol", "ts", win.pct_return("close").alias("x"), win.pct_return("close", 5).alias("x5"), (F.lead("close", 5).over(win.BY_SYMBOL) / F.col("close") - 1).alias("y"))
+    d = t.bars().select("symbol", "ts", win.pct_return("close").alias("x"), win.pct_return("close", 5).alias("x5"), (F.lead("close", 5).over(win.by_symbol()) / F.col("close") - 1).alias("y"))
     m = es.ridge_fits(d, "symbol", ["x", "x5"], "y")
     return rounded(m.select("symbol", F.col("coefficients")[0].alias("coef_ret"), F.col("coefficients")[1].alias("coef_ret5"), "residual_std", "n_train"), 6, residual_std=8)
 

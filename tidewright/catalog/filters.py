@@ -76,7 +76,7 @@ def _(t: Tables):
 
 @query("fil12_null_report", f"{STOCK}, r AS (SELECT close / lag(close) OVER {W} - 1 AS ret, lead(close, 21) OVER {W} AS ahead FROM stocks) SELECT 'ret' AS column_name, count(*) - count(ret) AS nulls FROM r UNION ALL SELECT 'ahead', count(*) - count(ahead) FROM r")
 def _(t: Tables):
-    df = t.stocks().select("close", win.pct_return("close").alias("ret"), F.lead("close", 21).over(win.BY_SYMBOL).alias("ahead"))
+    df = t.stocks().select("close", win.pct_return("close").alias("ret"), F.lead("close", 21).over(win.by_symbol()).alias("ahead"))
     return fil.null_counts(df, ["close", "ret", "ahead"])
 
 

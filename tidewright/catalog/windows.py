@@ -92,7 +92,7 @@ a AS (SELECT *, list_reduce(g, lambda a, x: a * 13 / 14 + x / 14) AS ag, list_re
 r AS (SELECT symbol, ts, CASE WHEN al > 0 THEN 100 - 100 / (1 + ag / al) WHEN ag > 0 THEN 100 END AS rsi FROM a)
 SELECT symbol, ts, round(lag(rsi) OVER {W}, 6) AS rsi_14, round((lag(rsi) OVER {W} - 50) / 50, 6) AS rsi_normalized FROM r""")
 def _(t: Tables):
-    r = ewm_rsi(t.stocks(), 14, "rsi").withColumn("rsi_14", F.lag("rsi").over(win.BY_SYMBOL))
+    r = ewm_rsi(t.stocks(), 14, "rsi").withColumn("rsi_14", F.lag("rsi").over(win.by_symbol()))
     return rounded(r.select("symbol", "ts", "rsi_14", ((F.col("rsi_14") - 50) / 50).alias("rsi_normalized")))
 
 
@@ -145,7 +145,7 @@ def _(t: Tables):
     oi = t.raw("events").groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(
         F.sum(F.get_json_object("props", "$.k").cast("double")).alias("oi"))
     df = t.hourly().join(oi, "ts").select("symbol", "ts", (F.col("oi") * F.col("close")).alias("notional_oi"))
-    prev = F.lag("notional_oi").over(win.BY_SYMBOL)
+    prev = F.lag("notional_oi").over(win.by_symbol())
     df = df.withColumn("oi_momentum", F.when(F.abs(prev) > 1e-12, F.col("notional_oi") / prev) - 1)
     return rounded(win.with_lags(df, ["oi_momentum"], [1, 5]), 4)
 

@@ -99,8 +99,9 @@ def buy_and_hold(**_) -> tuple[Column, int]:
     return F.lit(1.0), 1
 
 
-def ma_crossover(fast: int, slow: int, w=win.BY_SYMBOL) -> tuple[Column, int]:
+def ma_crossover(fast: int, slow: int, w=None) -> tuple[Column, int]:
     """Needs ``bar`` and ``close_sum`` (running count and sum), so a mean costs one lag, not a frame."""
+    w = w or win.by_symbol()
     def mean(n: int) -> Column:
         return (F.col("close_sum") - F.coalesce(F.lag("close_sum", n).over(w), F.lit(0.0))) / n
     return F.when(F.col("bar") < slow, 0.0).otherwise((mean(fast) > mean(slow)).cast("double")), slow + 1
@@ -112,13 +113,15 @@ def rsi_threshold(period: int, oversold: float, overbought: float) -> tuple[Colu
     return F.when(r.isNull(), 0.0).when(r <= oversold, 1.0).when(r >= overbought, 0.0).otherwise(0.5), period * 3
 
 
-def vol_target(target_vol: float, lookback: int, w=win.BY_SYMBOL) -> tuple[Column, int]:
+def vol_target(target_vol: float, lookback: int, w=None) -> tuple[Column, int]:
     """Needs a ``log_ret`` column."""
+    w = w or win.by_symbol()
     vol = win.fixed_weight_ewma_vol("log_ret", lookback, 0.94, w) * 100
     return F.when(vol > 1e-6, F.least(target_vol / vol, F.lit(1.0))).otherwise(0.0), lookback + 1
 
 
-def mean_reversion(window: int, entry_z: float, exit_z: float, w=win.BY_SYMBOL) -> tuple[Column, int]:
+def mean_reversion(window: int, entry_z: float, exit_z: float, w=None) -> tuple[Column, int]:
+    w = w or win.by_symbol()
     frame = win.trailing(window, w)
     sd = F.stddev_samp("close").over(frame)
     z = (F.col("close") - F.avg("close").over(frame)) / sd
@@ -126,7 +129,8 @@ def mean_reversion(window: int, entry_z: float, exit_z: float, w=win.BY_SYMBOL)
     return F.when(sd > 1e-9, ramp).otherwise(0.0), window + 1
 
 
-def momentum(lookback: int, skip: int, w=win.BY_SYMBOL) -> tuple[Column, int]:
+def momentum(lookback: int, skip: int, w=None) -> tuple[Column, int]:
+    w = w or win.by_symbol()
     recent = F.lag("close", skip).over(w) if skip else F.col("close")
     past = F.lag("close", lookback).over(w)
     return F.when(past > 0, (recent > past).cast("double")).otherwise(0.0), lookback + 2
@@ -254,7 +258,7 @@ def diagnose_rule(flags: DataFrame, warmup: int, step: int = 1) -> DataFrame:
     """How often the rule is true and how often it changes its mind, over every step-th bar after warm-up."""
     pos = flags.select("symbol", "ts", "flag", (win.position() - 1).alias("pos"))
     kept = pos.filter((F.col("pos") >= warmup) & (F.pmod(F.col("pos") - warmup, F.lit(step)) == 0))
-    k = kept.select("symbol", "flag", F.lag("flag").over(win.BY_SYMBOL).alias("prev"))
+    k = kept.select("symbol", "flag", F.lag("flag").over(win.by_symbol()).alias("prev"))
     g = k.groupBy("symbol").agg(F.count("*").alias("bars_tested"), F.sum(F.col("flag").cast("long")).alias("times_true"),
                                 F.sum(F.coalesce(F.col("flag") != F.col("prev"), F.lit(False)).cast("long")).alias("flips"))
     frac = F.col("times_true") / F.col("bars_tested")

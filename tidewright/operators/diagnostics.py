@@ -28,7 +28,7 @@ def close_to_close_vol(bars: DataFrame, window: int = 21) -> DataFrame:
 
 def yang_zhang_vol(bars: DataFrame, window: int = 21, min_bars: int = 20) -> DataFrame:
     """Overnight, open-to-close and Rogers-Satchell variance combined; close-to-close where that is not positive."""
-    prev = F.lag("close").over(win.BY_SYMBOL)
+    prev = F.lag("close").over(win.by_symbol())
     back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
     rs = F.ln(F.col("high") / F.col("close")) * F.ln(F.col("high") / F.col("open")) + F.ln(F.col("low") / F.col("close")) * F.ln(F.col("low") / F.col("open"))
     b = bars.select("symbol", F.ln(F.col("open") / prev).alias("on"), F.ln(F.col("close") / F.col("open")).alias("oc"), rs.alias("rs"),
@@ -96,7 +96,7 @@ def variance_ratio(bars: DataFrame, q: int = 5) -> DataFrame:
     """Lo-MacKinlay variance ratio and its heteroskedasticity-robust z."""
     r = bars.select("symbol", "ts", win.log_return("close").alias("r")).filter("r IS NOT NULL")
     every = Window.partitionBy("symbol")
-    w = win.BY_SYMBOL
+    w = win.by_symbol()
     c = r.select("symbol", "ts", (F.col("r") - F.avg("r").over(every)).alias("c"), win.position().alias("pos"))
     c = c.select("*", F.when(F.col("pos") >= q, F.sum("c").over(w.rowsBetween(-(q - 1), 0))).alias("agg"), (F.col("c") * F.col("c")).alias("c2"))
     c = c.select("*", *[(F.col("c2") * F.lag("c2", j).over(w)).alias(f"p{j}") for j in range(1, q)])
@@ -130,7 +130,7 @@ def half_life(bars: DataFrame, window: int = 63, min_rows: int = 73) -> DataFram
 
     Whether a unit root is rejected is a separate estimate; see ``estimators.unit_root``.
     """
-    b = bars.select("symbol", "ts", "close", F.lag("close").over(win.BY_SYMBOL).alias("prev"), _recent(window).alias("in"))
+    b = bars.select("symbol", "ts", "close", F.lag("close").over(win.by_symbol()).alias("prev"), _recent(window).alias("in"))
     recent = F.when(F.col("in"), F.col("close"))
     g = b.groupBy("symbol").agg(
         F.count("*").alias("n"), F.regr_slope("close", "prev").alias("b"), F.regr_r2("close", "prev").alias("r2"), F.regr_sxx("close", "prev").alias("sxx"),
@@ -189,7 +189,7 @@ def _finish(df: DataFrame, moments=MOMENTS) -> DataFrame:
 def _log_moments(vol: DataFrame, moments, lags) -> DataFrame:
     """|x - lag(x)|^q for every (lag, q), computed once per row; unknown or zero volatility has no log."""
     v = vol.withColumn("x", F.ln(F.when(F.col("rv") > 1e-8, F.col("rv"))))
-    v = v.select("symbol", "ts", "rv", "x", *[F.abs(F.col("x") - F.lag("x", lag).over(win.BY_SYMBOL)).alias(f"d_{lag}") for lag in lags])
+    v = v.select("symbol", "ts", "rv", "x", *[F.abs(F.col("x") - F.lag("x", lag).over(win.by_symbol())).alias(f"d_{lag}") for lag in lags])
     return v.select("symbol", "ts", "rv", "x", *[F.pow(f"d_{lag}", F.lit(q)).alias(f"m_{i}_{lag}") for lag in lags for i, q in enumerate(moments)])
 
 
@@ -209,7 +209,7 @@ def rolling_rough_vol(vol: DataFrame, window: int = 250, baseline: int = 120, mo
     The window means are differences of running sums (a running sum minus itself ``k`` rows ago), so
     the cost per row does not depend on the window length.
     """
-    w = win.BY_SYMBOL
+    w = win.by_symbol()
     run = win.whole_prefix()
     m = _log_moments(vol, moments, lags)
     names = [f"m_{i}_{lag}" for lag in lags for i in range(len(moments))]

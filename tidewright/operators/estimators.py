@@ -72,15 +72,23 @@ def fit_quantiles(train: DataFrame, features: list[str], target: str, levels: li
     return drop_unknown(train, [*features, target]).groupBy(*key).applyInPandas(run, schema)
 
 
-def predict_quantiles(rows: DataFrame, models: DataFrame, features: list[str]) -> DataFrame:
-    """Sorted quantile array per row from the latest refit at or before it; the dot product is native."""
+def predict_quantiles(rows: DataFrame, models: DataFrame, features: list[str], every: int) -> DataFrame:
+    """Sorted quantile array per row from the latest refit at or before it; the dot product is native.
+
+    Rows fall into slots between refits. The model of each slot comes from an as-of join over the few
+    slots (a refit may have failed), and rows meet it by an equi-join on (symbol, slot).
+    """
     m = models.groupBy("symbol", "refit").agg(F.sort_array(F.collect_list(F.struct("level", "intercept", "coefficients"))).alias("model"), F.max("n_train").alias("n_train"))
-    r = drop_unknown(rows.withColumn("pos", win.position()), features)
-    j = asof_join(r, m, ["symbol"], "pos", "refit", ["model", "n_train"]).filter("model IS NOT NULL")
     x = F.array(*[F.col(c) for c in features])
-    dot = lambda c: F.aggregate(F.zip_with(c, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    r = drop_unknown(rows.withColumn("slot", F.floor(win.position() / every) * every), features).withColumn("x", x)
+    slots = asof_join(r.select("symbol", "slot").distinct(), m, ["symbol"], "slot", "refit", ["model", "n_train"]).filter("model IS NOT NULL")
+    j = r.join(slots.withColumnRenamed("src_ts", "refit"), ["symbol", "slot"])
+
+    def dot(c):
+        return F.aggregate(F.zip_with(c, F.col("x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
     q = F.array_sort(F.transform("model", lambda e: e["intercept"] + dot(e["coefficients"])))
-    return j.withColumn("quantiles", q).drop("model").withColumnRenamed("src_ts", "refit")
+    return j.withColumn("quantiles", q).drop("model", "x", "slot")
 
 
 def quantile_moments(df: DataFrame, levels: list[float] | None = None, column: str = "quantiles") -> DataFrame:

@@ -56,7 +56,7 @@ def wide_daily(aligned: DataFrame, names: list[str], with_consensus: list[str])
 def macro_features(daily: DataFrame, zscore_window: int = 252, change_windows: tuple[int, ...] = (21, 63),
                    surprise_window: int = 24, lags: tuple[int, ...] = (1, 5, 21)) -> DataFrame:
     """The full feature matrix: levels, z-scores, changes, surprises, and their lags."""
-    w = win.BY_SYMBOL
+    w = win.by_symbol()
     df = daily.select(
         "*", ((F.col("cpi") / F.lag("cpi", 252).over(w) - 1) * 100).alias("cpi_yoy"),
         (F.col("yield_10y") - F.col("yield_2y")).alias("curve_slope"),

@@ -74,7 +74,7 @@ def risk_gate(df: DataFrame, risk_fraction: float, max_leverage: float) -> DataF
 def stop_paths(bars: DataFrame, horizon: int, stop_pct: Column | float) -> DataFrame:
     """Each start's outcome with an exit at the first close at or below the stop, else at the horizon."""
     level = 1 - (F.lit(stop_pct) if isinstance(stop_pct, float) else stop_pct) / 100
-    ahead = F.collect_list("close").over(win.BY_SYMBOL.rowsBetween(1, horizon))
+    ahead = F.collect_list("close").over(win.by_symbol().rowsBetween(1, horizon))
     p = bars.withColumn("path", ahead).filter(F.size("path") == horizon).withColumn("level", level)
     p = p.withColumn("ratios", F.transform("path", lambda x: x / F.col("close")))
     hit = F.get(F.filter("ratios", lambda r: r <= F.col("level")), F.lit(0))

@@ -9,50 +9,62 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.nulls import safe_div
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("ts")
+def by_symbol():
+    """A symbol's rows in time order."""
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
-def trailing(n: int, w=BY_SYMBOL):
+def trailing(n: int, w=None):
     """The last n rows ending at the current one."""
+    w = w or by_symbol()
     return w.rowsBetween(-(n - 1), 0)
 
 
-def before(n: int, w=BY_SYMBOL):
+def before(n: int, w=None):
     """The n rows before the current one, which is left out."""
+    w = w or by_symbol()
     return w.rowsBetween(-n, -1)
 
 
-def whole_prefix(w=BY_SYMBOL):
+def whole_prefix(w=None):
+    w = w or by_symbol()
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def position(w=BY_SYMBOL) -> Column:
+def position(w=None) -> Column:
+    w = w or by_symbol()
     return F.row_number().over(w)
 
 
-def pct_return(c: str, k: int = 1, w=BY_SYMBOL) -> Column:
+def pct_return(c: str, k: int = 1, w=None) -> Column:
+    w = w or by_symbol()
     return F.col(c) / F.lag(c, k).over(w) - 1
 
 
-def log_return(c: str, k: int = 1, w=BY_SYMBOL) -> Column:
+def log_return(c: str, k: int = 1, w=None) -> Column:
+    w = w or by_symbol()
     return F.ln(F.col(c) / F.lag(c, k).over(w))
 
 
-def change(c: str, k: int = 1, w=BY_SYMBOL) -> Column:
+def change(c: str, k: int = 1, w=None) -> Column:
+    w = w or by_symbol()
     return F.col(c) - F.lag(c, k).over(w)
 
 
-def forward_pct(c: str, h: int, w=BY_SYMBOL) -> Column:
+def forward_pct(c: str, h: int, w=None) -> Column:
     """Percent change to the value h rows later; NULL at the end of the series."""
+    w = w or by_symbol()
     return (F.lead(c, h).over(w) / F.col(c) - 1) * 100
 
 
-def forward_log(c: str, h: int, w=BY_SYMBOL) -> Column:
+def forward_log(c: str, h: int, w=None) -> Column:
+    w = w or by_symbol()
     return F.ln(F.lead(c, h).over(w) / F.col(c))
 
 
-def forward_compounded(ret: str, h: int, w=BY_SYMBOL) -> Column:
+def forward_compounded(ret: str, h: int, w=None) -> Column:
     """Return over the next h rows compounded from one-row returns; NULL unless all h are known."""
+    w = w or by_symbol()
     frame = w.rowsBetween(1, h)
     total = F.sum(F.log1p(F.col(ret))).over(frame)
     return F.when(F.count(ret).over(frame) == h, F.expm1(total))
@@ -63,13 +75,15 @@ def three_way_label(fwd: Column, band: float = 0.004) -> Column:
     return F.when(fwd > band, 2).when(fwd < -band, 0).otherwise(1)
 
 
-def with_lags(df: DataFrame, columns: list[str], lags: list[int], w=BY_SYMBOL) -> DataFrame:
+def with_lags(df: DataFrame, columns: list[str], lags: list[int], w=None) -> DataFrame:
     """All ``<c>_lag<k>`` columns in one projection, so one sort serves them all."""
+    w = w or by_symbol()
     return df.select("*", *[F.lag(c, k).over(w).alias(f"{c}_lag{k}") for c in columns for k in lags])
 
 
-def rolling_zscore(c: str, n: int, min_periods: int | None = None, w=BY_SYMBOL) -> Column:
+def rolling_zscore(c: str, n: int, min_periods: int | None = None, w=None) -> Column:
     """(x - mean) / sample std over the trailing window; a constant window is unknown."""
+    w = w or by_symbol()
     need = min_periods if min_periods is not None else max(2, n // 2)
     frame = trailing(n, w)
     std = F.stddev_samp(c).over(frame)
@@ -77,23 +91,27 @@ def rolling_zscore(c: str, n: int, min_periods: int | None = None, w=BY_SYMBOL)
     return F.when(ok, (F.col(c) - F.avg(c).over(frame)) / std)
 
 
-def drawdown(c: str, w=BY_SYMBOL) -> Column:
+def drawdown(c: str, w=None) -> Column:
+    w = w or by_symbol()
     return F.col(c) / F.max(c).over(whole_prefix(w)) - 1
 
 
-def compounded(ret: str, w=BY_SYMBOL) -> Column:
+def compounded(ret: str, w=None) -> Column:
     """Growth of one unit from a return series; an unknown return leaves it unchanged."""
+    w = w or by_symbol()
     return F.exp(F.sum(F.log1p(F.coalesce(F.col(ret), F.lit(0.0)))).over(whole_prefix(w)))
 
 
-def true_range(w=BY_SYMBOL) -> Column:
+def true_range(w=None) -> Column:
     """Largest of the three ranges, skipping those that are unknown on the first row."""
+    w = w or by_symbol()
     prev = F.lag("close").over(w)
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
 
 
-def price_features(bars: DataFrame, w=BY_SYMBOL) -> DataFrame:
+def price_features(bars: DataFrame, w=None) -> DataFrame:
     """Candle features, each lagged one bar; needs ``ema5`` and ``ema20`` on the input."""
+    w = w or by_symbol()
     df = bars.select(
         "*", log_return("close", 1, w).alias("log_ret"), true_range(w).alias("tr"),
         safe_div(F.col("close") - F.col("open"), F.col("high") - F.col("low")).alias("body"),
@@ -141,17 +159,18 @@ def _zscore(n: int, w) -> Column:
 
 
 INDICATORS = {
-    "sma": lambda n, w=BY_SYMBOL: F.avg("close").over(trailing(n, w)),
-    "vol": lambda n, w=BY_SYMBOL: _vol(n, w),
-    "zscore": lambda n, w=BY_SYMBOL: _zscore(n, w),
-    "ret": lambda n, w=BY_SYMBOL: pct_return("close", n, w) * 100,
-    "highest": lambda n, w=BY_SYMBOL: F.max("high").over(trailing(n, w)),
-    "lowest": lambda n, w=BY_SYMBOL: F.min("low").over(trailing(n, w)),
+    "sma": lambda n, w=None: F.avg("close").over(trailing(n, w)),
+    "vol": lambda n, w=None: _vol(n, w),
+    "zscore": lambda n, w=None: _zscore(n, w),
+    "ret": lambda n, w=None: pct_return("close", n, w) * 100,
+    "highest": lambda n, w=None: F.max("high").over(trailing(n, w)),
+    "lowest": lambda n, w=None: F.min("low").over(trailing(n, w)),
 }
 
 
-def with_indicators(bars: DataFrame, wanted: list[tuple[str, int]], w=BY_SYMBOL) -> DataFrame:
+def with_indicators(bars: DataFrame, wanted: list[tuple[str, int]], w=None) -> DataFrame:
     """Add ``<name>_<n>`` columns; ``ema`` and ``rsi`` come from the recurrence scan."""
+    w = w or by_symbol()
     from tidewright.operators.scan import ewm_mean, wilder_rsi
 
     df = bars.withColumn("log_ret", log_return("close", 1, w))
@@ -164,11 +183,12 @@ def with_indicators(bars: DataFrame, wanted: list[tuple[str, int]], w=BY_SYMBOL)
 
 
 def trigger_flag(kind: str, window: int, threshold: float, value: str = "close",
-                 market_return: str | None = None, w=BY_SYMBOL) -> Column:
+                 market_return: str | None = None, w=None) -> Column:
     """1.0 where the condition holds, 0.0 where it does not, NULL where its measure is unknown.
 
     For ``shock_day`` the input needs a ``ret`` column of one-row returns.
     """
+    w = w or by_symbol()
     if kind == "change_pct":
         measure = pct_return(value, window, w) * 100
     elif kind == "change_points":
@@ -196,12 +216,13 @@ def trigger_flag(kind: str, window: int, threshold: float, value: str = "close",
 
 
 def normalized_surprise(daily: DataFrame, actual: str, consensus: str, window: int, min_periods: int, out: str,
-                        w=BY_SYMBOL) -> DataFrame:
+                        w=None) -> DataFrame:
     """Surprise over the std of *earlier* releases, carried forward on the daily calendar.
 
     A release is a row where ``actual - consensus`` changes. Numbering releases and taking the frame
     over release rows only is done by partitioning on "is a release", so nothing is joined back.
     """
+    w = w or by_symbol()
     raw = F.col(actual) - F.col(consensus)
     df = daily.withColumn("__raw", raw)
     prior = F.lag("__raw").over(w)
@@ -214,8 +235,9 @@ def normalized_surprise(daily: DataFrame, actual: str, consensus: str, window: i
     return df.withColumn(out, F.last("__z", ignorenulls=True).over(whole_prefix(w))).drop("__raw", "__is", "__z")
 
 
-def move_observation(bars: DataFrame, lookback: int = 20, w=BY_SYMBOL) -> DataFrame:
+def move_observation(bars: DataFrame, lookback: int = 20, w=None) -> DataFrame:
     """Each session's move against the volatility and volume of the sessions before it."""
+    w = w or by_symbol()
     df = bars.withColumn("ret", pct_return("close", 1, w))
     prior = before(lookback - 1, w)
     df = df.select(
@@ -237,8 +259,9 @@ def outlier_label(sigma: Column) -> Column:
     )
 
 
-def fixed_weight_ewma_vol(ret: str, n: int, decay: float, w=BY_SYMBOL) -> Column:
+def fixed_weight_ewma_vol(ret: str, n: int, decay: float, w=None) -> Column:
     """Annualised volatility of the last n returns with normalised decaying weights."""
+    w = w or by_symbol()
     raw = [decay**k for k in range(n - 1, -1, -1)]
     weights = F.array(*[F.lit(x / sum(raw)) for x in raw])
     squares = F.collect_list(F.col(ret) * F.col(ret)).over(trailing(n, w))
@@ -246,8 +269,9 @@ def fixed_weight_ewma_vol(ret: str, n: int, decay: float, w=BY_SYMBOL) -> Column
     return F.when(F.size(squares) == n, F.sqrt(total) * math.sqrt(252.0))
 
 
-def staged_exposure(parts: int, spacing: int, w=BY_SYMBOL) -> Column:
+def staged_exposure(parts: int, spacing: int, w=None) -> Column:
     """Exposure of an entry in equal parts, one part every ``spacing`` bars."""
+    w = w or by_symbol()
     return F.least(F.lit(1.0), (F.floor((position(w) - 1) / spacing) + 1) / parts)
 
 
@@ -257,6 +281,7 @@ def last_rows(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("__b", F.row_number().over(w)).filter(F.col("__b") <= n).drop("__b")
 
 
-def indexed_history(bars: DataFrame, n: int, w=BY_SYMBOL) -> DataFrame:
+def indexed_history(bars: DataFrame, n: int, w=None) -> DataFrame:
     """Close with the first of the last n rows set to 100."""
+    w = w or by_symbol()
     return last_rows(bars, n).withColumn("indexed", F.col("close") / F.first("close").over(whole_prefix(w)) * 100)
