@@ -1,0 +1,60 @@
+"""Ledger, overlay and plan queries."""
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewright.catalog.registry import query, rounded
+from tidewright.operators import portfolio as pf
+from tidewright.operators import windows as win
+from tidewright.tables import Tables
+
+
+def orders(t: Tables):
+    """Events as orders: mostly opens, 'signup' closes and 'error' expires the oldest line."""
+    e, v = t.raw("events"), F.col("value")
+    kind = F.col("event_type")
+    return e.select(
+        F.col("user_id").alias("account"), F.col("event_id").alias("seq"), F.when(kind == "signup", "close").when(kind == "error", "expire").otherwise("open").alias("action"),
+        F.when(kind == "view", "sell").otherwise("buy").alias("side"), (1 + F.floor(v) % 5).alias("contracts"), (v / 20 + 0.05).alias("fill_price"),
+        (80 + F.col("event_id") % 40).cast("double").alias("spot"), (80 + F.col("user_id") % 40).cast("double").alias("strike"), F.when(F.col("event_id") % 2 == 0, "call").otherwise("put").alias("kind"))
+
+
+@query("bt11_order_ledger")
+def _(t: Tables):
+    return rounded(pf.ledger(orders(t)), 4)
+
+
+@query("bt09_option_overlays")
+def _(t: Tables):
+    b = t.bars()
+    return rounded(reduce(DataFrame.unionByName, [pf.option_overlay(b, o[0]) for o in pf.OVERLAYS]), 4)
+
+
+@query("bt07_staged_entries")
+def _(t: Tables):
+    return rounded(pf.staged_runs(t.bars(), 63, 10_000.0), 4)
+
+
+@query("agg38_staged_comparison")
+def _(t: Tables):
+    return rounded(pf.staged_comparison(pf.staged_runs(t.bars(), 63, 10_000.0), 10_000.0), 4)
+
+
+@query("bt12_plans")
+def _(t: Tables):
+    names = F.array(*[F.lit(s) for s in ("AF", "AO", "NF", "NO", "RF", "RO")])
+    r = t.raw("orders").select(F.col("o_orderkey").alias("request_id"), names[(F.col("o_custkey") % 6).cast("int")].alias("symbol"), F.col("o_totalprice").alias("amount"), (F.col("o_totalprice") / 20).alias("max_loss"))
+    return rounded(pf.plans(t.bars(), r, 63, 5.0), 2)
+
+
+@query("bt03_regime_filtered_trend")
+def _(t: Tables):
+    from tidewright.operators.diagnostics import regime_trend_signal
+
+    s = regime_trend_signal(t.bars(), 20, 100, 0.5)
+    return rounded(s.select("symbol", "ts", "hurst", "signal"))
+
+
+_ = win

@@ -72,8 +72,13 @@ def rescaled_range_hurst(bars: DataFrame, min_rows: int = 120, min_lag: int = 8,
     running deviations and the regression all reuse one shuffle by symbol.
     """
     r = bars.select("symbol", "ts", win.log_return("close").alias("r")).filter("r IS NOT NULL")
+    return _rescaled_range(r.select("symbol", "r", (win.position() - 1).alias("pos")), min_rows, min_lag, steps)
+
+
+def _rescaled_range(r: DataFrame, min_rows: int, min_lag: int, steps: int) -> DataFrame:
+    """The estimate from (symbol, r, pos), positions from zero."""
     n = F.count("*").over(Window.partitionBy("symbol"))
-    r = r.select("symbol", "r", n.alias("n"), (win.position() - 1).alias("pos")).filter(F.col("n") >= min_rows)
+    r = r.withColumn("n", n).filter(F.col("n") >= min_rows)
     top = F.floor(F.col("n") / 4)
     lag = lambda i: F.when(i == 0, F.lit(min_lag)).when(i == steps - 1, top).otherwise(F.floor(min_lag * F.pow(top / min_lag, i / (steps - 1))))
     r = r.withColumn("lags", F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: lag(i).cast("long"))))
@@ -260,3 +265,25 @@ def rfsv_forecast(rough: DataFrame, window: int = 250, horizon: int = 21) -> Dat
     df = df.withColumn("forecast_variance", F.when(rough_ok, const * F.col("nu") * F.col("nu") * F.pow(F.lit(float(horizon)), 2 * h)).when(h.isNotNull(), 0.0))
     df = df.withColumn("rv_forecast", F.exp(F.col("expected") + 0.5 * F.col("forecast_variance")))
     return df.withColumn("rv_forecast_ratio", F.col("rv_forecast") / F.col("rv")).drop("hist", "k", "expected")
+
+
+def regime_trend_signal(bars: DataFrame, fast: int, slow: int, threshold: float, window: int = 400, refresh: int = 21) -> DataFrame:
+    """Moving-average signal that stands aside while the Hurst exponent of the last ``window`` returns is low.
+
+    Hurst is estimated on refresh rows only (the first row of each run of ``refresh`` bars) and held in
+    between; a refresh row with no estimate does not filter.
+    """
+    w = win.by_symbol()
+    b = bars.select("symbol", "ts", "open", "close", win.log_return("close").alias("r"), win.position().alias("bar"))
+    warm = max(slow, window) + 1
+    bucket = F.floor(F.col("bar") / refresh)
+    due = (F.col("bar") >= warm) & ((F.col("bar") == warm) | (F.lag(bucket).over(w) != bucket))
+    b = b.withColumn("due", due).withColumn("past", F.when(F.col("due"), F.collect_list("r").over(win.trailing(window))))
+    x = b.filter("due").select(F.concat_ws("|", "symbol", "ts").alias("key"), F.posexplode("past").alias("i", "r"))
+    # Every refresh row is its own little series for the rescaled-range estimate.
+    h = _rescaled_range(x.select(F.col("key").alias("symbol"), "r", F.col("i").cast("long").alias("pos")), 120, 8, 12)
+    h = h.select(F.split("symbol", r"\|")[0].alias("symbol"), F.to_date(F.split("symbol", r"\|")[1]).alias("ts"), "hurst")
+    j = b.drop("past").join(h, ["symbol", "ts"], "left").withColumn("h", F.when(F.col("due"), F.coalesce("hurst", F.lit(0.5))))
+    j = j.withColumn("hurst", F.last("h", True).over(win.whole_prefix()))
+    up = F.avg("close").over(win.trailing(fast)) > F.avg("close").over(win.trailing(slow))
+    return j.select("symbol", "ts", "open", "close", "hurst", F.when(F.col("bar") >= warm, F.when(F.col("hurst") < threshold, 0.0).otherwise(up.cast("double"))).alias("signal"), F.lit(warm).alias("warmup"))
