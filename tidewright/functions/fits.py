@@ -52,49 +52,51 @@ def check_objective(x: np.ndarray, y: np.ndarray, beta: np.ndarray, tau: float,
     return float(np.mean(np.maximum(tau * r, (tau - 1) * r)) + alpha * np.abs(beta[1:]).sum())
 
 
-def svi_fit(k: np.ndarray, w: np.ndarray, rounds: int = 6, rho_max: float = 0.999) -> tuple[float, float, float, float, float, float]:
+def svi_fit(k: np.ndarray, w: np.ndarray, rounds: int = 7, rho_max: float = 0.999) -> tuple[float, float, float, float, float, float]:
     """Raw SVI by least squares: (a, b, rho, m, sigma, rmse) with a, b >= 0 and |rho| bounded.
 
-    For given (m, sigma) the smile is linear in (a, b*rho, b); the bounds are met by trying the edges
-    of the feasible cone. (m, sigma) is searched on a grid that shrinks around its best cell.
+    For given (m, sigma) the smile is linear in (a, c = b*rho, b); where the free solution leaves the
+    feasible cone its edges are tried. All cells of an (m, sigma) grid are solved at once, and the grid
+    shrinks around its best cell.
     """
     span = max(float(np.ptp(k)), 1e-6)
     m_lo, m_hi, s_lo, s_hi = k.min() - 0.5 * span, k.max() + 0.5 * span, math.log(1e-3 * span), math.log(2 * span)
-    best = (np.inf, 0.0, 0.0, 0.0, 0.0, 1.0)
+    best, found = np.inf, (float(w.mean()), 0.0, 0.0, 0.0, span)
+    n = len(k)
 
-    def solve(cols: list[np.ndarray]) -> np.ndarray:
-        return np.linalg.lstsq(np.column_stack(cols), w, rcond=None)[0]
+    def two(f: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ff, fg, gg, fw, gw = (f * f).sum(1), (f * g).sum(1), (g * g).sum(1), (f * w).sum(1), (g * w).sum(1)
+        det = np.where(np.abs(ff * gg - fg * fg) > 1e-18, ff * gg - fg * fg, np.inf)
+        return (fw * gg - gw * fg) / det, (gw * ff - fw * fg) / det
 
     for _ in range(rounds):
-        for m in np.linspace(m_lo, m_hi, 13):
-            for ls in np.linspace(s_lo, s_hi, 13):
-                sg = math.exp(ls)
-                z = k - m
-                h = np.hypot(z, sg)
-                one = np.ones_like(z)
-                options = []
-                a, c, b = solve([one, z, h])
-                if a >= 0 and b >= 0 and abs(c) <= rho_max * b:
-                    options = [(a, c, b)]
-                else:
-                    c, b = solve([z, h])
-                    if b >= 0 and abs(c) <= rho_max * b:
-                        options.append((0.0, c, b))
-                    for side in (rho_max, -rho_max):
-                        a, b = solve([one, h + side * z])
-                        if a >= 0 and b >= 0:
-                            options.append((a, side * b, b))
-                        b = max(float(solve([h + side * z])[0]), 0.0)
-                        options.append((0.0, side * b, b))
-                    options.append((max(float(w.mean()), 0.0), 0.0, 0.0))
-                for a, c, b in options:
-                    sse = float(np.sum((a + c * z + b * h - w) ** 2))
-                    if sse < best[0] - 1e-18:
-                        best = (sse, a, b, c / b if b > 0 else 0.0, m, sg)
+        m, ls = (g.ravel() for g in np.meshgrid(np.linspace(m_lo, m_hi, 13), np.linspace(s_lo, s_hi, 13)))
+        sg = np.exp(ls)
+        z = k - m[:, None]
+        h = np.hypot(z, sg[:, None])
+        one, none = np.ones_like(z), np.zeros(len(m))
+        cols = np.stack([one, z, h], axis=2)
+        gram = np.einsum("cni,cnj->cij", cols, cols) + 1e-13 * n * np.eye(3)
+        free = np.linalg.solve(gram, np.einsum("cni,n->ci", cols, w)[:, :, None])[:, :, 0]
+        options = [(free[:, 0], free[:, 1], free[:, 2])]
+        c, b = two(z, h)
+        options.append((none, c, b))
+        for side in (rho_max, -rho_max):
+            edge = h + side * z
+            a, b = two(one, edge)
+            options.append((a, side * b, b))
+            b = np.maximum((edge * w).sum(1) / (edge * edge).sum(1), 0)
+            options.append((none, side * b, b))
+        options.append((none + max(float(w.mean()), 0.0), none, none))
+        for a, c, b in options:
+            ok = (a >= 0) & (b >= 0) & (np.abs(c) <= rho_max * b + 1e-15)
+            sse = np.where(ok, ((a[:, None] + c[:, None] * z + b[:, None] * h - w) ** 2).sum(1), np.inf)
+            i = int(np.argmin(sse))
+            if sse[i] < best:
+                best, found = float(sse[i]), (float(a[i]), float(b[i]), float(c[i] / b[i]) if b[i] > 0 else 0.0, float(m[i]), float(sg[i]))
         dm, ds = (m_hi - m_lo) / 6, (s_hi - s_lo) / 6
-        m_lo, m_hi, s_lo, s_hi = best[4] - dm, best[4] + dm, math.log(best[5]) - ds, math.log(best[5]) + ds
-    sse, a, b, rho, m, sg = best
-    return a, b, rho, m, sg, math.sqrt(sse / len(k))
+        m_lo, m_hi, s_lo, s_hi = found[3] - dm, found[3] + dm, math.log(found[4]) - ds, math.log(found[4]) + ds
+    return (*found, math.sqrt(best / n))
 
 
 def loop_bars(points: np.ndarray) -> np.ndarray:

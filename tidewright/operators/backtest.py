@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import windows as win
 from tidewright.operators.stats import performance_stats
+from tidewright.session import dealt
 
 RUN = ["symbol", "run_id"]
 
@@ -186,7 +187,7 @@ def grid_signals(bars: DataFrame, strategy: str, grid: list[dict], first_id: int
     df = base.select("symbol", "ts", "open", "close", "bar", *[x.cast("double").alias(f"s{i}") for i, x, _ in runs])
     points = F.array(*[F.struct(F.lit(i).cast("long").alias("run_id"), F.col(f"s{i}").alias("signal"), F.lit(n).alias("warmup")) for i, _, n in runs])
     out = df.select("symbol", "ts", "open", "close", "bar", F.explode(points).alias("p")).select("symbol", "p.run_id", "ts", "open", "close", "bar", "p.signal", "p.warmup")
-    return out.repartition("symbol", "run_id") if spread else out
+    return dealt(out, "symbol", "run_id") if spread else out
 
 
 def sweep(bars: DataFrame, strategy: str, fixed: dict | None = None, ex: Execution | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ from tidewright.functions.nulls import drop_unknown
 from tidewright.functions.options import svi_variance
 from tidewright.operators import windows as win
 from tidewright.operators.asof import asof_join
+from tidewright.session import dealt
 from tidewright.operators.options import density_moments, priced, return_moments, risk_neutral_density
 
 LEVELS = [0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95]
@@ -69,7 +70,7 @@ def fit_quantiles(train: DataFrame, features: list[str], target: str, levels: li
 
     types = {f.name: f.dataType.simpleString() for f in train.schema.fields}
     schema = ", ".join(f"{k} {types[k]}" for k in key) + ", level double, intercept double, coefficients array<double>, n_train bigint"
-    return drop_unknown(train, [*features, target]).groupBy(*key).applyInPandas(run, schema)
+    return dealt(drop_unknown(train, [*features, target]), *key).groupBy(*key).applyInPandas(run, schema)
 
 
 def predict_quantiles(rows: DataFrame, models: DataFrame, features: list[str], every: int) -> DataFrame:
@@ -169,7 +170,7 @@ def garch(bars: DataFrame, horizon: int = 21, min_rows: int = 60) -> DataFrame:
         long_run = math.sqrt(omega / (1 - keep) * 252) if keep < 1 else None
         return pd.DataFrame([[pdf["symbol"].iloc[0], math.sqrt(var * 252), long_run, keep, "GARCH(1,1)"]], columns=["symbol", "forecast_pct", "long_run_pct", "persistence", "forecast_model"])
 
-    return r.groupBy("symbol").applyInPandas(run, "symbol string, forecast_pct double, long_run_pct double, persistence double, forecast_model string")
+    return dealt(r, "symbol").groupBy("symbol").applyInPandas(run, "symbol string, forecast_pct double, long_run_pct double, persistence double, forecast_model string")
 
 
 def unit_root(bars: DataFrame, min_rows: int = 60) -> DataFrame:
@@ -183,7 +184,7 @@ def unit_root(bars: DataFrame, min_rows: int = 60) -> DataFrame:
             row = [None, None, None]
         return pd.DataFrame([[pdf["symbol"].iloc[0], *row]], columns=["symbol", "adf_statistic", "adf_pvalue", "lags"])
 
-    return bars.select("symbol", "ts", "close").filter("close IS NOT NULL").groupBy("symbol").applyInPandas(
+    return dealt(bars.select("symbol", "ts", "close").filter("close IS NOT NULL"), "symbol").groupBy("symbol").applyInPandas(
         run, "symbol string, adf_statistic double, adf_pvalue double, lags bigint")
 
 
@@ -202,7 +203,7 @@ def window_topology(panel: DataFrame, columns: list[str], window: int = 50, bloc
     w = win.trailing(window)
     p = panel.select("symbol", "ts", F.when(F.count(F.when(known, 1)).over(w) == window, F.collect_list(point).over(w)).alias("cloud"), win.position().alias("pos"))
     p = p.filter("cloud IS NOT NULL").select("symbol", "ts", F.flatten("cloud").alias("cloud"), F.floor(F.col("pos") / block).alias("block"))
-    p = p.repartition("symbol", "block").drop("block")
+    p = dealt(p, "symbol", "block").drop("block")
     dims = len(columns)
 
     def run(batches):
@@ -243,7 +244,7 @@ def fit_smiles(quotes: DataFrame, key: str, min_quotes: int = 5) -> DataFrame:
         return pd.DataFrame([[pdf[key].iloc[0], *fits.svi_fit(k[order], w[order]), len(k), k.min(), k.max()]], columns=cols)
 
     kind = quotes.schema[key].dataType.simpleString()
-    return quotes.select(key, "k", "w").groupBy(key).applyInPandas(
+    return dealt(quotes.select(key, "k", "w"), key).groupBy(key).applyInPandas(
         run, f"{key} {kind}, a double, b double, rho double, m double, sigma double, rmse double, n_quotes bigint, k_min double, k_max double")
 
 

@@ -12,6 +12,7 @@ from tidewright.operators import backtest as bt
 from tidewright.operators import stats
 from tidewright.operators import windows as win
 from tidewright.operators.options import priced
+from tidewright.session import dealt
 
 SHARES, COMMISSION, REG_T, REG_T_FLOOR = 100, 0.65, 0.20, 0.10
 
@@ -70,7 +71,7 @@ def ledger(orders: DataFrame, starting_cash: float = 100_000.0) -> DataFrame:
     Orders are dealt out by account and sorted by sequence; the fold runs over Arrow batches and
     carries one account's state from batch to batch, so no account is ever held in memory as a whole.
     """
-    dealt = orders.repartition("account").sortWithinPartitions("account", "seq")
+    sorted_orders = dealt(orders, "account").sortWithinPartitions("account", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
@@ -83,7 +84,7 @@ def ledger(orders: DataFrame, starting_cash: float = 100_000.0) -> DataFrame:
                 out.append((r.account, r.seq, r.action, status, state.cash, state.realized, state.collateral, len(state.open)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER.split(", ")])
 
-    return dealt.mapInPandas(run, LEDGER)
+    return sorted_orders.mapInPandas(run, LEDGER)
 
 
 def option_overlay(bars: DataFrame, name: str, tenor: int = 21, lookback: int = 40, premium_factor: float = 1.15, spread: float = 0.02,

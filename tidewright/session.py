@@ -46,3 +46,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out by key over the session's full number of shuffle partitions.
+
+    For compute-heavy groups on few bytes: a plain shuffle would be merged by size into very few
+    tasks, a counted one is not.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
