@@ -14,7 +14,7 @@ def scan_sql(src: str, keys: str, c: float = 0.0006, warm: str = "warmup") -> st
     """Sequential fold with state (cash, units) over each run's bars; ``src`` has keys, ts, open, close, signal, warmup."""
     p = f"PARTITION BY {keys} ORDER BY ts"
     return f"""b0 AS (SELECT {keys}, ts, open, close, signal, {warm} AS wu, row_number() OVER ({p}) AS pos FROM {src}),
-b1 AS (SELECT *, coalesce(last_value(CASE WHEN pos >= greatest(wu, 1) THEN least(greatest(signal, 0), 1) END IGNORE NULLS) OVER ({p} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e FROM b0),
+b1 AS (SELECT *, coalesce(last_value(CASE WHEN pos >= greatest(wu, 1) AND signal IS NOT NULL THEN least(greatest(signal, 0), 1) END IGNORE NULLS) OVER ({p} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e FROM b0),
 b2 AS (SELECT * FROM b1 WHERE pos > greatest(wu, 1)),
 b3 AS (SELECT {keys}, list({{'ts': ts, 'o': open, 'c': close, 'e': e}} ORDER BY ts) AS l FROM b2 GROUP BY {keys}),
 b4 AS (SELECT {keys}, list_reduce(l, lambda a, x: {{'cash': a.cash + a.units * x.o - x.e * (a.cash + a.units * x.o) - abs(x.e * (a.cash + a.units * x.o) / x.o - a.units) * x.o * {c},

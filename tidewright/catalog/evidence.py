@@ -43,7 +43,7 @@ hits AS (SELECT symbol, factor_id, count(*) AS n, avg(CAST(sign(target) = target
 rates AS (SELECT l.symbol, l.factor_id, today_value, target_sign, CASE WHEN ok AND n IS NOT NULL AND bins >= 2 THEN today_bin END AS today_bin, CASE WHEN ok AND bins >= 2 THEN hit END AS hit_rate, CASE WHEN ok THEN base_rate END AS base_rate,
   CAST(CASE WHEN NOT ok THEN history_n WHEN bins >= 2 THEN coalesce(n, 0) ELSE 0 END AS BIGINT) AS sample_size FROM (SELECT *, history_n >= 250 AS ok FROM loc) l LEFT JOIN hits h USING (symbol, factor_id)),
 s0 AS (SELECT * REPLACE (CASE WHEN sample_size >= 10 THEN hit_rate END AS hit_rate) FROM rates),
-scored AS (SELECT *, hit_rate - base_rate AS lift, sqrt(greatest(hit_rate * (1 - hit_rate), 0) / sample_size) AS standard_error,
+scored AS (SELECT *, hit_rate - base_rate AS lift, CASE WHEN hit_rate IS NOT NULL THEN sqrt(greatest(hit_rate * (1 - hit_rate), 0) / sample_size) END AS standard_error,
   coalesce(sqrt(greatest(hit_rate * (1 - hit_rate), 0) / sample_size) > 0 AND abs(hit_rate - base_rate) > 2 * sqrt(greatest(hit_rate * (1 - hit_rate), 0) / sample_size), false) AS beats_base_rate,
   CASE WHEN sample_size >= 100 THEN 'high' WHEN sample_size >= 30 THEN 'moderate' WHEN sample_size >= 10 THEN 'low' ELSE 'none' END AS confidence,
   coalesce(hit_rate * CASE WHEN sample_size >= 100 THEN 1.0 WHEN sample_size >= 30 THEN 0.75 WHEN sample_size >= 10 THEN 0.4 ELSE 0 END, 0) AS rank_score FROM s0)"""

@@ -56,7 +56,8 @@ def run_backtest(signals: DataFrame, ex: Execution | None = None, keys: list[str
     w = Window.partitionBy(*keys).orderBy("ts")
     prefix = w.rowsBetween(Window.unboundedPreceding, 0)
     low = -ex.max_exposure if ex.allow_short else 0.0
-    clipped = F.least(F.greatest(F.col("signal"), F.lit(low)), F.lit(ex.max_exposure))
+    # greatest and least skip NULL, so an unknown signal has to be kept unknown by hand.
+    clipped = F.when(F.col("signal").isNotNull(), F.least(F.greatest(F.col("signal"), F.lit(low)), F.lit(ex.max_exposure)))
     pos = F.row_number().over(w)
     s = signals.withColumn("pos", pos)
     s = s.withColumn("want", F.when(F.col("pos") >= F.greatest("warmup", F.lit(1)), clipped))

@@ -92,7 +92,7 @@ def score_factors(rates: DataFrame) -> DataFrame:
     """Lift, binomial error, whether the lift is more than two errors, confidence and ranking score."""
     df = rates.withColumn("hit_rate", F.when(F.col("sample_size") >= 10, F.col("hit_rate")))
     lift = F.col("hit_rate") - F.col("base_rate")
-    se = F.sqrt(F.greatest(F.col("hit_rate") * (1 - F.col("hit_rate")), F.lit(0.0)) / F.when(F.col("sample_size") > 0, F.col("sample_size")))
+    se = F.when(F.col("hit_rate").isNotNull(), F.sqrt(F.greatest(F.col("hit_rate") * (1 - F.col("hit_rate")), F.lit(0.0)) / F.when(F.col("sample_size") > 0, F.col("sample_size"))))
     return df.select(
         "*", lift.alias("lift"), se.alias("standard_error"),
         F.coalesce((se > 0) & (F.abs(lift) > 2 * se), F.lit(False)).alias("beats_base_rate"),

@@ -45,7 +45,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    # Wide feature plans make the optimizer's inferred constraints explode; the job gains nothing from them.
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
