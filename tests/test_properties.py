@@ -186,7 +186,7 @@ def test_every_banned_phrase_is_located(spark):
 def test_stream_bars_equal_batch(spark, tmp_path):
     from tidewright.streaming.bars import hourly_bars
 
-    rows = [(i, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=7 * i), "view", float(i % 13)) for i in range(300)]
+    rows = [(i, (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=7 * i)).to_pydatetime(), "view", float(i % 13)) for i in range(300)]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double")
     df.write.parquet(str(tmp_path / "in"))
     stream = hourly_bars(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
