@@ -12,6 +12,14 @@ from tidewright.tables import Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+# Queries that read the session bars several times.
+REUSE = {
+    "flagship_factor_attribution", "agg07_quintile_hit_rates", "agg08_factor_scores", "top01_ranked_factors", "sca19_counter_evidence", "q2_attribution",
+    "q4_scenario_outlook", "q5_quant_diagnostics", "q5_native_diagnostics", "q1_divergence_table", "agg17_coverage_report", "agg32_volatility_summary",
+    "agg35_regime_classes", "bt04_backtest_equity", "bt04_run_summaries", "bt05_walk_forward", "bt05_stitched_curve", "agg25_walk_forward_summary",
+    "agg24_surface_ruggedness", "bt09_option_overlays", "bt12_plans", "est14_implied_views", "est09_smile_fits",
+}
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``, with its oracle SQL if there is one."""
@@ -22,7 +30,7 @@ def query(name: str, sql: str | None = None):
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(Tables(spark, sf_dir))
+            return fn(Tables(spark, sf_dir, reuse=name in REUSE))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

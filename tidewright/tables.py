@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.session import checkpointed
+
 ORDERS_PER_BLOCK = 1 << 18
 STEP = 0.0025
 TIE_BREAK = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount"]
@@ -116,9 +118,20 @@ FUND_SQL = """fundamentals AS (SELECT s_suppkey AS symbol, s_nationkey AS sector
 class Tables:
     """Logical tables over one folder of parquet files."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, reuse: bool = False):
+        """With ``reuse`` the session bars are written once to the checkpoint folder and read from there:
+        for queries that need them several times, a small table instead of repeated raw scans."""
         self.spark = spark
         self.path = path
+        self.reuse = reuse
+        self._kept: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, symbol: Column) -> DataFrame:
+        if not self.reuse:
+            return tick_bars(self._ticks(symbol))
+        if name not in self._kept:
+            self._kept[name] = checkpointed(tick_bars(self._ticks(symbol)))
+        return self._kept[name]
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -135,11 +148,11 @@ class Tables:
 
     def bars(self) -> DataFrame:
         """Index-like daily bars: a few symbols with long histories."""
-        return tick_bars(self._ticks(F.concat("l_returnflag", "l_linestatus")))
+        return self._once("bars", F.concat("l_returnflag", "l_linestatus"))
 
     def stocks(self) -> DataFrame:
         """Stock-like daily bars: one symbol per supplier, so symbols grow with the table."""
-        return tick_bars(self._ticks(F.concat(F.lit("S"), F.col("l_suppkey"))))
+        return self._once("stocks", F.concat(F.lit("S"), F.col("l_suppkey")))
 
     def hourly(self) -> DataFrame:
         """Hourly candles from raw events: open and close by ingest order, partial aggregates only."""
