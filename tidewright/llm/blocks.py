@@ -2,6 +2,9 @@
 
 A task sends each key of a chunk once, for the chunk's smallest document that has it, so a key that a third of all documents
 share travels once per chunk. Documents that share a key inside the chunk are answered there.
+
+Only 32 bits of a key travel; with its block's number they stand for it. Blocks hold about as many keys at every input size, so
+that one key in some thousands is taken for another's: what ``shared`` finds are candidates, unless second hashes go with them.
 """
 
 from __future__ import annotations
@@ -25,13 +28,22 @@ def block_count(df: DataFrame, bytes_per_key: float = 6.0) -> int:
     return max(8, int(size / bytes_per_key / BLOCK_KEYS) + 1)
 
 
+def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+
+
+def short(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """What ``shared`` returns for these keys."""
+    return (_block(keys, blocks) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+
+
 def _rows(kind: int, docs: np.ndarray, keys: np.ndarray, checks: np.ndarray | None, blocks: int, out: list) -> None:
     """Pack (document, key) pairs into one row a block; inside it keys stand by document."""
     if not len(keys):
         return
-    block = ((keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+    block = _block(keys, blocks)
     order = np.lexsort((docs, block))
-    docs, keys, block = docs[order], keys[order], block[order]
+    docs, keys, block = docs[order], keys[order].astype(np.uint32), block[order]
     checks = checks[order] if checks is not None else None
     cut = np.flatnonzero(np.diff(block)) + 1
     for lo, hi in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(block)]])):
@@ -91,11 +103,11 @@ def shared(asked: DataFrame, smaller: bool = False) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())])
 
     def answer(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_numpy()
+        kinds, high = table.column("kind").to_numpy(), np.uint64(table.column("block")[0].as_py() << 32)
         docs, keys, checks, multi, direct = [], [], [], [], []
         for kind, d, s, k, c in zip(kinds, *(table.column(x).to_pylist() for x in ("docs", "sizes", "keys", "checks"))):
             d = np.repeat(np.frombuffer(d, np.int64), np.frombuffer(s, np.uint32))
-            k = np.frombuffer(k, np.uint64)
+            k = np.frombuffer(k, np.uint32)
             if kind == DIRECT:
                 direct.append((d, k))
                 continue
@@ -122,7 +134,7 @@ def shared(asked: DataFrame, smaller: bool = False) -> DataFrame:
             hit_keys.append(k[hit])
         if not hit_docs or not sum(map(len, hit_docs)):
             return schema.empty_table()
-        d, k = np.concatenate(hit_docs), np.concatenate(hit_keys)
+        d, k = np.concatenate(hit_docs), np.concatenate(hit_keys).astype(np.uint64) | high
         order = np.argsort(d, kind="stable")
         d, k = d[order], k[order]
         new = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
