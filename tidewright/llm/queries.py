@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.llm.containment import contained_items
+from tidewright.llm.curriculum import curriculum_mix
+from tidewright.llm.language_bitmask import languages, learn
+from tidewright.llm.level_doubling import remove_repeats
+from tidewright.llm.line_chunks import dedup_lines
 from tidewright.llm.ngram_jaccard import ngram_jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +57,82 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS m FRO
 def op5(read):
     """Shingle count and component of near copies of every document."""
     return ngram_jaccard_join(read("documents"))
+
+
+@query("op4_substring_dedup", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+m AS (SELECT g, min(doc_id) AS first_id FROM g GROUP BY g),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM g JOIN m USING (g), (SELECT unnest(range(0, 13)) AS k) WHERE doc_id > first_id),
+k AS (
+  SELECT w.doc_id, count(*) AS n, sum(CAST(c.i IS NOT NULL AS INT)) AS r, coalesce(string_agg(CASE WHEN c.i IS NULL THEN word END, ' ' ORDER BY p.i), '') AS kept
+  FROM (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w) p JOIN w USING (doc_id) LEFT JOIN c ON c.doc_id = p.doc_id AND c.i = p.i GROUP BY 1
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id""")
+def op4(read):
+    """Words left in every document once windows of 13 words seen in smaller documents are removed."""
+    return remove_repeats(read("documents"), window=13, texts=False)
+
+
+SHINGLES = r"""
+  SELECT DISTINCT id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i+4], ' ') END AS g
+  FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM (
+    SELECT id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM {}
+  ) WHERE len(ws) > 0)"""
+
+
+@query("op9_benchmark_decontamination", f"""
+WITH d AS ({SHINGLES.format("(SELECT doc_id AS id, text FROM documents)")}), q AS ({SHINGLES.format("(SELECT item_id AS id, text FROM benchmark)")}),
+n AS (SELECT id, count(*) AS n FROM q GROUP BY id)
+SELECT d.id AS doc_id, q.id AS item_id, count(*) AS n_shared, n.n AS n_item, count(*) / n.n AS containment
+FROM q JOIN d ON d.g = q.g JOIN n ON n.id = q.id GROUP BY d.id, q.id, n.n HAVING count(*) * 100 >= n.n * 80""")
+def op9(read):
+    """Benchmark items that documents contain, with the share of their shingles."""
+    return contained_items(read("documents"), read("benchmark"))
+
+
+@query("op2_language_bitmask")
+def op2(read):
+    """Language of every document."""
+    docs = read("documents")
+    return languages(docs, learn(docs))
+
+
+@query("op10_line_chunks", r"""
+WITH l AS (SELECT doc_id, i, s[i] AS line, CAST('0x' || left(md5(s[i]), 8) AS BIGINT) AS h
+  FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))),
+b AS (SELECT *, CAST((h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4 = 0 AS INT) AS ends FROM l),
+p AS (SELECT *, sum(ends) OVER (PARTITION BY doc_id ORDER BY i) - ends AS part FROM b),
+c AS (SELECT doc_id, part, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM p GROUP BY doc_id, part
+  HAVING count(*) >= 2 AND bool_or(regexp_matches(line, '[^ \t\r]'))),
+r AS (SELECT doc_id, part FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS k FROM c) WHERE k > 1)
+SELECT d.doc_id, coalesce(count(p.i), 0) AS n_lines, coalesce(sum(CAST(r.part IS NOT NULL AS BIGINT)), 0)::BIGINT AS n_removed,
+  CASE WHEN any_value(d.text) IS NULL THEN NULL ELSE sha256(coalesce(string_agg(CASE WHEN r.part IS NULL THEN line END, chr(10) ORDER BY p.i), '')) END AS kept_sha256
+FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = p.doc_id AND r.part = p.part GROUP BY d.doc_id""")
+def op10(read):
+    """Lines of every document, and its text's digest once chunks of lines seen earlier are removed."""
+    found = dedup_lines(read("documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+MIX_SQL = r"""
+WITH z AS (SELECT *, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM {docs}),
+t AS (SELECT source, sum(size) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM z GROUP BY source),
+w AS (SELECT *, [5, 2, 1][k % 3 + 1] AS w, [1.5, 1.0, 0.5][k % 3 + 1]::DOUBLE AS r0, [0.5, 1.0, 1.5][k % 3 + 1]::DOUBLE AS r1, sum(s) OVER () AS total FROM t),
+o AS (SELECT *, total - coalesce(sum(3 * s) OVER (ORDER BY 3 * s / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(w) OVER (ORDER BY 3 * s / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share, row_number() OVER (ORDER BY 3 * s / w, k) AS n FROM w),
+v AS (SELECT *, min(n) FILTER (3 * s * share >= rest * w) OVER () AS m FROM o),
+g AS (SELECT *, CASE WHEN n < m THEN (3 * s)::DOUBLE ELSE (w * first(rest) FILTER (n = m) OVER ())::DOUBLE / (first(share) FILTER (n = m) OVER ())::DOUBLE END AS target FROM v),
+q AS (SELECT z.*, g.s::BIGINT AS source_size, target, r0, r1, round(target)::BIGINT AS need, coalesce(sum(size) OVER (PARTITION BY z.source ORDER BY md5(z.doc_id::VARCHAR)
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead FROM z JOIN g ON z.source IS NOT DISTINCT FROM g.source),
+y AS (SELECT *, CASE WHEN source_size > 0 THEN (need // source_size) * size + greatest(0, least(size, need - (need // source_size) * source_size - ahead)) ELSE 0 END::BIGINT AS taken FROM q)
+SELECT {cols}, size, source_size, target, taken, round(CASE WHEN taken > 0 THEN CASE WHEN r1 = r0 THEN ahead / need
+  ELSE (sqrt(greatest(r0 * r0 + 2 * (r1 - r0) * (ahead / need), 0)) - r0) / (r1 - r0) END END, 9) AS position FROM y"""
+
+
+@query("op8_curriculum_mix", MIX_SQL.format(docs="documents", cols="doc_id"))
+def op8(read):
+    """Words that the mix takes of every document, and when."""
+    found = curriculum_mix(read("documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))

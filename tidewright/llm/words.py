@@ -97,8 +97,8 @@ def window_hashes(words: np.ndarray, counts: np.ndarray, width: int, seed: int =
     return mix(out), room >= width
 
 
-def shingle_sets(texts: list, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct lower-cased word shingles of each text: sorted hashes by text, the text's index of each, and set sizes.
+def shingles(texts: list, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased word shingles of the texts, repeats included, and the text's index of each.
 
     A text with fewer words than ``width`` is one shingle, its whole sequence; one without words has none.
     """
@@ -111,8 +111,12 @@ def shingle_sets(texts: list, width: int = 5) -> tuple[np.ndarray, np.ndarray, n
             at = int(starts[i])
             value = np.uint64(xxhash.xxh3_64_intdigest(words[at : at + int(counts[i])].tobytes(), seed=7))
             hashes[at], inside[at] = value, True
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64), counts)[inside]
-    hashes = hashes[inside]
+    return hashes[inside], np.repeat(np.arange(len(texts), dtype=np.int64), counts)[inside]
+
+
+def shingle_sets(texts: list, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text: hashes sorted by text, the text's index of each, and set sizes."""
+    hashes, owner = shingles(texts, width)
     order = np.argsort(hashes, kind="stable")
     order = order[np.argsort(owner[order], kind="stable")]
     hashes, owner = hashes[order], owner[order]
@@ -120,3 +124,33 @@ def shingle_sets(texts: list, width: int = 5) -> tuple[np.ndarray, np.ndarray, n
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
     hashes, owner = hashes[fresh], owner[fresh]
     return hashes, owner, np.bincount(owner, minlength=len(texts)).astype(np.int64)
+
+
+def spoken(texts: list, width: int = 5) -> list[set[bytes]]:
+    """The same shingles as bytes, where hashes will not do."""
+    out = []
+    for t in texts:
+        words = (t or b"").lower().split()
+        out.append({b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    return out
+
+
+def keep_rows(df, decide):
+    """The rows of ``df`` for whose texts ``decide(list of bytes) -> list of bool`` says true; no shuffle, all columns."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            keep: list = []
+            part: list = []
+            size = 0
+            for t in texts:
+                part.append(t)
+                size += len(t or b"")
+                if size >= CHUNK_BYTES:
+                    keep += decide(part)
+                    part, size = [], 0
+            keep += decide(part) if part else []
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
