@@ -32,7 +32,8 @@ def _chunks(docs: DataFrame, min_lines: int) -> DataFrame:
     cuts = ends.withColumn("cuts", F.expr("transform(ends, (e, k) -> named_struct('start', if(k = 0, 0, ends[k - 1]), 'n', e - if(k = 0, 0, ends[k - 1])))"))
     long = cuts.withColumn("cuts", F.expr(f"filter(cuts, c -> c.n >= {min_lines})"))
     told = long.select(ID, KEY, F.expr("transform(cuts, c -> named_struct('start', c.start, 'n', c.n, 'digest', if(exists(slice(lines, c.start + 1, c.n), x -> x rlike '[^ \\\\t\\\\r]'), md5(array_join(slice(lines, c.start + 1, c.n), '\\n')), null)))").alias("c"))
-    return told.select(ID, KEY, F.inline("c")).filter("digest is not null")
+    # inline_outer: for inline the optimizer adds a filter that splits the text again for each element.
+    return told.select(ID, KEY, F.inline_outer("c")).filter("digest is not null")
 
 
 def _spans(rows: DataFrame, *fields: str) -> DataFrame:
@@ -51,7 +52,7 @@ def repeated_chunks(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     candidates = _spans(chunk.join(twice, "digest"), "start", "n", "digest")
     held = _with_spans(docs.select("doc_id", "text"), candidates, "inner").select(ID, KEY, _lines("text").alias("lines"), SPANS)
     bytes_ = held.select(ID, KEY, F.expr(f"transform({SPANS}, c -> named_struct('start', c.start, 'n', c.n, 'digest', c.digest, 'body', array_join(slice(lines, c.start + 1, c.n), '\\n')))").alias("c"), F.size("lines"))
-    bytes_ = checkpointed(bytes_.select(ID, KEY, F.inline("c")))
+    bytes_ = checkpointed(bytes_.select(ID, KEY, F.inline_outer("c")))
     first = bytes_.groupBy("digest", "body").agg(F.min(F.struct(F.col(ID), F.col("start"))).alias("first"))
     later = bytes_.join(first, ["digest", "body"]).filter((F.col(ID) != F.col(f"first.{ID}")) | (F.col("start") != F.col("first.start")))
     return later.select(ID, KEY, "start", "n").distinct()

@@ -123,7 +123,7 @@ w AS (SELECT *, [5, 2, 1][k % 3 + 1] AS w, [1.5, 1.0, 0.5][k % 3 + 1]::DOUBLE AS
 o AS (SELECT *, total - coalesce(sum(3 * s) OVER (ORDER BY 3 * s / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
   sum(w) OVER (ORDER BY 3 * s / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share, row_number() OVER (ORDER BY 3 * s / w, k) AS n FROM w),
 v AS (SELECT *, min(n) FILTER (3 * s * share >= rest * w) OVER () AS m FROM o),
-g AS (SELECT *, CASE WHEN n < m THEN (3 * s)::DOUBLE ELSE (w * first(rest) FILTER (n = m) OVER ())::DOUBLE / (first(share) FILTER (n = m) OVER ())::DOUBLE END AS target FROM v),
+g AS (SELECT v.*, CASE WHEN v.n < v.m THEN (3 * v.s)::DOUBLE ELSE (v.w * u.rest)::DOUBLE / u.share::DOUBLE END AS target FROM v, (SELECT rest, share FROM v WHERE n = m) u),
 q AS (SELECT z.*, g.s::BIGINT AS source_size, target, r0, r1, round(target)::BIGINT AS need, coalesce(sum(size) OVER (PARTITION BY z.source ORDER BY md5(z.doc_id::VARCHAR)
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead FROM z JOIN g ON z.source IS NOT DISTINCT FROM g.source),
 y AS (SELECT *, CASE WHEN source_size > 0 THEN (need // source_size) * size + greatest(0, least(size, need - (need // source_size) * source_size - ahead)) ELSE 0 END::BIGINT AS taken FROM q)
