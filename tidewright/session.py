@@ -29,22 +29,27 @@ def build_session(app: str = "tidewright", master: str | None = None, **conf: st
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for intermediate results, as ``spark.checkpoint.dir`` names it.
 
-    The folder is taken from ``spark.checkpoint.dir``. Only a local session that has none
-    gets a scratch folder of its own; on a cluster a missing setting is an error, because a
-    machine-local folder would lose the data together with the executor.
+    Only a local session that names none gets a scratch folder of its own; on a cluster a missing setting is an error, because
+    a machine-local folder would lose the data together with the executor.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(shared)
+    return shared
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the cluster's shared folder."""
+    spark = df.sparkSession
+    shared_folder(spark)
     # Wide feature plans make the optimizer's inferred constraints explode; the job gains nothing from them.
     key = "spark.sql.constraintPropagation.enabled"
     before = spark.conf.get(key)
