@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_KEYS = 1_500_000
+BLOCK_KEYS = 1_000_000
 ASK = "block long, kind int, docs binary, sizes binary, keys binary, checks binary"
 SINGLE, MULTI, DIRECT = 0, 1, 2
 Keyed = tuple[np.ndarray, np.ndarray, np.ndarray | None]

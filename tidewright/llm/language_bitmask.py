@@ -95,7 +95,7 @@ class LanguageFilters:
     @staticmethod
     def rows(codes: np.ndarray, rows: int):
         for j in range(PROBES):
-            yield mix(codes + np.uint64(j + 1) * STEP) >> np.uint64(65 - rows.bit_length())
+            yield mix(codes + np.uint64((j + 1) * int(STEP) % (1 << 64))) >> np.uint64(65 - rows.bit_length())
 
     def scores(self, texts: list) -> tuple[list[str], np.ndarray]:
         """Predicted language and its corrected share of the text's trigrams; ``und`` and 0 where there is no letter."""

@@ -82,18 +82,35 @@ def _next_level(length: int, before: int | None, base: int, blocks: int, last: b
     return run
 
 
+def _sha(text: bytes | None) -> tuple[int, str]:
+    words = (text or b"").split()
+    return len(words), hashlib.sha256(b" ".join(words)).hexdigest()
+
+
+def _profile(window: int):
+    """(doc_id, sha) of each text that has a window."""
+
+    def run(batches):
+        for ids, texts in chunks(batches):
+            rows = [(i, sha) for i, (n, sha) in zip(ids, map(_sha, texts)) if n >= window]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.string()])], ["doc_id", "sha"])
+
+    return run
+
+
 def _counted(texts_too: bool):
     """Word count and digest of each text; the text only where some of its windows may be repeated, or if all are asked for."""
 
     def run(batches):
-        for ids, texts, found in chunks(batches):
-            words = [(t or b"").split() for t in texts]
-            sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
-            kept = [t if texts_too or f else None for t, f in zip(texts, found)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(list(map(len, words)), pa.int64()), pa.array(sha), pa.array(kept, pa.binary()), pa.array(found, pa.list_(pa.binary()))],
-                ["doc_id", "n_words", "sha", "text", "found"],
-            )
+        for ids, texts, found, copies in chunks(batches):
+            told = [_sha(t) for t in texts]
+            copy = [s in (c or ()) for (_, s), c in zip(told, copies)]
+            live = [None if c else f for c, f in zip(copy, found)]
+            kept = [t if texts_too or f else None for t, f in zip(texts, live)]
+            cols = [pa.array(ids, pa.int64()), pa.array([n for n, _ in told], pa.int64()), pa.array([s for _, s in told])]
+            cols += [pa.array(kept, pa.binary()), pa.array(copy, pa.bool_()), pa.array(live, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "sha", "text", "copy", "found"])
 
     return run
 
@@ -130,7 +147,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True) -> Dat
     """Remove each word that lies in a window of ``window`` words which also starts in a document with a smaller doc_id.
 
     (doc_id, n_words, n_removed, kept_sha256, kept) for each row of ``docs`` (doc_id, text; other columns are ignored); kept
-    is the kept words joined by one space, or null without ``texts``. All windows are judged on the input. A null, empty or
+    is the kept words joined by one space, null for a null text, and left out without ``texts``. All windows are judged on the input. A null, empty or
     blank text has no words. A row with a null doc_id keeps its words and is not compared. Rows that repeat a doc_id are one
     document for the comparison: none is smaller than the other. An empty table gives an empty result.
     """
@@ -143,13 +160,15 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True) -> Dat
     blocks = block_count(known)
     blocks = max(8, blocks // 4)
     gathered = lambda hits: hits.groupBy("doc_id").agg(F.collect_list("keys").alias("found"))
-    found = gathered(shared(ask(known, _first_level(base), blocks))).hint("shuffle_hash")
-    work = docs.join(found, "doc_id", "left").mapInArrow(_counted(texts), "doc_id long, n_words long, sha string, text binary, found array<binary>")
+    found = gathered(shared(ask(known, _first_level(base), blocks)))
+    # Texts of the same words: every window of the later ones starts in the first, so that these need no lookup.
+    told = checkpointed(known.mapInArrow(_profile(window), "doc_id long, sha string"))
+    first = told.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")).filter("rows > 1")
+    copies = told.join(first, "sha").filter("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("sha").alias("copies"))
+    facts = found.join(copies, "doc_id", "full").hint("shuffle_hash")
+    work = docs.join(facts, "doc_id", "left").mapInArrow(_counted(texts), "doc_id long, n_words long, sha string, text binary, copy boolean, found array<binary>")
     work = checkpointed(work)
-    first = work.filter("found is not null and n_words >= " + str(window)).groupBy("sha").agg(F.min("doc_id").alias("first_id"))
-    work = work.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)) & F.col("found").isNotNull())
-    row = ["doc_id", "n_words", "sha", "text", "copy", "found"]
-    live = work.filter("found is not null and not copy").select("doc_id", "text", "found")
+    live = work.filter("found is not null").select("doc_id", "text", "found")
     before = None
     for length in lengths:
         last = length == window
@@ -157,8 +176,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True) -> Dat
         if not last:
             live = checkpointed(live.drop("found").join(gathered(hits), "doc_id"))
         before = length
-    cut = gathered(hits).withColumnRenamed("found", "hit")
-    plain = work.filter("found is null or copy").withColumn("found", F.lit(None).cast("array<binary>")).select(row)
-    rest = work.filter("found is not null and not copy").drop("found").join(cut, "doc_id", "left").withColumnRenamed("hit", "found").select(row)
+    row = ["doc_id", "n_words", "sha", "text", "copy", "found"]
+    cut = gathered(hits).withColumnRenamed("found", "hit").hint("shuffle_hash")
+    plain = work.filter("found is null").select(row)
+    rest = work.filter("found is not null").drop("found").join(cut, "doc_id", "left").withColumnRenamed("hit", "found").select(row)
     done = plain.union(rest).mapInArrow(_cut(window, blocks, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return done if texts else done.drop("kept")

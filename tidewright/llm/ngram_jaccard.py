@@ -7,9 +7,11 @@ Two sets of n and m shingles with a Jaccard similarity of t or more share at lea
    columns of the matrix propose pairs, and pairs whose sizes differ too much are discarded;
 3. the overlap of a proposed pair is the product of its two rows, summed by block of pairs and held against the exact bound.
 
-Equal sets are one node (their smallest document). A column that many nodes share proposes only pairs with its smallest set;
-where that leaves it in several components, the nodes outside its largest component are paired with the rest of the column
-as well. So a group of thousands of near copies costs a pair for each, and no link between components is lost.
+Equal sets are one node (their smallest document). A column that many nodes share proposes only pairs with its most central
+node, the one with the fewest shingles of its own. Where that leaves a column in several components, the centres of these are
+paired with that of the largest, until this links no more; then the nodes outside the largest component are paired with the
+rest of the column as well. So a group of thousands of near copies costs about a pair for each, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -117,8 +119,8 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     ranked = posting.join(often, "key").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "key")))
     ranked = ranked.withColumn("common", F.count("*").over(Window.partitionBy("node")))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("common"))
-    columns = ranked.filter(F.col("rank") <= prefix).select("key", "node", "n")
-    size = columns.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("n", "node")).alias("least")).filter("m > 1")
+    columns = ranked.filter(F.col("rank") <= prefix).select("key", "node", "n", (F.col("n") - F.col("common")).alias("rare"))
+    size = columns.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("rare", "node", "n")).alias("least")).filter("m > 1")
     columns = checkpointed(columns.join(size, "key"))
     few, many = columns.filter(F.col("m") <= PAIRED), columns.filter(F.col("m") > PAIRED)
     lead = many.select("key", F.col("least.node").alias("node"), F.col("least.n").alias("n")).distinct()
@@ -126,9 +128,20 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     links = checkpointed(_links(pairs, sets, percent))
     found = components(links)
 
-    label = many.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
-    most = label.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"))
-    label = checkpointed(label.join(most.filter("labels > 1"), "key"))
+    nodes = columns.select("node", "rare").distinct()
+    while True:
+        own = nodes.join(found, "node", "left").select("node", "rare", F.coalesce("component", "node").alias("label"))
+        label = many.select("key", "node", "n").join(own, "node")
+        most = label.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"))
+        label = checkpointed(label.join(most.filter("labels > 1"), "key"))
+        apart = label.filter("label <> top.label").select("label", F.col("top.label").alias("other")).distinct()
+        centre = own.groupBy("label").agg(F.min(F.struct("rare", "node")).alias("x")).select("label", F.col("x.node").alias("a"))
+        tried = apart.join(centre, "label").join(centre.select(F.col("label").alias("other"), F.col("a").alias("b")), "other").select("a", "b")
+        linked = checkpointed(_links(tried, sets, percent))
+        if linked.isEmpty():
+            break
+        links = links.union(linked)
+        found = components(links)
     rest = _paired(label.filter("label <> top.label"), label, percent, F.col("x.label") != F.col("y.label"))
     more = checkpointed(_links(rest, sets, percent))
     if not more.isEmpty():

@@ -11,8 +11,12 @@ from tidewright.llm.containment import contained_items
 from tidewright.llm.curriculum import curriculum_mix
 from tidewright.llm.language_bitmask import languages, learn
 from tidewright.llm.level_doubling import remove_repeats
+from tidewright.llm.licence_digests import COPYRIGHT, LICENCES, NO_WORD, SPELLINGS, licence_scan, register
 from tidewright.llm.line_chunks import dedup_lines
+from tidewright.llm.multi_index import nearest
 from tidewright.llm.ngram_jaccard import ngram_jaccard_join
+from tidewright.llm.path_templates import judge_urls
+from tidewright.llm.weak_pii import personal_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +140,42 @@ def op8(read):
     """Words that the mix takes of every document, and when."""
     found = curriculum_mix(read("documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+
+
+@query("op6_multi_index")
+def op6(read):
+    """Twenty nearest vectors found for each query vector."""
+    return nearest(read("embeddings"))
+
+
+@query("op7_path_templates")
+def op7(read):
+    """Verdict on every page's url, by rule or by path template."""
+    return judge_urls(read("pages"))
+
+
+def _canonical_sql(text: str) -> str:
+    """Canonical form in SQL, of the same constants."""
+    out = f"regexp_replace(lower(replace({text}, chr(13), '')), '{COPYRIGHT}', '', 'g')"
+    for before, after in SPELLINGS:
+        out = f"replace({out}, '{before}', '{after}')"
+    return f"regexp_replace({out}, '{NO_WORD}', ' ', 'g')"
+
+
+@query("op3_licence_digests", f"""
+WITH k AS (SELECT md5(trim(regexp_replace({_canonical_sql("text")}, '[ \\n]+', ' ', 'g'))) AS digest, min(id) AS license_id
+  FROM (VALUES {", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in LICENCES)}) v(id, text) GROUP BY 1),
+c AS (SELECT doc_id, {_canonical_sql("text")} AS canon FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, 0::BIGINT AS line, trim(regexp_replace(canon, '[ \\n]+', ' ', 'g')) AS body FROM c
+  UNION ALL SELECT doc_id, i, trim(s[i]) FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(canon, chr(10)) AS s FROM c)))
+SELECT doc_id, line, license_id, digest FROM (SELECT doc_id, line, md5(body) AS digest FROM u WHERE body <> '') JOIN k USING (digest)""")
+def op3(read):
+    """Texts and lines that are a known licence."""
+    docs = read("documents")
+    return licence_scan(docs, register(docs.sparkSession))
+
+
+@query("op1_weak_pii")
+def op1(read):
+    """Personal data in every document."""
+    return personal_spans(read("documents"))

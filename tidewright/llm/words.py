@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-CHUNK_BYTES = 2 << 20  # of text that a task works on at once
+CHUNK_BYTES = 1 << 20  # of text that a task works on at once
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
