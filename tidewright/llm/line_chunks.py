@@ -48,12 +48,13 @@ def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
 def repeated_chunks(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     """(ID, KEY, start, n) of every chunk, equal byte for byte, whose first occurrence is elsewhere; start counts from 0."""
     chunk = checkpointed(_chunks(docs, min_lines))
-    twice = chunk.groupBy("digest").agg(F.count("*").alias("c")).filter("c > 1").select("digest")
+    # Checkpointed sums are dealt out anew for the joins, which can then split a digest that a third of all rows have.
+    twice = checkpointed(chunk.groupBy("digest").agg(F.count("*").alias("c")).filter("c > 1").select("digest"))
     candidates = _spans(chunk.join(twice, "digest"), "start", "n", "digest")
     held = _with_spans(docs.select("doc_id", "text"), candidates, "inner").select(ID, KEY, _lines("text").alias("lines"), SPANS)
     bytes_ = held.select(ID, KEY, F.expr(f"transform({SPANS}, c -> named_struct('start', c.start, 'n', c.n, 'digest', c.digest, 'body', array_join(slice(lines, c.start + 1, c.n), '\\n')))").alias("c"), F.size("lines"))
     bytes_ = checkpointed(bytes_.select(ID, KEY, F.inline_outer("c")))
-    first = bytes_.groupBy("digest", "body").agg(F.min(F.struct(F.col(ID), F.col("start"))).alias("first"))
+    first = checkpointed(bytes_.groupBy("digest", "body").agg(F.min(F.struct(F.col(ID), F.col("start"))).alias("first")))
     later = bytes_.join(first, ["digest", "body"]).filter((F.col(ID) != F.col(f"first.{ID}")) | (F.col("start") != F.col("first.start")))
     return later.select(ID, KEY, "start", "n").distinct()
 
