@@ -3,7 +3,7 @@
 Each host's paths form a tree of segments. Level by level a segment that is a number, or too rare among its siblings, becomes a
 wildcard, so that paths fall under a few templates. Templates under one parent whose labelled shares do not differ
 significantly from their parent's are merged. A template is rejected where its labelled purity, smoothed towards that of all
-labelled pages, is high. Explicit rules label the pages that they fit; the other pages get their template's verdict.
+labelled pages (at most one half), is high. Explicit rules label the pages that they fit; the other pages get their template's verdict.
 Counts are pre-aggregated by host and path, so a host with a third of all pages is no single group.
 """
 
@@ -59,7 +59,8 @@ def templates(paths: DataFrame) -> DataFrame:
 
 def purities(leaves: DataFrame) -> DataFrame:
     """(host, template, purity) from labelled counts (host, template, parent, bad, labelled) by template."""
-    total = leaves.agg(F.coalesce(F.sum("bad") / F.sum("labelled"), F.lit(0.0)).alias("prior"))  # one row
+    # One row. At most even, so that a template is not rejected without labelled pages of its own.
+    total = leaves.agg(F.least(F.coalesce(F.sum("bad") / F.sum("labelled"), F.lit(0.0)), F.lit(0.5)).alias("prior"))
     above = Window.partitionBy("host", "parent")
     both = leaves.withColumns({"up_bad": F.sum("bad").over(above), "up_all": F.sum("labelled").over(above)})
     share = F.col("up_bad") / F.col("up_all")
