@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.words import mix
+
 BLOCK_KEYS = 1_000_000
 ASK = "block long, kind int, docs binary, sizes binary, keys binary, checks binary"
 SINGLE, MULTI, DIRECT = 0, 1, 2
@@ -95,50 +97,62 @@ def ask(df: DataFrame, keyed: Callable[[Iterable[pa.RecordBatch]], Iterator[Keye
     return df.mapInArrow(run, ASK)
 
 
-def shared(asked: DataFrame, smaller: bool = False) -> DataFrame:
-    """(doc_id, n, keys): the document's keys that also occur elsewhere, packed; one row for each block that has any.
+def _by_doc(docs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents once each in order, their numbers of keys, and the keys by document."""
+    order = np.argsort(docs, kind="stable")
+    docs, keys = docs[order], keys[order]
+    new = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+    return docs[new], np.diff(np.append(new, len(docs))).astype(np.uint32), keys
+
+
+def _pairs(table: pa.Table, kind: type) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(document, key) arrays of each packed row."""
+    rows = zip(*(table.column(c).to_pylist() for c in ("docs", "sizes", "keys")))
+    return [(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.uint32)), np.frombuffer(k, kind)) for d, n, k in rows]
 
-    With ``smaller``, only those that occur in a document with a smaller id. Keys are equal when both hashes are.
+
+def shared(asked: DataFrame, blocks: int, smaller: bool = False) -> DataFrame:
+    """(doc_id, n, keys): the document's keys that also occur elsewhere, packed; one row for each document that has any.
+
+    With ``smaller``, only those that occur in a document with a smaller id. Keys are equal when both hashes are. Answers
+    travel packed as well, by bucket of documents, of which there are as many as blocks.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())])
+    reply = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary())])
+    told = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())])
 
     def answer(table: pa.Table) -> pa.Table:
         kinds, high = table.column("kind").to_numpy(), np.uint64(table.column("block")[0].as_py() << 32)
-        docs, keys, checks, multi, direct = [], [], [], [], []
-        for kind, d, s, k, c in zip(kinds, *(table.column(x).to_pylist() for x in ("docs", "sizes", "keys", "checks"))):
-            d = np.repeat(np.frombuffer(d, np.int64), np.frombuffer(s, np.uint32))
-            k = np.frombuffer(k, np.uint32)
-            if kind == DIRECT:
-                direct.append((d, k))
-                continue
-            docs.append(d)
-            keys.append(k)
-            multi.append(np.full(len(k), kind == MULTI))
-            if c:
-                checks.append(np.frombuffer(c, np.uint64))
-        hit_docs, hit_keys = [x[0] for x in direct], [x[1] for x in direct]
-        if keys:
-            d, k, m = np.concatenate(docs), np.concatenate(keys), np.concatenate(multi)
-            c = np.concatenate(checks) if checks else None
-            order = np.lexsort((c, k)) if c is not None else np.argsort(k)
+        pairs = _pairs(table, np.uint32)
+        hits = [pair for pair, kind in zip(pairs, kinds) if kind == DIRECT]
+        open_ = [i for i, kind in enumerate(kinds) if kind != DIRECT]
+        if open_:
+            d, k = (np.concatenate([pairs[i][j] for i in open_]) for j in (0, 1))
+            m = np.concatenate([np.full(len(pairs[i][1]), kinds[i] == MULTI) for i in open_])
+            raw = table.column("checks").to_pylist()
+            c = np.concatenate([np.frombuffer(raw[i], np.uint64) for i in open_])
+            order = np.lexsort((c, k)) if len(c) else np.argsort(k)
             d, k, m = d[order], k[order], m[order]
             first = np.ones(len(k), bool)
             first[1:] = k[1:] != k[:-1]
-            if c is not None:
+            if len(c):
                 c = c[order]
                 first[1:] |= c[1:] != c[:-1]
-            starts = np.flatnonzero(first)
             group = np.cumsum(first) - 1
-            hit = d > np.minimum.reduceat(d, starts)[group] if smaller else m | (np.bincount(group)[group] > 1)
-            hit_docs.append(d[hit])
-            hit_keys.append(k[hit])
-        if not hit_docs or not sum(map(len, hit_docs)):
-            return schema.empty_table()
-        d, k = np.concatenate(hit_docs), np.concatenate(hit_keys).astype(np.uint64) | high
-        order = np.argsort(d, kind="stable")
-        d, k = d[order], k[order]
-        new = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
-        ends = np.append(new[1:], len(d))
-        return pa.table([pa.array(d[new]), pa.array(ends - new), pa.array([k[a:b].tobytes() for a, b in zip(new, ends)], pa.binary())], schema=schema)
-
-    return asked.groupBy("block").applyInArrow(answer, "doc_id long, n long, keys binary")
+            hit = d > np.minimum.reduceat(d, np.flatnonzero(first))[group] if smaller else m | (np.bincount(group)[group] > 1)
+            hits.append((d[hit], k[hit]))
+        d, k = (np.concatenate([h[j] for h in hits]) for j in (0, 1))
+        bucket = mix(d.astype(np.uint64)) % np.uint64(blocks)
+        rows = []
+        for b in np.unique(bucket):
+            docs, sizes, keys = _by_doc(d[bucket == b], k[bucket == b].astype(np.uint64) | high)
+            rows.append((int(b), docs.tobytes(), sizes.tobytes(), keys.tobytes()))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), reply.types)], schema=reply) if rows else reply.empty_table()
+
+    def merge(table: pa.Table) -> pa.Table:
+        pairs = _pairs(table, np.uint64)
+        docs, sizes, keys = _by_doc(*(np.concatenate([p[j] for p in pairs]) for j in (0, 1)))
+        ends = np.cumsum(sizes)
+        return pa.table([pa.array(docs), pa.array(sizes.astype(np.int64)), pa.array([keys[e - n : e].tobytes() for e, n in zip(ends, sizes)], pa.binary())], schema=told)
+
+    replies = asked.groupBy("block").applyInArrow(answer, "bucket long, docs binary, sizes binary, keys binary")
+    return replies.groupBy("bucket").applyInArrow(merge, "doc_id long, n long, keys binary")

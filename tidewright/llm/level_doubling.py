@@ -159,8 +159,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True) -> Dat
     known = docs.filter("doc_id is not null")
     blocks = block_count(known)
     blocks = max(8, blocks // 4)
-    gathered = lambda hits: hits.groupBy("doc_id").agg(F.collect_list("keys").alias("found"))
-    found = gathered(shared(ask(known, _first_level(base), blocks)))
+    gathered = lambda hits: hits.select("doc_id", F.array("keys").alias("found"))
+    found = gathered(shared(ask(known, _first_level(base), blocks), blocks))
     # Texts of the same words: every window of the later ones starts in the first, so that these need no lookup.
     told = checkpointed(known.mapInArrow(_profile(window), "doc_id long, sha string"))
     first = told.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")).filter("rows > 1")
@@ -172,7 +172,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True) -> Dat
     before = None
     for length in lengths:
         last = length == window
-        hits = shared(ask(live, _next_level(length, before, base, blocks, last), blocks), smaller=last)
+        hits = shared(ask(live, _next_level(length, before, base, blocks, last), blocks), blocks, smaller=last)
         if not last:
             live = checkpointed(live.drop("found").join(gathered(hits), "doc_id"))
         before = length

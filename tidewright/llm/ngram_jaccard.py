@@ -106,13 +106,13 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     classes = profile.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"))
     known = docs.filter("doc_id is not null")
     blocks = block_count(known)
-    reach = lambda asked, key: shared(asked).groupBy(F.col("doc_id").alias(key)).agg(F.sum("n").alias("hits"))
+    reach = lambda df, keyed, n: shared(ask(df, keyed, n), n).select(F.col("doc_id").alias("node"), F.col("n").alias("hits"))
     enough = F.col("hits") * 100 >= F.col("n") * percent
-    left = classes.join(reach(ask(known, _keyed_texts(width), blocks), "node"), "node").filter(enough).select("node", "digest")
+    left = classes.join(reach(known, _keyed_texts(width), blocks), "node").filter(enough).select("node", "digest")
     own = known.join(left.withColumnRenamed("digest", "want").hint("shuffle_hash"), known.doc_id == F.col("node"))
     sets = own.select("doc_id", "text", "want").mapInArrow(_wanted(width), "node long, n long, digest binary, keys binary")
     sets = checkpointed(sets.dropDuplicates(["digest"]))
-    sets = checkpointed(sets.join(reach(ask(sets.select("node", "keys"), _keyed_sets, max(8, blocks // 4)), "node"), "node").filter(enough).drop("hits"))
+    sets = checkpointed(sets.join(reach(sets.select("node", "keys"), _keyed_sets, max(8, blocks // 4)), "node").filter(enough).drop("hits"))
 
     posting = sets.select("node", "n", "keys").mapInArrow(_postings, "key long, node long, n long")
     often = posting.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
