@@ -3,10 +3,9 @@
 from pyspark.sql import functions as F
 
 from tidewright.catalog.aggregates import STAT_OUT, stats_sql
-from tidewright.catalog.registry import longs, query, rounded
+from tidewright.catalog.registry import query, rounded
 from tidewright.catalog.windows import INDEX, STOCK, W, rows
 from tidewright.operators import backtest as bt
-from tidewright.operators import windows as win
 from tidewright.tables import Tables
 
 
@@ -120,7 +119,7 @@ _PT = "pt(run_id, fast, slow) AS (VALUES " + ", ".join(f"({i}, {f}::DOUBLE, {s}:
 SWEEP_SQL = f"{_SSIG}, {_PT}, {scan_sql('sig', 'symbol, run_id')}, {stats_sql('result', 'symbol, run_id')}, surface AS (SELECT symbol, run_id, fast, slow, sharpe, total_return_pct FROM stats JOIN pt USING (run_id))"
 
 
-@query("bt06_parameter_sweep", f"{INDEX}, {SWEEP_SQL} SELECT symbol, fast, slow, round(sharpe, 6) AS sharpe, round(total_return_pct, 6) AS total_return_pct FROM surface")
+@query("bt06_parameter_sweep", f"{INDEX}, {SWEEP_SQL} SELECT s.symbol, x.fast, y.slow, round(sharpe, 6) AS sharpe, round(total_return_pct, 6) AS total_return_pct FROM (SELECT DISTINCT symbol FROM bars) s, (SELECT unnest({_SW[0][1]})::DOUBLE AS fast) x, (SELECT unnest({_SW[1][1]})::DOUBLE AS slow) y LEFT JOIN surface z ON z.symbol = s.symbol AND z.fast = x.fast AND z.slow = y.slow")
 def _(t: Tables):
     return rounded(bt.sweep(t.bars(), "ma-crossover").drop("run_id"))
 
@@ -161,6 +160,3 @@ k AS (SELECT symbol, coalesce(f, false) AS f, lag(coalesce(f, false)) OVER {W} A
 SELECT symbol, n AS bars_tested, tr AS times_true, fl AS flips, round(tr / n, 6) AS fraction_true, concat_ws(';', CASE WHEN tr / n >= 0.99 THEN 'always_true' WHEN tr / n <= 0.01 THEN 'never_true' END, CASE WHEN fl > n * 0.4 THEN 'flips_often' END) AS warnings, tr / n > 0.01 AND tr / n < 0.99 AS ok FROM g""")
 def _(t: Tables):
     return rounded(bt.diagnose_rule(rule_flags(t), 22, 2))
-
-
-_ = (longs, win)

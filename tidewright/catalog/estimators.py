@@ -35,7 +35,7 @@ def _(t: Tables):
     """One penalised quantile regression per refit date and level."""
     m = es.fit_quantiles(es.training_rows(checkpointed(design(t)), 21, 750, 126), FEATURES, "y")
     used = F.size(F.filter("coefficients", lambda c: F.abs(c) > 1e-6)).cast("bigint")
-    return rounded(m.select("symbol", "refit", "level", "intercept", used.alias("nonzero"), "n_train"))
+    return rounded(m.select("symbol", "refit", "level", "intercept", used.alias("nonzero"), F.array_join("kept", " ").alias("kept"), "n_train", "error"))
 
 
 @query("est13_walk_forward_forecasts")
@@ -131,9 +131,9 @@ def _(t: Tables):
     c = usable_quotes(day_chains(t))
     forward = F.col("spot") * F.exp(F.col("rate") * F.col("years"))
     q = c.select("symbol", F.ln(F.col("strike") / forward).alias("k"), (F.col("iv") * F.col("iv") * F.col("years")).alias("w"))
-    return rounded(es.fit_smiles(q, "symbol").select("symbol", "rmse", "n_quotes", "k_min", "k_max"), 5)
+    return rounded(es.fit_smiles(q, "symbol").select("symbol", "rmse", "a", "b", "rho", "m", "sigma", "n_quotes", "k_min", "k_max", "error"), 5)
 
 
 @query("est14_implied_views")
 def _(t: Tables):
-    return rounded(es.implied_view(usable_quotes(day_chains(t)), "symbol").select("symbol", "mean_return", "variance_return", "skew_return", "atm_vol", "forward_error", "n_quotes"), 4)
+    return rounded(es.implied_view(usable_quotes(day_chains(t)), "symbol").select("symbol", "mean_return", "variance_return", "skew_return", "atm_vol", "forward_error", "n_quotes", "error"), 4)

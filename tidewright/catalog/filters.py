@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewright.catalog.registry import longs, query, rounded
 from tidewright.catalog.windows import _FEATURE_SQL, FEATURES, STOCK, W, candle_features
-from tidewright.functions.nulls import clean_double, drop_unknown
+from tidewright.functions.nulls import drop_unknown
 from tidewright.operators import filters as fil
 from tidewright.operators import windows as win
 from tidewright.tables import BOOK_SQL, HOURLY_SQL, Tables
@@ -93,12 +93,12 @@ def _(t: Tables):
     return rounded(quote_columns(q).drop("bid", "ask", "vendor_iv"))
 
 
-@query("fil10_expired_positions", f"""{STOCK}, p AS (SELECT o_orderkey AS position_id, 'S' || (o_custkey % 10) AS symbol, CAST(o_orderdate AS DATE) AS expiry FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1999-01-01')
+@query("fil10_expired_positions", f"""{STOCK}, p AS (SELECT o_orderkey AS position_id, 'S' || (o_custkey % (SELECT count(*) FROM supplier)) AS symbol, CAST(o_orderdate AS DATE) AS expiry FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1999-01-01')
 SELECT p.position_id, p.symbol, p.expiry, s.close AS settle FROM p ASOF JOIN stocks s ON p.symbol = s.symbol AND p.expiry >= s.ts""")
 def _(t: Tables):
     from tidewright.operators.asof import asof_join
 
-    pos = t.raw("orders").select(F.col("o_orderkey").alias("position_id"), F.concat(F.lit("S"), F.col("o_custkey") % 10).alias("symbol"), F.to_date("o_orderdate").alias("expiry"))
+    pos = t.raw("orders").select(F.col("o_orderkey").alias("position_id"), F.concat(F.lit("S"), F.col("o_custkey") % t.raw("supplier").count()).alias("symbol"), F.to_date("o_orderdate").alias("expiry"))
     settle = t.stocks().select("symbol", "ts", F.col("close").alias("settle"))
     found = asof_join(pos.filter(F.col("expiry") < F.lit("1999-01-01").cast("date")), settle, ["symbol"], "expiry", "ts", ["settle"])
     return found.filter("settle IS NOT NULL").drop("src_ts")
@@ -118,6 +118,3 @@ def _(t: Tables):
     df = t.stocks().select(
         "symbol", "ts", F.when(win.position() < 60, "not enough history").alias("regime_error"), F.when(F.col("volume") < 5, "too little volume").alias("forecast_error"))
     return fil.failure_log(df, ["regime", "forecast"])
-
-
-_ = clean_double

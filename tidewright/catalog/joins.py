@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewright.catalog.registry import longs, query, rounded
-from tidewright.catalog.windows import INDEX, RELEASE_SQL, STOCK, W, macro_daily, ALIGNED_SQL
+from tidewright.catalog.windows import INDEX, RELEASE_SQL, STOCK, W, ALIGNED_SQL
 from tidewright.functions.fixed import ALIASES, CURRENCIES, SEARCH_KEYS
 from tidewright.operators import asof, lookup, macro
 from tidewright.operators import windows as win
@@ -31,9 +31,9 @@ def _(t: Tables):
     return t.stocks().select("symbol", "ts", "close").join(m, "ts")
 
 
-@query("join05_asof_lookup", f"{STOCK}, q AS (SELECT o_orderkey AS request_id, 'S' || (o_custkey % 100) AS symbol, CAST(o_orderdate AS DATE) AS asked FROM orders) SELECT q.request_id, q.symbol, q.asked, s.ts AS src_ts, s.close FROM q ASOF LEFT JOIN stocks s ON q.symbol = s.symbol AND q.asked >= s.ts")
+@query("join05_asof_lookup", f"{STOCK}, q AS (SELECT o_orderkey AS request_id, 'S' || (o_custkey % (SELECT count(*) FROM supplier)) AS symbol, CAST(o_orderdate AS DATE) AS asked FROM orders) SELECT q.request_id, q.symbol, q.asked, s.ts AS src_ts, s.close FROM q ASOF LEFT JOIN stocks s ON q.symbol = s.symbol AND q.asked >= s.ts")
 def _(t: Tables):
-    q = t.raw("orders").select(F.col("o_orderkey").alias("request_id"), F.concat(F.lit("S"), F.col("o_custkey") % 100).alias("symbol"), F.to_date("o_orderdate").alias("asked"))
+    q = t.raw("orders").select(F.col("o_orderkey").alias("request_id"), F.concat(F.lit("S"), F.col("o_custkey") % t.raw("supplier").count()).alias("symbol"), F.to_date("o_orderdate").alias("asked"))
     return asof.asof_join(q, t.stocks().select("symbol", "ts", "close"), ["symbol"], "asked", "ts", ["close"])
 
 
@@ -188,6 +188,3 @@ def _(t: Tables):
 def _(t: Tables):
     r = t.stocks().groupBy("symbol").agg(F.max_by(F.struct("ts", "close", "volume"), "ts").alias("r"))
     return r.select("symbol", "r.*")
-
-
-_ = macro_daily

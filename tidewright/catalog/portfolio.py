@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewright.catalog.registry import query, rounded
 from tidewright.operators import portfolio as pf
-from tidewright.operators import windows as win
 from tidewright.tables import Tables
 
 
@@ -55,6 +54,3 @@ def _(t: Tables):
 
     s = regime_trend_signal(t.bars(), 20, 100, 0.5)
     return rounded(s.select("symbol", "ts", "hurst", "signal"))
-
-
-_ = win

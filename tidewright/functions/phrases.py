@@ -66,7 +66,13 @@ DIRECTION_PHRASES = [
     (r"\bsold\s+off\b", "selloff"), (r"\bsell(?:ing|s)?\s+off\b", "selloff"), (r"\bgave?\s+back\b", "decline"), (r"\bbounced?\s+back\b", "rally"),
     (r"\bwent\s+up\b", "rise"), (r"\bwent\s+down\b", "fall"), (r"\b(?:take|takes|taking|took)\s+off\b", "surge"),
 ]
-DOWN = ("fall fell falling falls drop dropped dropping drops decline declined declining declines down lower loss losses plunge plunged tank tanked "
-        "slide slid sink sank sunk tumble tumbled slump slumped crash crashed sell-off selloff retreat retreated dip dipped weaken weakened red").split()
-UP = ("rally rallied rallying rallies jump jumped jumping jumps rise rose rising rises surge surged soar soared spike spiked climb climbed gain gained "
-      "gains up higher advance advanced pop popped surging green boom boomed").split()
+DOWN = [
+    "fall", "fell", "falling", "falls", "drop", "dropped", "dropping", "drops", "decline", "declined", "declining", "declines", "down", "lower",
+    "loss", "losses", "plunge", "plunged", "tank", "tanked", "slide", "slid", "sink", "sank", "sunk", "tumble", "tumbled", "slump", "slumped",
+    "crash", "crashed", "sell-off", "selloff", "retreat", "retreated", "dip", "dipped", "weaken", "weakened", "red",
+]
+UP = [
+    "rally", "rallied", "rallying", "rallies", "jump", "jumped", "jumping", "jumps", "rise", "rose", "rising", "rises", "surge", "surged", "soar",
+    "soared", "spike", "spiked", "climb", "climbed", "gain", "gained", "gains", "up", "higher", "advance", "advanced", "pop", "popped", "surging",
+    "green", "boom", "boomed",
+]

@@ -1,7 +1,8 @@
 """Joins in time: as-of, bounded as-of, interval and episode joins over sorted series.
 
-An as-of join is a union of both sides followed by one window per key ("last known value"), so it
-costs one shuffle on the key and a sort, whatever the number of requests.
+An as-of join is a union of the distinct asks and the right side, followed by one window per key ("last known value");
+requests meet their answer by equality on key and time. A window holds at most one ask per key and time, so a key with most of
+all requests is no large group.
 """
 
 from __future__ import annotations
@@ -15,29 +16,29 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
     """For each left row the last right row at or before it (``src_ts`` is that row's time).
 
     With ``skip_null_values`` every value is its own last known one; otherwise the values of the one
-    last row are taken together, NULLs included.
+    last row are taken together, NULLs included. A left row without a key or time finds nothing.
     """
-    own = [c for c in left.columns]
-    a = left.select(
-        *keys, F.col(left_ts).alias("__t"), F.lit(1).alias("__side"), F.struct(*own).alias("__row"),
+    a = left.select(*keys, F.col(left_ts).alias("__t")).distinct().select(
+        *keys, "__t", F.lit(1).alias("__side"),
         F.lit(None).cast(right.schema[right_ts].dataType).alias("src_ts"),
         *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values],
     )
     b = right.select(
-        *keys, F.col(right_ts).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"),
+        *keys, F.col(right_ts).alias("__t"), F.lit(0).alias("__side"),
         F.col(right_ts).alias("src_ts"), *values,
     )
     w = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b)
     if skip_null_values:
         cols = [F.last(v, ignorenulls=True).over(w).alias(v) for v in ["src_ts", *values]]
-        found = both.select("__row", "__side", *cols)
+        found = both.select(*keys, "__t", "__side", *cols)
     else:
         last = F.last(F.when(F.col("__side") == 0, F.struct("src_ts", *values)), ignorenulls=True).over(w)
-        found = both.select("__row", "__side", last.alias("__m")).select(
-            "__row", "__side", *[F.col(f"__m.{v}").alias(v) for v in ["src_ts", *values]]
+        found = both.select(*keys, "__t", "__side", last.alias("__m")).select(
+            *keys, "__t", "__side", *[F.col(f"__m.{v}").alias(v) for v in ["src_ts", *values]]
         )
-    return found.filter("__side = 1").select("__row.*", "src_ts", *values)
+    found = found.filter("__side = 1").drop("__side").withColumnRenamed("__t", left_ts)
+    return left.join(found, [*keys, left_ts], "left").select(*left.columns, "src_ts", *values)
 
 
 def bounded_asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, limit: int) -> DataFrame:

@@ -106,10 +106,12 @@ def ma_crossover(fast: int, slow: int, w=None) -> tuple[Column, int]:
     w = w or win.by_symbol()
     def mean(n: int) -> Column:
         return (F.col("close_sum") - F.coalesce(F.lag("close_sum", n).over(w), F.lit(0.0))) / n
-    return F.when(F.col("bar") < slow, 0.0).otherwise((mean(fast) > mean(slow)).cast("double")), slow + 1
+    # Running sums carry rounding noise of about 1e-12; means as close as that count as equal.
+    above = mean(fast) - mean(slow) > 1e-10 * F.abs(mean(slow))
+    return F.when(F.col("bar") < slow, 0.0).otherwise(above.cast("double")), slow + 1
 
 
-def rsi_threshold(period: int, oversold: float, overbought: float) -> tuple[Column, int]:
+def rsi_threshold(period: int = 14, oversold: float = 30.0, overbought: float = 70.0) -> tuple[Column, int]:
     """Needs an ``rsi_<period>`` column."""
     r = F.col(f"rsi_{period}")
     return F.when(r.isNull(), 0.0).when(r <= oversold, 1.0).when(r >= overbought, 0.0).otherwise(0.5), period * 3
@@ -122,7 +124,7 @@ def vol_target(target_vol: float, lookback: int, w=None) -> tuple[Column, int]:
     return F.when(vol > 1e-6, F.least(target_vol / vol, F.lit(1.0))).otherwise(0.0), lookback + 1
 
 
-def mean_reversion(window: int, entry_z: float, exit_z: float, w=None) -> tuple[Column, int]:
+def mean_reversion(window: int = 21, entry_z: float = -1.0, exit_z: float = 0.5, w=None) -> tuple[Column, int]:
     w = w or win.by_symbol()
     frame = win.trailing(window, w)
     sd = F.stddev_samp("close").over(frame)
@@ -192,13 +194,15 @@ def grid_signals(bars: DataFrame, strategy: str, grid: list[dict], first_id: int
 
 
 def sweep(bars: DataFrame, strategy: str, fixed: dict | None = None, ex: Execution | None = None) -> DataFrame:
-    """Sharpe and return at every valid point of the strategy's two-parameter grid."""
+    """Sharpe and return at every point of the strategy's two-parameter grid; NULL where the parameters contradict each other."""
     (xn, xs), (yn, ys) = AXES[strategy]
     grid = [{xn: x, yn: y, **(fixed or {})} for y in ys for x in xs]
     valid = [p for p in grid if not (xn == "fast" and p["fast"] >= p["slow"]) and not (xn == "lookback" and p.get("skip", 0) >= p["lookback"])]
     stats = performance_stats(run_backtest(grid_signals(bars, strategy, valid, spread=True), ex), RUN).select(*RUN, "sharpe", "total_return_pct")
-    at = F.create_map(*[x for i, p in enumerate(valid) for x in (F.lit(i).cast("long"), F.array(F.lit(float(p[xn])), F.lit(float(p[yn]))))])
-    return stats.select("symbol", at[F.col("run_id")][0].alias(xn), at[F.col("run_id")][1].alias(yn), "run_id", "sharpe", "total_return_pct")
+    ids = {(p[xn], p[yn]): i for i, p in enumerate(valid)}
+    cells = F.array(*[F.struct(F.lit(float(p[xn])).alias(xn), F.lit(float(p[yn])).alias(yn), F.lit(ids.get((p[xn], p[yn]))).cast("long").alias("run_id")) for p in grid])
+    surface = bars.select("symbol").distinct().select("symbol", F.explode(cells).alias("c")).select("symbol", "c.*")
+    return surface.join(stats, ["symbol", "run_id"], "left").select("symbol", xn, yn, "run_id", "sharpe", "total_return_pct")
 
 
 def folds(bars: DataFrame, train: int, test: int, anchored: bool = False) -> DataFrame:
@@ -252,8 +256,21 @@ def walk_forward_summary(result: DataFrame, ex: Execution | None = None) -> Data
 
 
 def rule_signal(bars: DataFrame, rule: str, wanted: list[tuple[str, int]]) -> DataFrame:
-    """A user rule in Spark SQL over indicator columns; unknown counts as false."""
-    return win.with_indicators(bars, wanted).withColumn("flag", F.coalesce(F.expr(rule).cast("boolean"), F.lit(False)))
+    """A user rule in Spark SQL over indicator columns.
+
+    NaN and a division by zero are unknown. Unknown is SQL's: a comparison with it, negated or not, is unknown, and a rule that
+    is unknown in the end is false.
+    """
+    known = win.with_indicators(bars, wanted)
+    known = known.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in known.dtypes])
+    # How a rule divides is fixed when its text becomes an expression: by zero it is to give NULL.
+    key = "spark.sql.ansi.enabled"
+    before = bars.sparkSession.conf.get(key)
+    bars.sparkSession.conf.set(key, "false")
+    try:
+        return known.withColumn("flag", F.coalesce(F.expr(rule).cast("boolean"), F.lit(False)))
+    finally:
+        bars.sparkSession.conf.set(key, before)
 
 
 def diagnose_rule(flags: DataFrame, warmup: int, step: int = 1) -> DataFrame:

@@ -19,7 +19,7 @@ from tidewright.functions.nulls import drop_unknown
 from tidewright.functions.options import svi_variance
 from tidewright.operators import windows as win
 from tidewright.operators.asof import asof_join
-from tidewright.session import dealt
+from tidewright.session import checkpointed, dealt
 from tidewright.operators.options import density_moments, priced, return_moments, risk_neutral_density
 
 LEVELS = [0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95]
@@ -42,8 +42,12 @@ def training_rows(rows: DataFrame, horizon: int, lookback: int, every: int) -> D
 
 
 def fit_quantiles(train: DataFrame, features: list[str], target: str, levels: list[float] | None = None, alpha: float = 0.001,
-                  max_features: int | None = 12, key: list[str] | None = None) -> DataFrame:
-    """Model table (keys, level, intercept, coefficients) - coefficients on the raw features, zero where screened out."""
+                  max_features: int | None = None, key: list[str] | None = None) -> DataFrame:
+    """Model table (keys, level, intercept, coefficients, kept, n_train, error) - coefficients on the raw features, zero where screened out.
+
+    ``kept`` names the features in the model: those that vary, and of these all unless ``max_features`` asks for fewer. A key with
+    too few rows gets one row with the reason in ``error`` and no level.
+    """
     levels = levels or LEVELS
     key = key or ["symbol", "refit"]
 
@@ -55,9 +59,10 @@ def fit_quantiles(train: DataFrame, features: list[str], target: str, levels: li
             with np.errstate(invalid="ignore", divide="ignore"):
                 score = np.abs([np.corrcoef(x[:, c], y)[0, 1] for c in kept])
             kept = np.sort(kept[np.argsort(-np.nan_to_num(score), kind="stable")[:max_features]])
-        empty = pd.DataFrame(columns=[*key, "level", "intercept", "coefficients", "n_train"])
+        columns = [*key, "level", "intercept", "coefficients", "kept", "n_train", "error"]
         if len(kept) == 0 or len(y) < 3 * (len(kept) + 1):
-            return empty
+            why = "no feature varies" if len(kept) == 0 else f"{len(y)} rows for {len(kept)} features"
+            return pd.DataFrame([[*pdf[key].iloc[0], None, None, None, [], len(y), why]], columns=columns)
         center, scale = x[:, kept].mean(axis=0), x[:, kept].std(axis=0)
         z = np.column_stack([np.ones(len(y)), (x[:, kept] - center) / scale])
         out = []
@@ -65,11 +70,11 @@ def fit_quantiles(train: DataFrame, features: list[str], target: str, levels: li
             beta = fits.quantile_fit(z, y, tau, alpha)
             coef = np.zeros(len(features))
             coef[kept] = beta[1:] / scale
-            out.append([*pdf[key].iloc[0], tau, beta[0] - coef[kept] @ center, coef.tolist(), len(y)])
-        return pd.DataFrame(out, columns=empty.columns)
+            out.append([*pdf[key].iloc[0], tau, beta[0] - coef[kept] @ center, coef.tolist(), [features[c] for c in kept], len(y), None])
+        return pd.DataFrame(out, columns=columns)
 
     types = {f.name: f.dataType.simpleString() for f in train.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in key) + ", level double, intercept double, coefficients array<double>, n_train bigint"
+    schema = ", ".join(f"{k} {types[k]}" for k in key) + ", level double, intercept double, coefficients array<double>, kept array<string>, n_train bigint, error string"
     return dealt(drop_unknown(train, [*features, target]), *key).groupBy(*key).applyInPandas(run, schema)
 
 
@@ -79,7 +84,7 @@ def predict_quantiles(rows: DataFrame, models: DataFrame, features: list[str], e
     Rows fall into slots between refits. The model of each slot comes from an as-of join over the few
     slots (a refit may have failed), and rows meet it by an equi-join on (symbol, slot).
     """
-    m = models.groupBy("symbol", "refit").agg(F.sort_array(F.collect_list(F.struct("level", "intercept", "coefficients"))).alias("model"), F.max("n_train").alias("n_train"))
+    m = models.filter("error IS NULL").groupBy("symbol", "refit").agg(F.sort_array(F.collect_list(F.struct("level", "intercept", "coefficients"))).alias("model"), F.max("n_train").alias("n_train"))
     x = F.array(*[F.col(c) for c in features])
     r = drop_unknown(rows.withColumn("slot", F.floor(win.position() / every) * every), features).withColumn("x", x)
     slots = asof_join(r.select("symbol", "slot").distinct(), m, ["symbol"], "slot", "refit", ["model", "n_train"]).filter("model IS NOT NULL")
@@ -109,9 +114,16 @@ def quantile_moments(df: DataFrame, levels: list[float] | None = None, column: s
 
 
 def ridge_fits(rows: DataFrame, key: str, features: list[str], target: str, ridge: float = 1.0) -> DataFrame:
-    """Ridge baseline per key with residual spread: Gram matrices by native partial aggregates, then a p x p solve per key."""
+    """Ridge baseline per key with residual spread: Gram matrices by native partial aggregates, then a p x p solve per key.
+
+    Every column is centred on its mean over all rows first (one row, broadcast), so that products of large levels with small
+    deviations keep their digits.
+    """
     p = len(features)
     d = drop_unknown(rows, [*features, target])
+    centre = checkpointed(d.agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate([*features, target])]))
+    d = d.crossJoin(F.broadcast(centre)).select(key, *[(F.col(c) - F.col(f"__m{i}")).alias(c) for i, c in enumerate([*features, target])])
+    m0 = np.array([v if v is not None else 0.0 for v in centre.first()])
     pairs = [(a, b) for a in range(p) for b in range(a, p)]
     g = d.groupBy(key).agg(
         F.count("*").alias("n"), F.array(*[F.sum(c) for c in features]).alias("sx"), F.sum(target).alias("sy"), F.sum(F.col(target) * F.col(target)).alias("syy"),
@@ -136,7 +148,7 @@ def ridge_fits(rows: DataFrame, key: str, features: list[str], target: str, ridg
                 rss = n * (r.syy / n - my * my) - 2 * beta @ rhs + beta @ z @ beta
                 coef = np.zeros(p)
                 coef[keep] = beta / s
-                out.append([getattr(r, key), my - coef @ mx, coef.tolist(), math.sqrt(max(rss, 0) / (n - 1)), n])
+                out.append([getattr(r, key), my + m0[-1] - coef @ (mx + m0[:-1]), coef.tolist(), math.sqrt(max(rss, 0) / (n - 1)), n])
             yield pd.DataFrame(out, columns=[key, "intercept", "coefficients", "residual_std", "n_train"])
 
     kind = rows.schema[key].dataType.simpleString()
@@ -190,7 +202,7 @@ def unit_root(bars: DataFrame, min_rows: int = 60) -> DataFrame:
 
 # --- topology -------------------------------------------------------------------------------------------
 
-def window_topology(panel: DataFrame, columns: list[str], window: int = 50, block: int = 32, max_points: int = 60) -> DataFrame:
+def window_topology(panel: DataFrame, columns: list[str], window: int = 50, block: int = 32) -> DataFrame:
     """Landscape norms of each trailing window of a return panel (symbol, ts, <columns>).
 
     A window is an array on its last row; windows are dealt out in small blocks, so the work spreads
@@ -211,8 +223,6 @@ def window_topology(panel: DataFrame, columns: list[str], window: int = 50, bloc
             out = []
             for s, ts, flat in zip(pdf["symbol"], pdf["ts"], pdf["cloud"]):
                 cloud = np.asarray(flat, float).reshape(-1, dims)
-                if len(cloud) > max_points:
-                    cloud = cloud[np.unique(np.linspace(0, len(cloud) - 1, max_points).round().astype(int))]
                 bars = fits.loop_bars(cloud)
                 l1, l2 = fits.landscape_norms(bars)
                 out.append([s, ts, l1, l2, len(bars), float((bars[:, 1] - bars[:, 0]).max()) if len(bars) else 0.0])
@@ -233,19 +243,23 @@ def topology_signal(norms: DataFrame, zscore_window: int = 60) -> DataFrame:
 # --- smiles and implied distributions ---------------------------------------------------------------------
 
 def fit_smiles(quotes: DataFrame, key: str, min_quotes: int = 5) -> DataFrame:
-    """SVI parameters per key from (key, k, w): log-moneyness and total variance of usable quotes."""
+    """SVI parameters per key from (key, k, w): log-moneyness and total variance of usable quotes.
+
+    A key with too few quotes, or with one strike only, gets a row with the reason in ``error`` and no parameters.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = [key, "a", "b", "rho", "m", "sigma", "rmse", "n_quotes", "k_min", "k_max"]
+        cols = [key, "a", "b", "rho", "m", "sigma", "rmse", "n_quotes", "k_min", "k_max", "error"]
         k, w = pdf["k"].to_numpy(float), pdf["w"].to_numpy(float)
         if len(k) < min_quotes or np.ptp(k) <= 0:
-            return pd.DataFrame(columns=cols)
+            why = "one strike only" if len(k) >= min_quotes else f"{len(k)} usable quotes"
+            return pd.DataFrame([[pdf[key].iloc[0], *[None] * 6, len(k), k.min(), k.max(), why]], columns=cols)
         order = np.argsort(k)
-        return pd.DataFrame([[pdf[key].iloc[0], *fits.svi_fit(k[order], w[order]), len(k), k.min(), k.max()]], columns=cols)
+        return pd.DataFrame([[pdf[key].iloc[0], *fits.svi_fit(k[order], w[order]), len(k), k.min(), k.max(), None]], columns=cols)
 
     kind = quotes.schema[key].dataType.simpleString()
     return dealt(quotes.select(key, "k", "w"), key).groupBy(key).applyInPandas(
-        run, f"{key} {kind}, a double, b double, rho double, m double, sigma double, rmse double, n_quotes bigint, k_min double, k_max double")
+        run, f"{key} {kind}, a double, b double, rho double, m double, sigma double, rmse double, n_quotes bigint, k_min double, k_max double, error string")
 
 
 def implied_view(chain: DataFrame, key: str, points: int = 401, wing: float = 0.25) -> DataFrame:
@@ -256,7 +270,8 @@ def implied_view(chain: DataFrame, key: str, points: int = 401, wing: float = 0.
     forward = F.col("spot") * F.exp(F.col("rate") * F.col("years"))
     q = chain.select(key, F.ln(F.col("strike") / forward).alias("k"), (F.col("iv") * F.col("iv") * F.col("years")).alias("w"))
     header = chain.groupBy(key).agg(*[F.first(c).alias(c) for c in ("spot", "years", "rate")])
-    fit = fit_smiles(q, key).join(header, key)
+    fits_all = fit_smiles(q, key).join(header, key)
+    fit = fits_all.filter("error IS NULL")
     pad = wing * (F.col("k_max") - F.col("k_min"))
     lo, width = F.col("k_min") - pad, F.col("k_max") - F.col("k_min") + 2 * pad
     grid = fit.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("k", lo + width * F.col("i") / (points - 1))
@@ -266,5 +281,6 @@ def implied_view(chain: DataFrame, key: str, points: int = 401, wing: float = 0.
     m = density_moments(risk_neutral_density(curve, key), key).join(fit, key)
     atm = svi_variance(*[F.col(c) for c in ("a", "b", "rho", "m", "sigma")], F.lit(0.0))
     m = return_moments(m, F.col("spot"))
-    return m.select(key, "spot", "years", "mean_return", "variance_return", "skew_return", F.sqrt(F.greatest(atm, F.lit(0.0)) / F.col("years")).alias("atm_vol"),
-                    (F.col("mean") / forward - 1).alias("forward_error"), "rmse", "n_quotes", "mass")
+    m = m.select(key, "mean_return", "variance_return", "skew_return", F.sqrt(F.greatest(atm, F.lit(0.0)) / F.col("years")).alias("atm_vol"),
+                 (F.col("mean") / forward - 1).alias("forward_error"), "mass")
+    return fits_all.select(key, "spot", "years", "rmse", "n_quotes", "error").join(m, key, "left")

@@ -143,16 +143,16 @@ def option_overlay(bars: DataFrame, name: str, tenor: int = 21, lookback: int =
     return out.withColumn("broke", broke).filter("broke = 0").drop("broke").withColumn("equity", F.greatest("equity", F.lit(1e-6)))
 
 
-def staged_runs(bars: DataFrame, horizon: int, invest: float, parts: int = 4, max_starts: int = 120) -> DataFrame:
+def staged_runs(bars: DataFrame, horizon: int, invest: float, parts: int = 4) -> DataFrame:
     """Staged entry against one lump sum from regularly spaced starts: final values of both per start.
 
-    The number of starts per symbol is a parameter of the comparison; each bar belongs to the starts
-    whose window covers it, found by arithmetic.
+    All starts that the spacing allows are replayed; each bar belongs to the starts whose window covers
+    it, found by arithmetic.
     """
     spacing = max(1, min(21, horizon // (parts + 1)))
     b = bars.select("symbol", "ts", "open", "close", (win.position() - 1).alias("pos"), F.count("*").over(Window.partitionBy("symbol")).alias("n"))
     last = F.col("n") - horizon - 2
-    b = b.withColumn("step", F.greatest(F.lit(spacing), F.floor(last / max_starts))).withColumn("last", last).filter("last > 0")
+    b = b.withColumn("step", F.lit(spacing)).withColumn("last", last).filter("last > 0")
     lo = F.greatest(F.ceil((F.col("pos") - horizon - 1) / F.col("step")), F.lit(0))
     hi = F.least(F.floor(F.col("pos") / F.col("step")), F.ceil(F.col("last") / F.col("step")) - 1)
     x = b.withColumn("lo", lo).withColumn("hi", hi).filter("lo <= hi").select("symbol", "ts", "open", "close", "pos", "step", F.explode(F.sequence("lo", "hi")).alias("run_id"))

@@ -45,6 +45,8 @@ def ewm_mean(df: DataFrame, c: str, alpha: float, out: str, keys: list[str] | No
     """
     keys = keys or ["symbol"]
     w = Window.partitionBy(*keys).orderBy(order)
+    if alpha >= 1:
+        return df.withColumn(out, F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     known = F.col(c).isNotNull()
     df = df.withColumn("__p", F.row_number().over(w))
     last = F.max(F.when(known, F.col("__p"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -64,6 +66,8 @@ def ewm_mean(df: DataFrame, c: str, alpha: float, out: str, keys: list[str] | No
 def wilder_average(df: DataFrame, c: str, n: int, out: str) -> DataFrame:
     """Mean of the first n known values, then (old * (n-1) + x) / n. Values start on the second row."""
     w = Window.partitionBy("symbol").orderBy("ts")
+    if n == 1:
+        return df.withColumn(out, F.when(F.row_number().over(w) >= 2, F.col(c)))
     df = df.withColumn("__p", F.row_number().over(w))
     seed = F.avg(c).over(w.rowsBetween(-(n - 1), 0))
     is_seed = F.col("__p") == n + 1

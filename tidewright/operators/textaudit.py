@@ -99,7 +99,7 @@ def section_coverage(docs: DataFrame, sections: list[str], labels: list[str], ke
     """Missing sections, and how many required labels appear (none is an error, some a warning)."""
     up, low = F.upper(text), F.lower(text)
     missing = F.array_compact(F.array(*[F.when(~F.contains(up, F.lit(s.upper())), F.lit(s)) for s in sections]))
-    present = sum((F.contains(low, F.lit(x.lower()[:40])).cast("int") for x in labels), F.lit(0))
+    present = sum((F.contains(low, F.lit(x.lower())).cast("int") for x in labels), F.lit(0))
     d = docs.select(key, F.array_join(missing, ";").alias("missing_sections"), present.alias("labels_present"))
     status = F.when(F.col("labels_present") == 0, "error").when(F.col("labels_present") < len(labels), "warning").otherwise("ok")
     return d.withColumn("label_status", status)

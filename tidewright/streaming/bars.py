@@ -1,4 +1,4 @@
-"""Incremental forms of two batch jobs: hourly candles from events, and the running order ledger."""
+"""Hourly candles from a stream of events."""
 
 from __future__ import annotations
 
