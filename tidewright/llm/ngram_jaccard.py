@@ -4,14 +4,15 @@ Two sets of n and m shingles with a Jaccard similarity of t or more share at lea
 1. a document of which fewer than t * n shingles occur in any other document has no link: packed shingles are shuffled in
    blocks of the hash range and answered with counts (``blocks``), once over all documents and once over what is left;
 2. of the shingles ordered by frequency, the first n - ceil(t * n) + 1 must hold one that the partner has too: only these
-   columns of the matrix propose pairs, and pairs whose sizes differ too much are discarded;
+   columns of the matrix propose pairs. For a given pair the overlap that it needs follows from both sizes, and with it how
+   early the column must stand in either row: pairs that share no column so early are discarded unseen;
 3. the overlap of a proposed pair is the product of its two rows, summed by block of pairs and held against the exact bound.
 
-Equal sets are one node (their smallest document). A column that many nodes share proposes only pairs with its most central
-node, the one with the fewest shingles of its own. Where that leaves a column in several components, the centres of these are
-paired with that of the largest, until this links no more; then the nodes outside the largest component are paired with the
-rest of the column as well. So a group of thousands of near copies costs about a pair for each, and no link between
-components is lost.
+Equal sets are one node (their smallest document). Pairs inside one component need no test, so that components are first found
+with few pairs: each node with the most central node of its columns, the one with the fewest shingles of its own, then the
+centre of each component with that of the largest in a column, until this links no more. What is left, nodes outside the largest
+component of a column with the others there, is tested pair by pair within the bounds. So a group of thousands of near copies
+costs about a pair for each, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ from tidewright.llm.graph import components
 from tidewright.llm.words import chunks, shingle_sets
 from tidewright.session import checkpointed
 
-PAIRED = 32  # columns with more nodes than this propose pairs with one node first
-
 
 def _profile(width: int, sets: bool):
     """Of each text: set size, digest of the set and, if asked for, the set."""
@@ -84,14 +83,9 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.filter(F.col("common") * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b")
 
 
-def _paired(left: DataFrame, right: DataFrame, percent: int, *when) -> DataFrame:
-    """Distinct pairs of nodes in one column, the smaller set first, without those whose sizes exclude a link."""
-    x, y = left.alias("x"), right.alias("y")
-    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")))
-    for w in when:
-        both = both.filter(w)
-    both = both.filter(F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+def _need(n: str, m: str, percent: int) -> str:
+    """SQL for the overlap that sets of ``n`` and ``m`` shingles need."""
+    return f"(({n} + {m}) * {percent} + {99 + percent}) div {100 + percent}"
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -119,19 +113,17 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     ranked = posting.join(often, "key").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "key")))
     ranked = ranked.withColumn("common", F.count("*").over(Window.partitionBy("node")))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("common"))
-    columns = ranked.filter(F.col("rank") <= prefix).select("key", "node", "n", (F.col("n") - F.col("common")).alias("rare"))
-    size = columns.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("rare", "node", "n")).alias("least")).filter("m > 1")
+    columns = ranked.filter(F.col("rank") <= prefix).withColumn("rare", F.col("n") - F.col("common")).select("key", "node", "n", (F.col("rank") + F.col("rare")).alias("rank"), "rare")
+    size = columns.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.min(F.struct("rare", "node")).alias("lead")).filter("m > 1")
     columns = checkpointed(columns.join(size, "key"))
-    few, many = columns.filter(F.col("m") <= PAIRED), columns.filter(F.col("m") > PAIRED)
-    lead = many.select("key", F.col("least.node").alias("node"), F.col("least.n").alias("n")).distinct()
-    pairs = _paired(few, few, percent, F.col("x.node") < F.col("y.node")).union(_paired(lead, many, percent)).distinct()
+    best = columns.filter("node <> lead.node").groupBy("node").agg(F.min("lead").alias("lead"))
+    pairs = best.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
     links = checkpointed(_links(pairs, sets, percent))
     found = components(links)
-
     nodes = columns.select("node", "rare").distinct()
     while True:
         own = nodes.join(found, "node", "left").select("node", "rare", F.coalesce("component", "node").alias("label"))
-        label = many.select("key", "node", "n").join(own, "node")
+        label = columns.select("key", "node", "n", "rank", "low").join(own, "node")
         most = label.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"))
         label = checkpointed(label.join(most.filter("labels > 1"), "key"))
         apart = label.filter("label <> top.label").select("label", F.col("top.label").alias("other")).distinct()
@@ -142,7 +134,11 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
             break
         links = links.union(linked)
         found = components(links)
-    rest = _paired(label.filter("label <> top.label"), label, percent, F.col("x.label") != F.col("y.label"))
+    early = label.filter(f"rank <= n - {_need('n', f'greatest(low, n * {percent} div 100)', percent)} + 1")
+    x, y = early.filter("label <> top.label").alias("x"), early.alias("y")
+    need = _need("x.n", "y.n", percent)
+    within = F.expr(f"x.key = y.key and x.label <> y.label and least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} and x.rank <= x.n - {need} + 1 and y.rank <= y.n - {need} + 1")
+    rest = x.join(y, within).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = checkpointed(_links(rest, sets, percent))
     if not more.isEmpty():
         found = components(links.union(more))
