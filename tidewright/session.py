@@ -46,18 +46,23 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
+# While a checkpoint is planned and run. Wide feature plans make the optimizer's inferred constraints explode, from which the job
+# gains nothing; and what a checkpoint has shuffled is not read again once it is written.
+CHECKPOINTING = {"spark.sql.constraintPropagation.enabled": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder."""
     spark = df.sparkSession
     shared_folder(spark)
-    # Wide feature plans make the optimizer's inferred constraints explode; the job gains nothing from them.
-    key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    before = {key: spark.conf.get(key) for key in CHECKPOINTING}
     try:
-        return df.checkpoint(eager=True)
+        for key, value in CHECKPOINTING.items():
+            spark.conf.set(key, value)
+        return df.select("*").checkpoint(eager=True)  # select: settings hold for frames made under them
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
