@@ -71,6 +71,15 @@ def _(t: Tables):
     return rounded(stats.coverage_report(rows, base, ["symbol"], 5))
 
 
+@query("agg17_coverage_verdict", f"""{STOCK}, {_CAL}, g AS (SELECT symbol, level, sqrt(level * (1 - level) / greatest(2, count(*) // 5)) AS se, avg(CAST(y <= quantile AS INT)) - level AS err FROM rr GROUP BY 1, 2)
+SELECT symbol, count(*) AS levels, arg_max(level, struct_pack(m := round(abs(err) / se, 6), l := -level)) AS worst_level, max(round(abs(err) / se, 6)) AS worst_miss, bool_and(abs(err) <= 2 * se) AS calibrated FROM g GROUP BY 1""")
+def _(t: Tables):
+    rows, base = calibration_rows(t)
+    per_symbol = rows.select("symbol").distinct().join(F.broadcast(base.agg(F.collect_list(F.struct("level", "base_quantile")).alias("b"))))
+    base = per_symbol.select("symbol", F.explode("b").alias("x")).select("symbol", "x.*")
+    return rounded(stats.coverage_verdict(stats.coverage_report(rows, base, ["symbol"], 5), ["symbol"]))
+
+
 @query("agg21_horizon_risk", f"""{INDEX}, b AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS b, close / lag(close) OVER {W} - 1 AS ret, (lead(close, 63) OVER {W} / close - 1) * 100 AS fwd FROM bars),
 g AS (SELECT symbol, max(close) FILTER (b = 1) AS current_price, stddev_samp(ret) FILTER (b <= 63) * 100 AS daily_vol_pct, quantile_cont(fwd, 0.1) AS p10_pct, quantile_cont(fwd, 0.5) AS median_pct, quantile_cont(fwd, 0.9) AS p90_pct, min(fwd) AS worst_pct, count(fwd) AS n_windows FROM b GROUP BY 1)
 SELECT symbol, current_price, round(daily_vol_pct, 6) AS daily_vol_pct, round(p10_pct, 6) AS p10_pct, round(median_pct, 6) AS median_pct, round(p90_pct, 6) AS p90_pct, round(worst_pct, 6) AS worst_pct, n_windows, round(daily_vol_pct * sqrt(63), 6) AS horizon_vol_pct, round(least(2 * daily_vol_pct * sqrt(63), 95), 6) AS bad_stretch_loss_pct FROM g WHERE n_windows >= 504""")

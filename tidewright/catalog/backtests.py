@@ -99,6 +99,13 @@ def _(t: Tables):
     return rounded(r, 4)
 
 
+@query("join16_fold_leaks", f"""{INDEX}, {FOLD_SQL}, b AS (SELECT symbol, ts, row_number() OVER {W} AS bar FROM bars), x AS (SELECT b.symbol, fold, ts, bar BETWEEN train_start AND train_end AS a, bar BETWEEN test_start AND test_end AS e FROM b JOIN folds f ON b.symbol = f.symbol AND bar BETWEEN train_start AND test_end)
+SELECT symbol, count(*) FILTER (a) AS selected, count(*) FILTER (e) AS evaluated, count(*) FILTER (a AND e) AS overlap FROM x GROUP BY 1""")
+def _(t: Tables):
+    """No fold of the walk-forward is evaluated on a bar that it was selected on."""
+    return bt.fold_leaks(t.bars())
+
+
 @query("bt05_stitched_curve", f"""{INDEX}, {WALK_SQL}, rt AS (SELECT symbol, ts, equity / lag(equity) OVER (PARTITION BY symbol, fold ORDER BY ts) - 1 AS ret, benchmark / lag(benchmark) OVER (PARTITION BY symbol, fold ORDER BY ts) - 1 AS br FROM te_result)
 SELECT symbol, ts, round(10000 * exp(sum(ln(1 + ret)) OVER {rows('UNBOUNDED')}), 4) AS equity, round(10000 * exp(sum(ln(1 + br)) OVER {rows('UNBOUNDED')}), 4) AS benchmark FROM rt WHERE ret IS NOT NULL""")
 def _(t: Tables):

@@ -5,7 +5,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.catalog.backtests import scan_sql
 from tidewright.catalog.registry import query, rounded
+from tidewright.catalog.windows import INDEX, W
 from tidewright.operators import portfolio as pf
 from tidewright.tables import Tables
 
@@ -31,12 +33,18 @@ def _(t: Tables):
     return rounded(reduce(DataFrame.unionByName, [pf.option_overlay(b, o[0]) for o in pf.OVERLAYS]), 4)
 
 
-@query("bt07_staged_entries")
+_STAGED = f"""{INDEX}, c AS (SELECT symbol, count(*) AS n FROM bars GROUP BY 1), st AS (SELECT symbol, unnest(range(0, CAST(ceil((n - 65) / 12.0) AS BIGINT))) AS run_id FROM c WHERE n > 65), p AS (SELECT symbol, ts, open, close, row_number() OVER {W} - 1 AS pos FROM bars),
+sig AS (SELECT p.symbol, run_id, ts, open, close, least(1, (floor((pos - run_id * 12) / 12) + 1) / 4)::DOUBLE AS signal, 1 AS warmup FROM p JOIN st ON p.symbol = st.symbol AND pos BETWEEN run_id * 12 AND run_id * 12 + 64), {scan_sql("sig", "symbol, run_id")},
+sr AS (SELECT symbol, run_id, arg_max(equity, ts) AS staged, arg_max(benchmark, ts) AS lump FROM result GROUP BY 1, 2)"""
+
+
+@query("bt07_staged_entries", f"{_STAGED} SELECT symbol, run_id, round(staged, 4) AS staged, round(lump, 4) AS lump FROM sr")
 def _(t: Tables):
     return rounded(pf.staged_runs(t.bars(), 63, 10_000.0), 4)
 
 
-@query("agg38_staged_comparison")
+@query("agg38_staged_comparison", f"""{_STAGED} SELECT symbol, count(*) AS starts, round(avg(CAST(staged > lump AS INT)) * 100, 4) AS staged_beat_share_pct, round(quantile_cont(staged, 0.5), 4) AS staged_median, round(quantile_cont(lump, 0.5), 4) AS lump_median, round(min(staged), 4) AS staged_worst, round(min(lump), 4) AS lump_worst,
+round(quantile_cont(staged - 10000, 0.1), 4) AS gain_p10, round(quantile_cont(staged - 10000, 0.5), 4) AS gain_median, round(quantile_cont(staged - 10000, 0.9), 4) AS gain_p90 FROM sr GROUP BY 1""")
 def _(t: Tables):
     return rounded(pf.staged_comparison(pf.staged_runs(t.bars(), 63, 10_000.0), 10_000.0), 4)
 

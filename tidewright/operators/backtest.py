@@ -215,17 +215,34 @@ def folds(bars: DataFrame, train: int, test: int, anchored: bool = False) -> Dat
                     (begin + 1).alias("test_start"), (begin + test).alias("test_end"))
 
 
+def in_folds(rows: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Each row once for every fold from ``first`` to ``last`` (expressions of its ``bar``)."""
+    r = rows.withColumn("__first", F.greatest(first, F.lit(0)).cast("long")).withColumn("__last", last.cast("long")).filter("__first <= __last")
+    return r.withColumn("fold", F.explode(F.sequence("__first", "__last"))).drop("__first", "__last")
+
+
+def fold_leaks(bars: DataFrame, train: int = 504, test: int = 126) -> DataFrame:
+    """Per symbol: rows that some fold selects on, rows that it is evaluated on, and rows that are both, which must be none."""
+    f = folds(bars, train, test)
+    b = bars.select("symbol", "ts", win.position().alias("bar"))
+    sides = in_folds(b, F.ceil((F.col("bar") - train - test) / test), F.floor((F.col("bar") - 1) / test)).join(f, ["symbol", "fold"])
+    sides = sides.select("symbol", "fold", "ts", F.col("bar").between(F.col("train_start"), F.col("train_end")).alias("selects"), F.col("bar").between(F.col("test_start"), F.col("test_end")).alias("tests"))
+    rows = sides.groupBy("symbol", "fold", "ts").agg(F.max("selects").alias("selects"), F.max("tests").alias("tests"))
+    n = lambda c: F.sum(c.cast("long"))
+    return rows.groupBy("symbol").agg(n(F.col("selects")).alias("selected"), n(F.col("tests")).alias("evaluated"), n(F.col("selects") & F.col("tests")).alias("overlap"))
+
+
 def walk_forward(bars: DataFrame, strategy: str, train: int = 504, test: int = 126, ex: Execution | None = None,
                  grid: list[dict] | None = None) -> DataFrame:
     """Out-of-sample returns: each fold picks the grid point with the best train Sharpe and trades the next window.
 
     Signals look backwards only, so one signal table serves every fold: folds are slices of it by
-    position, joined on the symbol, and all (fold, point) runs are back-tested together.
+    position, which each bar lists by arithmetic, and all (fold, point) runs are back-tested together.
     """
     grid = grid or GRIDS[strategy]
     signals = grid_signals(bars, strategy, grid, spread=True)
     f = folds(bars, train, test)
-    cut = signals.join(f, "symbol").filter(F.col("bar").between(F.col("train_start"), F.col("train_end")))
+    cut = in_folds(signals, F.ceil((F.col("bar") - train) / test), F.floor((F.col("bar") - 1) / test)).join(f, ["symbol", "fold"])
     # A signal inside a fold may only use the fold's own bars once warm-up has passed, which warmup ensures.
     fold_keys = ["symbol", "fold", "run_id"]
     fits = F.col("train_end") - F.col("train_start") + 1 >= F.col("warmup") + 2
@@ -233,7 +250,8 @@ def walk_forward(bars: DataFrame, strategy: str, train: int = 504, test: int = 1
     order = Window.partitionBy("symbol", "fold").orderBy(F.desc_nulls_last("sharpe"), "run_id")
     picked = trained.withColumn("r", F.row_number().over(order)).filter("r = 1")
     best = f.join(picked.select("symbol", "fold", "run_id"), ["symbol", "fold"], "left").withColumn("run_id", F.coalesce("run_id", F.lit(0)))
-    scored = signals.join(best, ["symbol", "run_id"]).filter(F.col("bar").between(F.greatest(F.col("test_start") - F.greatest("warmup", F.lit(1)), F.lit(1)), F.col("test_end")))
+    lead = F.greatest("warmup", F.lit(1))
+    scored = in_folds(signals, F.ceil((F.col("bar") - train - test) / test), F.floor((F.col("bar") - train - 1 + lead) / test)).join(best, ["symbol", "fold", "run_id"])
     return run_backtest(scored, ex, fold_keys)
 
 

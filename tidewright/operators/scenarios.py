@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import windows as win
 from tidewright.operators.asof import asof_join
+from tidewright.session import checkpointed
 
 HORIZONS = (5, 21, 63)
 MAIN_HORIZON = 21
@@ -77,15 +78,22 @@ def proxy_flags(proxies: DataFrame, scenarios: list[Scenario]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def aligned_to_targets(targets: DataFrame, flags: DataFrame, limit: int = 3) -> DataFrame:
-    """Proxy flags on the targets' sessions, filled over at most ``limit`` of them.
+CALENDAR_ROWS = 500_000  # broadcast a calendar-sized table up to so many rows
+
+
+def aligned_to_targets(targets: DataFrame, flags: DataFrame, limit: int = 3, raised: bool = False) -> DataFrame:
+    """Proxy flags on the targets' sessions, filled over at most ``limit`` of them; only raised flags if asked for.
 
     The last proxy date per distinct session date is found once (calendar-sized), then joined by
-    date; only the fill limit needs the per-symbol order.
+    date; only the fill limit needs the per-symbol order. A stretch of sessions shares one flag, so
+    raised flags can be picked before the join.
     """
     names = flags.select("scenario").distinct().agg(F.collect_set("scenario").alias("names"))
     dates = targets.select("ts").distinct().join(F.broadcast(names)).select(F.explode("names").alias("scenario"), "ts")
     on_dates = asof_join(dates, flags, ["scenario"], "ts", "ts", ["flag"])
+    on_dates = checkpointed(on_dates.filter("flag >= 1") if raised else on_dates)
+    if on_dates.count() <= CALENDAR_ROWS:
+        on_dates = F.broadcast(on_dates)
     j = targets.join(on_dates, "ts")
     stretch = Window.partitionBy("symbol", "scenario", "src_ts").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     used = F.sum((F.col("ts") > F.col("src_ts")).cast("int")).over(stretch)
@@ -101,8 +109,8 @@ def measure_scenarios(closes: DataFrame, proxies: DataFrame, market: DataFrame,
     own, others = [s for s in scenarios if s.driver == "self"], [s for s in scenarios if s.driver != "self"]
     flagged, freq = [], []
     if others:
-        flags = proxy_flags(proxies, others)
-        flagged.append(aligned_to_targets(targets, flags))
+        flags = checkpointed(proxy_flags(proxies, others))
+        flagged.append(aligned_to_targets(targets, flags, raised=True))
         by_scenario = monthly_frequency(flags, ["scenario"])
         freq.append(closes.select("symbol").distinct().join(F.broadcast(by_scenario)))
     for s in own:

@@ -116,6 +116,14 @@ def coverage_report(rows: DataFrame, baseline: DataFrame, keys: list[str], horiz
                     (1 - safe_div("pinball", "base_pinball")).alias("skill"), (F.abs(err) <= 2 * se).alias("calibrated"))
 
 
+def coverage_verdict(report: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: the level that misses most in standard errors (the lower of equals), by how much, and whether all hold."""
+    miss = F.abs("error") / F.col("standard_error")
+    worst = F.max(F.struct(F.round(miss, 6).alias("miss"), (-F.col("level")).alias("low")))
+    g = report.groupBy(*keys).agg(F.count("*").alias("levels"), worst.alias("w"), F.min("calibrated").alias("calibrated"))
+    return g.select(*keys, "levels", (-F.col("w.low")).alias("worst_level"), F.col("w.miss").alias("worst_miss"), "calibrated")
+
+
 def surface_ruggedness(grid: DataFrame, keys: list[str], x: str, y: str, value: str, reference_steps: float = 4.0) -> DataFrame:
     """Mean neighbour difference over the spread, scaled by grid density, with its verdict."""
     wx = Window.partitionBy(*keys, y).orderBy(x)
