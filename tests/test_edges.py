@@ -96,3 +96,18 @@ def test_long_labels_match_whole(spark):
     docs = spark.createDataFrame([(1, label), (2, label[:45])], "doc_id int, text string")
     got = {r.doc_id: r.labels_present for r in section_coverage(docs, [], [label]).collect()}
     assert got == {1: 1, 2: 0}
+
+
+def test_ledger_keeps_contracts_apart(spark):
+    from tidewright.operators.portfolio import ledger
+
+    order = "account long, seq long, action string, side string, contracts int, fill_price double, spot double, strike double, kind string, expiry string"
+    rows = [
+        (1, 1, "open", "buy", 2, 1.0, 100.0, 100.0, "call", "a"), (1, 2, "open", "sell", 1, 2.0, 100.0, 90.0, "put", "a"), (1, 3, "close", "sell", 3, 1.5, 100.0, 100.0, "call", "a"),
+        (1, 4, "close", "sell", 1, 1.5, 100.0, 100.0, "call", "b"), (1, 5, "close", "sell", 1, 0.0, 100.0, 100.0, "call", "a"), (1, 6, "open", "buy", 0, 1.0, 100.0, 100.0, "call", "a"),
+        (1, 7, "expire", "buy", None, None, None, 90.0, "put", "a"), (1, 8, "expire", "buy", None, None, 95.0, 90.0, "put", "a"), (1, 9, "close", "sell", None, 1.5, 100.0, 100.0, "call", "a"),
+    ]
+    got = ledger(spark.createDataFrame(rows, order)).orderBy("seq").collect()
+    assert [r.status for r in got] == ["done", "done", "refused", "nothing open", "refused", "refused", "waiting", "done", "done"]
+    assert [r.collateral for r in got][1] == 9000 and got[7].collateral == 0 and got[8].open_positions == 0
+    assert abs(got[8].realized - (got[8].cash - 100_000)) < 1e-9

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,52 +27,71 @@ LEDGER = "account bigint, seq bigint, action string, status string, cash double,
 
 
 class _Account:
-    """Running state of one account: cash, realised result and open positions, oldest first."""
+    """Running state of one account: cash, realised result and the open lines of each contract, oldest first."""
 
     def __init__(self, cash: float) -> None:
-        self.cash, self.realized, self.open = cash, 0.0, []
-
-    @property
-    def collateral(self) -> float:
-        return sum(p[2] for p in self.open)
+        self.cash, self.realized, self.collateral, self.count = cash, 0.0, 0.0, 0
+        self.lines: dict[tuple, deque] = {}
 
     def apply(self, r) -> str:
+        if r.status:
+            return r.status
+        contract = (r.kind, r.strike, getattr(r, "expiry", None))
         if r.action == "open":
-            premium, fee = r.fill_price * r.contracts * SHARES, COMMISSION * r.contracts
-            sell, held = r.side == "sell", 0.0
-            if sell:
-                call = max((REG_T * r.spot - max(r.strike - r.spot, 0.0) + r.fill_price), REG_T_FLOOR * r.spot + r.fill_price, 0.0)
-                held = (r.strike if r.kind == "put" else call) * r.contracts * SHARES
-            effect = (premium if sell else -premium) - fee
-            if held - effect > self.cash - self.collateral + 1e-9:
+            effect = r.premium - r.fee
+            if r.held - effect > self.cash - self.collateral + 1e-9:
                 return "refused"
             self.cash += effect
-            self.realized -= fee
-            self.open.append((-r.contracts if sell else r.contracts, r.fill_price, held, r.strike, r.kind))
+            self.realized -= r.fee
+            self.collateral += r.held
+            self.count += 1
+            self.lines.setdefault(contract, deque()).append([-r.contracts if r.side == "sell" else r.contracts, r.fill_price, r.held])
             return "done"
-        if not self.open:
+        own = self.lines.get(contract)
+        if not own:
             return "nothing open"
-        n, entry, held, strike, kind = self.open[0]
-        size = abs(n) if r.action == "expire" or not r.contracts else min(r.contracts, abs(n))
+        n, entry, held = own[0]
+        size = abs(n) if r.action == "expire" or not r.contracts else r.contracts
+        if size > abs(n):
+            return "refused"
         sign = 1 if n > 0 else -1
-        if r.action == "expire":
-            price, fee = max(r.spot - strike, 0.0) if kind == "call" else max(strike - r.spot, 0.0), 0.0
+        fee = 0.0 if r.action == "expire" else COMMISSION * size
+        self.cash += r.price * size * SHARES * sign - fee
+        self.realized += (r.price - entry) * size * SHARES * sign - fee
+        freed = held * size / abs(n)
+        self.collateral -= freed
+        if size < abs(n):
+            own[0] = [n - sign * size, entry, held - freed]
         else:
-            price, fee = r.fill_price, COMMISSION * size
-        self.cash += price * size * SHARES * sign - fee
-        self.realized += (price - entry) * size * SHARES * sign - fee
-        left = abs(n) - size
-        self.open[0:1] = [(sign * left, entry, held - held * size / abs(n), strike, kind)] if left else []
+            own.popleft()
+            self.count -= 1
+            self.collateral = self.collateral if self.count else 0.0
         return "done"
 
 
+def _valued(orders: DataFrame) -> DataFrame:
+    """Orders with premium, fee, collateral and price as columns, and the status of those that need no state."""
+    sell, size = F.col("side") == "sell", F.col("contracts")
+    premium = F.col("fill_price") * size * SHARES
+    call = F.greatest(REG_T * F.col("spot") - F.greatest(F.col("strike") - F.col("spot"), F.lit(0.0)) + F.col("fill_price"), REG_T_FLOOR * F.col("spot") + F.col("fill_price"), F.lit(0.0))
+    held = F.when(sell, F.when(F.col("kind") == "put", F.col("strike")).otherwise(call) * size * SHARES).otherwise(0.0)
+    value = F.greatest(F.when(F.col("kind") == "call", F.col("spot") - F.col("strike")).otherwise(F.col("strike") - F.col("spot")), F.lit(0.0))
+    expires, opens = F.col("action") == "expire", F.col("action") == "open"
+    unpriced = ~expires & ~F.coalesce(F.col("fill_price") > 0, F.lit(False))
+    unsized = F.when(opens, ~F.coalesce(size > 0, F.lit(False))).when(expires, False).otherwise(F.coalesce(size < 0, F.lit(False)))
+    status = F.when(expires & F.col("spot").isNull(), "waiting").when(unpriced | unsized, "refused").otherwise("")
+    return orders.withColumns({"contracts": F.coalesce(size, F.lit(0)), "premium": F.when(sell, premium).otherwise(-premium), "fee": F.coalesce(COMMISSION * size, F.lit(0.0)), "held": held, "price": F.when(expires, value).otherwise(F.col("fill_price")), "status": status})
+
+
 def ledger(orders: DataFrame, starting_cash: float = 100_000.0) -> DataFrame:
-    """Fold each account's orders in sequence: opens (refused beyond buying power), closes and expiries of the oldest line.
+    """Fold each account's orders in sequence.
 
-    Orders are dealt out by account and sorted by sequence; the fold runs over Arrow batches and
-    carries one account's state from batch to batch, so no account is ever held in memory as a whole.
+    A contract is its kind, strike and, where the orders have the column, expiry. Opens beyond buying power are refused, and so are orders without a size or a price and closes of more than the contract's oldest line holds;
+    a close without a size takes the whole line. An expiry settles the contract's oldest line at intrinsic value, and waits
+    while there is no spot. Orders are dealt out by account and sorted by sequence; the fold runs over Arrow batches and
+    carries one account's state from batch to batch, so no account's orders are ever held in memory as a whole.
     """
-    sorted_orders = dealt(orders, "account").sortWithinPartitions("account", "seq")
+    sorted_orders = dealt(_valued(orders), "account").sortWithinPartitions("account", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
@@ -81,7 +101,7 @@ def ledger(orders: DataFrame, starting_cash: float = 100_000.0) -> DataFrame:
                 if r.account != current:
                     current, state = r.account, _Account(starting_cash)
                 status = state.apply(r)
-                out.append((r.account, r.seq, r.action, status, state.cash, state.realized, state.collateral, len(state.open)))
+                out.append((r.account, r.seq, r.action, status, state.cash, state.realized, state.collateral, state.count))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER.split(", ")])
 
     return sorted_orders.mapInPandas(run, LEDGER)
