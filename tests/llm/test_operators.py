@@ -256,7 +256,7 @@ def test_nearest_has_high_recall(spark):
     vectors[100:1100] = vectors[100]
     rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)] + [(5000, None, 1), (5020, [0.0] * 16, 1), (5040, [float("nan")] * 16, 1), (5060, [1.0], 1), (5080, [None] * 16, 1), (None, vectors[0].tolist(), 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    got = nearest(frame, candidates=900).collect()
+    got = nearest(frame, candidates=400).collect()
     exact = vectors.astype(float) @ vectors.astype(float).T
     hits = total = 0
     by = defaultdict(list)

@@ -2,9 +2,13 @@
 
 Both halves of the vectors are quantised by codebooks of their own; a cell is a pair of centroids. A query walks the pairs by
 summed inner product of its halves with the centroids, best first, with a heap over the two sorted lists, until the cells that
-it has seen hold ``candidates`` vectors; these are reranked on the original vectors in double precision. Equal vectors are one
-entry with its smallest ids, as many as a result can use, so copies cost nothing; a cell with many different vectors is dealt
-over blocks of bounded size and its queries visit each. Codebooks are fitted on a bounded sample, but every vector is indexed.
+it has seen hold enough vectors; these are reranked on the original vectors in double precision. Equal vectors are one entry
+with its smallest ids, as many as a result can use, so copies cost nothing. Cells of one first centroid lie together, dealt over
+blocks of bounded size; a query goes to each block with the cells that it visits there. Codebooks are fitted on a bounded
+sample, but every vector is indexed.
+
+How many vectors a query must see depends on the data. Vectors without structure, which are close to nothing in particular, need
+a large share: SHARE is set for them (64 independent components: recall 0.95); clustered vectors can do with far less.
 """
 
 from __future__ import annotations
@@ -20,9 +24,11 @@ from pyspark.sql import functions as F
 from tidewright.session import checkpointed
 
 SAMPLE = 20_000  # vectors that the codebooks are fitted on, at most about so many
-CANDIDATES = 4000
-BLOCK = 2000
-MOST_CENTROIDS = 256
+CANDIDATES = 4000  # vectors that a query sees at least,
+SHARE = 0.45  # and the share of all entries
+BLOCK = 8000  # entries scored together, about
+QUERIES = 64  # queries scored together
+MOST_CENTROIDS = 128
 ROUNDS = 12
 
 
@@ -98,7 +104,7 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     return good.filter(F.size("embedding") == size), size
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, candidates: int = CANDIDATES) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, candidates: int = CANDIDATES, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found for each query, a row whose id ``every`` divides.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do rows
@@ -115,7 +121,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, candidates: int =
     entries = few.groupBy("embedding").agg(F.min("vec_id").alias("entry"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
     entries = checkpointed(entries)
     n = entries.count()
-    centroids = int(min(MOST_CENTROIDS, max(2, (n / 64) ** 0.5)))
+    centroids = int(min(MOST_CENTROIDS, max(2, (n / 3) ** 0.5)))
+    enough = max(candidates, k + 1, int(share * n))
     rows = entries.filter(F.pmod(F.xxhash64("entry"), F.lit(1_000_000)) < F.lit(min(1_000_000, int(1e6 * SAMPLE / n) + 1))).select("embedding").toPandas()
     rows = rows if len(rows) else entries.limit(SAMPLE).select("embedding").toPandas()
     books = Codebooks.fit(np.array(rows["embedding"].tolist(), np.float64), centroids)
@@ -132,41 +139,55 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, candidates: int =
         held[cell] = count
     told = spark.sparkContext.broadcast(held)
 
+    wide = len(books.second)
+    parts = -(-held.reshape(-1, wide).sum(1) // BLOCK)  # blocks of each first centroid
+
     def visit(batches):
         for batch in batches:
-            queries = _matrix(batch.column("embedding"), size)
-            rows, cells, blocks = [], [], []
-            for i, q in enumerate(queries):
-                for cell in shared.value.walk(q, told.value, max(candidates, k + 1)):
-                    parts = -(-int(told.value[cell]) // BLOCK)
-                    rows += [i] * parts
-                    cells += [cell] * parts
-                    blocks += range(parts)
-            yield pa.RecordBatch.from_arrays([batch.column("query").take(pa.array(rows, pa.int64())), batch.column("embedding").take(pa.array(rows, pa.int64())), pa.array(cells, pa.int64()), pa.array(blocks, pa.int64())], ["query", "q", "cell", "block"])
+            rows, firsts, blocks, cells = [], [], [], []
+            for i, q in enumerate(_matrix(batch.column("embedding"), size)):
+                seen = np.array(shared.value.walk(q, told.value, enough), np.int64)
+                for first in np.unique(seen // wide).tolist():
+                    own = (seen[seen // wide == first] % wide).astype(np.int32)
+                    for block in range(int(parts[first])):
+                        rows.append(i)
+                        firsts.append(first)
+                        blocks.append(block)
+                        cells.append(own)
+            rows = pa.array(rows, pa.int64())
+            cols = [batch.column("query").take(rows), batch.column("embedding").take(rows), pa.array(cells, pa.list_(pa.int32())), pa.array(firsts, pa.int64()), pa.array(blocks, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["query", "q", "cells", "first", "block"])
 
     def dealt(batches):
         for batch in batches:
-            parts = -(-told.value[batch.column("cell").to_numpy()] // BLOCK)
-            yield batch.append_column("block", pa.array(batch.column("entry").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) % parts.astype(np.uint64), pa.uint64()).cast(pa.int64()))
+            first = batch.column("cell").to_numpy() // wide
+            spread = batch.column("entry").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            block = spread.astype(np.int64) % np.maximum(parts[first], 1)
+            yield batch.append_column("first", pa.array(first, pa.int64())).append_column("block", pa.array(block, pa.int64()))
 
     asked = good.filter(F.col("vec_id") % every == 0).join(entries.select("embedding", "entry"), "embedding").select(F.col("vec_id").alias("query_id"), "entry")
     asked = checkpointed(asked)
     query = entries.join(asked.select("entry").distinct(), "entry").select(F.col("entry").alias("query"), "embedding")
-    visits = query.mapInArrow(visit, "query long, q array<float>, cell long, block long")
-    blocks = indexed.mapInArrow(dealt, "embedding array<float>, entry long, ids array<long>, cell long, block long")
+    visits = query.mapInArrow(visit, "query long, q array<float>, cells array<int>, first long, block long")
+    blocks = indexed.mapInArrow(dealt, "embedding array<float>, entry long, ids array<long>, cell long, first long, block long")
     schema = pa.schema([("query", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         left, right = left.combine_chunks(), right.combine_chunks()
-        v, entry = _matrix(right.column("embedding").combine_chunks(), size), right.column("entry").to_numpy()
+        v, entry, second = _matrix(right.column("embedding").combine_chunks(), size), right.column("entry").to_numpy(), right.column("cell").to_numpy() % wide
         out_q, out_s, out_i = [], [], []
-        for at in range(0, left.num_rows, 256):
-            part = left.slice(at, 256)
-            scores = _dots(_matrix(part.column("q").combine_chunks(), size), v)
+        for at in range(0, left.num_rows, QUERIES):
+            part = left.slice(at, QUERIES)
+            cells = part.column("cells").to_pylist()
+            visited = np.zeros((len(cells), wide), bool)
+            for i, own in enumerate(cells):
+                visited[i, own] = True
+            scores = np.where(visited[:, second], _dots(_matrix(part.column("q").combine_chunks(), size), v), -np.inf)
             for q, s in zip(part.column("query").to_pylist(), scores):
-                top = np.flatnonzero(s >= np.partition(s, -(k + 1))[-(k + 1)]) if len(s) > k + 1 else np.arange(len(s))
+                least = np.partition(s, -(k + 1))[-(k + 1)] if len(s) > k + 1 else -np.inf
+                top = np.flatnonzero((s >= least) & (s > -np.inf))
                 top = top[np.lexsort((entry[top], -s[top]))][: k + 1]
                 out_q += [q] * len(top)
                 out_s.append(s[top])
@@ -174,7 +195,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, candidates: int =
         found = np.concatenate(out_i)
         return pa.table([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_s)), right.column("ids").combine_chunks().take(pa.array(found))], schema=schema)
 
-    scored = visits.groupBy("cell", "block").cogroup(blocks.groupBy("cell", "block")).applyInArrow(rerank, "query long, score double, ids array<long>")
+    scored = visits.groupBy("first", "block").cogroup(blocks.groupBy("first", "block")).applyInArrow(rerank, "query long, score double, ids array<long>")
     ids = scored.select("query", "score", F.explode("ids").alias("vec_id"))
     best = ids.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("place") <= k + 1)
     best = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))
