@@ -19,7 +19,7 @@ from tidewright.llm.multi_index import nearest
 from tidewright.llm.ngram_jaccard import ngram_jaccard_join
 from tidewright.llm.path_templates import judge_urls
 from tidewright.llm.queries import settings
-from tidewright.llm.weak_pii import SpanClassifier, base_matches, candidates, personal_spans
+from tidewright.llm.weak_pii import SpanClassifier, base_matches, candidates, loose_matches, personal_spans
 
 SCHEMA = "doc_id long, text string, lang string, source string, size string, keys string, node string"
 
@@ -29,6 +29,21 @@ def small_batches(spark):
     settings(spark)
 
 
+def test_words_of_parts_hash_alike(monkeypatch):
+    from tidewright.llm import words as w
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abé \n\t") for _ in range(rng.randrange(0, 90))).encode() for _ in range(60)] + [None, b"", b"  "]
+    whole, counts = w.word_hashes(texts)
+    assert counts.tolist() == [len((t or b"").split()) for t in texts]
+    by_hash = dict(zip(whole.tolist(), [x for t in texts for x in (t or b"").split()]))
+    assert len(by_hash) == len(set(by_hash.values()))
+    for size in (1, 7, 50):
+        monkeypatch.setattr(w, "PART_BYTES", size)
+        again, n = w.word_hashes(texts)
+        assert (again == whole).all() and (n == counts).all()
+
+
 def table(spark, rows):
     """Documents with columns whose names clash with the operators' own."""
     return spark.createDataFrame([(i, t, lang, src, "x", "y", "z") for i, t, lang, src in rows], SCHEMA)
@@ -218,6 +233,13 @@ def test_base_patterns_match_as_written():
         assert got == [(kinds.index(n), *m.span()) for n in kinds for m in re.finditer(BASE[n], text)]
 
 
+def test_loose_spellings():
+    text = "a.b (at) mail (dot) org, c[at]d.net, (212) 555-0100, 212-555-0101, x212 555 0102, +1 212-555-0103, 1212-555-0104, 212-555-0105-1, 212) 555-0106"
+    got = [text[s:e] for _, s, e in loose_matches(text)]
+    assert got == ["a.b (at) mail (dot) org", "c[at]d.net", "(212) 555-0100", "212-555-0101", "212 555 0102", "212-555-0103"]
+    assert [text[s:e] for _, s, e, _ in candidates(text)[1]] == got[:-1]
+
+
 def test_long_runs_take_linear_time():
     for text in ("a" * 10**6, "1" * 10**6, "1." * 10**5, "@" * 10**5, "+1" * 10**5, "a.b@c." * 10**5, "1 " * 10**5):
         candidates(text)

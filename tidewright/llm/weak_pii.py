@@ -28,8 +28,8 @@ NO, NONE, YES = 0, 1, 2
 ACCEPT = 0.9
 STEPS = 60
 
-# Base patterns. Lookbehind and possessive repeats only save tries that cannot match.
-IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+# Base patterns. Lookbehind (a match starts with a run of digits) and possessive repeats only save tries that cannot match.
+IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,7 +37,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 
 LOOSE = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}){1,6}"),
-    "phone": re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])"),
+    "phone": re.compile(r"[0-9]{3}(?:\) ?|[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])"),
 }
 GAZETTEER = {
     "email": frozenset("com org net edu gov info io de fr es uk eu it nl ch at".split()),
@@ -90,6 +90,21 @@ def base_matches(text: str) -> Iterator[tuple[int, int, int, bool]]:
         yield 3, *m.span(), 8 <= sum(c.isdigit() for c in m[0]) <= 15
 
 
+def loose_matches(text: str) -> Iterator[tuple[int, int, int]]:
+    """(kind, start, end) of spellings beyond the base patterns: name (at) host, and local phone numbers."""
+    if "(at)" in text or "[at]" in text:
+        for m in LOOSE["email"].finditer(text):
+            yield 0, *m.span()
+    for m in LOOSE["phone"].finditer(text):
+        start = m.start()
+        if text[start + 3] == ")":
+            if text[start - 1 : start] != "(":
+                continue
+            start -= 1
+        if text[max(0, start - 1) : start] not in tuple("0123456789+.-"):
+            yield 3, start, m.end()
+
+
 def _vote(kind: int, span: str, before: str, after: str, base: int) -> int:
     """The votes on a span and its length, as one number."""
     name = KINDS[kind]
@@ -114,24 +129,23 @@ def _vote(kind: int, span: str, before: str, after: str, base: int) -> int:
 def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]], list[int]]:
     """Base spans, other candidates with their votes, and the votes on all candidates."""
     base, more, codes = [], [], []
+    starts: list[list[tuple[int, int]]] = [[] for _ in KINDS]
     for kind, start, end, passes in base_matches(text):
         if passes:
             base.append((kind, start, end))
+            starts[kind].append((start, end))
         if passes or end - start >= 7:
             code = _vote(kind, text[start:end], text[max(0, start - 40) : start], text[end : end + 1], YES if passes else NO)
             codes.append(code)
             if not passes and kind == 2 and 13 <= sum(c.isdigit() for c in text[start:end]) <= 15:
                 more.append((kind, start, end, code))
-    for name, pattern in LOOSE.items():
-        kind = KINDS.index(name)
-        own = [s for s in base if s[0] == kind]
-        starts = [s for _, s, _ in own]
-        for m in pattern.finditer(text):
-            last = bisect_left(starts, m.end()) - 1  # base spans are in order and apart
-            if last < 0 or own[last][2] <= m.start():
-                code = _vote(kind, m[0], text[max(0, m.start() - 40) : m.start()], text[m.end() : m.end() + 1], NONE)
-                codes.append(code)
-                more.append((kind, *m.span(), code))
+    for kind, start, end in loose_matches(text):
+        own = starts[kind]
+        last = bisect_left(own, (end,)) - 1  # base spans are in order and apart
+        if last < 0 or own[last][1] <= start:
+            code = _vote(kind, text[start:end], text[max(0, start - 40) : start], text[end : end + 1], NONE)
+            codes.append(code)
+            more.append((kind, start, end, code))
     return base, more, codes
 
 

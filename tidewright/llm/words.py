@@ -5,6 +5,7 @@ A word is a run of bytes other than space, tab, LF, VT, FF and CR; ``bytes.split
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -49,7 +50,9 @@ def _powers(size: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-SIZE = CHUNK_BYTES + (1 << 20)
+PART_BYTES = 2 << 20
+A_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+SIZE = PART_BYTES + (1 << 16)
 BASE = 0x9E3779B97F4A7C15 | 1
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -65,21 +68,34 @@ def powers(size: int, base: int) -> np.ndarray:
     return _POWERS[base][:size]
 
 
-def word_hashes(texts: list, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in order, and the number of words of each text.
-
-    The hash of a word is a polynomial in its bytes, taken from one running sum over all texts; ``lower`` reads A-Z as a-z.
-    """
-    joined = b" ".join([x or b"" for x in texts]) + b" "
-    raw = np.frombuffer(joined, np.uint8)
+def _hashed(part: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of bytes that end with a blank."""
+    raw = np.frombuffer(part, np.uint8)
     blank = BLANK[raw]
     before = np.concatenate([[True], blank[:-1]])
     starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((LOWER if lower else BYTES)[raw] * powers(len(raw), BASE), out=sums[1:])
+    np.cumsum(table[raw] * powers(len(raw), BASE), out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * powers(len(raw), pow(BASE, -1, 1 << 64))[starts]
+    return mix(hashes + (ends - starts).astype(np.uint64)), starts
+
+
+def word_hashes(texts: list, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in order, and the number of words of each text.
+
+    The hash of a word is a polynomial in its bytes, taken from one running sum over the texts; ``lower`` reads A-Z as a-z.
+    Long texts are read in parts that end between words, as the sums take many times a part's bytes.
+    """
+    joined = b" ".join([x or b"" for x in texts]) + b" "
+    found, at = [], 0
+    while at < len(joined):
+        blank = A_BLANK.search(joined, min(at + PART_BYTES, len(joined) - 1))
+        hashes, starts = _hashed(joined[at : blank.end()], LOWER if lower else BYTES)
+        found.append((hashes, starts + at))
+        at = blank.end()
+    hashes, starts = (np.concatenate([f[k] for f in found]) for k in (0, 1))
     edges = np.cumsum([len(x or b"") + 1 for x in texts])
-    return mix(hashes + (ends - starts).astype(np.uint64)), np.diff(np.searchsorted(starts, edges), prepend=0).astype(np.int64)
+    return hashes, np.diff(np.searchsorted(starts, edges), prepend=0).astype(np.int64)
 
 
 def window_hashes(words: np.ndarray, counts: np.ndarray, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
