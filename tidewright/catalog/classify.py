@@ -152,3 +152,12 @@ def _(t: Tables):
     model, v = cl.boosted_regime(cl.chronological_split(features(t)), PAIRS, "signal")
     cells = cl.confusion(model.transform(v).filter("split = 'test'"), "signal", "prediction")
     return rounded(cl.scores(cells, [0, 1, 2]))
+
+
+@query("q7_direction_report")
+def _(t: Tables):
+    """The direction model on rows that the regime model does not call neutral, scored on the test rows."""
+    regime, v = cl.perceptron(cl.standardise(cl.chronological_split(features(t)), PAIRS), PAIRS, "signal")
+    rows = cl.regime_filtered(regime.transform(v)).drop("features", "rawPrediction", "probability", "prediction")
+    model, w = cl.boosted_direction(rows.withColumn("direction", F.col("direction").cast("double")), PAIRS, "direction")
+    return rounded(cl.scores(cl.confusion(model.transform(w).filter("split = 'test'"), "direction", "prediction"), [0, 1]))
