@@ -29,7 +29,7 @@ CANDIDATES = 4000  # vectors that a query sees at least,
 SHARE = 0.45  # and the share of all entries
 BLOCK = 8000  # entries scored together, about
 QUERIES = 64  # queries scored together
-MOST_CENTROIDS = 128
+MOST_CENTROIDS = 64
 ROUNDS = 12
 
 
@@ -178,6 +178,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, candidates: int =
             return schema.empty_table()
         left, right = left.combine_chunks(), right.combine_chunks()
         v, entry, second = _matrix(right.column("embedding").combine_chunks(), size), right.column("entry").to_numpy(), right.column("cell").to_numpy() % wide
+        longest = np.sqrt((v**2).sum(1).max())
         out_q, out_s, out_i = [], [], []
         for at in range(0, left.num_rows, QUERIES):
             part = left.slice(at, QUERIES)
@@ -185,13 +186,17 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, candidates: int =
             visited = np.zeros((len(cells), wide), bool)
             for i, own in enumerate(cells):
                 visited[i, own] = True
-            scores = np.where(visited[:, second], _dots(_matrix(part.column("q").combine_chunks(), size), v), -np.inf)
-            for q, s in zip(part.column("query").to_pylist(), scores):
+            q_all = _matrix(part.column("q").combine_chunks(), size)
+            rough = np.where(visited[:, second], q_all @ v.T, -np.inf)
+            for q, vector, s in zip(part.column("query").to_pylist(), q_all, rough):
                 least = np.partition(s, -(k + 1))[-(k + 1)] if len(s) > k + 1 else -np.inf
-                top = np.flatnonzero((s >= least) & (s > -np.inf))
-                top = top[np.lexsort((entry[top], -s[top]))][: k + 1]
+                near = np.flatnonzero((s > -np.inf) & (s >= least - 1e-12 * np.linalg.norm(vector) * longest))
+                exact = _dots(vector[None], v[near])[0]
+                order = np.lexsort((entry[near], -exact))[: k + 1]
+                top = near[order]
+                s = exact[order]
                 out_q += [q] * len(top)
-                out_s.append(s[top])
+                out_s.append(s)
                 out_i.append(top)
         found = np.concatenate(out_i)
         return pa.table([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_s)), right.column("ids").combine_chunks().take(pa.array(found))], schema=schema)
