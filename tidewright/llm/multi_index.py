@@ -8,7 +8,7 @@ blocks of bounded size; a query goes to each block with the cells that it visits
 sample, but every vector is indexed.
 
 How many vectors a query must see depends on the data. Vectors without structure, which are close to nothing in particular,
-need a large share: SHARE is set for them (64 independent components: recall 0.92 on 10,256 vectors, 0.96 on 51,282); clustered
+need a large share: SHARE is set for them (64 independent components: recall 0.92 on 10,256 vectors, 0.94 on 51,282); clustered
 vectors can do with far less.
 """
 
