@@ -18,7 +18,7 @@ from tidewright.llm.ngram_jaccard import ngram_jaccard_join
 from tidewright.llm.queries import settings
 from tidewright.session import shared_folder
 
-MIN_SCORE = 0.2  # of the language filters; a text under it is in none of the learned languages
+MIN_SCORE = 0.7  # of the language filters, between texts of learned languages and of others (figures in the README); a text under it is in none of the learned languages
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

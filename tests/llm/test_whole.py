@@ -3,16 +3,30 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidewright.llm.line_chunks import dedup_lines
 from tidewright.llm.queries import settings
 
+SF_DIR = "/root/testdata/sf0.01"
+
 
 @pytest.fixture(scope="module", autouse=True)
 def small_batches(spark):
     settings(spark)
 
 
+@pytest.mark.parametrize("out", ["en", "de"])
+def test_language_left_out_of_the_learning_is_rejected(spark, out):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").filter("text rlike '[a-z]'")
+    some = docs.withColumn("lang", F.when(F.col("lang") != out, F.col("lang"))).checkpoint()
+    kept = corpus_pipeline.language_id(spark, some, SF_DIR).groupBy(F.col("lang").isNull().alias("foreign")).count().collect()
+    all_ = some.groupBy(F.col("lang").isNull().alias("foreign")).count().collect()
+    kept, all_ = ({r.foreign: r["count"] for r in x} for x in (kept, all_))
+    assert kept.get(True, 0) <= 0.02 * all_[True] and kept[False] >= 0.99 * all_[False]
+
+
 def test_mixed_chunks_find_runs_short_passages_and_copies(spark):
     rng = random.Random(6)
     line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(4))
