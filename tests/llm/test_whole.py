@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidewright.llm.licence_digests import known, licence_scan, register
 from tidewright.llm.line_chunks import dedup_lines
 from tidewright.llm.queries import settings
 
@@ -42,3 +43,22 @@ def test_mixed_chunks_find_runs_short_passages_and_copies(spark):
     assert all(got[1000 + 2 * k].n_removed == 0 for k in range(40)) and got[5001].n_removed == 0
     gone = [got[1001 + 2 * k].n_removed for k in range(40)]
     assert max(gone) <= 12 and sum(g > 0 for g in gone) >= 36 and sum(gone) > 0.5 * 12 * 40
+
+
+def test_licences_above_code_and_in_lines(spark):
+    text = {}
+    for i, t in known():
+        text[i] = max(text.get(i, ""), t, key=len)
+    rows, want = [], set()
+    for k, i in enumerate(("MIT", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-2-Clause", "BSD-3-Clause")):
+        words = text[i].split(" ")
+        wrapped = text[i] if len(text[i]) > 4000 else "\n".join(" ".join(words[j : j + 9]) for j in range(0, len(words), 9))
+        rows.append((k, "#!/bin/sh\n# Copyright 2020 Someone\n" + "\n".join(f"# {x}" for x in wrapped.split("\n")) + "\nimport os\n"))
+        want.add((k, i))
+    rows += [(50, "// SPDX-License-Identifier: MPL-2.0\nint x;"), (51, "# Tool\n\nThis project is licensed under the MIT License.\n"), (52, "Permission is hereby granted,\nfree of charge, to\nnobody"), (53, None)]
+    want |= {(50, "MPL-2.0"), (51, "MIT")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licence_scan(docs, register(spark)).collect()
+    assert want <= {(r.doc_id, r.license_id) for r in got} and not {52, 53} & {r.doc_id for r in got}
+    assert all(max(r.line for r in got if r.doc_id == k) >= 3 and min(r.line for r in got if r.doc_id == k) <= 4 for k in range(10))
+    assert {r.line for r in got if r.doc_id in (0, 1)} == {3} and len([r for r in got if r.doc_id == 0]) == 1

@@ -1,11 +1,16 @@
-"""Licence scans by canonical digest: whole texts and whole lines, normalised, are hash-joined to the digests of known licences.
+"""Licence scans by canonical digest: whole texts, lines and runs of lines, normalised, are hash-joined to the digests of known licences.
 
 Normalising lower-cases, drops copyright lines, brings equivalent spellings to one form and leaves words only. The register is
-a few texts and is broadcast after its size is checked; documents are scanned once and not shuffled.
+a few texts and is broadcast after its size is checked; documents are not shuffled. Runs of lines are formed only where a line
+starts with the first words of a known text, and only as long as such a text is.
 """
 
 from __future__ import annotations
 
+import hashlib
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +26,31 @@ LICENCES = [
     ("CC0-1.0", "Released under CC0 1.0."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
 ]
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+%sTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT %s OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+_GPL = """This program is free software%s you can redistribute it and/or modify it under the terms of the GNU %sGeneral Public License as published by the Free Software Foundation, either version %s of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU %sGeneral Public License for more details."""
+_SPDX = ["MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"]
+_NAMES = [("MIT", "MIT License"), ("ISC", "ISC License"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache 2.0 License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("MPL-2.0", "Mozilla Public License 2.0"), ("GPL-2.0", "GNU General Public License v2.0"), ("GPL-3.0", "GNU General Public License v3.0"), ("LGPL-3.0", "GNU Lesser General Public License v3.0"), ("AGPL-3.0", "GNU Affero General Public License v3.0")]
+# Further headers and texts, with those of ``licences/``; LICENCES is what the query's SQL has.
+FURTHER = [
+    ("BSD-2-Clause", _BSD % ("", "HOLDER")), ("BSD-2-Clause", _BSD % ("", "OWNER")),
+    ("BSD-3-Clause", _BSD % (_THIRD, "HOLDER")), ("BSD-3-Clause", _BSD % (_THIRD, "OWNER")),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *[(f"{kind}GPL-{v}.0", _GPL % (":", name, v, name)) for kind, name in (("", ""), ("L", "Lesser "), ("A", "Affero ")) for v in ("2", "3") if v == "3" or not kind],
+    *[(i, f"SPDX-License-Identifier: {i}") for i in _SPDX],
+    *[(i, f"This {what} is {how} under the {name}") for i, name in _NAMES for what in ("project", "software", "code", "work", "file") for how in ("licensed", "released")],
+    *[(i, f"{how} under the {name}") for i, name in _NAMES for how in ("Licensed", "Released", "Distributed")],
+]
+HEAD = 3  # words that a run of lines starts with
+MARKS = r"(?m)^[ \t]*(//+|#+|/?\*+|;+|--+)[ \t]*"  # of comments, taken off for runs of lines
+RUNNING = r"(?im)^[ \t]*(?=copyright[ \t]+(holder|owner|notice|law|licen[cs]e))"  # words of a wrapped sentence, no copyright line
+MOST_HEADS = 1000  # looked for by one pattern up to so many
 # Equivalent spellings.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("non-infringement", "noninfringement"), ("organisation", "organization"), ("authoris", "authoriz"), ("copyright owner", "copyright holder"), ("&", " and "), ("“", '"'), ("”", '"')]
 COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$|^[ \t]*all rights reserved\.?[ \t]*$"
@@ -41,24 +71,71 @@ def _one_line(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
 
 
+def _wrapped(text: Column) -> Column:
+    """The text with a stop before lines that go on with a word like "copyright holder", so that they stay."""
+    return F.regexp_replace(text, RUNNING, ". ")
+
+
+def known() -> list[tuple[str, str]]:
+    """All registered (license_id, text)."""
+    texts = sorted((Path(__file__).parent / "licences").glob("*.txt"))
+    return LICENCES + FURTHER + [(f.stem, f.read_text("utf-8")) for f in texts]
+
+
 def register(spark: SparkSession, licences=None) -> DataFrame:
-    """(license_id, digest) of licence texts, one row a digest."""
-    rows = spark.createDataFrame(LICENCES if licences is None else licences, "license_id string, text string")
-    told = rows.select("license_id", F.md5(_one_line(canonical(F.col("text")))).alias("digest"))
-    return told.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    """(license_id, digest, head, n_words) of licence texts, one row a digest; head is the text's first words."""
+    rows = spark.createDataFrame(known() if licences is None else licences, "license_id string, text string")
+    told = rows.select("license_id", F.explode(F.array(*[_one_line(canonical(t)) for t in (F.col("text"), _wrapped(F.col("text")))])).alias("body"))
+    told = told.select("license_id", F.md5("body").alias("digest"), F.split("body", " ").alias("w"))
+    told = told.select("license_id", "digest", F.array_join(F.slice("w", 1, HEAD), " ").alias("head"), F.size("w").alias("n_words"))
+    return told.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.min("head").alias("head"), F.min("n_words").alias("n_words"))
+
+
+def _runs(docs: DataFrame, licences: DataFrame) -> DataFrame:
+    """(doc_id, line, digest) of runs of several lines, short of the whole text, that are as long as a known text and start like it."""
+    sizes: dict[tuple, set] = {}
+    for r in licences.select("head", "n_words").distinct().toLocalIterator():
+        sizes.setdefault(tuple(r[0].split(" ")), set()).add(r[1])
+    sizes = {h: n for h, n in sizes.items() if len(h) == HEAD}
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, canon in zip(*(c.to_pylist() for c in batch.columns)):
+                words, at = [], []
+                for line, text in enumerate(canon.split("\n"), 1):
+                    w = text.split()
+                    if w:
+                        at.append((line, len(words), len(w)))
+                        words += w
+                ends = {start + n for _, start, n in at}
+                for line, start, n in at:
+                    for size in sizes.get(tuple(words[start : start + HEAD]), ()):
+                        if n < size < len(words) and start + size in ends:
+                            out.append((doc, line, hashlib.md5(" ".join(words[start : start + size]).encode()).hexdigest()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.string()])], ["doc_id", "line", "digest"])
+
+    told = docs.select(F.col("doc_id").cast("long"), canonical(_wrapped(F.regexp_replace("text", MARKS, ""))).alias("canon")).filter("canon is not null")
+    if len(sizes) <= MOST_HEADS:
+        told = told.filter(F.col("canon").rlike("(?m)^ *(?:" + "|".join("[ \\n]+".join(h) for h in sorted(sizes)) + ")(?![a-z0-9])") if sizes else F.lit(False))
+    return told.mapInArrow(run, "doc_id long, line long, digest string")
 
 
 def licence_scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
-    """(doc_id, line, license_id, digest) of each text (line 0) or line (from 1) that is a known licence, all of it.
+    """(doc_id, line, license_id, digest) of each text (line 0), line (from 1) or run of lines (its first) that is a known licence, all of it.
 
-    Lines count from 1 in the text as it is. Null, blank or wordless texts and lines match nothing. A text of one line is
+    ``licences`` is what ``register`` gives. Blank and copyright lines inside a run do not count. Lines count from 1 in the text as it is. Null, blank or wordless texts and lines match nothing. A text of one line is
     reported as text and as line. Repeated rows are reported for each, a null doc_id with null; an empty table gives an empty
     result; other columns are ignored.
     """
+    runs = _runs(docs, licences)
+    licences = licences.select("digest", "license_id")
     if licences.count() <= MOST_LICENCES:
         licences = F.broadcast(licences)
     told = docs.select("doc_id", canonical(F.col("text")).alias("canon"))
     told = told.select("doc_id", F.concat(F.array(F.md5(_one_line(F.col("canon")))), F.transform(F.split("canon", "\n", -1), lambda x: F.md5(F.trim(x)))).alias("digests"))
     units = told.select("doc_id", F.posexplode_outer("digests").alias("line", "digest"))
     nothing = F.lit("d41d8cd98f00b204e9800998ecf8427e")  # md5 of the empty text
-    return units.filter(F.col("digest") != nothing).join(licences, "digest").select("doc_id", F.col("line").cast("long").alias("line"), "license_id", "digest")
+    units = units.filter(F.col("digest") != nothing).select("doc_id", F.col("line").cast("long").alias("line"), "digest").unionByName(runs)
+    return units.join(licences, "digest").select("doc_id", "line", "license_id", "digest")
