@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.llm.capture_index import captures, write_archive
 from tidewright.llm.containment import contained_items
 from tidewright.llm.curriculum import curriculum_mix
+from tidewright.llm.hard_negatives import mine
 from tidewright.llm.language_bitmask import languages, learn
 from tidewright.llm.level_doubling import remove_repeats
 from tidewright.llm.licence_digests import COPYRIGHT, LICENCES, NO_WORD, SPELLINGS, licence_scan, register
 from tidewright.llm.line_chunks import dedup_lines
+from tidewright.llm.merkle import tampered_manifest
 from tidewright.llm.multi_index import nearest
 from tidewright.llm.ngram_jaccard import ngram_jaccard_join
 from tidewright.llm.path_templates import judge_urls
 from tidewright.llm.weak_pii import personal_spans
+from tidewright.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -179,3 +184,80 @@ def op3(read):
 def op1(read):
     """Personal data in every document."""
     return personal_spans(read("documents"))
+
+
+@query("op11_capture_index", r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS size, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS least FROM p)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INT), 5))::BIGINT >> CAST(15 - i % 4 * 5 AS INT)) & 31) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+FROM d""")
+def op11(read):
+    """Records of all pages, read back from archives through their capture index."""
+    pages = read("pages")
+    folder = f"{shared_folder(pages.sparkSession)}/captures-{uuid.uuid4().hex}"
+    write_archive(pages, folder, min_bytes=0)
+    found = captures(pages.sparkSession, folder, pages.select("url"), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op12_merkle_manifest", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)] AS fields,
+    CASE WHEN doc_id IS NULL THEN false ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295) % 5 = 0 END AS tampered FROM documents
+), f AS (
+  SELECT *, list_append(fields, text) AS kept, list_append(fields, CASE WHEN tampered THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END) AS shown FROM d
+), h AS (
+  SELECT doc_id, source, sha256(array_to_string(list_transform(kept, lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')), '')) AS leaf,
+    sha256(array_to_string(list_transform(shown, lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')), '')) AS presented FROM f
+), l AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM h
+), b(tree, lvl, i, n, d) AS (
+  SELECT tree, 0, i, n, leaf FROM l
+  UNION ALL SELECT tree, lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY i)) FROM b WHERE n > 1 GROUP BY tree, lvl, i // 16, n
+), t(lvl, i, n, d) AS (
+  SELECT 0, tree, (SELECT count(*) FROM b WHERE n = 1), d FROM b WHERE n = 1
+  UNION ALL SELECT lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lvl, i // 16, n
+), bs AS (
+  SELECT tree, lvl, i, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS x, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS y
+  FROM b WHERE n > 1 WINDOW w AS (PARTITION BY tree, lvl, i // 16 ORDER BY i)
+), ts AS (
+  SELECT lvl, i, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS x, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS y
+  FROM t WHERE n > 1 WINDOW w AS (PARTITION BY lvl, i // 16 ORDER BY i)
+), steps AS (
+  SELECT l.tree, l.i, bs.lvl AS step, x, y FROM l JOIN bs ON bs.tree = l.tree AND bs.i = CAST(floor(l.i / pow(16, bs.lvl)) AS BIGINT)
+  UNION ALL SELECT l.tree, l.i, 1000 + ts.lvl, x, y FROM l JOIN ts ON ts.i = CAST(floor(l.tree / pow(16, ts.lvl)) AS BIGINT)
+), path AS (SELECT tree, i, list(x ORDER BY step) AS xs, list(y ORDER BY step) AS ys FROM steps GROUP BY tree, i),
+g(tree, i, k, d, xs, ys) AS (
+  SELECT l.tree, l.i, 0, presented, coalesce(xs, []), coalesce(ys, []) FROM l LEFT JOIN path USING (tree, i)
+  UNION ALL SELECT tree, i, k + 1, sha256(xs[k + 1] || d || ys[k + 1]), xs, ys FROM g WHERE k < len(xs)
+)
+SELECT l.doc_id, leaf, b.d AS subroot, t.d AS root, sha256(array_to_string(list_transform(range(1, len(g.xs) + 1), lambda k: g.xs[k] || g.ys[k]), '')) AS proof_sha256,
+  g.d AS folded_root, g.d = t.d AS verified
+FROM l JOIN b ON b.tree = l.tree AND b.n = 1 JOIN g ON g.tree = l.tree AND g.i = l.i AND g.k = len(g.xs), t WHERE t.n = 1""")
+def op12(read):
+    """Leaf, roots and proof of every document, and what folding a tampered copy gives."""
+    return tampered_manifest(read("documents"))
+
+
+@query("op13_hard_negatives", r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""")
+def op13(read):
+    """Hard negatives of every anchor, below each of its positives; every seventh label is off by one."""
+    vectors = read("embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(vectors.withColumn("label", moved))
