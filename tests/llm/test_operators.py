@@ -327,3 +327,45 @@ def test_licences(spark):
     got = Counter((r.doc_id, r.line, r.license_id) for r in licence_scan(docs, register(spark)).collect())
     assert got == Counter([(1, 0, "MIT"), (1, 3, "MIT"), (2, 2, "Apache-2.0"), (None, 0, "MIT"), (None, 1, "MIT")])
     assert licence_scan(docs.limit(0), register(spark)).count() == 0 and licence_scan(docs, register(spark, []).limit(0)).count() == 0
+
+
+def near_misses(rng, n):
+    """Documents of one core and some of a dozen passages: most pairs lie just under the bound, some reach it."""
+    core, parts = [f"c{i}" for i in range(150)], [[f"p{k}w{i}" for i in range(14)] for k in range(12)]
+    return [" ".join(core + [w for k in sorted(rng.sample(range(12), 5)) for w in parts[k]]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("side, n", [(1 << 19, 100), (1 << 19, 200), (3000, 200)])
+def test_pairs_under_the_bound_are_sums_and_not_rows(spark, monkeypatch, side, n):
+    from tidewright.llm import ngram_jaccard as nj
+
+    monkeypatch.setattr(nj, "SIDE", side)
+    given = []
+    products = nj._products
+    monkeypatch.setattr(nj, "_products", lambda nodes, *more: given.append(nodes.count()) or products(nodes, *more))
+    rng = random.Random(n)
+    texts = near_misses(rng, n) + [" ".join(f"u{k}x{i}" for i in range(60 + k)) for k in range(20)] + [" ".join(f"u{k}x{i}" for i in range(60)) for k in range(20)]
+    texts += [words(rng, 400)] * 3 + [words(rng, 4)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_join(table(spark, rows)).collect()}
+    assert got == components_by_force(rows)
+    assert len(given) == 1 and given[0] <= len(rows)  # what the products read grows with the documents
+
+
+def components_by_force(rows):
+    sets = {i: shingle_set(t) for i, t, *_ in rows}
+    label = {i: i for i in sets}
+
+    def root(v):
+        while label[v] != v:
+            v = label[v]
+        return v
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    return {i: root(i) for i in ids}

@@ -136,4 +136,4 @@ def test_entry_with_and_without_the_subpackage(tmp_path, there):
         (tmp_path / "repo/corpus_pipeline.py").unlink()
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, sum(n.startswith('op') and n[2].isdigit() for n in q), set(e.oracle_sql()) <= set(q))"
     out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, check=True).stdout.split()
-    assert out[1:] == (["True", "10", "True"] if there else ["False", "0", "True"])
+    assert out[1:] == (["True", "13", "True"] if there else ["False", "0", "True"])

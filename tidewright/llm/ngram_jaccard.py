@@ -6,13 +6,16 @@ Two sets of n and m shingles with a Jaccard similarity of t or more share at lea
 2. of the shingles ordered by frequency, the first n - ceil(t * n) + 1 must hold one that the partner has too: only these
    columns of the matrix propose pairs. For a given pair the overlap that it needs follows from both sizes, and with it how
    early the column must stand in either row: pairs that share no column so early are discarded unseen;
-3. the overlap of a proposed pair is the product of its two rows, summed by block of pairs and held against the exact bound.
-
-Equal sets are one node (their smallest document). Pairs inside one component need no test, so that components are first found
-with few pairs: each node with the most central node of its columns, the one with the fewest shingles of its own, then the
-centre of each component with that of the largest in a column, until this links no more. What is left, nodes outside the largest
-component of a column with the others there, is tested pair by pair within the bounds. So a group of thousands of near copies
-costs about a pair for each, and no link between components is lost.
+3. overlaps of what is left are accumulated by a blocked product of the incidence matrix with its transpose, and held against
+   the exact bound of each pair.
+
+Equal sets are one node (their smallest document). Pairs inside one component need no test, so that first each node is tested
+with the most central node of its columns, the one with the fewest shingles of its own: a group of thousands of near copies costs
+about a pair for each. Columns that then still hold nodes of several components connect the nodes into groups, outside which
+there is no link. A group's rows of the matrix lie in blocks of about SIDE entries, apart by size class and by whether they are of
+the group's largest component; a task multiplies two blocks whose sizes allow links, at least one of them outside that component,
+and returns a forest of the links it found. Groups smaller than a block share one. So pairs just under the bound, of which a group
+may have as many as the square of its size, are sums in a task's matrix and never rows.
 """
 
 from __future__ import annotations
@@ -25,9 +28,13 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.blocks import ask, block_count, shared
 from tidewright.llm.graph import components
+from tidewright.llm.merkle import numbered
 from tidewright.llm.words import chunks, shingle_sets
 from tidewright.session import checkpointed
 
+SIDE = 1 << 19  # shingles of a block of documents, about; a product reads two blocks
+CELLS = 1 << 22  # sums of a product that are held at once, about
+
 
 def _profile(width: int, sets: bool):
     """Of each text: set size, digest of the set and, if asked for, the set."""
@@ -88,6 +95,78 @@ def _need(n: str, m: str, percent: int) -> str:
     return f"(({n} + {m}) * {percent} + {99 + percent}) div {100 + percent}"
 
 
+def _products(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of (node, n, label, group) rows, from products of two blocks each."""
+    kinds = nodes.groupBy("group", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    stat = kinds.groupBy("group").agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.sum("s").alias("total"))
+    nodes = checkpointed(nodes.join(stat, "group"))
+    small, large = nodes.filter(F.col("total") <= SIDE), nodes.filter(F.col("total") > SIDE)
+    shares = -(-(small.agg(F.sum("n")).first()[0] or 0) // SIDE)
+    packed = small.select("node", "label", F.concat(F.lit("-"), F.pmod(F.xxhash64("group"), F.lit(max(1, shares))).cast("string")).alias("product"), F.lit(0).alias("side"))
+    # sizes that may link are at most one class apart: a class is a little wider than the bound
+    size_class = F.floor(F.log("n") / F.log(F.lit(100.0001 / percent))).cast("int")
+    large = large.withColumn("class", size_class).withColumn("out", (F.col("label") != F.col("top")).cast("int")).withColumn("cell", F.concat_ws(":", "group", "class", "out"))
+    large = numbered(large.select("node", "label", "group", "class", "out", "cell"), "cell", "node")
+    room = F.greatest(F.lit(1), F.floor(F.lit(SIDE) / F.pow(F.lit(100.0001 / percent), F.col("class") + 1)))
+    large = checkpointed(large.select("node", "label", "group", "class", "out", F.floor(F.col("idx") / room).cast("long").alias("block")))
+    blocks = large.select("group", F.struct("class", "out", "block").alias("at")).distinct()
+    x, y = blocks.alias("x"), blocks.alias("y")
+    pairs = x.join(y, F.expr("x.group = y.group and x.at <= y.at and y.at.class - x.at.class <= 1 and x.at.out + y.at.out > 0"))
+    name = F.concat_ws(":", "x.group", "x.at.class", "x.at.out", "x.at.block", "y.at.class", "y.at.out", "y.at.block")
+    pairs = pairs.select(name.alias("product"), F.col("x.group").alias("group"), F.col("x.at").alias("x"), F.col("y.at").alias("y"))
+    sides = F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("at")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("at")), F.struct(F.lit(1).alias("side"), F.col("y").alias("at")))))
+    pairs = pairs.select("product", "group", sides.alias("s")).select("product", "group", "s.side", "s.at.*")
+    dealt_out = packed.union(large.join(pairs, ["group", "class", "out", "block"]).select("node", "label", "product", "side"))
+    rows = dealt_out.join(sets.select("node", "n", "keys"), "node")
+    return rows.groupBy("product").applyInArrow(lambda table: _forest(table, percent), "a long, b long")
+
+
+def _forest(table: pa.Table, percent: int) -> pa.Table:
+    """Multiply the rows of side 0 with those of side 1, or with themselves where there are none; links that join two labels."""
+    node, n, label, side = (table.column(c).to_numpy() for c in ("node", "n", "label", "side"))
+    keys = np.concatenate([np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()])
+    row = np.repeat(np.arange(len(node)), n)
+    key, df = np.unique(keys, return_inverse=True, return_counts=True)[1:]
+    often = df >= max(64, len(node) // 32)  # columns that are cheaper as dense ones
+    dense = np.zeros((len(node), int(often.sum())), np.float32)
+    at = np.cumsum(often) - 1
+    full = often[key]
+    dense[row[full], at[key[full]]] = 1
+    rest = ~full & (df[key] > 1)
+    row, key = row[rest], key[rest]
+    order = np.argsort(key, kind="stable")
+    holders, start = row[order], np.searchsorted(key[order], np.arange(len(df) + 1))
+    begin = np.searchsorted(row, np.arange(len(node) + 1))
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    links, step = [], max(1, CELLS // max(1, len(node)))
+    for lo in range(0, len(left), step):
+        some = left[lo : lo + step]
+        own = np.concatenate([key[begin[i] : begin[i + 1]] for i in some])
+        local = np.repeat(np.arange(len(some)), begin[some + 1] - begin[some])
+        counts = start[own + 1] - start[own]
+        ends = np.cumsum(counts)
+        where = np.repeat(start[own] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+        sums = np.bincount(np.repeat(local, counts) * len(node) + holders[where], minlength=len(some) * len(node)).reshape(len(some), len(node))[:, right]
+        sums = sums + (dense[some] @ dense[right].T).astype(np.int64)
+        i, j = np.nonzero((sums * (100 + percent) >= percent * (n[some][:, None] + n[right][None])) & (label[some][:, None] != label[right][None]))
+        i, j = some[i], right[j]
+        _, first = np.unique(np.stack([label[i], label[j]]), axis=1, return_index=True)
+        for k in first:
+            u, v = root(int(label[i[k]])), root(int(label[j[k]]))
+            if u != v:
+                parent[u] = v
+                links.append((int(node[i[k]]), int(node[j[k]])))
+    return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -120,26 +199,13 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     pairs = best.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
     links = checkpointed(_links(pairs, sets, percent))
     found = components(links)
-    nodes = columns.select("node", "rare").distinct()
-    while True:
-        own = nodes.join(found, "node", "left").select("node", "rare", F.coalesce("component", "node").alias("label"))
-        label = columns.select("key", "node", "n", "rank", "low").join(own, "node")
-        most = label.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"))
-        label = checkpointed(label.join(most.filter("labels > 1"), "key"))
-        apart = label.filter("label <> top.label").select("label", F.col("top.label").alias("other")).distinct()
-        centre = own.groupBy("label").agg(F.min(F.struct("rare", "node")).alias("x")).select("label", F.col("x.node").alias("a"))
-        tried = apart.join(centre, "label").join(centre.select(F.col("label").alias("other"), F.col("a").alias("b")), "other").select("a", "b")
-        linked = checkpointed(_links(tried, sets, percent))
-        if linked.isEmpty():
-            break
-        links = links.union(linked)
-        found = components(links)
-    early = label.filter(f"rank <= n - {_need('n', f'greatest(low, n * {percent} div 100)', percent)} + 1")
-    x, y = early.filter("label <> top.label").alias("x"), early.alias("y")
-    need = _need("x.n", "y.n", percent)
-    within = F.expr(f"x.key = y.key and x.label <> y.label and least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} and x.rank <= x.n - {need} + 1 and y.rank <= y.n - {need} + 1")
-    rest = x.join(y, within).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = checkpointed(_links(rest, sets, percent))
+    label = columns.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    label = label.filter(f"rank <= n - {_need('n', f'greatest(low, n * {percent} div 100)', percent)} + 1")
+    mixed = label.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("node").alias("hub")).filter("least <> most")
+    label = checkpointed(label.join(mixed, "key").select("node", "n", "label", "hub"))
+    group = components(label, "node", "hub").withColumnRenamed("component", "group")
+    nodes = label.select("node", "n", "label").distinct().join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))  # roots are not listed
+    more = checkpointed(_products(nodes, sets, percent))
     if not more.isEmpty():
         found = components(links.union(more))
     final = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
