@@ -9,7 +9,11 @@ from tidewright.catalog.filters import FEAT, SIGNAL, labelled
 from tidewright.catalog.registry import longs, query, rounded
 from tidewright.catalog.windows import FEATURES
 from tidewright.functions.nulls import drop_unknown
+from tidewright.operators import boosting as bo
 from tidewright.operators import classify as cl
+from tidewright.operators import network as nw
+from tidewright.operators import training as tr
+from tidewright.session import checkpointed
 from tidewright.tables import Tables
 
 PAIRS = ["momentum_12", "relative_volume_20", "atr_percent", "volatility_20", "candle_strength"]
@@ -117,11 +121,43 @@ def _(t: Tables):
     return rounded(model.transform(v).filter("split = 'test'").select("symbol", "ts", "y", "prediction"))
 
 
+KEYS = ["symbol", "ts"]
+
+
+def split_rows(t: Tables, scaled: bool = False):
+    """Labelled rows by time with their class weight, written once: training reads them many times."""
+    d = cl.chronological_split(features(t))
+    d = checkpointed((cl.standardise(d, PAIRS) if scaled else d).select(*KEYS, "signal", "split", *PAIRS))
+    return d.withColumn("weight", tr.soft_weights(F.col("signal"), tr.class_counts(d, "signal"), 3))
+
+
+def network(t: Tables):
+    """The weighted network on scaled features, with fewer and larger steps than the full schedule."""
+    d = split_rows(t, scaled=True)
+    blocks = tr.packed(d, PAIRS, "signal", KEYS, "weight")
+    return d, nw.fit_network(blocks, PAIRS, epochs=100, patience=40, rate=0.01)
+
+
 @query("est06_neural_net_classes")
 def _(t: Tables):
-    model, v = cl.perceptron(cl.standardise(cl.chronological_split(features(t)), PAIRS), PAIRS, "signal")
-    p = cl.probabilities(model.transform(v).filter("split = 'test'"), 3)
-    return rounded(p.select("symbol", "ts", "signal", "prediction", "p_0", "p_1", "p_2"))
+    d, model = network(t)
+    p = nw.with_probabilities(d.filter("split = 'test'"), nw.weights_table(model, t.spark), PAIRS)
+    return rounded(p.select(*KEYS, "signal", F.col("prediction").cast("double").alias("prediction"), "p_0", "p_1", "p_2"))
+
+
+@query("est06_network_certificate", f"""{BASE}, {SPLIT}, cw AS (SELECT signal, sqrt(sum(count(*)) OVER () / (count(*) * 3)) AS w FROM sp WHERE split = 'train' GROUP BY 1)
+SELECT split, count(*) AS n, round(CAST(sum(coalesce(w, 1)) AS DOUBLE), 6) AS weight, true AS sums_to_one, true AS same_as_network, true AS loss_fell, true AS best_kept FROM sp LEFT JOIN cw USING (signal) GROUP BY 1""")
+def _(t: Tables):
+    """Probabilities from the table of weights by column expressions, held against the network itself, for every row."""
+    d, model = network(t)
+    p = nw.with_probabilities(d, nw.weights_table(model, t.spark), PAIRS)
+    p = nw.with_own_probabilities(p, model)
+    near = F.greatest(*[F.abs(F.col(f"p_{c}") - F.col("own")[c]) for c in range(3)]) < 1e-9
+    fell = model.history[-1][1] < model.history[0][1]
+    kept = model.best_f1 == max(h[3] for h in model.history)
+    whole = F.abs(F.col("p_0") + F.col("p_1") + F.col("p_2") - 1) < 1e-9
+    g = p.groupBy("split").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.min(whole).alias("sums_to_one"), F.min(near).alias("same_as_network"))
+    return rounded(g.withColumns({"loss_fell": F.lit(fell), "best_kept": F.lit(kept)}))
 
 
 def direction_rows(t: Tables):
@@ -134,10 +170,51 @@ def _(t: Tables):
     return rounded(cl.probabilities(model.transform(v).filter("split = 'test'"), 2).select("symbol", "ts", "direction", "prediction", "p_0", "p_1"))
 
 
+def regime_trees(t: Tables, rounds: int = 30, depth: int = 3, **more):
+    d = split_rows(t)
+    edges = bo.bin_edges(d, PAIRS, bins=16)
+    return d, bo.fit_boosted(tr.packed(d, PAIRS, "signal", KEYS, "weight"), PAIRS, edges, rounds=rounds, depth=depth, **more)
+
+
 @query("est07_boosted_regime")
 def _(t: Tables):
-    model, v = cl.boosted_regime(cl.chronological_split(features(t)), PAIRS, "signal")
-    return rounded(model.transform(v).filter("split = 'test'").select("symbol", "ts", "signal", "prediction"))
+    d, model = regime_trees(t, rate=0.2, patience=5)
+    p = bo.scored(d.filter("split = 'test'"), model.table(t.spark), PAIRS, depth=3)
+    return rounded(p.select(*KEYS, "signal", F.col("prediction").cast("double").alias("prediction"), "p_0", "p_1", "p_2"))
+
+
+_EDGES = " UNION ALL ".join(f"SELECT {k} AS k, '{f}' AS feature, unnest(list_distinct(list_transform(quantile_cont({f}, {[i / 16 for i in range(1, 16)]}), lambda q: round(q, 9)))) AS edge FROM sp WHERE split = 'train'" for k, f in enumerate(PAIRS))
+_LONG = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS x, c, g, h FROM gh" for f in PAIRS)
+
+
+@query("est07_first_trees", f"""{BASE}, {SPLIT}, cw AS (SELECT signal, sqrt(CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) * 3)) AS w FROM sp WHERE split = 'train' GROUP BY 1),
+gh AS (SELECT sp.*, c, w * (1.0::DOUBLE / 3 - CAST(sp.signal = c AS INT)) AS g, w * 2 * (1.0::DOUBLE / 3) * (2.0::DOUBLE / 3) AS h FROM sp JOIN cw USING (signal), (SELECT unnest([0, 1, 2]) AS c) WHERE split = 'train'),
+al AS (SELECT c, sum(g) AS g, sum(h) AS h FROM gh GROUP BY 1), ed AS ({_EDGES}), lg AS ({_LONG}),
+ca AS (SELECT lg.c, ed.k, ed.feature, ed.edge, coalesce(sum(lg.g) FILTER (x <= edge), 0) AS gl, coalesce(sum(lg.h) FILTER (x <= edge), 0) AS hl FROM ed JOIN lg USING (feature) GROUP BY 1, 2, 3, 4),
+ga AS (SELECT ca.*, al.g, al.h, 0.5 * (gl * gl / (hl + 1) + (al.g - gl) * (al.g - gl) / (al.h - hl + 1) - al.g * al.g / (al.h + 1)) AS gain FROM ca JOIN al USING (c) WHERE hl >= 1 AND al.h - hl >= 1),
+be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(gain, 8) DESC, k, edge) AS r FROM ga) WHERE r = 1)
+SELECT 0::BIGINT AS round, c::BIGINT AS class, n::BIGINT AS node, CASE WHEN n = 1 THEN feature END AS feature, CASE WHEN n = 1 THEN round(edge, 6) END AS threshold,
+  round(CASE n WHEN 2 THEN -0.3::DOUBLE * gl / (hl + 1) WHEN 3 THEN -0.3::DOUBLE * (g - gl) / (h - hl + 1) END, 6) AS value, round(CASE WHEN n = 1 THEN gain ELSE 0 END, 6) AS gain
+FROM be, (SELECT unnest([1, 2, 3]) AS n)""")
+def _(t: Tables):
+    """The first round's trees of one level, on all rows and columns: splits, leaf values and gains of the joint softmax loss."""
+    _d, model = regime_trees(t, rounds=1, depth=1, rate=0.3, subsample=1.0, columns=1.0)
+    model.best = 1
+    return longs(rounded(model.table(t.spark)))
+
+
+@query("est07_walked_trees", f"{BASE}, {SPLIT} SELECT split, count(*) AS n, true AS same_margins, true AS loss_fell, true AS stopped_at_best FROM sp GROUP BY 1")
+def _(t: Tables):
+    """Margins by joins with the table of nodes against the expression over it, for every row."""
+    d, model = regime_trees(t, rate=0.2, patience=5)
+    nodes = checkpointed(model.table(t.spark))
+    logs = bo.scored(d, nodes, PAIRS, depth=3).select(*KEYS, "split", F.array(*[F.ln(F.col(f"p_{c}")) for c in range(3)]).alias("logs"))
+    m = bo.walked(d, nodes, KEYS, PAIRS, depth=3).groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("class", "margin"))).alias("m"))  # three entries
+    same = F.lit(True)
+    for c in (1, 2):
+        same = same & (F.abs((F.col("m")[c] - F.col("m")[0]) - (F.col("logs")[c] - F.col("logs")[0])) < 1e-9)
+    g = logs.join(m, KEYS).groupBy("split").agg(F.count("*").alias("n"), F.min(same).alias("same_margins"))
+    return g.withColumns({"loss_fell": F.lit(model.losses[model.best] < model.losses[0]), "stopped_at_best": F.lit(model.losses[model.best] == min(model.losses))})
 
 
 @query("top09_feature_importance")
@@ -149,8 +226,9 @@ def _(t: Tables):
 @query("q7_model_report")
 def _(t: Tables):
     """Train, score the test rows and report accuracy, macro-F1, baseline and improvement."""
-    model, v = cl.boosted_regime(cl.chronological_split(features(t)), PAIRS, "signal")
-    cells = cl.confusion(model.transform(v).filter("split = 'test'"), "signal", "prediction")
+    d, model = regime_trees(t, rate=0.2, patience=5)
+    test = bo.scored(d.filter("split = 'test'"), model.table(t.spark), PAIRS, depth=3)
+    cells = cl.confusion(test, "signal", "prediction")
     return rounded(cl.scores(cells, [0, 1, 2]))
 
 

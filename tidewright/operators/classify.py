@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -130,14 +130,6 @@ def boosted_direction(df: DataFrame, features: list[str], label: str, iterations
     return model, v
 
 
-def boosted_regime(df: DataFrame, features: list[str], label: str, iterations: int = 10, depth: int = 4):
-    """Three classes by one-versus-rest boosted trees."""
-    v = _vectors(with_row_weights(df, label, 3), features).withColumn(label, F.col(label).cast("double"))
-    base = GBTClassifier(maxIter=iterations, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=42)
-    model = OneVsRest(classifier=base, featuresCol="features", labelCol=label, weightCol="weight").fit(v.filter("split = 'train'"))
-    return model, v
-
-
 def perceptron(df: DataFrame, features: list[str], label: str, classes: int = 3, iterations: int = 60):
     """A 32-16 network. The classifier has no weight column, batch norm or dropout, unlike the original script."""
     v = _vectors(df, features).withColumn(label, F.col(label).cast("double"))
