@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewright.catalog.registry import query, rounded
-from tidewright.catalog.windows import BASE, INDEX, W, macro_daily
+from tidewright.catalog.windows import BASE, INDEX, STOCK, W, macro_daily
 from tidewright.operators import diagnostics as dg
 from tidewright.operators import estimators as es
 from tidewright.operators import macro
@@ -76,6 +76,19 @@ def _(t: Tables):
     return rounded(es.garch(t.stocks()), 4)
 
 
+@query("est08_garch_certificate", f"""{STOCK}, r AS (SELECT symbol, ln(close / lag(close) OVER {W}) AS r FROM stocks), k AS (SELECT symbol, count(*) AS n FROM r WHERE r IS NOT NULL GROUP BY 1 HAVING count(*) >= 60 AND stddev_pop(r * 100) >= 1e-12)
+SELECT symbol, n, true AS none_better, true AS stationary FROM k""")
+def _(t: Tables):
+    """Each symbol's fit has no neighbour in any parameter with a higher likelihood, recomputed by the block scan."""
+    s = checkpointed(t.stocks().select("symbol", "ts", "close"))
+    points = checkpointed(es.garch_points(s))
+    loss = es.garch_likelihood(s, points)
+    own, near = F.min(F.when(F.col("point") == 0, F.col("loss"))), F.min("loss")
+    fit = points.filter("point = 0").select("symbol", (F.col("alpha") + F.col("beta") < 1).alias("stationary"))
+    g = loss.groupBy("symbol").agg(F.max("n").alias("n"), (own <= near + 1e-6).alias("none_better"))
+    return g.join(fit, "symbol").select("symbol", "n", "none_better", "stationary")
+
+
 @query("est12_unit_root_tests")
 def _(t: Tables):
     return rounded(es.unit_root(t.stocks()), 5)

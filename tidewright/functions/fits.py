@@ -215,40 +215,73 @@ def quantile_moments(z: np.ndarray, q: np.ndarray, nodes: int = 96) -> tuple[np.
     return mean, np.where(ok, var, np.nan), np.where(ok, (c**3) @ wt / np.where(ok, var, 1) ** 1.5, np.nan)
 
 
-def garch_fit(r: np.ndarray, horizon: int, rounds: int = 10) -> tuple[float, float, float, float, float]:
-    """GARCH(1,1) with Student-t errors on percent returns: (horizon variance, omega, alpha, beta, nu).
+GARCH_STEP = np.array([0.01, 0.002, 0.002, 0.02])  # of log omega over the variance, alpha, beta and log degrees of freedom: the fit beats its neighbours at these steps
+GARCH_LOW, GARCH_HIGH = np.array([math.log(1e-3), 0.0, 0.0, math.log(2.1)]), np.array([0.0, 0.5, 0.999, math.log(60.0)])
 
-    All candidates of a round share one pass over the series; the box then shrinks around the best.
+
+def student_constant(nu: float) -> float:
+    """What minus twice the log density of a scaled Student-t has besides its logarithms of variance and square."""
+    return 2 * (math.lgamma(nu / 2) - math.lgamma((nu + 1) / 2)) + math.log(math.pi * (nu - 2))
+
+
+def garch_start(r: np.ndarray) -> float:
+    """Variance before the first return: squares of the first 75, weighted by powers of 0.94."""
+    weight = 0.94 ** np.arange(min(75, len(r)))
+    return float(np.sum(r[: len(weight)] ** 2 * weight) / weight.sum())
+
+
+def garch_losses(r: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minus twice the log likelihood of each point (rows of the four parameters), and the variance after the last return."""
+    omega, al, be, dof = np.exp(points[:, 0]) * float(np.mean(r**2)), points[:, 1], points[:, 2], np.exp(points[:, 3])
+    s2, total = np.full(len(points), garch_start(r)), np.zeros(len(points))
+    for x in r:
+        total += np.log(s2) + (dof + 1) * np.log1p(x * x / (s2 * (dof - 2)))
+        s2 = omega + al * x * x + be * s2
+    const = np.array([student_constant(v) for v in dof])
+    return np.where(al + be < 1, total + len(r) * const, np.inf), s2
+
+
+def garch_neighbours(point: np.ndarray) -> np.ndarray:
+    """The point, and what lies a step up or down each parameter within the bounds."""
+    around = [point] + [point + sign * step for step in np.diag(GARCH_STEP) for sign in (-1, 1)]
+    return np.array([p for p in around if (p >= GARCH_LOW - 1e-12).all() and (p <= GARCH_HIGH + 1e-12).all() and p[1] + p[2] < 1])
+
+
+def garch_fit(r: np.ndarray, horizon: int, rounds: int = 6) -> tuple[float, float, float, float, float, np.ndarray]:
+    """GARCH(1,1) with Student-t errors on percent returns: (horizon variance, omega, alpha, beta, nu, point).
+
+    All candidates of a round share one pass over the series; the box shrinks around the best for some rounds. Then a pattern of
+    three values a parameter moves with its best cell, and halves its steps where that is the middle, down to ``GARCH_STEP``.
     """
-    var = float(np.mean(r**2))
-    tau = min(75, len(r))
-    weight = 0.94 ** np.arange(tau)
-    start = float(np.sum(r[:tau] ** 2 * weight) / weight.sum())
-    lo, hi = np.array([math.log(1e-3), 0.0, 0.0, math.log(2.1)]), np.array([0.0, 0.5, 0.999, math.log(60.0)])
-    low, high = lo.copy(), hi.copy()
-    best, point = np.inf, (lo + hi) / 2
-    for k in range(rounds):
-        axes = [np.linspace(a, b, m) for a, b, m in zip(lo, hi, (6, 6, 8, 4) if k == 0 else (5, 5, 5, 4))]
-        om, al, be, nu = (g.ravel() for g in np.meshgrid(*axes, indexing="ij"))
-        omega, dof = np.exp(om) * var, np.exp(nu)
-        ok = al + be < 1
-        s2, total = np.full(len(om), start), np.zeros(len(om))
-        for x in r:
-            total += np.log(s2) + (dof + 1) * np.log1p(x * x / (s2 * (dof - 2)))
-            s2 = omega + al * x * x + be * s2
-        const = np.array([2 * (math.lgamma(v / 2) - math.lgamma((v + 1) / 2)) + math.log(math.pi * (v - 2)) for v in dof])
-        loss = np.where(ok, total + len(r) * const, np.inf)
+    lo, hi = GARCH_LOW.copy(), GARCH_HIGH.copy()
+    best, point, end = np.inf, (lo + hi) / 2, 0.0
+
+    def better(axes) -> bool:
+        nonlocal best, point, end
+        points = np.stack([g.ravel() for g in np.meshgrid(*axes, indexing="ij")], 1)
+        loss, s2 = garch_losses(r, points)
         i = int(np.argmin(loss))
-        if loss[i] <= best:
-            best, point, end = float(loss[i]), np.array([om[i], al[i], be[i], nu[i]]), float(s2[i])
+        if loss[i] < best:
+            best, point, end = float(loss[i]), points[i], float(s2[i])
+            return True
+        return False
+
+    for k in range(rounds):
+        better([np.linspace(a, b, m) for a, b, m in zip(lo, hi, (6, 6, 8, 4) if k == 0 else (5, 5, 5, 4))])
         half = (hi - lo) * 0.3
-        lo, hi = np.maximum(point - half, low), np.minimum(point + half, high)
+        lo, hi = np.maximum(point - half, GARCH_LOW), np.minimum(point + half, GARCH_HIGH)
+    scale = 16.0
+    while scale >= 1:
+        step = GARCH_STEP * scale
+        if not better([np.unique(np.clip([v - d, v, v + d], a, b)) for v, d, a, b in zip(point, step, GARCH_LOW, GARCH_HIGH)]):
+            scale /= 2
+    var = float(np.mean(r**2))
     omega, alpha, beta, nu = math.exp(point[0]) * var, point[1], point[2], math.exp(point[3])
     path, s2 = [], end
     for _ in range(horizon):
         path.append(s2)
         s2 = omega + (alpha + beta) * s2
-    return float(np.mean(path)), omega, float(alpha), float(beta), nu
+    return float(np.mean(path)), omega, float(alpha), float(beta), nu, point
 
 
 # MacKinnon (1994) response surface for one series with a constant.

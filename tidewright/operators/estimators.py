@@ -19,6 +19,7 @@ from tidewright.functions.nulls import drop_unknown
 from tidewright.functions.options import svi_variance
 from tidewright.operators import windows as win
 from tidewright.operators.asof import asof_join
+from tidewright.operators.scan import linear_recurrence
 from tidewright.session import checkpointed, dealt
 from tidewright.operators.options import density_moments, priced, return_moments, risk_neutral_density
 
@@ -113,53 +114,56 @@ def quantile_moments(df: DataFrame, levels: list[float] | None = None, column: s
     return m.select(*df.columns, *[clean(F.col(f"__m.{c}")).alias(c) for c in ("mean", "variance", "skew")])
 
 
-def ridge_fits(rows: DataFrame, key: str, features: list[str], target: str, ridge: float = 1.0) -> DataFrame:
-    """Ridge baseline per key with residual spread: Gram matrices by native partial aggregates, then a p x p solve per key.
+def ridge_fits(rows: DataFrame, key: str, features: list[str], target: str, ridge: float = 1.0, min_rows: int = 10) -> DataFrame:
+    """Ridge baseline per key with residual spread: means and co-moments by native partial aggregates, then a p x p solve per key.
 
-    Every column is centred on its mean over all rows first (one row, broadcast), so that products of large levels with small
-    deviations keep their digits.
+    Co-moments are centred on each key's own mean while they are merged, so that a key whose levels lie far from all others
+    keeps its digits. A key with fewer than ``min_rows`` complete rows gets a row with the reason in ``error`` and no model.
     """
     p = len(features)
-    d = drop_unknown(rows, [*features, target])
-    centre = checkpointed(d.agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate([*features, target])]))
-    d = d.crossJoin(F.broadcast(centre)).select(key, *[(F.col(c) - F.col(f"__m{i}")).alias(c) for i, c in enumerate([*features, target])])
-    m0 = np.array([v if v is not None else 0.0 for v in centre.first()])
+    complete = F.lit(True)
+    for c in [*features, target]:
+        complete = complete & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    d = rows.select(key, *[F.when(complete, F.col(c).cast("double")).alias(c) for c in [*features, target]])
     pairs = [(a, b) for a in range(p) for b in range(a, p)]
     g = d.groupBy(key).agg(
-        F.count("*").alias("n"), F.array(*[F.sum(c) for c in features]).alias("sx"), F.sum(target).alias("sy"), F.sum(F.col(target) * F.col(target)).alias("syy"),
-        F.array(*[F.sum(F.col(c) * F.col(target)) for c in features]).alias("sxy"), F.array(*[F.sum(F.col(features[a]) * F.col(features[b])) for a, b in pairs]).alias("sxx"),
-    ).filter("n >= 10")
+        F.count(target).alias("n"), F.array(*[F.avg(c) for c in features]).alias("mx"), F.avg(target).alias("my"), F.var_pop(target).alias("vy"),
+        F.array(*[F.covar_pop(c, target) for c in features]).alias("cxy"), F.array(*[F.covar_pop(features[a], features[b]) for a, b in pairs]).alias("cxx"),
+    )
 
     def run(batches):
+        columns = [key, "intercept", "coefficients", "residual_std", "n_train", "error"]
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                n, mx, my = r.n, np.array(r.sx) / r.n, r.sy / r.n
+                if r.n < min_rows:
+                    out.append([getattr(r, key), None, None, None, r.n, f"{r.n} rows"])
+                    continue
+                n, mx = r.n, np.array(r.mx)
                 cov = np.zeros((p, p))
-                for (a, b), v in zip(pairs, r.sxx):
-                    cov[a, b] = cov[b, a] = v / n - mx[a] * mx[b]
+                for (a, b), v in zip(pairs, r.cxx):
+                    cov[a, b] = cov[b, a] = v
                 sd = np.sqrt(np.maximum(np.diag(cov), 0))
                 keep = sd > 1e-12
                 s = sd[keep]
-                gram = n * cov[np.ix_(keep, keep)] / np.outer(s, s) + ridge * np.eye(keep.sum())
-                rhs = n * (np.array(r.sxy) / n - mx * my)[keep] / s
-                beta = np.linalg.solve(gram, rhs)
                 z = n * cov[np.ix_(keep, keep)] / np.outer(s, s)
-                rss = n * (r.syy / n - my * my) - 2 * beta @ rhs + beta @ z @ beta
+                rhs = n * np.array(r.cxy)[keep] / s
+                beta = np.linalg.solve(z + ridge * np.eye(keep.sum()), rhs)
+                rss = n * r.vy - 2 * beta @ rhs + beta @ z @ beta
                 coef = np.zeros(p)
                 coef[keep] = beta / s
-                out.append([getattr(r, key), my + m0[-1] - coef @ (mx + m0[:-1]), coef.tolist(), math.sqrt(max(rss, 0) / (n - 1)), n])
-            yield pd.DataFrame(out, columns=[key, "intercept", "coefficients", "residual_std", "n_train"])
+                out.append([getattr(r, key), r.my - coef @ mx, coef.tolist(), math.sqrt(max(rss, 0) / (n - 1)), n, None])
+            yield pd.DataFrame(out, columns=columns)
 
     kind = rows.schema[key].dataType.simpleString()
-    return g.mapInPandas(run, f"{key} {kind}, intercept double, coefficients array<double>, residual_std double, n_train bigint")
+    return g.mapInPandas(run, f"{key} {kind}, intercept double, coefficients array<double>, residual_std double, n_train bigint, error string")
 
 
 def ridge_forecast(rows: DataFrame, models: DataFrame, key: str, features: list[str], target: str, levels: list[float] | None = None) -> DataFrame:
     """Gaussian forecast per row, with the skew of the key's residuals measured natively."""
     x = F.array(*[F.col(c) for c in features])
     mean = F.col("intercept") + F.aggregate(F.zip_with("coefficients", x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    r = drop_unknown(rows, features).join(models, key).withColumn("mean", mean)
+    r = drop_unknown(rows, features).join(models.filter("error IS NULL").drop("error"), key).withColumn("mean", mean)
     res = r.withColumn("res", F.col(target) - F.col("mean"))
     skew = res.filter("res IS NOT NULL").groupBy(key).agg(F.skewness("res").alias("skew"))
     z = fits.normal_ppf(np.array(levels or LEVELS))
@@ -177,7 +181,7 @@ def garch(bars: DataFrame, horizon: int = 21, min_rows: int = 60) -> DataFrame:
         x = pdf.sort_values("ts")["r"].to_numpy(float)
         if len(x) < min_rows or x.std() < 1e-12:
             return pd.DataFrame([[pdf["symbol"].iloc[0], None, None, None, "failed"]], columns=["symbol", "forecast_pct", "long_run_pct", "persistence", "forecast_model"])
-        var, omega, alpha, beta, _ = fits.garch_fit(x, horizon)
+        var, omega, alpha, beta, _, _ = fits.garch_fit(x, horizon)
         keep = alpha + beta
         long_run = math.sqrt(omega / (1 - keep) * 252) if keep < 1 else None
         return pd.DataFrame([[pdf["symbol"].iloc[0], math.sqrt(var * 252), long_run, keep, "GARCH(1,1)"]], columns=["symbol", "forecast_pct", "long_run_pct", "persistence", "forecast_model"])
@@ -185,6 +189,39 @@ def garch(bars: DataFrame, horizon: int = 21, min_rows: int = 60) -> DataFrame:
     return dealt(r, "symbol").groupBy("symbol").applyInPandas(run, "symbol string, forecast_pct double, long_run_pct double, persistence double, forecast_model string")
 
 
+def garch_points(bars: DataFrame, min_rows: int = 60) -> DataFrame:
+    """(symbol, point, start, omega, alpha, beta, nu, const): the fit of each symbol as point 0 and its neighbours in each parameter."""
+    r = bars.select("symbol", "ts", (win.log_return("close") * 100).alias("r")).filter("r IS NOT NULL")
+    columns = ["symbol", "point", "start", "omega", "alpha", "beta", "nu", "const"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("ts")["r"].to_numpy(float)
+        if len(x) < min_rows or x.std() < 1e-12:
+            return pd.DataFrame([], columns=columns)
+        var, start = float(np.mean(x**2)), fits.garch_start(x)
+        near = fits.garch_neighbours(fits.garch_fit(x, 1)[5])
+        rows = [[pdf["symbol"].iloc[0], k, start, math.exp(p[0]) * var, p[1], p[2], math.exp(p[3]), fits.student_constant(math.exp(p[3]))] for k, p in enumerate(near)]
+        return pd.DataFrame(rows, columns=columns)
+
+    return dealt(r, "symbol").groupBy("symbol").applyInPandas(run, "symbol string, point int, start double, omega double, alpha double, beta double, nu double, const double")
+
+
+def garch_likelihood(bars: DataFrame, points: DataFrame) -> DataFrame:
+    """(symbol, point, n, loss): minus twice the Student-t log likelihood of each point of ``garch_points``.
+
+    The variance is a first-order recurrence, solved for all points at once by the block scan; the rest are sums of columns.
+    """
+    r = bars.select("symbol", "ts", (win.log_return("close") * 100).alias("r")).filter("r IS NOT NULL")
+    r = r.withColumn("before", F.lag("r").over(win.by_symbol()))
+    j = r.join(points, "symbol")
+    first = F.col("before").isNull()
+    decay = F.when(first, 0.0).otherwise(F.ln(F.greatest(F.col("beta"), F.lit(1e-17))))
+    add = F.when(first, F.col("start")).otherwise(F.col("omega") + F.col("alpha") * F.col("before") * F.col("before"))
+    j = linear_recurrence(j, decay, add, "s2", ["symbol", "point"])
+    term = F.ln("s2") + (F.col("nu") + 1) * F.log1p(F.col("r") * F.col("r") / (F.col("s2") * (F.col("nu") - 2))) + F.col("const")
+    return j.groupBy("symbol", "point").agg(F.count("*").alias("n"), F.sum(term).alias("loss"))
+
+
 def unit_root(bars: DataFrame, min_rows: int = 60) -> DataFrame:
     """Augmented Dickey-Fuller test per symbol."""
 
