@@ -38,6 +38,26 @@ def _(t: Tables):
     return rounded(m.select("symbol", "refit", "level", "intercept", used.alias("nonzero"), F.array_join("kept", " ").alias("kept"), "n_train", "error"))
 
 
+def stock_design(t: Tables):
+    """Each symbol's last return and last five with the next five sessions' return as the target."""
+    back = lambda k: win.pct_return("close", k)
+    d = t.stocks().select("symbol", "ts", back(1).alias("x"), back(5).alias("x5"), (F.lead("close", 5).over(win.by_symbol()) / F.col("close") - 1).alias("y"))
+    return checkpointed(d.filter("x IS NOT NULL AND x5 IS NOT NULL AND y IS NOT NULL"))
+
+
+@query("est03_optimality_certificate", f"""{STOCK}, x AS (SELECT symbol, ts, close / lag(close) OVER {W} - 1 AS x, close / lag(close, 5) OVER {W} - 1 AS x5, lead(close, 5) OVER {W} / close - 1 AS y FROM stocks),
+d AS (SELECT symbol, row_number() OVER {W} AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM x WHERE x IS NOT NULL AND x5 IS NOT NULL AND y IS NOT NULL),
+k AS (SELECT symbol, unnest(range(CAST(ceil((pos + 5) / 63) AS BIGINT), CAST(least(floor((pos + 5 + 249) / 63), floor(n / 63)) AS BIGINT) + 1)) AS k FROM d)
+SELECT symbol, CAST(k * 63 AS BIGINT) AS refit, level, count(*) AS n_train, true AS inside_box, true AS stationary, true AS gap_closed
+FROM k, (SELECT unnest([0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95])::DOUBLE AS level) GROUP BY 1, 2, 3 HAVING count(*) >= 9""")
+def _(t: Tables):
+    """Quantile regressions of all symbols and refit dates, each proved optimal by its dual values."""
+    train = checkpointed(es.training_rows(stock_design(t), 5, 250, 63))
+    models = es.fit_quantiles(train, ["x", "x5"], "y")
+    g = es.quantile_certificate(checkpointed(es.quantile_duals(train, ["x", "x5"], "y")), models, ["x", "x5"])
+    return g.withColumn("refit", F.col("refit").cast("bigint"))
+
+
 @query("est13_walk_forward_forecasts")
 def _(t: Tables):
     f = forecasts(t)

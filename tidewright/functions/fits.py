@@ -8,13 +8,19 @@ import numpy as np
 
 
 def quantile_fit(x: np.ndarray, y: np.ndarray, tau: float, alpha: float, steps: int = 60) -> np.ndarray:
-    """Linear quantile regression with an L1 penalty on all but the first column.
+    """Linear quantile regression with an L1 penalty on all but the first column."""
+    return quantile_solution(x, y, tau, alpha, steps)[0]
+
+
+def quantile_solution(x: np.ndarray, y: np.ndarray, tau: float, alpha: float, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """The fit and its dual value for each row, between tau - 1 and tau, which prove it optimal.
 
     Primal-dual interior point. The penalty is part of the data: |u| is the check loss of u plus that of
     -u, so each coefficient adds two rows with target zero. ``d`` in (0, 1) weighs the rows, ``u`` and
     ``v`` are the residual parts above and below the fit.
     """
     n, p = x.shape
+    data = n
     if alpha > 0 and p > 1:
         extra = np.eye(p)[1:] * (n * alpha)
         x, y = np.vstack([x, extra, -extra]), np.concatenate([y, np.zeros(2 * (p - 1))])
@@ -44,7 +50,7 @@ def quantile_fit(x: np.ndarray, y: np.ndarray, tau: float, alpha: float, steps:
             if neg.any():
                 step = min(step, 0.995 * float(np.min(-at[neg] / by[neg])))
         beta, d, u, v = beta + step * db, d + step * dd, u + step * du, v + step * dv
-    return beta * scale
+    return beta * scale, d[:data] - (1 - tau)
 
 
 def check_objective(x: np.ndarray, y: np.ndarray, beta: np.ndarray, tau: float, alpha: float) -> float:

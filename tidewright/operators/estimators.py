@@ -79,6 +79,54 @@ def fit_quantiles(train: DataFrame, features: list[str], target: str, levels: li
     return dealt(drop_unknown(train, [*features, target]), *key).groupBy(*key).applyInPandas(run, schema)
 
 
+def quantile_duals(train: DataFrame, features: list[str], target: str, levels: list[float] | None = None, alpha: float = 0.001, key: list[str] | None = None) -> DataFrame:
+    """(keys, level, x, y, dual): the dual value of every training row in each fit of ``fit_quantiles`` (without a feature limit)."""
+    levels, key = levels or LEVELS, key or ["symbol", "refit"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[features].to_numpy(float), pdf[target].to_numpy(float)
+        kept = np.flatnonzero(x.std(axis=0) > 1e-12)
+        columns = [*key, "level", "x", "y", "dual"]
+        if len(kept) == 0 or len(y) < 3 * (len(kept) + 1):
+            return pd.DataFrame([], columns=columns)
+        z = np.column_stack([np.ones(len(y)), (x[:, kept] - x[:, kept].mean(axis=0)) / x[:, kept].std(axis=0)])
+        parts = [pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "level": tau, "x": list(x), "y": y, "dual": fits.quantile_solution(z, y, tau, alpha)[1]}) for tau in levels]
+        return pd.concat(parts)[columns]
+
+    types = {f.name: f.dataType.simpleString() for f in train.schema.fields}
+    schema = ", ".join(f"{k} {types[k]}" for k in key) + ", level double, x array<double>, y double, dual double"
+    return dealt(drop_unknown(train, [*features, target]), *key).groupBy(*key).applyInPandas(run, schema)
+
+
+def quantile_certificate(duals: DataFrame, models: DataFrame, features: list[str], alpha: float = 0.001, key: list[str] | None = None, within: float = 1e-6) -> DataFrame:
+    """(keys, level, n_train, inside_box, stationary, gap_closed): whether the duals prove each model optimal, by sums of columns.
+
+    The penalised check loss has the dual: maximise the sum of dual * y over duals between level - 1 and level that add up to zero
+    and whose product with every scaled feature stays within n * alpha. Any dual value inside is a lower bound of the loss, so
+    that a model whose loss equals it cannot be beaten; nothing is fitted again.
+    """
+    key = key or ["symbol", "refit"]
+    p = range(len(features))
+    moments = duals.groupBy(*key).agg(F.array(*[F.avg(F.col("x")[i]) for i in p]).alias("mx"), F.array(*[F.stddev_pop(F.col("x")[i]) for i in p]).alias("sx"))
+    fit = models.filter("error IS NULL").select(*key, "level", "intercept", "coefficients")
+    j = duals.join(moments, key).join(fit, [*key, "level"])
+    guess = F.col("intercept") + F.aggregate(F.zip_with("coefficients", F.col("x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    r = F.col("y") - guess
+    unit = lambda i: F.when(F.col("sx")[i] > 1e-12, (F.col("x")[i] - F.col("mx")[i]) / F.col("sx")[i]).otherwise(0.0)
+    size = F.aggregate(F.zip_with("coefficients", F.col("sx"), lambda a, b: F.abs(a * b)), F.lit(0.0), lambda s, v: s + v)
+    g = j.groupBy(*key, "level").agg(
+        F.count("*").alias("n_train"), F.sum(F.greatest(F.col("level") * r, (F.col("level") - 1) * r)).alias("__loss"), F.max(size).alias("__size"), F.sum(F.col("dual") * F.col("y")).alias("__dual"),
+        F.sum(F.abs("y")).alias("__scale"), F.min("dual").alias("__low"), F.max("dual").alias("__high"), F.sum("dual").alias("__zero"), F.array(*[F.sum(F.col("dual") * unit(i)) for i in p]).alias("__slopes"),
+    )
+    n = F.col("n_train")
+    steep = F.aggregate(F.transform("__slopes", lambda s: F.abs(s)), F.lit(0.0), lambda a, b: F.greatest(a, b))
+    primal = F.col("__loss") + n * alpha * F.col("__size")
+    return g.select(
+        *key, "level", "n_train", ((F.col("__low") >= F.col("level") - 1 - within) & (F.col("__high") <= F.col("level") + within)).alias("inside_box"),
+        ((F.abs("__zero") <= within * n) & (steep <= n * (alpha + within))).alias("stationary"), (primal - F.col("__dual") <= within * (F.col("__scale") + 1e-12)).alias("gap_closed"),
+    )
+
+
 def predict_quantiles(rows: DataFrame, models: DataFrame, features: list[str], every: int) -> DataFrame:
     """Sorted quantile array per row from the latest refit at or before it; the dot product is native.
 
