@@ -84,3 +84,13 @@ def test_ridge_of_far_apart_keys_and_small_ones(spark):
     got = {r.k: r for r in es.ridge_fits(spark.createDataFrame(rows, "k string, x double, y double"), "k", ["x"], "y", ridge=0.0).collect()}
     assert set(got) == {"far", "near", "few", "none"} and got["few"].error == "5 rows" and got["none"].error == "0 rows" and got["few"].coefficients is None
     assert abs(got["far"].coefficients[0] - 3) < 0.01 and abs(got["near"].coefficients[0] - 3) < 0.01 and got["near"].n_train == 200
+
+
+def test_short_histories_come_back_with_a_reason(spark):
+    from tidewright.operators import diagnostics as dg
+
+    b = bars(spark)
+    for found, known in ((dg.rescaled_range_hurst(b), {"A", "B"}), (dg.half_life(b), {"A", "B", "flat"}), (dg.point_rough_vol(dg.realized_vol(b)), {"A", "B"})):
+        got = {r.symbol: r.error for r in dg.with_reasons(b, found).collect()}
+        assert set(got) == {"A", "B", "short", "flat"} and {s for s, e in got.items() if e is None} <= known | {"flat"}
+        assert got["short"] == "no estimate from 20 sessions" and got["A"] is None

@@ -37,9 +37,14 @@ vr AS (SELECT symbol, n AS observations, (sq / (5 * (n - 4) * (1 - 5.0::DOUBLE /
 vratio AS (SELECT symbol, observations, variance_ratio, CASE WHEN theta > 0 THEN (variance_ratio - 1) / sqrt(theta / observations) ELSE 0 END AS variance_ratio_z FROM vr)"""
 
 
-@query("agg33_rescaled_range_hurst", f"{STOCK}, {_HURST_SQL} SELECT symbol, round(hurst, 6) AS hurst, round(hurst_se, 6) AS hurst_se, round(hurst_r2, 6) AS hurst_r2 FROM hurst")
+def _why(bars, estimates):
+    return f"CASE WHEN e.symbol IS NULL THEN 'no estimate from ' || s.n || ' sessions' END AS error FROM (SELECT symbol, count(*) AS n FROM {bars} GROUP BY 1) s LEFT JOIN {estimates} e USING (symbol)"
+
+
+@query("agg33_rescaled_range_hurst", f"{STOCK}, {_HURST_SQL} SELECT symbol, round(hurst, 6) AS hurst, round(hurst_se, 6) AS hurst_se, round(hurst_r2, 6) AS hurst_r2, {_why("stocks", "hurst")}")
 def _(t: Tables):
-    return rounded(dg.rescaled_range_hurst(t.stocks()))
+    s = t.stocks()
+    return rounded(dg.with_reasons(s, dg.rescaled_range_hurst(s)))
 
 
 @query("agg34_variance_ratio", f"{STOCK}, {_VR_SQL} SELECT symbol, round(variance_ratio, 6) AS variance_ratio, round(variance_ratio_z, 6) AS variance_ratio_z, observations FROM vratio")
@@ -62,9 +67,10 @@ hg AS (SELECT symbol, count(*) AS n, regr_slope(close, prev) AS b, regr_r2(close
 half AS (SELECT symbol, (current - mean) / sd AS z_score, CASE WHEN b > 0 AND b < 1 THEN ln(2) / -ln(b) END AS half_life_days, b AS ar_coefficient, sqrt((1 - r2) * syy / sxx / (m - 2)) AS ar_standard_error, mean AS rolling_mean, sd AS rolling_std, n AS observations FROM hg WHERE n >= 73)"""
 
 
-@query("agg36_half_life", f"{STOCK}, {HALF_SQL} SELECT symbol, round(z_score, 5) AS z_score, round(half_life_days, 3) AS half_life_days, round(ar_coefficient, 6) AS ar_coefficient, round(ar_standard_error, 6) AS ar_standard_error, round(rolling_mean, 5) AS rolling_mean, round(rolling_std, 6) AS rolling_std, observations FROM half")
+@query("agg36_half_life", f"{STOCK}, {HALF_SQL} SELECT symbol, round(z_score, 5) AS z_score, round(half_life_days, 3) AS half_life_days, round(ar_coefficient, 6) AS ar_coefficient, round(ar_standard_error, 6) AS ar_standard_error, round(rolling_mean, 5) AS rolling_mean, round(rolling_std, 6) AS rolling_std, observations, {_why("stocks", "half")}")
 def _(t: Tables):
-    return rounded(dg.half_life(t.stocks()), 6, z_score=5, half_life_days=3, rolling_mean=5)
+    s = t.stocks()
+    return rounded(dg.with_reasons(s, dg.half_life(s)), 6, z_score=5, half_life_days=3, rolling_mean=5)
 
 
 _RV = f"lr AS (SELECT symbol, ts, ln(close / lag(close) OVER {W}) AS r FROM bars), rv AS (SELECT symbol, ts, CASE WHEN count(r) OVER {rows(4)} = 5 THEN greatest(stddev_samp(r) OVER {rows(4)}, 0.0001) END AS rv FROM lr)"
@@ -104,9 +110,10 @@ def _(t: Tables):
 
 @query("agg37_point_rough_vol", f"""{INDEX}, {_RV}, lx AS (SELECT symbol, ts, rv, ln(rv) AS x FROM rv WHERE rv > 1e-8), dd AS (SELECT *, {_D} FROM lx),
 ml AS (SELECT symbol, max(ts) AS ts, arg_max(rv, ts) AS rv, {", ".join(f"ln(avg(pow(d_{lag}, {q}))) AS l_{i}_{lag}" for lag in dg.LAGS for i, q in enumerate(dg.MOMENTS))} FROM dd GROUP BY 1 HAVING count(*) >= 144), {_scale_sql('ml')}
-SELECT symbol, ts, round(rv, 8) AS rv, round(hurst, 7) AS hurst, round(nu, 7) AS nu, round(hurst_r2, 6) AS hurst_r2 FROM rough""")
+SELECT symbol, ts, round(rv, 8) AS rv, round(hurst, 7) AS hurst, round(nu, 7) AS nu, round(hurst_r2, 6) AS hurst_r2, {_why("bars", "rough")}""")
 def _(t: Tables):
-    return rounded(dg.point_rough_vol(dg.realized_vol(t.bars())), 8, hurst=7, nu=7, hurst_r2=6)
+    b = t.bars()
+    return rounded(dg.with_reasons(b, dg.point_rough_vol(dg.realized_vol(b))), 8, hurst=7, nu=7, hurst_r2=6)
 
 
 @query("win18_rough_vol_forecast", f"""{INDEX}, {ROUGH_SQL}, hs AS (SELECT symbol, ts, rv, hurst, nu, list_reverse(list(ln(rv)) FILTER (rv IS NOT NULL) OVER {rows(249)}) AS hist FROM rough_vol),

@@ -148,6 +148,13 @@ def half_life(bars: DataFrame, window: int = 63, min_rows: int = 73) -> DataFram
                     se.alias("ar_standard_error"), "rolling_mean", "rolling_std", F.col("n").alias("observations"))
 
 
+def with_reasons(bars: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with a row for every symbol of ``bars``: where an estimate is missing, ``error`` says how many sessions there were."""
+    every = bars.filter("close IS NOT NULL").groupBy("symbol").agg(F.count("*").alias("__n"))
+    j = every.join(found.withColumn("__found", F.lit(True)), "symbol", "left")
+    return j.withColumn("error", F.when(F.col("__found").isNull(), F.concat(F.lit("no estimate from "), F.col("__n").cast("string"), F.lit(" sessions")))).drop("__n", "__found")
+
+
 def realized_vol(bars: DataFrame, n: int = 5, floor: float = 1e-4) -> DataFrame:
     r = bars.select("symbol", "ts", win.log_return("close").alias("r"))
     frame = win.trailing(n)
@@ -273,17 +280,20 @@ def regime_trend_signal(bars: DataFrame, fast: int, slow: int, threshold: float,
     Hurst is estimated on refresh rows only (the first row of each run of ``refresh`` bars) and held in
     between; a refresh row with no estimate does not filter.
     """
-    w = win.by_symbol()
-    b = bars.select("symbol", "ts", "open", "close", win.log_return("close").alias("r"), win.position().alias("bar"))
+    b = bars.select("symbol", "ts", "open", "close", win.log_return("close").alias("r"), win.position().alias("bar"), F.count("*").over(Window.partitionBy("symbol")).alias("bars"))
     warm = max(slow, window) + 1
-    bucket = F.floor(F.col("bar") / refresh)
-    due = (F.col("bar") >= warm) & ((F.col("bar") == warm) | (F.lag(bucket).over(w) != bucket))
-    b = b.withColumn("due", due).withColumn("past", F.when(F.col("due"), F.collect_list("r").over(win.trailing(window))))
-    x = b.filter("due").select(F.concat_ws("|", "symbol", "ts").alias("key"), F.posexplode("past").alias("i", "r"))
+    due = (F.col("bar") == warm) | ((F.col("bar") > warm) & (F.col("bar") % refresh == 0))
+    # A return's refresh rows follow from its position: multiples of ``refresh`` from its own bar to ``window`` - 1 later, and the first one.
+    none = F.array().cast("array<bigint>")
+    first, last = F.ceil(F.greatest(F.col("bar"), F.lit(warm + 1)) / refresh), F.floor(F.least(F.col("bar") + window - 1, F.col("bars")) / refresh)
+    later = F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda k: (k * refresh).cast("long"))).otherwise(none)
+    opening = F.when((F.col("bar") <= warm) & (F.col("bar") > warm - window) & (F.col("bars") >= warm), F.array(F.lit(warm).cast("long"))).otherwise(none)
+    x = b.filter("r IS NOT NULL").select("symbol", "bar", "r", F.explode(F.concat(opening, later)).alias("at"))
     # Every refresh row is its own little series for the rescaled-range estimate.
-    h = _rescaled_range(x.select(F.col("key").alias("symbol"), "r", F.col("i").cast("long").alias("pos")), 120, 8, 12)
-    h = h.select(F.split("symbol", r"\|")[0].alias("symbol"), F.to_date(F.split("symbol", r"\|")[1]).alias("ts"), "hurst")
-    j = b.drop("past").join(h, ["symbol", "ts"], "left").withColumn("h", F.when(F.col("due"), F.coalesce("hurst", F.lit(0.5))))
+    series = F.struct("symbol", "at")
+    x = x.select(series.alias("symbol"), "r", (F.row_number().over(Window.partitionBy(series).orderBy("bar")) - 1).cast("long").alias("pos"))
+    h = _rescaled_range(x, 120, 8, 12).select(F.col("symbol.symbol").alias("symbol"), F.col("symbol.at").alias("bar"), "hurst")
+    j = b.join(h, ["symbol", "bar"], "left").withColumn("h", F.when(due, F.coalesce("hurst", F.lit(0.5)))).drop("hurst")
     j = j.withColumn("hurst", F.last("h", True).over(win.whole_prefix()))
     up = F.avg("close").over(win.trailing(fast)) > F.avg("close").over(win.trailing(slow))
     return j.select("symbol", "ts", "open", "close", "hurst", F.when(F.col("bar") >= warm, F.when(F.col("hurst") < threshold, 0.0).otherwise(up.cast("double"))).alias("signal"), F.lit(warm).alias("warmup"))
