@@ -16,6 +16,7 @@ from tidewright.operators import diagnostics as dg
 from tidewright.operators import divergence as dv
 from tidewright.operators import estimators as es
 from tidewright.operators import evidence as ev
+from tidewright.operators import records as rc
 from tidewright.operators import windows as win
 from tidewright.operators.filters import usable_quotes
 from tidewright.session import checkpointed
@@ -110,6 +111,76 @@ def _(t: Tables):
     return rounded(best.join(items, "symbol", "left"), 8)
 
 
+MARKET = "AF"  # the index that every symbol is part of
+
+
+def bundles(t: Tables):
+    """One nested record for each symbol; the premise held against its last move is that it goes on as the session before."""
+    s = checkpointed(cv.scored(t).withColumn("rank_score", F.round("rank_score", 9)).withColumn("lift", F.round("lift", 9)))
+    o = win.move_observation(t.stocks()).withColumn("before", F.lag("return_pct").over(win.by_symbol()))
+    last = F.max_by(F.struct("ts", "return_pct", "sigma_multiple", "volume_ratio", "outlier", "before"), "ts")
+    o = checkpointed(o.groupBy("symbol").agg(last.alias("r")).select("symbol", F.col("r.ts").alias("session"), "r.return_pct", "r.sigma_multiple", "r.volume_ratio", "r.outlier", "r.before"))
+    counter = rc.counter_items(o, s, o.select("symbol", F.signum("before").alias("direction")))
+    ranked = rc.with_relation(ev.rank_factors(s), [MARKET]).select("symbol", "rank", "factor_id", "relation", "hit_rate", "base_rate", "lift", "sample_size", "confidence", "beats_base_rate")
+    r = checkpointed(cv.returns_pct(t.bars()))
+    market = ev.market_model(cv.stock_targets(t), r.filter(F.col("symbol") == MARKET).drop("symbol"))
+    breadth = ev.sector_breadth(t.bars().select("symbol", "ts", win.pct_return("close").alias("ret")), cv.PANEL)
+    parts = ev.index_contributions(r, cv.WEIGHTS, r.filter(F.col("symbol") == MARKET)).withColumnRenamed("symbol", "constituent")
+    return checkpointed(rc.attribution_bundle(o.drop("before"), ranked, counter, market, breadth, parts))
+
+
+BUNDLE_SQL = f"""{cv.COUNTER_SQL}, ob AS (SELECT *, lag(return_pct) OVER {W} AS before, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM observations), lob AS (SELECT * FROM ob WHERE back = 1),
+items AS (SELECT symbol, item FROM counter UNION ALL SELECT symbol, 'wrong_premise' FROM lob WHERE sign(before) <> sign(return_pct)),
+mm AS (SELECT ts, round((close / lag(close) OVER (ORDER BY ts) - 1) * 100, 6) AS market FROM bars WHERE symbol = 'AF'), mj AS (SELECT tg.*, market, max(ts) OVER (PARTITION BY symbol) AS session FROM tg LEFT JOIN mm USING (ts)),
+mg AS (SELECT symbol, count(*) FILTER (ts < session AND market IS NOT NULL) AS sessions, covar_samp(target, market) FILTER (ts < session) AS cov, var_samp(market) FILTER (ts < session) AS v, arg_max(target, ts) AS move_pct, arg_max(market, ts) FILTER (market IS NOT NULL) AS market_pct FROM mj GROUP BY 1),
+mk AS (SELECT *, CASE WHEN sessions >= 250 AND v > 1e-12 THEN cov / v END AS beta FROM mg),
+ir AS (SELECT * FROM (SELECT symbol, ts, close / lag(close) OVER {W} - 1 AS ret FROM bars) WHERE ret IS NOT NULL), br AS (SELECT ts, count(*) FILTER (ret > 0) / 6.0::DOUBLE * 100 AS rising_pct, count(*) FILTER (ret < 0) / 6.0::DOUBLE * 100 AS falling_pct, count(*) AS present FROM ir GROUP BY ts),
+w(symbol, weight) AS (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in cv.WEIGHTS.items())}),
+co AS (SELECT c.*, CASE WHEN abs(i.ret) > 1e-9 THEN abs(contribution / i.ret) * 100 END AS share_pct FROM (SELECT ts, symbol, round(ret * 100, 6) AS ret, weight * round(ret * 100, 6) AS contribution, row_number() OVER (PARTITION BY ts ORDER BY abs(weight * round(ret * 100, 6)) DESC, symbol) AS rank FROM ir JOIN w USING (symbol)) c
+  JOIN (SELECT ts, round(ret * 100, 6) AS ret FROM ir WHERE symbol = 'AF') i USING (ts) WHERE rank <= 2),
+fx2 AS (SELECT symbol, string_agg(factor_id, ';' ORDER BY rank) FILTER (factor_id <> 'AF') AS external, string_agg(factor_id, ';' ORDER BY rank) FILTER (factor_id = 'AF') AS mechanical, string_agg(factor_id, ';' ORDER BY rank) FILTER (factor_id <> 'AF' AND beats_base_rate) AS supported, count(*) AS n FROM ranked GROUP BY 1)"""
+
+
+@query("q2_attribution_bundle", f"""WITH {BUNDLE_SQL}, it AS (SELECT symbol, string_agg(item, ';' ORDER BY item) AS counter_items FROM items GROUP BY 1), cn AS (SELECT ts, string_agg(symbol, ';' ORDER BY rank) AS constituents FROM co GROUP BY 1)
+SELECT l.symbol, l.ts AS session, round(return_pct, 6) AS return_pct, round(beta, 6) AS beta, round(move_pct - beta * market_pct, 6) AS specific_pct, round(rising_pct, 6) AS rising_pct, coalesce(constituents, '') AS constituents,
+  coalesce(external, '') AS external, coalesce(mechanical, '') AS mechanical, coalesce(supported, '') AS supported, coalesce(counter_items, '') AS counter_items
+FROM lob l LEFT JOIN mk USING (symbol) LEFT JOIN br ON br.ts = l.ts LEFT JOIN cn ON cn.ts = l.ts LEFT JOIN fx2 f ON f.symbol = l.symbol LEFT JOIN it ON it.symbol = l.symbol""")
+def _(t: Tables):
+    """Why every symbol moved: the whole record, here with its lists as text."""
+    b = bundles(t)
+    text = lambda c: F.array_join(c, ";").alias(c)
+    names = F.array_join(F.transform("contributions", lambda c: c["constituent"]), ";").alias("constituents")
+    items = F.array_join(F.transform("counterevidence", lambda c: c["item"]), ";").alias("counter_items")
+    return rounded(b.select("symbol", "session", "observation.return_pct", "market.beta", "market.specific_pct", "breadth.rising_pct", names, text("external"), text("mechanical"), text("supported"), items))
+
+
+_MARKET_COLS = {"sessions": "sessions", "move_pct": "move_pct", "market_pct": "market_pct", "beta": "beta", "explained_pct": "beta * market_pct", "specific_pct": "move_pct - beta * market_pct", "explained_share_pct": "CASE WHEN abs(move_pct) > 1e-9 THEN abs(beta * market_pct / move_pct) * 100 END"}
+_FACTS_SQL = " UNION ALL ".join(
+    [f"SELECT symbol, 'observation.{c}' AS path, CAST({c} AS DOUBLE) AS value FROM lob" for c in ("return_pct", "sigma_multiple", "volume_ratio")]
+    + [f"SELECT l.symbol, 'market.{c}', CAST({e} AS DOUBLE) FROM lob l JOIN mk USING (symbol)" for c, e in _MARKET_COLS.items()]
+    + [f"SELECT l.symbol, 'breadth.{c}', CAST({c} AS DOUBLE) FROM lob l JOIN br USING (ts)" for c in ("rising_pct", "falling_pct", "present")]
+    + [f"SELECT l.symbol, 'contributions[' || (rank - 1) || '].{c}', CAST(co.{c} AS DOUBLE) FROM lob l JOIN co USING (ts)" for c in ("rank", "ret", "contribution", "share_pct")]
+    + [f"SELECT l.symbol, 'factors[' || (rank - 1) || '].{c}', CAST({c} AS DOUBLE) FROM lob l JOIN ranked USING (symbol)" for c in ("rank", "hit_rate", "base_rate", "lift", "sample_size")]
+)
+
+
+@query("sca21_bundle_numbers", f"WITH {BUNDLE_SQL}, facts AS ({_FACTS_SQL}) SELECT symbol, path, round(value, 6) AS value FROM facts WHERE value IS NOT NULL")
+def _(t: Tables):
+    """Every figure of every bundle by its path, found by the schema."""
+    return rounded(rc.flattened(bundles(t).drop("session"), ["symbol"]))
+
+
+@query("q9_bundle_facts", f"""WITH {BUNDLE_SQL}, facts AS ({_FACTS_SQL}), g AS (SELECT symbol, path, value, CASE WHEN path LIKE 'factors%' THEN 'F' WHEN path LIKE 'market%' THEN 'S' WHEN path LIKE 'observation%' THEN 'M' ELSE 'N' END AS fact_group FROM facts WHERE value IS NOT NULL)
+SELECT symbol, fact_group || row_number() OVER (PARTITION BY symbol, fact_group ORDER BY path) AS id, fact_group, path, round(value, 6) AS value FROM g""")
+def _(t: Tables):
+    """Every figure of every bundle with an id that a text can cite, numbered by group and path."""
+    n = rc.flattened(bundles(t).drop("session"), ["symbol"])
+    group = F.when(F.col("path").startswith("factors"), "F").when(F.col("path").startswith("market"), "S").when(F.col("path").startswith("observation"), "M").otherwise("N")
+    n = n.withColumn("fact_group", group)
+    place = F.row_number().over(Window.partitionBy("symbol", "fact_group").orderBy("path"))
+    return rounded(n.select("symbol", F.concat("fact_group", place.cast("string")).alias("id"), "fact_group", "path", "value"))
+
+
 _SNAP = f"{cv.FLAGS_SQL}, fs AS (SELECT symbol, string_agg(flag, ';' ORDER BY flag) AS flags FROM flags GROUP BY 1)"
 
 
