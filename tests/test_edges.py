@@ -111,3 +111,22 @@ def test_ledger_keeps_contracts_apart(spark):
     assert [r.status for r in got] == ["done", "done", "refused", "nothing open", "refused", "refused", "waiting", "done", "done"]
     assert [r.collateral for r in got][1] == 9000 and got[7].collateral == 0 and got[8].open_positions == 0
     assert abs(got[8].realized - (got[8].cash - 100_000)) < 1e-9
+
+
+def test_dated_episodes_and_scenarios_without_a_trigger(spark):
+    from datetime import date, timedelta
+
+    from tidewright.operators import scenarios as sc
+
+    day = lambda i: date(2020, 1, 1) + timedelta(days=i)
+    hits = spark.createDataFrame([("A", "x", p, day(p), float(p)) for p in (3, 4, 14, 25, 40)] + [("B", "x", 7, day(7), None)], "symbol string, scenario string, pos long, ts date, fwd_21 double")
+    got = sorted(tuple(r) for r in sc.episodes(hits, ["symbol", "scenario"]).collect())
+    assert got == [("A", "x", 1, day(3), day(14), 3, 12, 3.0), ("A", "x", 2, day(25), day(25), 1, 1, 25.0), ("A", "x", 3, day(40), day(40), 1, 1, 40.0), ("B", "x", 1, day(7), day(7), 1, 1, None)]
+    counts = {r.symbol: r.episodes for r in sc.episode_counts(hits, ["symbol"]).collect()}
+    assert counts == {"A": 3, "B": 1}
+    closes = spark.createDataFrame([(s, day(i), 100.0 + i % 7) for s in ("A", "B") for i in range(60)], "symbol string, ts date, close double")
+    market = closes.filter("symbol = 'A'").select("ts", sc.F.lit(0.0).alias("ret"))
+    found = sc.measure_scenarios(closes, closes, market, [sc.Scenario("fall", "self", "change_pct", 2, -1.0), sc.Scenario("war", "none", None)]).collect()
+    war = [r for r in found if r.scenario == "war"]
+    assert {r.symbol for r in war} == {"A", "B"} and all(r.episodes is None and r.horizon is None for r in war)
+    assert any(r.scenario == "fall" and r.episodes for r in found)

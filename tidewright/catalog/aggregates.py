@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidewright.catalog.filters import FEAT
 from tidewright.catalog.registry import longs, query, rounded
 from tidewright.catalog.windows import FEATURES, INDEX, STOCK, W, candle_features
 from tidewright.operators import stats
@@ -117,7 +118,10 @@ def _(t: Tables):
 _PAIRS = ["momentum_12", "relative_volume_20", "atr_percent", "volatility_20", "candle_strength"]
 
 
-@query("agg39_correlation_screen", None)
+_SCREEN = "fw AS (SELECT *, ln(lead(close, 6) OVER (PARTITION BY symbol ORDER BY ts) / close) AS fwd FROM features)"
+
+
+@query("agg39_correlation_screen", f"{FEAT}, {_SCREEN} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, fwd), 6) AS correlation FROM fw" for c in FEATURES))
 def _(t: Tables):
     """Absolute correlation of every feature with the forward return, in one pass."""
     from tidewright.operators.filters import unpivoted

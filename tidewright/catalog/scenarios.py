@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewright.catalog.registry import query, rounded
+from tidewright.catalog.registry import longs, query, rounded
 from tidewright.catalog.windows import STOCK, W
 from tidewright.operators import scenarios as sc
 from tidewright.operators import windows as win
@@ -48,11 +48,19 @@ measured AS (SELECT fs.symbol, fs.scenario, months_observed, months_triggered, m
 _R = ["frequency_pct", "median_pct", "p10_pct", "p90_pct", "worst_pct", "share_lower_pct", "share_higher_pct"]
 
 
-def measured(t: Tables):
+def inputs(t: Tables):
     bars = t.bars()
     market = bars.filter("symbol = 'AF'").select("ts", win.pct_return("close").alias("ret"))
-    proxies = sc.yield_points(bars.select("symbol", "ts", "close"), "RO")
-    return sc.measure_scenarios(t.stocks().select("symbol", "ts", "close"), proxies, market, SCENARIOS)
+    return t.stocks().select("symbol", "ts", "close"), sc.yield_points(bars.select("symbol", "ts", "close"), "RO"), market
+
+
+def measured(t: Tables):
+    return sc.measure_scenarios(*inputs(t), SCENARIOS)
+
+
+# Entries of the library whose trigger no price series tells: they stay in the outlook without figures.
+UNPRICED = [sc.Scenario("geopolitical_conflict", "none", None), sc.Scenario("policy_change", "none", None)]
+_UNPRICED_SQL = "SELECT symbol, scenario, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT symbol FROM stocks), (VALUES " + ", ".join(f"('{s.name}')" for s in UNPRICED) + ") n(scenario)"
 
 
 @query("q4_scenario_outlook", f"WITH {SCENARIO_SQL} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in _R)}) FROM measured")
@@ -61,6 +69,21 @@ def _(t: Tables):
     return rounded(measured(t))
 
 
+@query("q4_scenario_library", f"WITH {SCENARIO_SQL}, whole AS (SELECT * FROM measured UNION ALL {_UNPRICED_SQL}) SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in _R)}) FROM whole")
+def _(t: Tables):
+    """All entries for every symbol; those without a trigger keep a row without figures."""
+    return rounded(sc.measure_scenarios(*inputs(t), [*SCENARIOS, *UNPRICED]))
+
+
+@query("q4_dated_episodes", f"""WITH {SCENARIO_SQL}, nu AS (SELECT *, sum(CAST(step IS NULL OR step > 10 AS INT)) OVER (PARTITION BY symbol, scenario ORDER BY pos) AS episode FROM hit)
+SELECT symbol, scenario, CAST(episode AS BIGINT) AS episode, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS days, CAST(max(pos) - min(pos) + 1 AS BIGINT) AS sessions, round(arg_min(fwd_21, pos), 6) AS after_first_pct FROM nu GROUP BY 1, 2, 3""")
+def _(t: Tables):
+    """When each scenario held for each symbol: its stretches with dates, and what followed their first day."""
+    rows, _freq = sc.scenario_rows(*inputs(t), SCENARIOS)
+    hits = rows.filter(f"flag >= 1 AND fwd_{sc.MAIN_HORIZON} IS NOT NULL")
+    return rounded(longs(sc.episodes(hits, ["symbol", "scenario"])))
+
+
 _FLAG = f"f AS (SELECT symbol, ts, row_number() OVER {W} AS pos, (close / lag(close, 5) OVER {W} - 1) * 100 AS m FROM stocks)"
 
 

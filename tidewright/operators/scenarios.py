@@ -24,9 +24,9 @@ class Scenario:
 
     name: str
     driver: str
-    kind: str
-    window: int
-    threshold: float
+    kind: str | None  # None: no trigger can be computed from prices
+    window: int = 0
+    threshold: float = 0.0
 
 
 def yield_points(proxies: DataFrame, symbol: str) -> DataFrame:
@@ -48,6 +48,19 @@ def episode_counts(hits: DataFrame, keys: list[str], pos: str = "pos", gap: int
     return hits.select(*keys, F.coalesce(start, F.lit(True)).alias("__start")).groupBy(*keys).agg(F.sum(F.col("__start").cast("long")).alias("episodes"))
 
 
+def episodes(hits: DataFrame, keys: list[str], pos: str = "pos", gap: int = EPISODE_GAP) -> DataFrame:
+    """Dated runs of true rows (keys, episode from 1, first_ts, last_ts, days, sessions): runs no more than ``gap`` positions apart are one.
+
+    ``days`` counts the true rows, ``sessions`` the positions from the first to the last of them.
+    """
+    w = Window.partitionBy(*keys).orderBy(pos)
+    start = F.coalesce(F.col(pos) - F.lag(pos).over(w) > gap, F.lit(True))
+    run = hits.withColumn("__start", start.cast("long")).withColumn("episode", F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy(*keys, "episode").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("days"), (F.max(pos) - F.min(pos) + 1).alias("sessions"), F.min_by(f"fwd_{MAIN_HORIZON}", pos).alias("after_first_pct")
+    )
+
+
 def outcome(c: str) -> list[Column]:
     """Summary of forward returns: one set of aggregates."""
     return [
@@ -103,8 +116,27 @@ def aligned_to_targets(targets: DataFrame, flags: DataFrame, limit: int = 3, rai
 def measure_scenarios(closes: DataFrame, proxies: DataFrame, market: DataFrame, scenarios: list[Scenario]) -> DataFrame:
     """Per (symbol, scenario, horizon): frequency, episodes and the outcomes that followed.
 
-    Fewer than two episodes give no outcomes, only the frequency and the count.
+    Fewer than two episodes give no outcomes, only the frequency and the count; a scenario without a trigger gives a row of
+    unknown figures for each symbol.
     """
+    rows, freq = scenario_rows(closes, proxies, market, [s for s in scenarios if s.kind])
+    keys = ["symbol", "scenario"]
+    hits = rows.filter(f"flag >= 1 AND fwd_{MAIN_HORIZON} IS NOT NULL")
+    episodes = episode_counts(hits, keys)
+    base = freq.join(episodes, keys, "left").select(
+        *keys, "months_observed", "months_triggered", (F.col("months_triggered") / F.col("months_observed") * 100).alias("frequency_pct"),
+        F.coalesce("episodes", F.lit(0)).alias("episodes"))
+    out = horizon_outcomes(hits, keys).join(episodes.filter(F.col("episodes") >= MIN_EPISODES).select(*keys), keys, "left_semi")
+    measured = base.join(out, keys, "left")
+    unmeasured = [s.name for s in scenarios if not s.kind]
+    if unmeasured:
+        names = F.explode(F.array(*[F.lit(n) for n in unmeasured])).alias("scenario")
+        measured = measured.unionByName(closes.select("symbol").distinct().select("symbol", names), allowMissingColumns=True)
+    return measured
+
+
+def scenario_rows(closes: DataFrame, proxies: DataFrame, market: DataFrame, scenarios: list[Scenario]) -> tuple[DataFrame, DataFrame]:
+    """(symbol, scenario, ts, pos, flag, fwd_...) of sessions on which a trigger may hold, and months by (symbol, scenario)."""
     targets = with_forwards(closes).join(market.select("ts", F.col("ret").alias("market_ret")), "ts", "left")
     own, others = [s for s in scenarios if s.driver == "self"], [s for s in scenarios if s.driver != "self"]
     flagged, freq = [], []
@@ -117,13 +149,4 @@ def measure_scenarios(closes: DataFrame, proxies: DataFrame, market: DataFrame,
         mine = targets.withColumn("scenario", F.lit(s.name)).withColumn("flag", win.trigger_flag(s.kind, s.window, s.threshold, market_return="market_ret"))
         flagged.append(mine)
         freq.append(monthly_frequency(mine, ["symbol", "scenario"]))
-    rows = reduce(lambda a, b: a.unionByName(b), flagged)
-    keys = ["symbol", "scenario"]
-    hits = rows.filter(f"flag >= 1 AND fwd_{MAIN_HORIZON} IS NOT NULL")
-    episodes = episode_counts(hits, keys)
-    frequency = reduce(lambda a, b: a.unionByName(b), freq)
-    base = frequency.join(episodes, keys, "left").select(
-        *keys, "months_observed", "months_triggered", (F.col("months_triggered") / F.col("months_observed") * 100).alias("frequency_pct"),
-        F.coalesce("episodes", F.lit(0)).alias("episodes"))
-    out = horizon_outcomes(hits, keys).join(episodes.filter(F.col("episodes") >= MIN_EPISODES).select(*keys), keys, "left_semi")
-    return base.join(out, keys, "left")
+    return reduce(lambda a, b: a.unionByName(b), flagged), reduce(lambda a, b: a.unionByName(b), freq)
