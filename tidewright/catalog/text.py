@@ -66,20 +66,19 @@ al AS (SELECT doc_id, list_concat([0::DOUBLE, 1, 2, 100], flatten([[v, abs(v), v
 tr AS (SELECT nm.*, len(list_filter(allowed, lambda a: abs(value - a) <= 0.5 * power(10.0::DOUBLE, -decimals) + 1e-9)) > 0 AS supported FROM nm JOIN al USING (doc_id) WHERE value IS NOT NULL)"""
 
 
-def traced(t: Tables):
+def claims(t: Tables):
     d = t.raw("documents").join(t.raw("labels"), "doc_id", "left")
-    facts = F.array(*[F.col(c).cast("double") for c in ("n_chars", "quality", "toxic")], F.col("doc_id") / 7)
-    return ta.trace_claims(d, facts)
+    return d, F.array(*[F.col(c).cast("double") for c in ("n_chars", "quality", "toxic")], F.col("doc_id") / 7)
 
 
 @query("txt3_unsupported_claims", f"WITH {_TRACE} SELECT doc_id, CAST(pos AS BIGINT) AS pos, token FROM tr WHERE NOT supported")
 def _(t: Tables):
-    return longs(traced(t).filter("NOT supported").select("doc_id", "pos", "token"))
+    return longs(ta.trace_claims(*claims(t)).filter("NOT supported").select("doc_id", "pos", "token"))
 
 
 @query("txt3_trace_summary", f"WITH {_TRACE} SELECT doc_id, count(*) AS numbers_checked, count(*) FILTER (supported) AS numbers_matched, count(*) = count(*) FILTER (supported) AS passed FROM tr GROUP BY 1")
 def _(t: Tables):
-    return ta.trace_summary(traced(t))
+    return ta.trace_summary(*claims(t))
 
 
 _SECT = ["License", "Version", "the reason"]

@@ -77,22 +77,36 @@ def allowed_variants(facts: Column) -> Column:
     return F.concat(F.array(*[F.lit(x) for x in (0.0, 1.0, 2.0, 100.0)]), F.flatten(F.transform(F.filter(facts, lambda v: v.isNotNull()), variants)))
 
 
+def _traced(facts: Column, text: str) -> Column:
+    """The claims of a text as an array of (pos, token, value, supported); the allowed values are built once a text."""
+    tokens = F.regexp_extract_all(claims_text(F.col(text)), F.lit(f"({ph.NUMBER})"), F.lit(1))
+
+    def claim(allowed: Column):
+        def one(token: Column, pos: Column) -> Column:
+            value = F.replace(token, F.lit(",")).try_cast("double")
+            tolerance = 0.5 * F.pow(F.lit(10.0), -F.length(F.regexp_extract(token, r"\.(\d*)$", 1))) + 1e-9
+            met = F.exists(allowed, lambda a: F.abs(value - a) <= tolerance)
+            return F.struct(pos.alias("pos"), token.alias("token"), value.alias("value"), met.alias("supported"))
+
+        return one
+
+    found = F.flatten(F.transform(F.array(allowed_variants(facts)), lambda allowed: F.transform(tokens, claim(allowed))))
+    return F.filter(found, lambda c: c["value"].isNotNull())
+
+
 def trace_claims(docs: DataFrame, facts: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each claim with whether some allowed value rounds to it at its printed precision.
 
-    A text's facts travel with it as an array (a bundle holds tens of them), so tracing needs no join.
+    Claims meet their text's facts (a bundle holds tens of them) inside the row; only the claims leave it, and nothing is joined.
     """
-    tokens = F.regexp_extract_all(claims_text(F.col(text)), F.lit(f"({ph.NUMBER})"), F.lit(1))
-    n = docs.select(key, allowed_variants(facts).alias("allowed"), F.posexplode(tokens).alias("pos", "token"))
-    n = n.withColumn("value", F.expr("try_cast(replace(token, ',', '') AS double)")).filter("value IS NOT NULL")
-    tolerance = 0.5 * F.pow(F.lit(10.0), -F.length(F.regexp_extract("token", r"\.(\d*)$", 1))) + 1e-9
-    n = n.withColumn("tolerance", tolerance)
-    return n.withColumn("supported", F.exists("allowed", lambda a: F.abs(F.col("value") - a) <= F.col("tolerance"))).drop("allowed", "tolerance")
+    return docs.select(key, F.explode(_traced(facts, text)).alias("c")).select(key, "c.*")
 
 
-def trace_summary(traced: DataFrame, key: str = "doc_id") -> DataFrame:
-    return traced.groupBy(key).agg(F.count("*").alias("numbers_checked"), F.sum(F.col("supported").cast("long")).alias("numbers_matched")).withColumn(
-        "passed", F.col("numbers_checked") == F.col("numbers_matched"))
+def trace_summary(docs: DataFrame, facts: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Claims and supported claims of each text that has any, counted inside the row and then by key."""
+    c = docs.select(key, _traced(facts, text).alias("c")).filter(F.size("c") > 0)
+    c = c.select(key, F.size("c").cast("long").alias("n"), F.size(F.filter("c", lambda x: x["supported"])).cast("long").alias("m"))
+    return c.groupBy(key).agg(F.sum("n").alias("numbers_checked"), F.sum("m").alias("numbers_matched")).withColumn("passed", F.col("numbers_checked") == F.col("numbers_matched"))
 
 
 def section_coverage(docs: DataFrame, sections: list[str], labels: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
