@@ -192,10 +192,11 @@ gh AS (SELECT sp.*, c, w * (1.0::DOUBLE / 3 - CAST(sp.signal = c AS INT)) AS g,
 al AS (SELECT c, sum(g) AS g, sum(h) AS h FROM gh GROUP BY 1), ed AS ({_EDGES}), lg AS ({_LONG}),
 ca AS (SELECT lg.c, ed.k, ed.feature, ed.edge, coalesce(sum(lg.g) FILTER (x <= edge), 0) AS gl, coalesce(sum(lg.h) FILTER (x <= edge), 0) AS hl FROM ed JOIN lg USING (feature) GROUP BY 1, 2, 3, 4),
 ga AS (SELECT ca.*, al.g, al.h, 0.5 * (gl * gl / (hl + 1) + (al.g - gl) * (al.g - gl) / (al.h - hl + 1) - al.g * al.g / (al.h + 1)) AS gain FROM ca JOIN al USING (c) WHERE hl >= 1 AND al.h - hl >= 1),
-be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(gain, 8) DESC, k, edge) AS r FROM ga) WHERE r = 1)
+be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(gain, 8) DESC, k, edge) AS r FROM ga) WHERE r = 1 AND gain > 1e-9)
 SELECT 0::BIGINT AS round, c::BIGINT AS class, n::BIGINT AS node, CASE WHEN n = 1 THEN feature END AS feature, CASE WHEN n = 1 THEN round(edge, 6) END AS threshold,
   round(CASE n WHEN 2 THEN -0.3::DOUBLE * gl / (hl + 1) WHEN 3 THEN -0.3::DOUBLE * (g - gl) / (h - hl + 1) END, 6) AS value, round(CASE WHEN n = 1 THEN gain ELSE 0 END, 6) AS gain
-FROM be, (SELECT unnest([1, 2, 3]) AS n)""")
+FROM be, (SELECT unnest([1, 2, 3]) AS n)
+UNION ALL SELECT 0::BIGINT, c::BIGINT, 1::BIGINT, NULL, NULL, round(-0.3::DOUBLE * g / (h + 1), 6), 0::DOUBLE FROM al WHERE c NOT IN (SELECT c FROM be)""")
 def _(t: Tables):
     """The first round's trees of one level, on all rows and columns: splits, leaf values and gains of the joint softmax loss."""
     _d, model = regime_trees(t, rounds=1, depth=1, rate=0.3, subsample=1.0, columns=1.0)
