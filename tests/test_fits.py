@@ -94,3 +94,23 @@ def test_short_histories_come_back_with_a_reason(spark):
         got = {r.symbol: r.error for r in dg.with_reasons(b, found).collect()}
         assert set(got) == {"A", "B", "short", "flat"} and {s for s, e in got.items() if e is None} <= known | {"flat"}
         assert got["short"] == "no estimate from 20 sessions" and got["A"] is None
+
+
+def test_unit_roots_from_sums_equal_regressions_order_by_order(spark):
+    rng = np.random.default_rng(8)
+    series = {"walk": 100 + np.cumsum(rng.normal(size=400)), "short": np.arange(59.0), "flat": np.full(80, 3.0), "single": np.array([1.0])}
+    back = [0.0, 0.0, 0.0]
+    for e in rng.normal(size=300):
+        back.append(0.5 * back[-1] + 0.3 * back[-3] + e)
+    series["reverting"] = 1e4 + np.array(back)
+    series["least"] = rng.normal(size=60)
+    rows = [(s, i, float(v)) for s, y in series.items() for i, v in enumerate(y)] + [("walk", 1000, None), ("walk", 1001, math.nan)]
+    got = {r.symbol: r for r in es.unit_root(spark.createDataFrame(rows, "symbol string, ts long, close double").repartition(5)).collect()}
+    assert set(got) == set(series)
+    for s in ("walk", "reverting", "least"):
+        stat, p, lag = fits.adf_pvalue(series[s])
+        assert got[s].lags == lag and abs(got[s].adf_statistic - stat) < 1e-7 and abs(got[s].adf_pvalue - p) < 1e-7 and got[s].error is None
+    assert (got["short"].error, got["flat"].error, got["single"].error) == ("59 sessions", "no change", "1 sessions")
+    assert got["flat"].lags is None and got["flat"].adf_pvalue is None
+    empty = spark.createDataFrame([], "symbol string, ts long, close double")
+    assert es.unit_root(empty).count() == 0

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from tidewright.catalog.options import ncdf_sql
 from tidewright.catalog.registry import query, rounded
-from tidewright.catalog.windows import BASE, INDEX, STOCK, W, macro_daily
+from tidewright.catalog.windows import BASE, INDEX, STOCK, STOCK_SQL, W, macro_daily
+from tidewright.functions.fits import ADF_LARGE, ADF_MAX, ADF_MIN, ADF_SMALL, ADF_STAR
 from tidewright.operators import diagnostics as dg
 from tidewright.operators import estimators as es
 from tidewright.operators import macro
@@ -109,8 +111,38 @@ def _(t: Tables):
     return g.join(fit, "symbol").select("symbol", "n", "none_better", "stationary")
 
 
-@query("est12_unit_root_tests")
+def pivots_sql(matrix: str, last: str) -> str:
+    """Rows left of ``matrix`` (symbol, i, j, v, both triangles) after each column k below ``last`` is eliminated."""
+    return f"""(SELECT symbol, 0 AS k, i, j, v, {last} AS last FROM {matrix} UNION ALL
+SELECT symbol, k + 1, i, j, v - across * down / top, last FROM (SELECT *, max(CASE WHEN i = k THEN v END) OVER (PARTITION BY symbol, j) AS across, max(CASE WHEN j = k THEN v END) OVER (PARTITION BY symbol, i) AS down,
+max(CASE WHEN i = k AND j = k THEN v END) OVER (PARTITION BY symbol) AS top FROM {{name}}) WHERE i > k AND j > k AND k < last)"""
+
+
+def poly_sql(coef, x: str) -> str:
+    return " + ".join(f"{c} * pow({x}, {i})" for i, c in enumerate(coef))
+
+
+UNIT_ROOT_SQL = f"""WITH RECURSIVE {STOCK_SQL}, p AS (SELECT symbol, close, row_number() OVER {W} - 1 AS t, count(*) OVER (PARTITION BY symbol) AS n, close - avg(close) OVER (PARTITION BY symbol) AS c FROM stocks),
+d AS (SELECT symbol, t, n, c, lead(close) OVER (PARTITION BY symbol ORDER BY t) - close AS d, CAST(least(ceil(12 * pow(n / 100, 0.25)), n // 2 - 2) AS BIGINT) AS m FROM p),
+x AS MATERIALIZED (SELECT symbol, t, m, 0 AS i, 1.0::DOUBLE AS v FROM d WHERE d IS NOT NULL AND n >= 60 UNION ALL SELECT symbol, t, m, 1, c FROM d WHERE d IS NOT NULL AND n >= 60 UNION ALL SELECT symbol, t, m, 999, d FROM d WHERE d IS NOT NULL AND n >= 60
+UNION ALL SELECT a.symbol, a.t, a.m, 1 + k, b.d FROM (SELECT *, unnest(range(1, least(m, t) + 1)) AS k FROM d WHERE d IS NOT NULL AND n >= 60) a JOIN d b ON a.symbol = b.symbol AND b.t = a.t - a.k),
+g AS MATERIALIZED (SELECT a.symbol, a.m, a.i, b.i AS j, sum(a.v * b.v) AS v FROM x a JOIN x b ON a.symbol = b.symbol AND a.t = b.t WHERE a.t >= a.m GROUP BY 1, 2, 3, 4),
+e AS {pivots_sql("g", "m + 2").format(name="e")},
+aic AS (SELECT symbol, k - 2 AS lag, rows * ln(v / rows) + 2 * k AS aic FROM e JOIN (SELECT symbol, max(v) AS rows FROM g WHERE i = 0 AND j = 0 GROUP BY 1) USING (symbol) WHERE i = 999 AND j = 999 AND k >= 2),
+best AS (SELECT symbol, arg_min(lag, (aic, lag)) AS lag FROM aic GROUP BY 1),
+y AS MATERIALIZED (SELECT symbol, t, lag, CASE WHEN i = 1 THEN 998 WHEN i BETWEEN 2 AND 997 THEN i - 1 ELSE i END AS i, v FROM x JOIN best USING (symbol) WHERE t >= lag AND (i < 2 + lag OR i = 999)),
+h AS MATERIALIZED (SELECT a.symbol, a.lag, a.i, b.i AS j, sum(a.v * b.v) AS v FROM y a JOIN y b ON a.symbol = b.symbol AND a.t = b.t GROUP BY 1, 2, 3, 4),
+f AS {pivots_sql("h", "lag + 1").format(name="f")},
+o AS (SELECT symbol, max(CASE WHEN i = 998 AND j = 998 THEN v END) AS ll, max(CASE WHEN i = 998 AND j = 999 THEN v END) AS lt, max(CASE WHEN i = 999 AND j = 999 THEN v END) AS tt, max(last) - 1 AS lag FROM f WHERE k = last GROUP BY 1),
+s AS (SELECT symbol, lag, lt / ll / sqrt((tt - lt * lt / ll) / (rows - lag - 2) / ll) AS s FROM o JOIN (SELECT symbol, max(v) AS rows FROM h WHERE i = 0 AND j = 0 GROUP BY 1) USING (symbol)),
+z AS (SELECT symbol, lag, s, CASE WHEN s <= {ADF_STAR} THEN {poly_sql(ADF_SMALL, "s")} ELSE {poly_sql(ADF_LARGE, "s")} END AS z FROM s)
+SELECT symbol, round(s, 5) AS adf_statistic, round(CASE WHEN s > {ADF_MAX} THEN 1.0 WHEN s < {ADF_MIN} THEN 0.0 ELSE {ncdf_sql("z")} END, 5) AS adf_pvalue, CAST(lag AS BIGINT) AS lags, CAST(CASE WHEN n < 60 THEN concat(n, ' sessions') END AS VARCHAR) AS error
+FROM (SELECT symbol, count(*) AS n FROM stocks GROUP BY 1) LEFT JOIN z USING (symbol)"""
+
+
+@query("est12_unit_root_tests", UNIT_ROOT_SQL)
 def _(t: Tables):
+    """Augmented Dickey-Fuller test of every symbol; the oracle eliminates columns of the normal equations one by one."""
     return rounded(es.unit_root(t.stocks()), 5)
 
 

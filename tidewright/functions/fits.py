@@ -314,10 +314,57 @@ def adf_pvalue(y: np.ndarray) -> tuple[float, float, int]:
 
     lag = min(range(most + 1), key=lambda k: fit(k, most)[0])
     stat = fit(lag, lag)[1]
+    return stat, dickey_fuller_p(stat), lag
+
+
+def dickey_fuller_p(stat: float) -> float:
     if stat > ADF_MAX:
-        return stat, 1.0, lag
+        return 1.0
     if stat < ADF_MIN:
-        return stat, 0.0, lag
+        return 0.0
     coef = ADF_SMALL if stat <= ADF_STAR else ADF_LARGE
     z = sum(c * stat**i for i, c in enumerate(coef))
-    return stat, 0.5 * math.erfc(-z / math.sqrt(2)), lag
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def nested_unit_root(rows: int, own: np.ndarray, level: np.ndarray, plain: np.ndarray, levels: float, squares: float, head: np.ndarray, head_level: np.ndarray,
+                     tail: np.ndarray) -> tuple[float, float, int]:
+    """``adf_pvalue`` from sums over the ``rows`` changes that have all lags behind them.
+
+    ``own[k]``, ``level[k]`` and ``plain[k]`` sum the change k sessions back times the change, times the level before it, and alone;
+    ``levels`` and ``squares`` sum that level and its square. The products of two lags are those of the lags one shorter, shifted by
+    one session, so that they follow from ``head`` and ``tail``, the first and last changes. One Cholesky factor of the products of
+    (constant, level, lag 1, lag 2, ...) holds the factor of every shorter order, hence the squared residuals of all orders at once.
+    """
+    most = len(own) - 1
+    lags = np.empty((most + 1, most + 1))
+    lags[0], lags[:, 0] = own, own
+    for i in range(most):
+        lags[i + 1, 1:] = lags[i, :-1] + head[most - 1 - i] * head[::-1] - tail[most - 1 - i] * tail[::-1]
+    size = most + 3
+    gram = np.empty((size, size))  # constant, level, lags from 1, and the change itself last
+    order = [*range(1, most + 1), 0]
+    gram[2:, 2:] = lags[np.ix_(order, order)]
+    gram[0, 2:] = gram[2:, 0] = plain[order]
+    gram[1, 2:] = gram[2:, 1] = level[order]
+    gram[:2, :2] = [[rows, levels], [levels, squares]]
+    unit = np.sqrt(np.diag(gram))
+    scaled = gram / np.outer(unit, unit)
+    root = np.linalg.cholesky(scaled[:-1, :-1])
+    along = np.linalg.solve(root, scaled[:-1, -1])
+    rss = unit[-1] ** 2 * (1 - np.cumsum(along**2))[1:]
+    if rss.min() <= 1e-13 * unit[-1] ** 2:
+        raise ValueError("the lags explain the changes exactly")
+    lag = int(np.argmin(rows * np.log(rss / rows) + 2 * (np.arange(most + 1) + 2)))
+    # The chosen order is fitted on all changes that have its own lags behind them.
+    keep = [0, *range(2, 2 + lag), 1, size - 1]
+    final, more = gram[np.ix_(keep, keep)], most - lag
+    early = [[1.0, *head[t - 1 :: -1][:lag], head_level[t], head[t]] if lag else [1.0, head_level[t], head[t]] for t in range(lag, most)]
+    if early:
+        final = final + np.array(early).T @ np.array(early)
+    unit = np.sqrt(np.diag(final))
+    root = np.linalg.cholesky(final / np.outer(unit, unit))
+    # The last two rows of the factor: what is left of level and change beside all other columns.
+    slope, left = root[-1, -2], root[-1, -1]
+    stat = slope / left * math.sqrt(rows + more - (lag + 2))
+    return float(stat), dickey_fuller_p(float(stat)), lag

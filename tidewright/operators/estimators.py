@@ -271,18 +271,55 @@ def garch_likelihood(bars: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def unit_root(bars: DataFrame, min_rows: int = 60) -> DataFrame:
-    """Augmented Dickey-Fuller test per symbol."""
+    """Augmented Dickey-Fuller test (constant, lags by AIC) per symbol: (symbol, adf_statistic, adf_pvalue, lags, error).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("ts")["close"].to_numpy(float)
-        try:
-            row = list(fits.adf_pvalue(y)) if len(y) >= min_rows else [None, None, None]
-        except (ValueError, np.linalg.LinAlgError):
-            row = [None, None, None]
-        return pd.DataFrame([[pdf["symbol"].iloc[0], *row]], columns=["symbol", "adf_statistic", "adf_pvalue", "lags"])
-
-    return dealt(bars.select("symbol", "ts", "close").filter("close IS NOT NULL"), "symbol").groupBy("symbol").applyInPandas(
-        run, "symbol string, adf_statistic double, adf_pvalue double, lags bigint")
+    One aggregate sums each change times its lags, levels and itself; per symbol that is a row of a few dozen numbers, from which all
+    orders are solved at once. A symbol with too few closes, or without changes of its own, has the reason in ``error`` and no figures.
+    """
+    closes = checkpointed(bars.select("symbol", "ts", F.col("close").cast("double").alias("close")).filter("close IS NOT NULL AND NOT isnan(close)"))
+    longest = closes.groupBy("symbol").count().agg(F.max("count")).first()[0] or 0
+    deepest = max(_most_lags(longest), 0)
+    n = F.count("*").over(Window.partitionBy("symbol"))
+    level = F.col("close") - F.avg("close").over(Window.partitionBy("symbol"))
+    w = win.by_symbol()
+    d = closes.select("symbol", "ts", n.alias("n"), level.alias("level"), (win.position() - 1).alias("at"), (F.lead("close").over(w) - F.col("close")).alias("d"))
+    d = d.withColumn("most", F.least(F.ceil(12 * F.pow(F.col("n") / 100, F.lit(0.25))), F.floor(F.col("n") / 2) - 2).cast("int"))
+    back = [F.lag("d", k).over(w).alias(f"d{k}") for k in range(1, deepest + 1)]
+    d = d.select("*", F.col("d").alias("d0"), *back).filter(F.col("d").isNotNull() | (F.col("n") == 1))
+    inside = F.when(F.col("at") >= F.col("most"), F.lit(1.0))
+    lags = range(deepest + 1)
+    edge = lambda cond: F.sort_array(F.collect_list(F.when(cond, F.struct("at", "d", "level"))))
+    g = d.groupBy("symbol").agg(
+        F.max("n").alias("n"), F.max("most").alias("most"), F.count(inside).alias("rows"), F.sum(inside * F.col("level")).alias("levels"), F.sum(inside * F.col("level") * F.col("level")).alias("squares"),
+        F.array(*[F.sum(inside * F.col("d") * F.col(f"d{k}")) for k in lags]).alias("own"), F.array(*[F.sum(inside * F.col("level") * F.col(f"d{k}")) for k in lags]).alias("cross"),
+        F.array(*[F.sum(inside * F.col(f"d{k}")) for k in lags]).alias("plain"), F.max(F.abs("d")).alias("widest"),
+        edge(F.col("at") < F.col("most")).alias("head"), edge(F.col("at") >= F.col("n") - 1 - F.col("most")).alias("tail"),
+    )
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                why, found = None, (None, None, None)
+                if r.n < min_rows:
+                    why = f"{r.n} sessions"
+                elif not r.widest:
+                    why = "no change"
+                else:
+                    own, cross, plain = (np.array(c[: r.most + 1], float) for c in (r.own, r.cross, r.plain))
+                    head, tail = np.array([[e["d"], e["level"]] for e in r.head]), np.array([e["d"] for e in r.tail])
+                    try:
+                        found = fits.nested_unit_root(r.rows, own, cross, plain, r.levels, r.squares, head[:, 0], head[:, 1], tail)
+                    except (ValueError, np.linalg.LinAlgError):
+                        why = "changes follow from their lags"
+                out.append([r.symbol, *found, why])
+            yield pd.DataFrame(out, columns=["symbol", "adf_statistic", "adf_pvalue", "lags", "error"]).astype({"lags": "Int64"})
+
+    return g.mapInPandas(run, "symbol string, adf_statistic double, adf_pvalue double, lags bigint, error string")
+
+
+def _most_lags(n: int) -> int:
+    return min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
 
 
 # --- topology -------------------------------------------------------------------------------------------
