@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from tidewright.catalog.options import ncdf_sql
 from tidewright.catalog.registry import query, rounded
 from tidewright.catalog.windows import BASE, INDEX, STOCK, STOCK_SQL, W, macro_daily
-from tidewright.functions.fits import ADF_LARGE, ADF_MAX, ADF_MIN, ADF_SMALL, ADF_STAR
+from tidewright.functions.fits import ADF_LARGE, ADF_MAX, ADF_MIN, ADF_SMALL, ADF_STAR, normal_ppf
 from tidewright.operators import diagnostics as dg
 from tidewright.operators import estimators as es
+from tidewright.operators import forecasters as fc
 from tidewright.operators import macro
 from tidewright.operators import windows as win
 from tidewright.operators.asof import asof_join
@@ -60,6 +61,38 @@ def _(t: Tables):
     return g.withColumn("refit", F.col("refit").cast("bigint"))
 
 
+_RIDGE_Q = "my + c1 * (x - mx) / sx + c2 * (x5 - m5) / s5 + z * sd"
+_SCORED = " UNION ALL ".join(
+    f"SELECT '{name}' AS forecaster, symbol, level, y, {q} AS q, cq[i] AS base FROM te JOIN m USING (symbol, k), lv" for name, q in (("random_walk", "z * rw"), ("climatology", "cq[i]"), ("ridge", _RIDGE_Q))
+)
+FORECASTER_SQL = f"""{STOCK}, x AS (SELECT symbol, ts, close / lag(close) OVER {W} - 1 AS x, close / lag(close, 5) OVER {W} - 1 AS x5, lead(close, 5) OVER {W} / close - 1 AS y FROM stocks),
+d AS (SELECT *, row_number() OVER {W} AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM x WHERE x IS NOT NULL AND x5 IS NOT NULL AND y IS NOT NULL),
+tr AS (SELECT symbol, x, x5, y, unnest(range(CAST(ceil((pos + 5) / 63) AS BIGINT), CAST(least(floor((pos + 5 + 249) / 63), floor(n / 63)) AS BIGINT) + 1)) AS k FROM d),
+s AS (SELECT symbol, k, avg(x) AS mx, avg(x5) AS m5, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(x5) AS s5, sqrt(avg(y * y)) AS rw, quantile_cont(y, {es.LEVELS}::DOUBLE[]) AS cq FROM tr GROUP BY 1, 2 HAVING count(*) >= 10),
+z AS (SELECT symbol, k, (x - mx) / sx AS a, (x5 - m5) / s5 AS b, y - my AS y FROM tr JOIN s USING (symbol, k)),
+g AS (SELECT symbol, k, sum(a * a) + 1 AS aa, sum(a * b) AS ab, sum(b * b) + 1 AS bb, sum(a * y) AS ay, sum(b * y) AS yb FROM z GROUP BY 1, 2),
+o AS (SELECT symbol, k, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS c1, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS c2 FROM g),
+e AS (SELECT symbol, k, stddev_samp(z.y - c1 * a - c2 * b) AS sd FROM z JOIN o USING (symbol, k) GROUP BY 1, 2), m AS (SELECT * FROM s JOIN o USING (symbol, k) JOIN e USING (symbol, k)),
+te AS (SELECT symbol, x, x5, y, pos // 63 AS k FROM d), lv AS (SELECT unnest({es.LEVELS}::DOUBLE[]) AS level, unnest({[float(v) for v in normal_ppf(es.LEVELS)]}::DOUBLE[]) AS z, unnest(range(1, {len(es.LEVELS) + 1})) AS i),
+f AS ({_SCORED}), r AS (SELECT forecaster, symbol, level, count(*) AS n, avg(CAST(y <= q AS INT)) AS coverage, avg(greatest(level * (y - q), (level - 1) * (y - q))) AS p, avg(greatest(level * (y - base), (level - 1) * (y - base))) AS b FROM f GROUP BY 1, 2, 3)
+SELECT forecaster, symbol, level, n, round(coverage, 6) AS coverage, round(coverage - level, 6) AS error, round(sqrt(level * (1 - level) / greatest(2, n // 5)), 6) AS standard_error, round(1 - p / b, 6) AS skill,
+  abs(coverage - level) <= 2 * sqrt(level * (1 - level) / greatest(2, n // 5)) AS calibrated FROM r"""
+
+
+@query("agg17_forecaster_scores", FORECASTER_SQL)
+def _(t: Tables):
+    """Random walk, climatology and ridge of all symbols, refitted every 63 sessions and scored on what came after."""
+    f = fc.walk_forward(stock_design(t), [fc.RandomWalk(), fc.Climatology(), fc.Ridge()], ["x", "x5"], "y", 5, 250, 63)
+    return rounded(fc.scored(f, 5))
+
+
+@query("agg17_quantile_forecaster_scores")
+def _(t: Tables):
+    """The same report of the quantile regressions, whose fits ``est03_optimality_certificate`` proves."""
+    f = fc.walk_forward(stock_design(t), [fc.QuantileRegression()], ["x", "x5"], "y", 5, 250, 63)
+    return rounded(fc.scored(f, 5))
+
+
 @query("est13_walk_forward_forecasts")
 def _(t: Tables):
     f = forecasts(t)

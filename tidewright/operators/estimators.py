@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import fits
@@ -127,6 +127,11 @@ def quantile_certificate(duals: DataFrame, models: DataFrame, features: list[str
     )
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Sum of the products of two arrays of doubles."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
 def predict_quantiles(rows: DataFrame, models: DataFrame, features: list[str], every: int) -> DataFrame:
     """Sorted quantile array per row from the latest refit at or before it; the dot product is native.
 
@@ -138,11 +143,7 @@ def predict_quantiles(rows: DataFrame, models: DataFrame, features: list[str], e
     r = drop_unknown(rows.withColumn("slot", F.floor(win.position() / every) * every), features).withColumn("x", x)
     slots = asof_join(r.select("symbol", "slot").distinct(), m, ["symbol"], "slot", "refit", ["model", "n_train"]).filter("model IS NOT NULL")
     j = r.join(slots.withColumnRenamed("src_ts", "refit"), ["symbol", "slot"])
-
-    def dot(c):
-        return F.aggregate(F.zip_with(c, F.col("x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-
-    q = F.array_sort(F.transform("model", lambda e: e["intercept"] + dot(e["coefficients"])))
+    q = F.array_sort(F.transform("model", lambda e: e["intercept"] + dot(e["coefficients"], F.col("x"))))
     return j.withColumn("quantiles", q).drop("model", "x", "slot")
 
 
@@ -162,30 +163,32 @@ def quantile_moments(df: DataFrame, levels: list[float] | None = None, column: s
     return m.select(*df.columns, *[clean(F.col(f"__m.{c}")).alias(c) for c in ("mean", "variance", "skew")])
 
 
-def ridge_fits(rows: DataFrame, key: str, features: list[str], target: str, ridge: float = 1.0, min_rows: int = 10) -> DataFrame:
+def ridge_fits(rows: DataFrame, key: str | list[str], features: list[str], target: str, ridge: float = 1.0, min_rows: int = 10) -> DataFrame:
     """Ridge baseline per key with residual spread: means and co-moments by native partial aggregates, then a p x p solve per key.
 
     Co-moments are centred on each key's own mean while they are merged, so that a key whose levels lie far from all others
     keeps its digits. A key with fewer than ``min_rows`` complete rows gets a row with the reason in ``error`` and no model.
     """
     p = len(features)
+    keys = [key] if isinstance(key, str) else key
     complete = F.lit(True)
     for c in [*features, target]:
         complete = complete & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
-    d = rows.select(key, *[F.when(complete, F.col(c).cast("double")).alias(c) for c in [*features, target]])
+    d = rows.select(*keys, *[F.when(complete, F.col(c).cast("double")).alias(c) for c in [*features, target]])
     pairs = [(a, b) for a in range(p) for b in range(a, p)]
-    g = d.groupBy(key).agg(
+    g = d.groupBy(*keys).agg(
         F.count(target).alias("n"), F.array(*[F.avg(c) for c in features]).alias("mx"), F.avg(target).alias("my"), F.var_pop(target).alias("vy"),
         F.array(*[F.covar_pop(c, target) for c in features]).alias("cxy"), F.array(*[F.covar_pop(features[a], features[b]) for a, b in pairs]).alias("cxx"),
     )
 
     def run(batches):
-        columns = [key, "intercept", "coefficients", "residual_std", "n_train", "error"]
+        columns = [*keys, "intercept", "coefficients", "residual_std", "n_train", "error"]
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
+                own = [getattr(r, k) for k in keys]
                 if r.n < min_rows:
-                    out.append([getattr(r, key), None, None, None, r.n, f"{r.n} rows"])
+                    out.append([*own, None, None, None, r.n, f"{r.n} rows"])
                     continue
                 n, mx = r.n, np.array(r.mx)
                 cov = np.zeros((p, p))
@@ -200,11 +203,11 @@ def ridge_fits(rows: DataFrame, key: str, features: list[str], target: str, ridg
                 rss = n * r.vy - 2 * beta @ rhs + beta @ z @ beta
                 coef = np.zeros(p)
                 coef[keep] = beta / s
-                out.append([getattr(r, key), r.my - coef @ mx, coef.tolist(), math.sqrt(max(rss, 0) / (n - 1)), n, None])
+                out.append([*own, r.my - coef @ mx, coef.tolist(), math.sqrt(max(rss, 0) / (n - 1)), n, None])
             yield pd.DataFrame(out, columns=columns)
 
-    kind = rows.schema[key].dataType.simpleString()
-    return g.mapInPandas(run, f"{key} {kind}, intercept double, coefficients array<double>, residual_std double, n_train bigint, error string")
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return g.mapInPandas(run, f"{kinds}, intercept double, coefficients array<double>, residual_std double, n_train bigint, error string")
 
 
 def ridge_forecast(rows: DataFrame, models: DataFrame, key: str, features: list[str], target: str, levels: list[float] | None = None) -> DataFrame:

@@ -102,11 +102,15 @@ def coverage_report(rows: DataFrame, baseline: DataFrame, keys: list[str], horiz
     ``rows`` has (keys, y, level, quantile), ``baseline`` (keys, level, base_quantile). The standard
     error uses n / horizon effective rows because overlapping outcomes are not independent.
     """
-    j = rows.join(baseline, [*keys, "level"])
+    return coverage_scores(rows.join(baseline, [*keys, "level"]), keys, horizon)
+
+
+def coverage_scores(rows: DataFrame, keys: list[str], horizon: int) -> DataFrame:
+    """``coverage_report`` of rows that carry their own ``base_quantile``."""
     def loss(q: str) -> Column:
         u = F.col("y") - F.col(q)
         return F.greatest(F.col("level") * u, (F.col("level") - 1) * u)
-    g = j.groupBy(*keys, "level").agg(
+    g = rows.groupBy(*keys, "level").agg(
         F.count("*").alias("n"), F.avg((F.col("y") <= F.col("quantile")).cast("double")).alias("coverage"),
         F.avg(loss("quantile")).alias("pinball"), F.avg(loss("base_quantile")).alias("base_pinball"))
     effective = F.greatest(F.lit(2), F.floor(F.col("n") / horizon))
