@@ -1,12 +1,13 @@
 """Cases that operators once passed over."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewright.llm.licence_digests import known, licence_scan, register
+from tidewright.llm.licence_digests import COPYRIGHT, known, licence_scan, register
 from tidewright.llm.line_chunks import dedup_lines
 from tidewright.llm.queries import settings
 
@@ -62,3 +63,35 @@ def test_licences_above_code_and_in_lines(spark):
     assert want <= {(r.doc_id, r.license_id) for r in got} and not {52, 53} & {r.doc_id for r in got}
     assert all(max(r.line for r in got if r.doc_id == k) >= 3 and min(r.line for r in got if r.doc_id == k) <= 4 for k in range(10))
     assert {r.line for r in got if r.doc_id in (0, 1)} == {3} and len([r for r in got if r.doc_id == 0]) == 1
+
+
+def test_every_registered_text_is_found_in_any_wrapping(spark):
+    rows, want, unlucky = [], {}, set()
+    for n, (i, text) in enumerate(known()):
+        for width in (6, 7, 8, 9, 10, 11, 12, 17):
+            # The text's own copyright lines stay lines; all else is one paragraph between them.
+            wrapped, words = [], []
+            for x in [*text.split("\n"), "© end"]:
+                if re.search(COPYRIGHT, x):
+                    wrapped += [" ".join(words[j : j + width]) for j in range(0, len(words), width)] + [x]
+                    words = []
+                else:
+                    words += x.split()
+            wrapped.pop()
+            # Two licences show a notice inside a sentence; a line that starts with it is read as a copyright line.
+            if sum(bool(re.search(COPYRIGHT, x)) for x in wrapped) > sum(bool(re.search(COPYRIGHT, x)) for x in text.split("\n")):
+                unlucky.add((i, width))
+                continue
+            doc = 100 * n + 2 * width
+            # As the whole text, and behind comment marks above code.
+            rows += [(doc, "\n".join(wrapped)), (doc + 1, "\n".join(["#!/bin/sh", "# (c) 2021 Someone", *("# " + x for x in wrapped), "exit 0"]))]
+            want[doc], want[doc + 1] = i, i
+    changed = {i: t for i, t in known() if i in ("GPL-3.0", "Apache-2.0", "MPL-2.0")}
+    rows += [(-k, t.replace("You must retain", "You may drop").replace("under Patent Claims", "under no claims").replace("copyright on the Program", "copyright on nothing")) for k, t in enumerate(changed.values(), 1)]
+    got = {}
+    for r in licence_scan(spark.createDataFrame(rows, "doc_id long, text string"), register(spark)).collect():
+        got.setdefault(r.doc_id, set()).add((r.line, r.license_id))
+    missed = [(d, i) for d, i in want.items() if not any(found == i and (line == 0) == (d % 2 == 0) for line, found in got.get(d, ()) if d % 2 or line == 0)]
+    assert len(want) == 16 * len(known()) - 2 * len(unlucky) and not missed, missed
+    assert {i for i, _ in unlucky} <= {"GPL-2.0", "GPL-3.0"} and len(unlucky) <= 4
+    assert not any(line == 0 for d in (-1, -2, -3) for line, _ in got.get(d, ()))

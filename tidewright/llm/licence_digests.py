@@ -1,8 +1,8 @@
 """Licence scans by canonical digest: whole texts, lines and runs of lines, normalised, are hash-joined to the digests of known licences.
 
 Normalising lower-cases, drops copyright lines, brings equivalent spellings to one form and leaves words only. The register is
-a few texts and is broadcast after its size is checked; documents are not shuffled. Runs of lines are formed only where a line
-starts with the first words of a known text, and only as long as such a text is.
+a few texts and is broadcast after its size is checked; documents are not shuffled. A text, line or run of lines is hashed only
+where it starts with the first words of a known text and is as long as that text.
 """
 
 from __future__ import annotations
@@ -47,35 +47,31 @@ FURTHER = [
     *[(i, f"This {what} is {how} under the {name}") for i, name in _NAMES for what in ("project", "software", "code", "work", "file") for how in ("licensed", "released")],
     *[(i, f"{how} under the {name}") for i, name in _NAMES for how in ("Licensed", "Released", "Distributed")],
 ]
-HEAD = 3  # words that a run of lines starts with
-MARKS = r"(?m)^[ \t]*(//+|#+|/?\*+|;+|--+)[ \t]*"  # of comments, taken off for runs of lines
-RUNNING = r"(?im)^[ \t]*(?=copyright[ \t]+(holder|owner|notice|law|licen[cs]e))"  # words of a wrapped sentence, no copyright line
-MOST_HEADS = 1000  # looked for by one pattern up to so many
+HEAD = 3  # words by which a start is looked up
 # Equivalent spellings.
-SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("non-infringement", "noninfringement"), ("organisation", "organization"), ("authoris", "authoriz"), ("copyright owner", "copyright holder"), ("&", " and "), ("“", '"'), ("”", '"')]
-COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$|^[ \t]*all rights reserved\.?[ \t]*$"
+SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("non-infringement", "noninfringement"), ("organisation", "organization"), ("authoris", "authoriz"), ("owner", "holder"), ("&", " and "), ("“", '"'), ("”", '"')]
+# A copyright line is one that starts with the word or its mark, and then has a mark, a year, a bracket or a name; a sentence that was
+# wrapped before "copyright holder", and an item "(c) You must ...", are none. Comment marks may stand before it.
+NO_NAMES = ["License", "Licence", "Law", "Holder", "Owner", "Notice", "Act", "Treaty"]  # that follow "Copyright" in titles
+COPYRIGHT = (
+    r"(?m)^[^A-Za-z0-9©(\n]*((?i:copyright)[ \t:]*(\([cC]\)|©|[0-9]{4}|[\[<{])|Copyright[ \t]+(by[ \t]+)?[A-Z]|\([cC]\)[ \t]*([0-9]{4}|[\[<{]|(?i:copyright))|©)[^\n]*$"
+    r"|^[^A-Za-z0-9\n]*(?i:all rights reserved)\.?[ \t]*$"
+)
 NO_WORD = r"[^a-z0-9\n]+"
 MOST_LICENCES = 100_000  # broadcast up to so many
 
 
 def canonical(text: Column) -> Column:
     """Words of the text, line by line, in canonical form."""
-    out = F.lower(F.regexp_replace(text, "\r", ""))
-    out = F.regexp_replace(out, COPYRIGHT, "")
+    out = F.replace(text, F.lit("\r"), F.lit(""))
+    for name in NO_NAMES:
+        out = F.replace(out, F.lit(f"Copyright {name}"), F.lit(f"copyright {name}"))
+    out = F.lower(F.regexp_replace(out, COPYRIGHT, ""))
     for before, after in SPELLINGS:
         out = F.replace(out, F.lit(before), F.lit(after))
     return F.regexp_replace(out, NO_WORD, " ")
 
 
-def _one_line(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
-
-
-def _wrapped(text: Column) -> Column:
-    """The text with a stop before lines that go on with a word like "copyright holder", so that they stay."""
-    return F.regexp_replace(text, RUNNING, ". ")
-
-
 def known() -> list[tuple[str, str]]:
     """All registered (license_id, text)."""
     texts = sorted((Path(__file__).parent / "licences").glob("*.txt"))
@@ -85,57 +81,60 @@ def known() -> list[tuple[str, str]]:
 def register(spark: SparkSession, licences=None) -> DataFrame:
     """(license_id, digest, head, n_words) of licence texts, one row a digest; head is the text's first words."""
     rows = spark.createDataFrame(known() if licences is None else licences, "license_id string, text string")
-    told = rows.select("license_id", F.explode(F.array(*[_one_line(canonical(t)) for t in (F.col("text"), _wrapped(F.col("text")))])).alias("body"))
+    told = rows.select("license_id", F.trim(F.regexp_replace(canonical(F.col("text")), "[ \n]+", " ")).alias("body")).filter("body <> ''")
     told = told.select("license_id", F.md5("body").alias("digest"), F.split("body", " ").alias("w"))
     told = told.select("license_id", "digest", F.array_join(F.slice("w", 1, HEAD), " ").alias("head"), F.size("w").alias("n_words"))
     return told.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.min("head").alias("head"), F.min("n_words").alias("n_words"))
 
 
-def _runs(docs: DataFrame, licences: DataFrame) -> DataFrame:
-    """(doc_id, line, digest) of runs of several lines, short of the whole text, that are as long as a known text and start like it."""
-    sizes: dict[tuple, set] = {}
-    for r in licences.select("head", "n_words").distinct().toLocalIterator():
-        sizes.setdefault(tuple(r[0].split(" ")), set()).add(r[1])
-    sizes = {h: n for h, n in sizes.items() if len(h) == HEAD}
+def _units(sizes: dict[tuple, set]):
+    """(doc_id, line, digest) of whole texts, lines and runs of lines that start like a known text and are as long."""
+    widths = sorted({len(h) for h in sizes}, reverse=True)
+    firsts = {h[0] for h in sizes}
 
     def run(batches):
         for batch in batches:
             out = []
             for doc, canon in zip(*(c.to_pylist() for c in batch.columns)):
-                words, at = [], []
-                for line, text in enumerate(canon.split("\n"), 1):
+                lines = canon.split("\n")
+                if not any(x.split(None, 1)[0] in firsts for x in lines if x and not x.isspace()):
+                    continue
+                words, at, ends = [], [], set()
+                for line, text in enumerate(lines, 1):
                     w = text.split()
                     if w:
                         at.append((line, len(words), len(w)))
                         words += w
-                ends = {start + n for _, start, n in at}
+                        ends.add(len(words))
                 for line, start, n in at:
-                    for size in sizes.get(tuple(words[start : start + HEAD]), ()):
-                        if n < size < len(words) and start + size in ends:
-                            out.append((doc, line, hashlib.md5(" ".join(words[start : start + size]).encode()).hexdigest()))
+                    if words[start] not in firsts:
+                        continue
+                    for size in {k for width in widths for k in sizes.get(tuple(words[start : start + width]), ())}:
+                        if start + size in ends:
+                            digest = hashlib.md5(" ".join(words[start : start + size]).encode()).hexdigest()
+                            if size == len(words):
+                                out.append((doc, 0, digest))
+                            if size == n or size < len(words):
+                                out.append((doc, line, digest))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.string()])], ["doc_id", "line", "digest"])
 
-    told = docs.select(F.col("doc_id").cast("long"), canonical(_wrapped(F.regexp_replace("text", MARKS, ""))).alias("canon")).filter("canon is not null")
-    if len(sizes) <= MOST_HEADS:
-        told = told.filter(F.col("canon").rlike("(?m)^ *(?:" + "|".join("[ \\n]+".join(h) for h in sorted(sizes)) + ")(?![a-z0-9])") if sizes else F.lit(False))
-    return told.mapInArrow(run, "doc_id long, line long, digest string")
+    return run
 
 
 def licence_scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
     """(doc_id, line, license_id, digest) of each text (line 0), line (from 1) or run of lines (its first) that is a known licence, all of it.
 
-    ``licences`` is what ``register`` gives. Blank and copyright lines inside a run do not count. Lines count from 1 in the text as it is. Null, blank or wordless texts and lines match nothing. A text of one line is
-    reported as text and as line. Repeated rows are reported for each, a null doc_id with null; an empty table gives an empty
-    result; other columns are ignored.
+    ``licences`` is what ``register`` gives, at most ``MOST_LICENCES`` of them (more raise ValueError): they are broadcast, with their first words.
+    Blank and copyright lines inside a run do not count, so that any wrapping of a text is found that leaves its own copyright lines alone and starts no line with such a notice inside a sentence. Lines count from 1 in the text as it is.
+    Null, blank or wordless texts and lines match nothing. A text of one line is reported as text and as line. Repeated rows are reported for
+    each, a null doc_id with null; an empty table gives an empty result; other columns are ignored.
     """
-    runs = _runs(docs, licences)
-    licences = licences.select("digest", "license_id")
-    if licences.count() <= MOST_LICENCES:
-        licences = F.broadcast(licences)
-    told = docs.select("doc_id", canonical(F.col("text")).alias("canon"))
-    told = told.select("doc_id", F.concat(F.array(F.md5(_one_line(F.col("canon")))), F.transform(F.split("canon", "\n", -1), lambda x: F.md5(F.trim(x)))).alias("digests"))
-    units = told.select("doc_id", F.posexplode_outer("digests").alias("line", "digest"))
-    nothing = F.lit("d41d8cd98f00b204e9800998ecf8427e")  # md5 of the empty text
-    units = units.filter(F.col("digest") != nothing).select("doc_id", F.col("line").cast("long").alias("line"), "digest").unionByName(runs)
-    return units.join(licences, "digest").select("doc_id", "line", "license_id", "digest")
+    if licences.count() > MOST_LICENCES:
+        raise ValueError(f"more than {MOST_LICENCES} licences")
+    sizes: dict[tuple, set] = {}
+    for head, n in licences.select("head", "n_words").distinct().collect():
+        sizes.setdefault(tuple(head.split(" ")), set()).add(n)
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical(F.col("text")).alias("canon")).filter("canon is not null")
+    units = told.mapInArrow(_units(sizes), "doc_id long, line long, digest string")
+    return units.join(F.broadcast(licences.select("digest", "license_id")), "digest").select("doc_id", "line", "license_id", "digest")

@@ -14,7 +14,7 @@ from tidewright.llm.curriculum import curriculum_mix
 from tidewright.llm.hard_negatives import mine
 from tidewright.llm.language_bitmask import languages, learn
 from tidewright.llm.level_doubling import remove_repeats
-from tidewright.llm.licence_digests import COPYRIGHT, LICENCES, NO_WORD, SPELLINGS, licence_scan, register
+from tidewright.llm.licence_digests import COPYRIGHT, HEAD, NO_NAMES, NO_WORD, SPELLINGS, known, licence_scan, register
 from tidewright.llm.line_chunks import dedup_lines
 from tidewright.llm.merkle import tampered_manifest
 from tidewright.llm.multi_index import nearest
@@ -161,21 +161,27 @@ def op7(read):
 
 def _canonical_sql(text: str) -> str:
     """Canonical form in SQL, of the same constants."""
-    out = f"regexp_replace(lower(replace({text}, chr(13), '')), '{COPYRIGHT}', '', 'g')"
+    out = f"replace({text}, chr(13), '')"
+    for name in NO_NAMES:
+        out = f"replace({out}, 'Copyright {name}', 'copyright {name}')"
+    out = f"lower(regexp_replace({out}, '{COPYRIGHT}', '', 'g'))"
     for before, after in SPELLINGS:
         out = f"replace({out}, '{before}', '{after}')"
     return f"regexp_replace({out}, '{NO_WORD}', ' ', 'g')"
 
 
 @query("op3_licence_digests", f"""
-WITH k AS (SELECT md5(trim(regexp_replace({_canonical_sql("text")}, '[ \\n]+', ' ', 'g'))) AS digest, min(id) AS license_id
-  FROM (VALUES {", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in LICENCES)}) v(id, text) GROUP BY 1),
-c AS (SELECT doc_id, {_canonical_sql("text")} AS canon FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, 0::BIGINT AS line, trim(regexp_replace(canon, '[ \\n]+', ' ', 'g')) AS body FROM c
-  UNION ALL SELECT doc_id, i, trim(s[i]) FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(canon, chr(10)) AS s FROM c)))
-SELECT doc_id, line, license_id, digest FROM (SELECT doc_id, line, md5(body) AS digest FROM u WHERE body <> '') JOIN k USING (digest)""")
+WITH b AS (SELECT id, trim(regexp_replace({_canonical_sql("text")}, '[ \\n]+', ' ', 'g')) AS body FROM (VALUES {", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in known())}) v(id, text)),
+k AS (SELECT md5(body) AS digest, min(id) AS license_id, min(string_split(body, ' ')[:{HEAD}]) AS head, min(len(string_split(body, ' '))) AS n FROM b WHERE body <> '' GROUP BY 1),
+c AS (SELECT doc_id, row_number() OVER () AS row, {_canonical_sql("text")} AS canon FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, row, i AS line, trim(s[i]) AS body FROM (SELECT doc_id, row, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, row, string_split(canon, chr(10)) AS s FROM c))),
+n AS (SELECT doc_id, row, line, len(string_split(body, ' ')) AS n, sum(len(string_split(body, ' '))) OVER (PARTITION BY row ORDER BY line) AS stop FROM l WHERE body <> ''),
+w AS (SELECT row, string_split(trim(regexp_replace(canon, '[ \\n]+', ' ', 'g')), ' ') AS words FROM c),
+t AS (SELECT DISTINCT n.doc_id, n.row, n.line, n.n, stop - n.n AS start, k.n AS size, len(words) AS whole, words[stop - n.n + 1 : stop - n.n + k.n] AS part FROM n JOIN w USING (row) JOIN (SELECT DISTINCT head, n FROM k) k ON words[stop - n.n + 1 : stop - n.n + {HEAD}] = k.head),
+f AS (SELECT t.*, md5(array_to_string(part, ' ')) AS digest FROM t JOIN n e ON e.row = t.row AND e.stop = t.start + t.size)
+SELECT doc_id, o AS line, license_id, digest FROM (SELECT doc_id, 0::BIGINT AS o, digest FROM f WHERE size = whole UNION ALL SELECT doc_id, line, digest FROM f WHERE size = n OR size < whole) JOIN k USING (digest)""")
 def op3(read):
-    """Texts and lines that are a known licence."""
+    """Texts, lines and runs of lines that are a known licence."""
     docs = read("documents")
     return licence_scan(docs, register(docs.sparkSession))
 
