@@ -130,3 +130,14 @@ def test_dated_episodes_and_scenarios_without_a_trigger(spark):
     war = [r for r in found if r.scenario == "war"]
     assert {r.symbol for r in war} == {"A", "B"} and all(r.episodes is None and r.horizon is None for r in war)
     assert any(r.scenario == "fall" and r.episodes for r in found)
+
+
+def test_ledger_refuses_sales_of_unknown_collateral(spark):
+    from tidewright.operators.portfolio import ledger
+
+    order = "account long, seq long, action string, side string, contracts int, fill_price double, spot double, strike double, kind string"
+    rows = [(1, 1, "open", "sell", 1, 1.0, None, 100.0, "call"), (1, 2, "open", "sell", 1, 1.0, 100.0, None, "call"), (1, 3, "open", "sell", 1, 1.0, 100.0, None, "put"),
+            (1, 4, "open", "buy", 1, 1.0, 100.0, None, "call"), (1, 5, "expire", "buy", None, None, 100.0, None, "call"), (1, 6, "close", "sell", 1, 2.0, 100.0, None, "call")]
+    got = ledger(spark.createDataFrame(rows, order)).orderBy("seq").collect()
+    assert [r.status for r in got] == ["refused", "refused", "refused", "done", "waiting", "done"]
+    assert got[-1].collateral == 0 and got[-1].open_positions == 0 and abs(got[-1].realized - 98.7) < 1e-9

@@ -20,6 +20,7 @@ from tidewright.operators import records as rc
 from tidewright.operators import windows as win
 from tidewright.operators.filters import usable_quotes
 from tidewright.session import checkpointed
+from tidewright.streaming.state import premium_baselines, replayed
 from tidewright.tables import STOCK_SQL, Tables
 
 _GAP = f"""x AS (SELECT symbol, ts, close, lag(close, 20) OVER {W} AS p20, CASE WHEN volume > 4 THEN (close / lag(close, 5) OVER {W} - 1) * 100 END AS g FROM stocks),
@@ -27,11 +28,26 @@ k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS kn FROM x
 j AS (SELECT x.symbol, x.ts, x.g, b.l, b.kn FROM x ASOF LEFT JOIN kk b ON x.symbol = b.symbol AND x.ts > b.ts)"""
 
 
-@query("win20_premium_baseline", f"WITH {STOCK_SQL}, {_GAP} SELECT symbol, ts, round(g, 6) AS mean_gap, coalesce(kn, 0) >= 20 AS baseline_ready, round(CASE WHEN kn >= 20 THEN list_median(l) ELSE 0 END, 6) AS base_mean_gap FROM j")
-def _(t: Tables):
+_BASE = f"WITH {STOCK_SQL}, {_GAP} SELECT symbol, ts, round(g, 6) AS mean_gap, coalesce(kn, 0) >= 20 AS baseline_ready, round(CASE WHEN kn >= 20 THEN list_median(l) ELSE 0 END, 6) AS base_mean_gap FROM j"
+
+
+def gaps(t: Tables):
     g = F.when(F.col("volume") > 4, win.pct_return("close", 5) * 100)
-    d = t.stocks().select("symbol", "ts", g.alias("mean_gap")).withColumns({"variance_gap": F.col("mean_gap"), "skew_gap": F.col("mean_gap")})
-    return rounded(dv.premium_baseline(d).select("symbol", "ts", "mean_gap", "baseline_ready", "base_mean_gap"))
+    return t.stocks().select("symbol", "ts", g.alias("mean_gap")).withColumns({"variance_gap": F.col("mean_gap"), "skew_gap": F.col("mean_gap")})
+
+
+@query("win20_premium_baseline", _BASE)
+def _(t: Tables):
+    return rounded(dv.premium_baseline(gaps(t)).select("symbol", "ts", "mean_gap", "baseline_ready", "base_mean_gap"))
+
+
+@query("win20_stored_baseline", _BASE)
+def _(t: Tables):
+    """The baseline as a stream in two runs: the second one goes on with the windows that the first one stored."""
+    d = checkpointed(gaps(t))
+    half = d.agg(F.expr("date_add(min(ts), cast(datediff(max(ts), min(ts)) / 2 as int))")).first()[0]
+    late = F.coalesce(F.col("ts") > half, F.lit(False))
+    return rounded(replayed([d.filter(~late), d.filter(late)], premium_baselines).select("symbol", "ts", "mean_gap", "baseline_ready", "base_mean_gap"))
 
 
 _MG = f"m AS (SELECT symbol, ts, 21 / CASE WHEN extract(day FROM ts) = 15 THEN 63.0::DOUBLE ELSE 21.0::DOUBLE END / 1 AS z, CASE WHEN extract(day FROM ts) = 15 THEN 63.0::DOUBLE ELSE 21.0::DOUBLE END / 252 AS years, close / 100 - 1 AS mean, 0.0012 * close / 100 AS variance, (close - 100) / 50 AS skew, 0.002::DOUBLE AS mean_return, 0.0010::DOUBLE AS variance_return, -0.3::DOUBLE AS skew_return, (volume - 25) / 10 AS tda_z, (close - 98) / 100 AS hurst_drop FROM stocks)"

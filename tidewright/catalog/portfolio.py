@@ -9,6 +9,7 @@ from tidewright.catalog.backtests import scan_sql
 from tidewright.catalog.registry import query, rounded
 from tidewright.catalog.windows import INDEX, W
 from tidewright.operators import portfolio as pf
+from tidewright.streaming.state import order_ledger, replayed
 from tidewright.tables import Tables
 
 
@@ -22,11 +23,40 @@ def orders(t: Tables):
         (80 + F.col("event_id") % 40).cast("double").alias("spot"), (80 + F.col("user_id") % 40).cast("double").alias("strike"), F.when(F.col("event_id") % 2 == 0, "call").otherwise("put").alias("kind"))
 
 
-@query("bt11_order_ledger")
+# Each order is one step of its account's recursion; a line is found by its contract, oldest first.
+LEDGER_SQL = """WITH RECURSIVE e AS (SELECT user_id AS account, event_id AS seq, CASE event_type WHEN 'signup' THEN 'close' WHEN 'error' THEN 'expire' ELSE 'open' END AS action, event_type = 'view' AS sell, 1 + CAST(floor(value) AS BIGINT) % 5 AS size,
+  value / 20 + 0.05 AS fill, CAST(80 + event_id % 40 AS DOUBLE) AS spot, CAST(80 + user_id % 40 AS DOUBLE) AS strike, CASE WHEN event_id % 2 = 0 THEN 'call' ELSE 'put' END AS kind FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY seq) AS k, CASE WHEN sell THEN 1 ELSE -1 END * fill * size * 100 AS premium, 0.65 * size AS fee, greatest(CASE WHEN kind = 'call' THEN spot - strike ELSE strike - spot END, 0) AS worth,
+  CASE WHEN NOT sell THEN 0 WHEN kind = 'put' THEN strike * size * 100 ELSE greatest(0.2 * spot - greatest(strike - spot, 0) + fill, 0.1 * spot + fill, 0) * size * 100 END AS need,
+  CASE WHEN action <> 'expire' AND NOT coalesce(fill > 0, false) THEN 'refused' WHEN action = 'open' AND NOT coalesce(size > 0, false) THEN 'refused' WHEN action = 'close' AND size < 0 THEN 'refused' ELSE '' END AS early FROM e),
+st(account, k, seq, action, status, cash, realized, collateral, lines) AS (
+  SELECT DISTINCT account, 0::BIGINT, NULL::BIGINT, '', '', 100000::DOUBLE, 0::DOUBLE, 0::DOUBLE, []::STRUCT(kind VARCHAR, strike DOUBLE, n DOUBLE, price DOUBLE, held DOUBLE)[] FROM o
+  UNION ALL SELECT account, k, seq, action, status, CAST(CASE WHEN status <> 'done' THEN cash WHEN action = 'open' THEN cash + premium - fee ELSE cash + price * amount * 100 * sign(line.n) - cost END AS DOUBLE),
+    CAST(CASE WHEN status <> 'done' THEN realized WHEN action = 'open' THEN realized - fee ELSE realized + (price - line.price) * amount * 100 * sign(line.n) - cost END AS DOUBLE),
+    CAST(CASE WHEN status <> 'done' THEN collateral WHEN action = 'open' THEN collateral + need WHEN amount = abs(line.n) AND len(lines) = 1 THEN 0 ELSE collateral - line.held * amount / abs(line.n) END AS DOUBLE),
+    CASE WHEN status <> 'done' THEN lines WHEN action = 'open' THEN list_append(lines, {'kind': kind, 'strike': strike, 'n': CAST(CASE WHEN sell THEN -size ELSE size END AS DOUBLE), 'price': CAST(fill AS DOUBLE), 'held': CAST(need AS DOUBLE)})
+      WHEN amount = abs(line.n) THEN list_concat(lines[:i - 1], lines[i + 1:])
+      ELSE list_concat(list_append(lines[:i - 1], {'kind': line.kind, 'strike': line.strike, 'n': line.n - sign(line.n) * amount, 'price': line.price, 'held': line.held - line.held * amount / abs(line.n)}), lines[i + 1:]) END
+  FROM (SELECT *, CASE WHEN early <> '' THEN early WHEN action = 'open' THEN CASE WHEN need - (premium - fee) > cash - collateral + 1e-9 THEN 'refused' ELSE 'done' END WHEN line IS NULL THEN 'nothing open' WHEN amount > abs(line.n) THEN 'refused' ELSE 'done' END AS status
+    FROM (SELECT *, CASE WHEN action = 'expire' OR size = 0 THEN abs(line.n) ELSE CAST(size AS DOUBLE) END AS amount, CASE WHEN action = 'expire' THEN worth ELSE fill END AS price, CASE WHEN action = 'expire' THEN 0 ELSE 0.65 * amount END AS cost
+      FROM (SELECT o.*, cash, realized, collateral, lines, coalesce(list_position(list_transform(lines, lambda x: x.kind = o.kind AND x.strike = o.strike), true), 0) AS i, CASE WHEN i > 0 THEN lines[i] END AS line FROM st JOIN o ON o.account = st.account AND o.k = st.k + 1))))
+SELECT account, seq, action, status, round(cash, 4) AS cash, round(realized, 4) AS realized, round(collateral, 4) AS collateral, CAST(len(lines) AS BIGINT) AS open_positions FROM st WHERE k > 0"""
+
+
+@query("bt11_order_ledger", LEDGER_SQL)
 def _(t: Tables):
     return rounded(pf.ledger(orders(t)), 4)
 
 
+@query("bt11_stored_ledger", LEDGER_SQL)
+def _(t: Tables):
+    """The ledger as a stream in two runs: the second one finds the accounts as the first one left them."""
+    o = orders(t)
+    half = o.agg(((F.min("seq") + F.max("seq")) / 2).cast("long")).first()[0]
+    late = F.coalesce(F.col("seq") > half, F.lit(False))
+    return rounded(replayed([o.filter(~late), o.filter(late)], order_ledger), 4)
+
+
 @query("bt09_option_overlays")
 def _(t: Tables):
     b = t.bars()

@@ -33,10 +33,16 @@ class _Account:
         self.cash, self.realized, self.collateral, self.count = cash, 0.0, 0.0, 0
         self.lines: dict[tuple, deque] = {}
 
+    @staticmethod
+    def contract(r) -> tuple:
+        """Kind, strike and expiry; unknown ones are None, so that they are equal to each other."""
+        expiry = getattr(r, "expiry", None)
+        return (None if pd.isna(r.kind) else r.kind, None if pd.isna(r.strike) else float(r.strike), None if pd.isna(expiry) else str(expiry))
+
     def apply(self, r) -> str:
         if r.status:
             return r.status
-        contract = (r.kind, r.strike, getattr(r, "expiry", None))
+        contract = self.contract(r)
         if r.action == "open":
             effect = r.premium - r.fee
             if r.held - effect > self.cash - self.collateral + 1e-9:
@@ -74,21 +80,23 @@ def _valued(orders: DataFrame) -> DataFrame:
     sell, size = F.col("side") == "sell", F.col("contracts")
     premium = F.col("fill_price") * size * SHARES
     call = F.greatest(REG_T * F.col("spot") - F.greatest(F.col("strike") - F.col("spot"), F.lit(0.0)) + F.col("fill_price"), REG_T_FLOOR * F.col("spot") + F.col("fill_price"), F.lit(0.0))
-    held = F.when(sell, F.when(F.col("kind") == "put", F.col("strike")).otherwise(call) * size * SHARES).otherwise(0.0)
+    # greatest skips NULL: without a spot or a strike the collateral and the intrinsic value are unknown, not zero.
+    known = F.col("spot").isNotNull() & F.col("strike").isNotNull()
+    held = F.when(sell, F.when(F.col("kind") == "put", F.col("strike")).otherwise(F.when(known, call)) * size * SHARES).otherwise(0.0)
     value = F.greatest(F.when(F.col("kind") == "call", F.col("spot") - F.col("strike")).otherwise(F.col("strike") - F.col("spot")), F.lit(0.0))
     expires, opens = F.col("action") == "expire", F.col("action") == "open"
     unpriced = ~expires & ~F.coalesce(F.col("fill_price") > 0, F.lit(False))
-    unsized = F.when(opens, ~F.coalesce(size > 0, F.lit(False))).when(expires, False).otherwise(F.coalesce(size < 0, F.lit(False)))
-    status = F.when(expires & F.col("spot").isNull(), "waiting").when(unpriced | unsized, "refused").otherwise("")
+    unsized = F.when(opens, ~F.coalesce(size > 0, F.lit(False)) | held.isNull()).when(expires, False).otherwise(F.coalesce(size < 0, F.lit(False)))
+    status = F.when(expires & ~known, "waiting").when(unpriced | unsized, "refused").otherwise("")
     return orders.withColumns({"contracts": F.coalesce(size, F.lit(0)), "premium": F.when(sell, premium).otherwise(-premium), "fee": F.coalesce(COMMISSION * size, F.lit(0.0)), "held": held, "price": F.when(expires, value).otherwise(F.col("fill_price")), "status": status})
 
 
 def ledger(orders: DataFrame, starting_cash: float = 100_000.0) -> DataFrame:
     """Fold each account's orders in sequence.
 
-    A contract is its kind, strike and, where the orders have the column, expiry. Opens beyond buying power are refused, and so are orders without a size or a price and closes of more than the contract's oldest line holds;
+    A contract is its kind, strike and, where the orders have the column, expiry. Opens beyond buying power are refused, and so are orders without a size or a price, sales whose collateral is unknown and closes of more than the contract's oldest line holds;
     a close without a size takes the whole line. An expiry settles the contract's oldest line at intrinsic value, and waits
-    while there is no spot. Orders are dealt out by account and sorted by sequence; the fold runs over Arrow batches and
+    while there is no spot or strike. Orders are dealt out by account and sorted by sequence; the fold runs over Arrow batches and
     carries one account's state from batch to batch, so no account's orders are ever held in memory as a whole.
     """
     sorted_orders = dealt(_valued(orders), "account").sortWithinPartitions("account", "seq")
