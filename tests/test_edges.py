@@ -141,3 +141,17 @@ def test_ledger_refuses_sales_of_unknown_collateral(spark):
     got = ledger(spark.createDataFrame(rows, order)).orderBy("seq").collect()
     assert [r.status for r in got] == ["refused", "refused", "refused", "done", "waiting", "done"]
     assert got[-1].collateral == 0 and got[-1].open_positions == 0 and abs(got[-1].realized - 98.7) < 1e-9
+
+
+def test_signals_with_a_memory_start_with_their_fold(spark):
+    rng = np.random.default_rng(5)
+    b = bars(spark, 100 * np.exp(np.cumsum(rng.normal(0, 0.012, 520))))
+    walked = bt.walk_forward(b, "regime-trend", 420, 50, grid=[{"fast": 5, "slow": 20, "hurst_threshold": 0.5}]).orderBy("fold", "ts").collect()
+    want = []
+    for fold in (0, 1):
+        start = fold * 50 + 420 - 401
+        own = b.filter((bt.F.col("ts") >= DAY + dt.timedelta(days=start)) & (bt.F.col("ts") < DAY + dt.timedelta(days=fold * 50 + 470)))
+        signals = bt.grid_signals(own, "regime-trend", [{"fast": 5, "slow": 20, "hurst_threshold": 0.5}])
+        want += [(fold, r.ts, r.exposure, round(r.equity, 6)) for r in bt.run_backtest(signals).orderBy("ts").collect()]
+    assert [(r.fold, r.ts, r.exposure, round(r.equity, 6)) for r in walked] == want and len(want) == 100
+    assert {r[2] for r in want} <= {0.0, 1.0} and sum(r[2] for r in want) > 0

@@ -99,6 +99,92 @@ def _(t: Tables):
     return rounded(r, 4)
 
 
+def _weights(n: int) -> str:
+    return "[" + ", ".join(str(0.94**k) for k in range(n - 1, -1, -1)) + "]::DOUBLE[]"
+
+
+def _points(strategy: str, src: str, keys: str) -> list[tuple[str, int, str]]:
+    """Signal SQL, warm-up and table of every grid point over ``src`` (keys, ts, open, close)."""
+    w = f"(PARTITION BY {keys} ORDER BY ts)"
+    over = lambda n: f"OVER (PARTITION BY {keys} ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    out = []
+    for p in bt.GRIDS[strategy]:
+        if strategy == "momentum":
+            n, k = p["lookback"], p["skip"]
+            out.append((f"CASE WHEN lag(close, {n}) OVER {w} > 0 THEN CAST(lag(close, {k}) OVER {w} > lag(close, {n}) OVER {w} AS INT) ELSE 0 END", n + 2, src))
+        elif strategy == "mean-reversion":
+            n, a, b = p["window"], p["entry_z"], p["exit_z"]
+            z = f"(close - avg(close) {over(n)}) / stddev_samp(close) {over(n)}"
+            out.append((f"CASE WHEN stddev_samp(close) {over(n)} > 1e-9 THEN CASE WHEN {z} <= {a} THEN 1 WHEN {z} >= {b} THEN 0 ELSE ({b} - {z}) / ({b - a}) END ELSE 0 END", n + 1, src))
+        elif strategy == "vol-target":
+            n = p["lookback"]
+            vol = f"sqrt(list_dot_product(sq{n}, {_weights(n)}) / list_sum({_weights(n)})) * sqrt(252) * 100"
+            out.append((f"CASE WHEN len(sq{n}) = {n} AND {vol} > 1e-6 THEN least({p['target_vol']} / ({vol}), 1) ELSE 0 END", n + 1, f"{src}_v"))
+        elif strategy == "rsi":
+            n = p["period"]
+            out.append((f"CASE WHEN rsi{n} IS NULL THEN 0 WHEN rsi{n} <= {p['oversold']} THEN 1 WHEN rsi{n} >= {p['overbought']} THEN 0 ELSE 0.5 END", 3 * n, f"{src}_v"))
+        else:
+            means = f"avg(close) {over(p['fast'])} > avg(close) {over(p['slow'])}"
+            out.append((f"CASE WHEN hurst < {p['hurst_threshold']} THEN 0 ELSE CAST({means} AS INT) END", max(p["slow"], 400) + 1, f"{src}_v"))
+    return out
+
+
+def signal_inputs(strategy: str, src: str, keys: str) -> str:
+    """CTEs of what the signals read beside closes, bar by bar within ``keys``."""
+    w = f"(PARTITION BY {keys} ORDER BY ts)"
+    if strategy == "vol-target":
+        sq = ", ".join(f"list(lr * lr) FILTER (lr IS NOT NULL) OVER (PARTITION BY {keys} ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS sq{n}" for n in sorted({p["lookback"] for p in bt.GRIDS[strategy]}))
+        return f"{src}_r AS (SELECT *, ln(close / lag(close) OVER {w}) AS lr FROM {src}), {src}_v AS (SELECT *, {sq} FROM {src}_r), "
+    if strategy == "rsi":
+        mean = lambda c, n: f"CASE WHEN pos > {n} THEN list_reduce(list_concat([list_avg({c}[1:{n}])], {c}[{n + 1}:]), lambda a, x: (a * {n - 1} + x) / {n}) END"
+        periods = sorted({p["period"] for p in bt.GRIDS[strategy]})
+        a = ", ".join(f"{mean('g', n)} AS g{n}, {mean('s', n)} AS s{n}" for n in periods)
+        r = ", ".join(f"CASE WHEN g{n} IS NULL THEN NULL WHEN s{n} <= 1e-12 THEN CASE WHEN g{n} > 0 THEN 100 ELSE 50 END ELSE 100 - 100 / (1 + g{n} / s{n}) END AS rsi{n}" for n in periods)
+        return f"""{src}_d AS (SELECT *, close - lag(close) OVER {w} AS d, row_number() OVER {w} AS pos FROM {src}), {src}_l AS (SELECT *, list(greatest(d, 0)) FILTER (d IS NOT NULL) OVER p AS g, list(greatest(-d, 0)) FILTER (d IS NOT NULL) OVER p AS s FROM {src}_d WINDOW p AS (PARTITION BY {keys} ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+{src}_a AS (SELECT * EXCLUDE (g, s), {a} FROM {src}_l), {src}_v AS (SELECT *, {r} FROM {src}_a), """
+    if strategy == "regime-trend":
+        k, j = f"{keys}, due", " AND ".join(f"x.{c.strip()} = y.{c.strip()}" for c in keys.split(","))
+        return f"""{src}_b AS (SELECT *, ln(close / lag(close) OVER {w}) AS r, row_number() OVER {w} AS b FROM {src}), {src}_at AS (SELECT {keys}, b AS due FROM {src}_b WHERE b = 401 OR (b > 401 AND b % 21 = 0)),
+{src}_s AS (SELECT {", ".join(f"x.{c.strip()}" for c in keys.split(","))}, due, r, b - (due - 399) AS pos FROM {src}_b x JOIN {src}_at y ON {j} AND b BETWEEN due - 399 AND due),
+{src}_g AS (SELECT DISTINCT unnest([CASE WHEN i = 0 THEN 8 WHEN i = 11 THEN 100 ELSE CAST(floor(8 * pow(12.5, i / 11)) AS BIGINT) END for i in range(12)]) AS lag),
+{src}_x AS (SELECT {k}, lag, pos // lag AS chunk, pos, r, r - avg(r) OVER (PARTITION BY {k}, lag, pos // lag) AS dev FROM {src}_s, {src}_g WHERE pos // lag < 400 // lag),
+{src}_y AS (SELECT *, sum(dev) OVER (PARTITION BY {k}, lag, chunk ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum FROM {src}_x), {src}_c AS (SELECT {k}, lag, chunk, max(cum) - min(cum) AS spread, stddev_samp(r) AS sd FROM {src}_y GROUP BY ALL),
+{src}_m AS (SELECT {k}, lag, avg(spread / sd) AS rs FROM {src}_c WHERE sd > 1e-12 AND spread > 0 GROUP BY ALL),
+{src}_p AS (SELECT {k}, ln(lag) AS lx, ln(rs) - ln((lag - 0.5) / lag * pow(lag * pi() / 2, -0.5) * list_sum([sqrt((lag - i) / i) for i in range(1, lag)])) AS ly FROM {src}_m),
+{src}_h AS (SELECT {k}, regr_slope(ly, lx) + 0.5 AS h FROM {src}_p GROUP BY {k} HAVING count(*) >= 4),
+{src}_v AS (SELECT x.*, last_value(CASE WHEN due IS NOT NULL THEN coalesce(h, 0.5) END IGNORE NULLS) OVER (PARTITION BY {", ".join(f"x.{c.strip()}" for c in keys.split(","))} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS hurst
+  FROM {src}_b x LEFT JOIN (SELECT * FROM {src}_at LEFT JOIN {src}_h USING ({k})) y ON {j} AND x.b = y.due), """
+    return ""
+
+
+def fold_walk_sql(strategy: str, train: int, test: int) -> str:
+    """Walk-forward said fold by fold: every fold cuts its own bars first and computes signals on nothing else."""
+    def signals(src: str, keys: str, out: str) -> str:
+        union = " UNION ALL ".join(f"SELECT {keys}, {i}::BIGINT AS run, ts, open, close, CAST({sql} AS DOUBLE) AS signal, {n} AS wu FROM {t}" for i, (sql, n, t) in enumerate(_points(strategy, src, keys)))
+        return f"{signal_inputs(strategy, src, keys)}{out} AS ({union})"
+
+    warm = ", ".join(f"({i}, {n})" for i, (_, n, _) in enumerate(_points(strategy, "", "symbol")))
+    return f"""{STOCK}, num AS (SELECT symbol, ts, open, close, row_number() OVER {W} AS bar FROM stocks), fd AS (SELECT symbol, CAST(unnest(range((count(*) - {train}) // {test})) AS BIGINT) AS fold FROM num GROUP BY symbol HAVING count(*) >= {train + test}),
+ts_ AS (SELECT n.symbol, fold, ts, open, close FROM num n JOIN fd ON n.symbol = fd.symbol AND bar BETWEEN fold * {test} + 1 AND fold * {test} + {train}), {signals("ts_", "symbol, fold", "tsig")},
+cut AS (SELECT symbol, fold, run AS run_id, ts, open, close, signal, wu AS warmup FROM tsig WHERE {train} >= wu + 2), {_named(scan_sql("cut", "symbol, fold, run_id"), "tr_")}, {stats_sql("tr_result", "symbol, fold, run_id", "tr_")},
+warm(run_id, wu) AS (VALUES {warm}), best AS (SELECT symbol, fold, coalesce(arg_max(run_id, (coalesce(round(sharpe, 9), -1e300), -run_id)), 0) AS run_id FROM fd LEFT JOIN tr_stats USING (symbol, fold) GROUP BY 1, 2),
+es_ AS (SELECT n.symbol, p.fold, p.run_id, ts, open, close FROM num n JOIN best p ON n.symbol = p.symbol JOIN warm USING (run_id) WHERE bar BETWEEN greatest(fold * {test} + {train} + 1 - wu, 1) AND fold * {test} + {train} + {test}), {signals("es_", "symbol, fold, run_id", "esig")},
+ev AS (SELECT symbol, fold, run_id, ts, open, close, signal, wu AS warmup FROM esig WHERE run = run_id), {_named(scan_sql("ev", "symbol, fold, run_id"), "te_")}
+SELECT symbol, fold, run_id, count(*) AS bars, round(arg_max(equity, ts), 4) AS final_equity, round(arg_max(benchmark, ts), 4) AS final_benchmark FROM te_result GROUP BY 1, 2, 3"""
+
+
+def _walk_query(strategy: str, train: int, test: int) -> None:
+    @query(f"bt05_walk_{strategy.replace('-', '_')}", fold_walk_sql(strategy, train, test))
+    def _(t: Tables):
+        r = bt.walk_forward(t.stocks(), strategy, train, test).groupBy("symbol", "fold", "run_id")
+        return rounded(r.agg(F.count("*").alias("bars"), F.max_by("equity", "ts").alias("final_equity"), F.max_by("benchmark", "ts").alias("final_benchmark")), 4)
+
+
+# Every stock has a few hundred sessions; the regime filter needs 401 of them to warm up.
+for _strategy, _train, _test in (("momentum", 300, 63), ("mean-reversion", 300, 63), ("vol-target", 300, 63), ("rsi", 300, 63), ("regime-trend", 425, 42)):
+    _walk_query(_strategy, _train, _test)
+
+
 @query("join16_fold_leaks", f"""{INDEX}, {FOLD_SQL}, b AS (SELECT symbol, ts, row_number() OVER {W} AS bar FROM bars), x AS (SELECT b.symbol, fold, ts, bar BETWEEN train_start AND train_end AS a, bar BETWEEN test_start AND test_end AS e FROM b JOIN folds f ON b.symbol = f.symbol AND bar BETWEEN train_start AND test_end)
 SELECT symbol, count(*) FILTER (a) AS selected, count(*) FILTER (e) AS evaluated, count(*) FILTER (a AND e) AS overlap FROM x GROUP BY 1""")
 def _(t: Tables):

@@ -5,9 +5,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.catalog.backtests import scan_sql
+from tidewright.catalog.backtests import scan_sql, signal_inputs
 from tidewright.catalog.registry import query, rounded
-from tidewright.catalog.windows import INDEX, W
+from tidewright.catalog.windows import INDEX, W, rows
 from tidewright.operators import portfolio as pf
 from tidewright.streaming.state import order_ledger, replayed
 from tidewright.tables import Tables
@@ -86,7 +86,8 @@ def _(t: Tables):
     return rounded(pf.plans(t.bars(), r, 63, 5.0), 2)
 
 
-@query("bt03_regime_filtered_trend")
+@query("bt03_regime_filtered_trend", f"""{INDEX}, x0 AS (SELECT * FROM bars), {signal_inputs("regime-trend", "x0", "symbol")[:-2]} SELECT symbol, ts, round(hurst, 6) AS hurst,
+CAST(CASE WHEN b >= 401 THEN CASE WHEN hurst < 0.5 THEN 0 ELSE CAST(avg(close) OVER {rows(19)} > avg(close) OVER {rows(99)} AS INT) END END AS DOUBLE) AS signal FROM x0_v""")
 def _(t: Tables):
     from tidewright.operators.diagnostics import regime_trend_signal
 

@@ -18,6 +18,7 @@ REUSE = {
     "q4_scenario_outlook", "q5_quant_diagnostics", "q5_native_diagnostics", "q1_divergence_table", "agg17_coverage_report", "agg32_volatility_summary",
     "agg35_regime_classes", "bt04_backtest_equity", "bt04_run_summaries", "bt05_walk_forward", "bt05_stitched_curve", "agg25_walk_forward_summary",
     "agg24_surface_ruggedness", "bt09_option_overlays", "bt12_plans", "est14_implied_views", "est09_smile_fits",
+    "bt05_walk_momentum", "bt05_walk_mean_reversion", "bt05_walk_vol_target", "bt05_walk_rsi", "bt05_walk_regime_trend",
 }
 
 

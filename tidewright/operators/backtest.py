@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from tidewright.operators.stats import performance_stats
 from tidewright.session import dealt
 
 RUN = ["symbol", "run_id"]
+HURST_WINDOW = 400
 
 
 @dataclass(frozen=True)
@@ -101,14 +103,23 @@ def buy_and_hold(**_) -> tuple[Column, int]:
     return F.lit(1.0), 1
 
 
-def ma_crossover(fast: int, slow: int, w=None) -> tuple[Column, int]:
-    """Needs ``bar`` and ``close_sum`` (running count and sum), so a mean costs one lag, not a frame."""
-    w = w or win.by_symbol()
+def _mean_above(fast: int, slow: int, w) -> Column:
+    """Whether the fast mean is above the slow one, from the running sum of closes: a mean costs one lag, not a frame."""
     def mean(n: int) -> Column:
         return (F.col("close_sum") - F.coalesce(F.lag("close_sum", n).over(w), F.lit(0.0))) / n
     # Running sums carry rounding noise of about 1e-12; means as close as that count as equal.
-    above = mean(fast) - mean(slow) > 1e-10 * F.abs(mean(slow))
-    return F.when(F.col("bar") < slow, 0.0).otherwise(above.cast("double")), slow + 1
+    return (mean(fast) - mean(slow) > 1e-10 * F.abs(mean(slow))).cast("double")
+
+
+def ma_crossover(fast: int, slow: int, w=None) -> tuple[Column, int]:
+    """Needs ``bar`` and ``close_sum`` (running count and sum)."""
+    return F.when(F.col("bar") < slow, 0.0).otherwise(_mean_above(fast, slow, w or win.by_symbol())), slow + 1
+
+
+def regime_trend(fast: int, slow: int, hurst_threshold: float = 0.5, w=None) -> tuple[Column, int]:
+    """A crossover that stands aside while the held Hurst exponent is low; needs ``close_sum`` and ``hurst_<warm-up>``."""
+    warm = max(slow, HURST_WINDOW) + 1
+    return F.when(F.col(f"hurst_{warm}") < hurst_threshold, 0.0).otherwise(_mean_above(fast, slow, w or win.by_symbol())), warm
 
 
 def rsi_threshold(period: int = 14, oversold: float = 30.0, overbought: float = 70.0) -> tuple[Column, int]:
@@ -142,9 +153,12 @@ def momentum(lookback: int, skip: int, w=None) -> tuple[Column, int]:
 
 STRATEGIES = {
     "buy-and-hold": buy_and_hold, "ma-crossover": ma_crossover, "rsi": rsi_threshold, "vol-target": vol_target,
-    "mean-reversion": mean_reversion, "momentum": momentum,
+    "mean-reversion": mean_reversion, "momentum": momentum, "regime-trend": regime_trend,
 }
 
+# Signals that depend on where their history starts (a mean with a long memory, refresh days counted from the first bar).
+FROM_START = {"rsi", "regime-trend"}
+
 # Parameter grids searched by walk-forward selection.
 GRIDS = {
     "buy-and-hold": [{}],
@@ -153,6 +167,7 @@ GRIDS = {
     "vol-target": [{"target_vol": v, "lookback": n} for v in (10.0, 15.0, 20.0) for n in (40, 60)],
     "mean-reversion": [{"window": n, "entry_z": a, "exit_z": b} for n in (21, 63) for a, b in ((-1.0, 0.5), (-1.5, 0.0), (-2.0, 0.5))],
     "momentum": [{"lookback": n, "skip": k} for n in (126, 252) for k in (0, 21)],
+    "regime-trend": [{"fast": a, "slow": b, "hurst_threshold": h} for a, b in ((20, 100), (50, 200)) for h in (0.5, 0.55)],
 }
 
 # Sweep axes (name, values) per strategy.
@@ -166,12 +181,16 @@ AXES = {
 
 
 def with_inputs(bars: DataFrame, strategy: str, grid: list[dict]) -> DataFrame:
-    """Add the columns the strategy's signals read (bar number, running sum, log return, RSI per period)."""
+    """Add the columns the strategy's signals read (bar number, running sum, log return, RSI per period, Hurst exponent per warm-up)."""
+    from tidewright.operators.diagnostics import held_hurst
     from tidewright.operators.scan import wilder_rsi
 
     if strategy == "rsi":
         for period in sorted({p["period"] for p in grid}):
             bars = wilder_rsi(bars, period, f"rsi_{period}")
+    if strategy == "regime-trend":
+        for warm in sorted({regime_trend(**p)[1] for p in grid}):
+            bars = held_hurst(bars, warm, HURST_WINDOW, out=f"hurst_{warm}")
     return bars.select("*", win.log_return("close").alias("log_ret"), win.position().alias("bar"), F.sum("close").over(win.whole_prefix()).alias("close_sum"))
 
 
@@ -236,23 +255,45 @@ def walk_forward(bars: DataFrame, strategy: str, train: int = 504, test: int = 1
                  grid: list[dict] | None = None) -> DataFrame:
     """Out-of-sample returns: each fold picks the grid point with the best train Sharpe and trades the next window.
 
-    Signals look backwards only, so one signal table serves every fold: folds are slices of it by
-    position, which each bar lists by arithmetic, and all (fold, point) runs are back-tested together.
+    Most signals read a fixed number of bars, so one signal table serves every fold: folds are slices of it by position, which each
+    bar lists by arithmetic, and all (fold, point) runs are back-tested together. Signals of ``FROM_START`` are computed within the
+    slices: a fold's training bars, then its test bars with the warm-up of the point it picked. Settings whose Sharpe ratios agree to
+    nine digits are tied, and the first one is taken, as it is where no setting has a ratio.
     """
     grid = grid or GRIDS[strategy]
-    signals = grid_signals(bars, strategy, grid, spread=True)
     f = folds(bars, train, test)
-    cut = in_folds(signals, F.ceil((F.col("bar") - train) / test), F.floor((F.col("bar") - 1) / test)).join(f, ["symbol", "fold"])
-    # A signal inside a fold may only use the fold's own bars once warm-up has passed, which warmup ensures.
     fold_keys = ["symbol", "fold", "run_id"]
+    selecting = (F.ceil((F.col("bar") - train) / test), F.floor((F.col("bar") - 1) / test))
+    lead = F.greatest("warmup", F.lit(1))
+    scoring = (F.ceil((F.col("bar") - train - test) / test), F.floor((F.col("bar") - train - 1 + lead) / test))
+    if strategy in FROM_START:
+        numbered = bars.select("symbol", "ts", "open", "close", win.position().alias("bar"))
+        cut = _signals_within(in_folds(numbered, *selecting).join(f, ["symbol", "fold"]), strategy, grid, ["symbol", "fold", "train_start", "train_end"])
+    else:
+        signals = grid_signals(bars, strategy, grid, spread=True)
+        cut = in_folds(signals, *selecting).join(f, ["symbol", "fold"])
+    # A signal inside a fold may only use the fold's own bars once warm-up has passed, which warmup ensures.
     fits = F.col("train_end") - F.col("train_start") + 1 >= F.col("warmup") + 2
     trained = performance_stats(run_backtest(cut.filter(fits), ex, fold_keys), fold_keys)
-    order = Window.partitionBy("symbol", "fold").orderBy(F.desc_nulls_last("sharpe"), "run_id")
+    order = Window.partitionBy("symbol", "fold").orderBy(F.desc_nulls_last(F.round("sharpe", 9)), "run_id")
     picked = trained.withColumn("r", F.row_number().over(order)).filter("r = 1")
     best = f.join(picked.select("symbol", "fold", "run_id"), ["symbol", "fold"], "left").withColumn("run_id", F.coalesce("run_id", F.lit(0)))
-    lead = F.greatest("warmup", F.lit(1))
-    scored = in_folds(signals, F.ceil((F.col("bar") - train - test) / test), F.floor((F.col("bar") - train - 1 + lead) / test)).join(best, ["symbol", "fold", "run_id"])
-    return run_backtest(scored, ex, fold_keys)
+    if strategy not in FROM_START:
+        return run_backtest(in_folds(signals, *scoring).join(best, fold_keys), ex, fold_keys)
+    warm = {i: STRATEGIES[strategy](**p)[1] for i, p in enumerate(grid)}
+    parts = []
+    for n in sorted(set(warm.values())):
+        chosen = best.filter(F.col("run_id").isin([i for i, k in warm.items() if k == n])).withColumnRenamed("run_id", "picked")
+        slices = in_folds(numbered.withColumn("warmup", F.lit(n)), *scoring).drop("warmup").join(chosen, ["symbol", "fold"])
+        parts.append(_signals_within(slices, strategy, grid, ["symbol", "fold", "picked"]).filter("run_id = picked"))
+    return run_backtest(reduce(DataFrame.unionByName, parts), ex, fold_keys)
+
+
+def _signals_within(slices: DataFrame, strategy: str, grid: list[dict], keys: list[str]) -> DataFrame:
+    """Signals of every grid point inside each slice (rows with equal ``keys``), as if the slice were a symbol's whole history."""
+    own = slices.select(F.struct(*keys).alias("symbol"), "ts", "open", "close")
+    s = grid_signals(own, strategy, grid, spread=True)
+    return s.select(*[F.col(f"symbol.{k}").alias(k) for k in keys], "run_id", "ts", "open", "close", "signal", "warmup")
 
 
 def stitched(result: DataFrame, initial: float = 10_000.0) -> DataFrame:

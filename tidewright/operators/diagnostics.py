@@ -274,26 +274,31 @@ def rfsv_forecast(rough: DataFrame, window: int = 250, horizon: int = 21) -> Dat
     return df.withColumn("rv_forecast_ratio", F.col("rv_forecast") / F.col("rv")).drop("hist", "k", "expected")
 
 
-def regime_trend_signal(bars: DataFrame, fast: int, slow: int, threshold: float, window: int = 400, refresh: int = 21) -> DataFrame:
-    """Moving-average signal that stands aside while the Hurst exponent of the last ``window`` returns is low.
+def held_hurst(bars: DataFrame, warm: int, window: int = 400, refresh: int = 21, out: str = "hurst") -> DataFrame:
+    """Bars with the Hurst exponent of the last ``window`` returns, estimated at bar ``warm`` and then on multiples of ``refresh``, held in between.
 
-    Hurst is estimated on refresh rows only (the first row of each run of ``refresh`` bars) and held in
-    between; a refresh row with no estimate does not filter.
+    A refresh row with no estimate counts as 0.5.
     """
-    b = bars.select("symbol", "ts", "open", "close", win.log_return("close").alias("r"), win.position().alias("bar"), F.count("*").over(Window.partitionBy("symbol")).alias("bars"))
-    warm = max(slow, window) + 1
-    due = (F.col("bar") == warm) | ((F.col("bar") > warm) & (F.col("bar") % refresh == 0))
+    b = bars.select("*", win.log_return("close").alias("__r"), win.position().alias("__bar"), F.count("*").over(Window.partitionBy("symbol")).alias("__bars"))
+    at, bar = F.col("__bar"), F.col("__bar").alias("bar")
+    due = (at == warm) | ((at > warm) & (at % refresh == 0))
     # A return's refresh rows follow from its position: multiples of ``refresh`` from its own bar to ``window`` - 1 later, and the first one.
     none = F.array().cast("array<bigint>")
-    first, last = F.ceil(F.greatest(F.col("bar"), F.lit(warm + 1)) / refresh), F.floor(F.least(F.col("bar") + window - 1, F.col("bars")) / refresh)
+    first, last = F.ceil(F.greatest(at, F.lit(warm + 1)) / refresh), F.floor(F.least(at + window - 1, F.col("__bars")) / refresh)
     later = F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda k: (k * refresh).cast("long"))).otherwise(none)
-    opening = F.when((F.col("bar") <= warm) & (F.col("bar") > warm - window) & (F.col("bars") >= warm), F.array(F.lit(warm).cast("long"))).otherwise(none)
-    x = b.filter("r IS NOT NULL").select("symbol", "bar", "r", F.explode(F.concat(opening, later)).alias("at"))
+    opening = F.when((at <= warm) & (at > warm - window) & (F.col("__bars") >= warm), F.array(F.lit(warm).cast("long"))).otherwise(none)
+    x = b.filter("__r IS NOT NULL").select("symbol", bar, F.col("__r").alias("r"), F.explode(F.concat(opening, later)).alias("at"))
     # Every refresh row is its own little series for the rescaled-range estimate.
     series = F.struct("symbol", "at")
     x = x.select(series.alias("symbol"), "r", (F.row_number().over(Window.partitionBy(series).orderBy("bar")) - 1).cast("long").alias("pos"))
-    h = _rescaled_range(x, 120, 8, 12).select(F.col("symbol.symbol").alias("symbol"), F.col("symbol.at").alias("bar"), "hurst")
-    j = b.join(h, ["symbol", "bar"], "left").withColumn("h", F.when(due, F.coalesce("hurst", F.lit(0.5)))).drop("hurst")
-    j = j.withColumn("hurst", F.last("h", True).over(win.whole_prefix()))
+    h = _rescaled_range(x, 120, 8, 12).select(F.col("symbol.symbol").alias("symbol"), F.col("symbol.at").alias("__bar"), F.col("hurst").alias("__h"))
+    j = b.join(h, ["symbol", "__bar"], "left").withColumn("__h", F.when(due, F.coalesce("__h", F.lit(0.5))))
+    return j.select(*[c for c in bars.columns if c != out], F.last("__h", True).over(win.whole_prefix()).alias(out))
+
+
+def regime_trend_signal(bars: DataFrame, fast: int, slow: int, threshold: float, window: int = 400, refresh: int = 21) -> DataFrame:
+    """Moving-average signal that stands aside while the held Hurst exponent is under ``threshold``."""
+    warm = max(slow, window) + 1
+    j = held_hurst(bars.select("symbol", "ts", "open", "close"), warm, window, refresh).withColumn("bar", win.position())
     up = F.avg("close").over(win.trailing(fast)) > F.avg("close").over(win.trailing(slow))
     return j.select("symbol", "ts", "open", "close", "hurst", F.when(F.col("bar") >= warm, F.when(F.col("hurst") < threshold, 0.0).otherwise(up.cast("double"))).alias("signal"), F.lit(warm).alias("warmup"))
