@@ -5,7 +5,9 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tidewright.functions.nulls import printed
 from tidewright.operators import backtest as bt
 from tidewright.operators import estimators as es
 from tidewright.operators import scan
@@ -155,3 +157,8 @@ def test_signals_with_a_memory_start_with_their_fold(spark):
         want += [(fold, r.ts, r.exposure, round(r.equity, 6)) for r in bt.run_backtest(signals).orderBy("ts").collect()]
     assert [(r.fold, r.ts, r.exposure, round(r.equity, 6)) for r in walked] == want and len(want) == 100
     assert {r[2] for r in want} <= {0.0, 1.0} and sum(r[2] for r in want) > 0
+
+
+def test_printed_figures_keep_their_sign(spark):
+    df = spark.createDataFrame([(-0.03, "-0.0"), (0.03, "0.0"), (0.0, "0.0"), (-0.05, "-0.1"), (12.25, "12.3"), (None, None)], "x double, want string")
+    assert all(r.got == r.want for r in df.select(F.when(F.col("x").isNotNull(), printed("x", 1)).alias("got"), "want").collect())

@@ -11,7 +11,7 @@ from tidewright.catalog.diagnostics import HALF_SQL, REGIME_SQL
 from tidewright.catalog.filters import FEAT, SIGNAL, labelled
 from tidewright.catalog.registry import longs, query, rounded
 from tidewright.catalog.windows import FEATURES, STOCK, W
-from tidewright.functions.nulls import drop_unknown
+from tidewright.functions.nulls import drop_unknown, printed
 from tidewright.operators import diagnostics as dg
 from tidewright.operators import divergence as dv
 from tidewright.operators import estimators as es
@@ -236,7 +236,7 @@ SELECT symbol, grp || row_number() OVER (PARTITION BY symbol, grp ORDER BY o) AS
 def _(t: Tables):
     """Every citable figure with an id per group; a reader's slice is a filter on the group."""
     b = cv.flag_base(t)
-    num = lambda c, d, tail="": F.concat(F.format_string(f"%.{d}f", F.round(c, d)), F.lit(tail))
+    num = lambda c, d, tail="": F.concat(printed(c, d), F.lit(tail))
     rows = [
         b.select("symbol", F.lit("V").alias("fact_group"), F.lit("1").alias("o"), F.concat(F.lit("Profit margin: "), num(F.col("profit_margin") * 100, 1, "%")).alias("text"), F.lit("fundamentals.profit_margin").alias("path")),
         b.select("symbol", F.lit("V"), F.lit("2"), F.coalesce(F.concat(F.lit("Price-to-earnings ratio: "), F.when(F.col("trailing_pe").isNotNull(), num(F.col("trailing_pe"), 2))), F.lit("Price-to-earnings ratio: not available")), F.lit("fundamentals.trailing_pe")),

@@ -24,6 +24,13 @@ def safe_div(num: Column | str, den: Column | str, eps: float = TINY) -> Column:
     return F.when(F.abs(d) > eps, col(num) / d)
 
 
+def printed(c: Column | str, digits: int) -> Column:
+    """Text of a figure as printf of a rounded value gives it: halves away from zero, and a negative figure that rounds to zero keeps its sign."""
+    x = col(c)
+    shown = F.round(F.abs(x) * 10.0**digits, 0) / 10.0**digits
+    return F.format_string(f"%.{digits}f", F.when(x < 0, -shown).otherwise(shown))
+
+
 def require_columns(df: DataFrame, needed: list[str]) -> DataFrame:
     """Raise when a required column is absent; return the frame otherwise."""
     missing = sorted(set(needed) - set(df.columns))
