@@ -1,5 +1,6 @@
 """Fits that carry their own proof: duals of quantile regressions, likelihoods around GARCH fits, ridge moments by key."""
 
+import datetime as dt
 import math
 import random
 
@@ -10,6 +11,9 @@ from tidewright.functions import fits
 from tidewright.operators import estimators as es
 
 
+DAY = dt.date(2020, 1, 1)
+
+
 def training(spark, n=120):
     rng = random.Random(4)
     rows = []
@@ -114,3 +118,26 @@ def test_unit_roots_from_sums_equal_regressions_order_by_order(spark):
     assert got["flat"].lags is None and got["flat"].adf_pvalue is None
     empty = spark.createDataFrame([], "symbol string, ts long, close double")
     assert es.unit_root(empty).count() == 0
+
+
+def test_packed_quantile_fits_are_the_single_ones(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(3, 40, 2)), rng.normal(size=(3, 40))
+    z = np.concatenate([np.ones((3, 40, 1)), x], 2)
+    beta, dual = fits.quantile_solutions(z, y, [0.1, 0.5, 0.9], 0.01)
+    for i in range(3):
+        for j, tau in enumerate((0.1, 0.5, 0.9)):
+            one, proof = fits.quantile_solution(z[i], y[i], tau, 0.01)
+            assert np.allclose(beta[i, j], one, atol=1e-8) and np.allclose(dual[i, j], proof, atol=1e-6)
+    rows = [(s, DAY + dt.timedelta(days=i), float(rng.normal()), 0.0, float(rng.normal())) for s in "AB" for i in range(70 if s == "A" else 12)]
+    df = spark.createDataFrame(rows, "symbol string, ts date, a double, flat double, y double")
+    packed = es.packed_training(df, ["a", "flat"], "y", 5, 20, 10).checkpoint()
+    sizes = {(r.symbol, r.refit): len(r.rows) for r in packed.collect()}
+    plain = {(r.symbol, r.refit): r["count"] for r in es.training_rows(df, 5, 20, 10).groupBy("symbol", "refit").count().collect()}
+    assert sizes == plain and sizes["B", 10] == 5 and sizes["A", 70] == 20
+    fitted = es.fit_packed(packed, ["a", "flat"], "y", proofs=True).checkpoint()
+    assert {(r.symbol, r.refit): r.error for r in fitted.collect()}["B", 10] == "5 rows for 1 features"
+    proved = es.packed_certificate(fitted, ["a", "flat"], "y").collect()
+    assert len(proved) == 6 * 7 and all(r.inside_box and r.stationary and r.gap_closed for r in proved)
+    moved = fitted.withColumn("fits", F.transform("fits", lambda f: f.withField("intercept", f["intercept"] + 0.05)))
+    assert not any(r.gap_closed for r in es.packed_certificate(moved, ["a", "flat"], "y").collect())

@@ -55,9 +55,8 @@ SELECT symbol, CAST(k * 63 AS BIGINT) AS refit, level, count(*) AS n_train, true
 FROM k, (SELECT unnest([0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95])::DOUBLE AS level) GROUP BY 1, 2, 3 HAVING count(*) >= 9""")
 def _(t: Tables):
     """Quantile regressions of all symbols and refit dates, each proved optimal by its dual values."""
-    train = checkpointed(es.training_rows(stock_design(t), 5, 250, 63))
-    models = es.fit_quantiles(train, ["x", "x5"], "y")
-    g = es.quantile_certificate(checkpointed(es.quantile_duals(train, ["x", "x5"], "y")), models, ["x", "x5"])
+    train = es.packed_training(stock_design(t), ["x", "x5"], "y", 5, 250, 63)
+    g = es.packed_certificate(es.fit_packed(train, ["x", "x5"], "y", proofs=True), ["x", "x5"], "y")
     return g.withColumn("refit", F.col("refit").cast("bigint"))
 
 

@@ -61,6 +61,14 @@ class Climatology:
         g = train.groupBy(*KEY).agg(F.count("*").alias("n_train"), F.percentile(target, levels).alias("quantiles"))
         return g.select(*KEY, "n_train", F.when(F.col("n_train") >= MIN_ROWS, F.col("quantiles")).alias("model"), _few().alias("error"))
 
+    def fit_packed(self, packed: DataFrame, features: list[str], target: str) -> DataFrame:
+        n = F.col("n_train")
+        g = packed.select(*KEY, F.size("rows").cast("long").alias("n_train"), F.array_sort(F.transform("rows", lambda e: e[target])).alias("y"))
+        at = [(n - 1) * float(v) for v in self.quantile_levels]
+        y = lambda i: F.get("y", i.cast("int"))
+        between = [F.when(F.floor(k) == F.ceil(k), y(F.floor(k))).otherwise((F.ceil(k) - k) * y(F.floor(k)) + (k - F.floor(k)) * y(F.ceil(k))) for k in at]
+        return g.select(*KEY, "n_train", F.when(n >= MIN_ROWS, F.array(*between)).alias("model"), _few().alias("error"))
+
     def predict_quantiles(self, model: Column, x: Column) -> Column:
         return F.array_sort(model)
 
@@ -93,10 +101,11 @@ class QuantileRegression:
     quantile_levels: list[float] = field(default_factory=lambda: list(es.LEVELS))
 
     def fit(self, train: DataFrame, features: list[str], target: str) -> DataFrame:
-        m = es.fit_quantiles(train, features, target, self.quantile_levels, self.alpha, self.max_features, KEY)
-        line = F.when(F.col("error").isNull(), F.struct("level", "intercept", "coefficients"))
-        g = m.groupBy(*KEY).agg(F.max("n_train").alias("n_train"), F.sort_array(F.collect_list(line)).alias("model"), F.max("error").alias("error"))
-        return g.withColumn("model", F.when(F.col("error").isNull(), F.col("model")))
+        return self.fit_packed(es.pack(train, features, target, KEY), features, target)
+
+    def fit_packed(self, packed: DataFrame, features: list[str], target: str) -> DataFrame:
+        m = es.fit_packed(packed, features, target, self.quantile_levels, self.alpha, self.max_features, KEY)
+        return m.select(*KEY, "n_train", F.when(F.col("error").isNull(), F.sort_array("fits")).alias("model"), "error")
 
     def predict_quantiles(self, model: Column, x: Column) -> Column:
         return F.array_sort(F.transform(model, lambda e: e["intercept"] + es.dot(e["coefficients"], x)))
@@ -112,11 +121,15 @@ def walk_forward(rows: DataFrame, forecasters: list, features: list[str], target
     """
     known = drop_unknown(rows.select("symbol", "ts", *features, F.col(target).alias("y")), [*features, "y"])
     known = checkpointed(known.withColumn("slot", F.floor(win.position() / every) * every))
-    train = checkpointed(es.training_rows(known.drop("slot"), horizon, lookback, every))
+    unfolded = checkpointed(es.training_rows(known.drop("slot"), horizon, lookback, every)) if any(not hasattr(f, "fit_packed") for f in forecasters) else None
+    packed = es.packed_training(known, features, "y", horizon, lookback, every)
     slots = known.select("symbol", "slot").distinct()
 
+    def fitted(f) -> DataFrame:
+        return f.fit_packed(packed, features, "y") if hasattr(f, "fit_packed") else f.fit(unfolded, features, "y")
+
     def joined(f) -> DataFrame:
-        m = f.fit(train, features, "y").filter("error IS NULL AND model IS NOT NULL")
+        m = fitted(f).filter("error IS NULL AND model IS NOT NULL")
         found = asof_join(slots, m, ["symbol"], "slot", "refit", ["model"]).filter("model IS NOT NULL")
         return known.join(found.withColumnRenamed("src_ts", "refit"), ["symbol", "slot"])
 
@@ -125,7 +138,7 @@ def walk_forward(rows: DataFrame, forecasters: list, features: list[str], target
     for f in forecasters:
         levels, base = F.array(*[F.lit(float(v)) for v in f.quantile_levels]), Climatology(quantile_levels=f.quantile_levels)
         told = joined(f).select("symbol", "ts", "refit", "slot", "y", f.predict_quantiles(F.col("model"), x).alias("quantiles"))
-        plain = asof_join(slots, base.fit(train, features, "y").filter("error IS NULL"), ["symbol"], "slot", "refit", ["model"])
+        plain = asof_join(slots, fitted(base).filter("error IS NULL"), ["symbol"], "slot", "refit", ["model"])
         told = told.join(plain.select("symbol", "slot", F.col("model").alias("base")), ["symbol", "slot"], "left")
         flat = told.select("symbol", "ts", "refit", "y", F.explode(F.arrays_zip(levels.alias("level"), F.col("quantiles").alias("quantile"), F.col("base").alias("base_quantile"))).alias("q"))
         parts.append(flat.select(F.lit(f.name).alias("forecaster"), "symbol", "ts", "refit", "q.level", "y", "q.quantile", "q.base_quantile"))
