@@ -141,3 +141,26 @@ def test_packed_quantile_fits_are_the_single_ones(spark):
     assert len(proved) == 6 * 7 and all(r.inside_box and r.stationary and r.gap_closed for r in proved)
     moved = fitted.withColumn("fits", F.transform("fits", lambda f: f.withField("intercept", f["intercept"] + 0.05)))
     assert not any(r.gap_closed for r in es.packed_certificate(moved, ["a", "flat"], "y").collect())
+
+
+def test_rescaled_range_keeps_a_series_in_one_row(spark):
+    from tidewright.operators import diagnostics as dg
+
+    b = bars(spark, 420)
+    plan = dg.rescaled_range_hurst(b)._jdf.queryExecution().executedPlan().toString()
+    assert "chunk" not in plan and "lag#" not in plan.split("MapInArrow")[-1]
+    held = dg.held_hurst(b.withColumn("open", F.col("close")), 401)
+    got = {r.ts: r.hurst for r in held.filter("symbol = 'A'").collect()}
+    series = b.filter("symbol = 'A'")
+    for at in (401, 420):
+        own = dg.rescaled_range_hurst(series.filter(F.col("ts").between(at - 401, at - 1))).first()
+        assert math.isclose(got[at - 1], own.hurst, rel_tol=1e-9)
+    assert got[399] is None and got[410] == got[400]
+
+
+def test_garch_fits_of_many_series_are_the_single_ones():
+    rng = np.random.default_rng(8)
+    series = [rng.standard_t(5, n) * (1 + i) for i, n in enumerate((90, 60, 75))]
+    for x, got in zip(series, fits.garch_fits(series, 21)):
+        assert np.allclose(got[:5], fits.garch_fit(x, 21)[:5], rtol=1e-9) and np.allclose(got[5], fits.garch_fit(x, 21)[5])
+    assert fits.garch_fits([], 21) == []

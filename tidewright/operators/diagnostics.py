@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,30 +68,43 @@ def expected_rescaled_range(n: Column) -> Column:
 
 
 def rescaled_range_hurst(bars: DataFrame, min_rows: int = 120, min_lag: int = 8, steps: int = 12) -> DataFrame:
-    """Hurst exponent per symbol from bias-corrected rescaled range over twelve geometric lags.
-
-    Rows are repeated once per lag (twelve times) and stay in their symbol's partition: chunk means,
-    running deviations and the regression all reuse one shuffle by symbol.
-    """
+    """Hurst exponent per symbol from bias-corrected rescaled range over twelve geometric lags."""
     r = bars.select("symbol", "ts", win.log_return("close").alias("r")).filter("r IS NOT NULL")
-    return _rescaled_range(r.select("symbol", "r", (win.position() - 1).alias("pos")), min_rows, min_lag, steps)
+    series = r.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ts", "r"))).alias("s")).select("symbol", F.col("s.r").alias("r"))
+    return _rescaled_range(series, min_rows, min_lag, steps)
+
 
+def _chunk_ranges(r: np.ndarray, lag: int) -> float | None:
+    """Mean of range over standard deviation of the whole chunks of ``lag`` values; None where every chunk is flat."""
+    c = r[: len(r) // lag * lag].reshape(-1, lag)
+    dev = c - c.mean(axis=1, keepdims=True)
+    cum = np.cumsum(dev, axis=1)
+    spread, sd = cum.max(axis=1) - cum.min(axis=1), np.sqrt((dev * dev).sum(axis=1) / (lag - 1))
+    ok = (sd > 1e-12) & (spread > 0)
+    return float((spread[ok] / sd[ok]).mean()) if ok.any() else None
 
-def _rescaled_range(r: DataFrame, min_rows: int, min_lag: int, steps: int) -> DataFrame:
-    """The estimate from (symbol, r, pos), positions from zero."""
-    n = F.count("*").over(Window.partitionBy("symbol"))
-    r = r.withColumn("n", n).filter(F.col("n") >= min_rows)
-    top = F.floor(F.col("n") / 4)
+
+def _rescaled_range(series: DataFrame, min_rows: int, min_lag: int, steps: int) -> DataFrame:
+    """The estimate from (symbol, r), where ``r`` is the array of a series' returns in order.
+
+    A series is one row from here on: chunks of all lags are cut inside it, and the regression sums its dozen points where they lie.
+    """
+    n = F.size("r")
+    top = F.floor(n / 4)
     lag = lambda i: F.when(i == 0, F.lit(min_lag)).when(i == steps - 1, top).otherwise(F.floor(min_lag * F.pow(top / min_lag, i / (steps - 1))))
-    r = r.withColumn("lags", F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: lag(i).cast("long"))))
-    x = r.select("symbol", "r", "n", "pos", F.explode("lags").alias("lag")).withColumn("chunk", F.floor(F.col("pos") / F.col("lag")))
-    x = x.filter((F.col("chunk") < F.floor(F.col("n") / F.col("lag"))) & (F.floor(F.col("n") / F.col("lag")) >= 2))
-    chunk = Window.partitionBy("symbol", "lag", "chunk")
-    x = x.withColumn("dev", F.col("r") - F.avg("r").over(chunk))
-    x = x.withColumn("cum", F.sum("dev").over(chunk.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    c = x.groupBy("symbol", "lag", "chunk").agg((F.max("cum") - F.min("cum")).alias("spread"), F.stddev_samp("r").alias("sd"))
-    ok = (F.col("sd") > 1e-12) & (F.col("spread") > 0)
-    m = c.filter(ok).groupBy("symbol", "lag").agg(F.avg(F.col("spread") / F.col("sd")).alias("rs"))
+    lags = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: lag(i).cast("long")))
+    x = series.filter(n >= min_rows).select("symbol", "r", F.filter(lags, lambda v: F.floor(F.size("r") / v) >= 2).alias("lags"))
+
+    def run(batches):
+        for batch in batches:
+            rs, at = batch.column("r"), batch.column("lags")
+            cuts, values = rs.offsets.to_numpy(), rs.values.to_numpy(zero_copy_only=False)
+            found = [[_chunk_ranges(values[a:b], k) for k in some] for a, b, some in zip(cuts[:-1], cuts[1:], at.to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("symbol"), at, pa.array(found, pa.list_(pa.float64()))], names=["symbol", "lags", "rs"])
+
+    kind = x.schema["symbol"].dataType.simpleString()
+    m = x.mapInArrow(run, f"symbol {kind}, lags array<bigint>, rs array<double>").select("symbol", F.explode(F.arrays_zip("lags", "rs")).alias("m")).filter("m.rs IS NOT NULL")
+    m = m.select("symbol", F.col("m.lags").alias("lag"), F.col("m.rs").alias("rs"))
     lg = m.select("symbol", F.ln(F.col("lag").cast("double")).alias("x"), (F.ln("rs") - F.ln(expected_rescaled_range(F.col("lag")))).alias("y"))
     g = lg.groupBy("symbol").agg(F.count("*").alias("k"), F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("r2"),
                                  F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy")).filter("k >= 4")
@@ -279,18 +294,16 @@ def held_hurst(bars: DataFrame, warm: int, window: int = 400, refresh: int = 21,
 
     A refresh row with no estimate counts as 0.5.
     """
-    b = bars.select("*", win.log_return("close").alias("__r"), win.position().alias("__bar"), F.count("*").over(Window.partitionBy("symbol")).alias("__bars"))
-    at, bar = F.col("__bar"), F.col("__bar").alias("bar")
+    b = bars.select("*", win.log_return("close").alias("__r"), win.position().alias("__bar"))
+    at = F.col("__bar")
     due = (at == warm) | ((at > warm) & (at % refresh == 0))
-    # A return's refresh rows follow from its position: multiples of ``refresh`` from its own bar to ``window`` - 1 later, and the first one.
-    none = F.array().cast("array<bigint>")
-    first, last = F.ceil(F.greatest(at, F.lit(warm + 1)) / refresh), F.floor(F.least(at + window - 1, F.col("__bars")) / refresh)
-    later = F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda k: (k * refresh).cast("long"))).otherwise(none)
-    opening = F.when((at <= warm) & (at > warm - window) & (F.col("__bars") >= warm), F.array(F.lit(warm).cast("long"))).otherwise(none)
-    x = b.filter("__r IS NOT NULL").select("symbol", bar, F.col("__r").alias("r"), F.explode(F.concat(opening, later)).alias("at"))
-    # Every refresh row is its own little series for the rescaled-range estimate.
-    series = F.struct("symbol", "at")
-    x = x.select(series.alias("symbol"), "r", (F.row_number().over(Window.partitionBy(series).orderBy("bar")) - 1).cast("long").alias("pos"))
+    # A symbol's returns are one array, and every refresh row is a slice of it: its own little series for the rescaled-range estimate.
+    every = b.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("__bar", "__r"))).alias("all")).filter(F.size("all") >= warm)
+    later = F.filter(F.sequence(F.lit(warm), F.size("all")), lambda k: (k == warm) | (k % refresh == 0))
+    x = every.select("symbol", "all", F.explode(later).alias("at"))
+    held = F.slice("all", F.greatest(F.col("at") - window + 1, F.lit(1)), F.least(F.col("at"), F.lit(window)))
+    known = F.filter(F.transform(held, lambda e: e["__r"]), lambda v: v.isNotNull())
+    x = x.select(F.struct("symbol", "at").alias("symbol"), known.alias("r"))
     h = _rescaled_range(x, 120, 8, 12).select(F.col("symbol.symbol").alias("symbol"), F.col("symbol.at").alias("__bar"), F.col("hurst").alias("__h"))
     j = b.join(h, ["symbol", "__bar"], "left").withColumn("__h", F.when(due, F.coalesce("__h", F.lit(0.5))))
     return j.select(*[c for c in bars.columns if c != out], F.last("__h", True).over(win.whole_prefix()).alias(out))
