@@ -162,3 +162,9 @@ def test_signals_with_a_memory_start_with_their_fold(spark):
 def test_printed_figures_keep_their_sign(spark):
     df = spark.createDataFrame([(-0.03, "-0.0"), (0.03, "0.0"), (0.0, "0.0"), (-0.05, "-0.1"), (12.25, "12.3"), (None, None)], "x double, want string")
     assert all(r.got == r.want for r in df.select(F.when(F.col("x").isNotNull(), printed("x", 1)).alias("got"), "want").collect())
+
+
+def test_volatility_is_computed_once_per_lookback(spark):
+    b = bars(spark, [100.0 + i % 7 for i in range(90)])
+    plan = bt.grid_signals(b, "vol-target", bt.GRIDS["vol-target"])._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert 0 < plan.count("aggregate(zip_with") <= 2 * len({p["lookback"] for p in bt.GRIDS["vol-target"]})

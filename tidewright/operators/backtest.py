@@ -128,10 +128,9 @@ def rsi_threshold(period: int = 14, oversold: float = 30.0, overbought: float =
     return F.when(r.isNull(), 0.0).when(r <= oversold, 1.0).when(r >= overbought, 0.0).otherwise(0.5), period * 3
 
 
-def vol_target(target_vol: float, lookback: int, w=None) -> tuple[Column, int]:
-    """Needs a ``log_ret`` column."""
-    w = w or win.by_symbol()
-    vol = win.fixed_weight_ewma_vol("log_ret", lookback, 0.94, w) * 100
+def vol_target(target_vol: float, lookback: int, w=None, vol: Column | None = None) -> tuple[Column, int]:
+    """Needs a ``log_ret`` column, or the volatility in percent as ``vol``."""
+    vol = win.fixed_weight_ewma_vol("log_ret", lookback, 0.94, w or win.by_symbol()) * 100 if vol is None else vol
     return F.when(vol > 1e-6, F.least(target_vol / vol, F.lit(1.0))).otherwise(0.0), lookback + 1
 
 
@@ -191,7 +190,10 @@ def with_inputs(bars: DataFrame, strategy: str, grid: list[dict]) -> DataFrame:
     if strategy == "regime-trend":
         for warm in sorted({regime_trend(**p)[1] for p in grid}):
             bars = held_hurst(bars, warm, HURST_WINDOW, out=f"hurst_{warm}")
-    return bars.select("*", win.log_return("close").alias("log_ret"), win.position().alias("bar"), F.sum("close").over(win.whole_prefix()).alias("close_sum"))
+    bars = bars.select("*", win.log_return("close").alias("log_ret"), win.position().alias("bar"), F.sum("close").over(win.whole_prefix()).alias("close_sum"))
+    if strategy == "vol-target":  # once per lookback, whatever the number of targets that read it
+        bars = bars.select("*", *[(win.fixed_weight_ewma_vol("log_ret", n, 0.94) * 100).alias(f"vol_{n}") for n in sorted({p["lookback"] for p in grid})])
+    return bars
 
 
 def grid_signals(bars: DataFrame, strategy: str, grid: list[dict], first_id: int = 0, spread: bool = False) -> DataFrame:
@@ -204,7 +206,8 @@ def grid_signals(bars: DataFrame, strategy: str, grid: list[dict], first_id: int
     base = with_inputs(bars, strategy, grid)
     runs = []
     for i, params in enumerate(grid):
-        signal, warmup = STRATEGIES[strategy](**params)
+        given = {"vol": F.col(f"vol_{params['lookback']}")} if strategy == "vol-target" else {}
+        signal, warmup = STRATEGIES[strategy](**params, **given)
         runs.append((i + first_id, signal, warmup))
     df = base.select("symbol", "ts", "open", "close", "bar", *[x.cast("double").alias(f"s{i}") for i, x, _ in runs])
     points = F.array(*[F.struct(F.lit(i).cast("long").alias("run_id"), F.col(f"s{i}").alias("signal"), F.lit(n).alias("warmup")) for i, _, n in runs])
