@@ -168,3 +168,9 @@ def test_volatility_is_computed_once_per_lookback(spark):
     b = bars(spark, [100.0 + i % 7 for i in range(90)])
     plan = bt.grid_signals(b, "vol-target", bt.GRIDS["vol-target"])._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert 0 < plan.count("aggregate(zip_with") <= 2 * len({p["lookback"] for p in bt.GRIDS["vol-target"]})
+
+
+def test_reversion_frames_are_computed_once_per_window(spark):
+    b = bars(spark, [100.0 + i % 7 for i in range(90)])
+    plan = bt.grid_signals(b, "mean-reversion", bt.GRIDS["mean-reversion"])._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert 0 < plan.count("stddev_samp(") <= 2 * len({p["window"] for p in bt.GRIDS["mean-reversion"]})

@@ -134,11 +134,11 @@ def vol_target(target_vol: float, lookback: int, w=None, vol: Column | None = No
     return F.when(vol > 1e-6, F.least(target_vol / vol, F.lit(1.0))).otherwise(0.0), lookback + 1
 
 
-def mean_reversion(window: int = 21, entry_z: float = -1.0, exit_z: float = 0.5, w=None) -> tuple[Column, int]:
-    w = w or win.by_symbol()
+def mean_reversion(window: int = 21, entry_z: float = -1.0, exit_z: float = 0.5, w=None, mean: Column | None = None, sd: Column | None = None) -> tuple[Column, int]:
+    """Takes the trailing ``mean`` and ``sd`` of closes from columns where they are given."""
     frame = win.trailing(window, w)
-    sd = F.stddev_samp("close").over(frame)
-    z = (F.col("close") - F.avg("close").over(frame)) / sd
+    sd = F.stddev_samp("close").over(frame) if sd is None else sd
+    z = (F.col("close") - (F.avg("close").over(frame) if mean is None else mean)) / sd
     ramp = F.when(z <= entry_z, 1.0).when(z >= exit_z, 0.0).otherwise((exit_z - z) / (exit_z - entry_z))
     return F.when(sd > 1e-9, ramp).otherwise(0.0), window + 1
 
@@ -193,9 +193,21 @@ def with_inputs(bars: DataFrame, strategy: str, grid: list[dict]) -> DataFrame:
     bars = bars.select("*", win.log_return("close").alias("log_ret"), win.position().alias("bar"), F.sum("close").over(win.whole_prefix()).alias("close_sum"))
     if strategy == "vol-target":  # once per lookback, whatever the number of targets that read it
         bars = bars.select("*", *[(win.fixed_weight_ewma_vol("log_ret", n, 0.94) * 100).alias(f"vol_{n}") for n in sorted({p["lookback"] for p in grid})])
+    if strategy == "mean-reversion":  # likewise once per window
+        frames = {n: win.trailing(n) for n in sorted({p["window"] for p in grid})}
+        bars = bars.select("*", *[c for n, f in frames.items() for c in (F.avg("close").over(f).alias(f"mean_{n}"), F.stddev_samp("close").over(f).alias(f"sd_{n}"))])
     return bars
 
 
+def _given(strategy: str, params: dict) -> dict[str, Column]:
+    """Columns of ``with_inputs`` that a signal would otherwise compute again at every grid point."""
+    if strategy == "vol-target":
+        return {"vol": F.col(f"vol_{params['lookback']}")}
+    if strategy == "mean-reversion":
+        return {"mean": F.col(f"mean_{params['window']}"), "sd": F.col(f"sd_{params['window']}")}
+    return {}
+
+
 def grid_signals(bars: DataFrame, strategy: str, grid: list[dict], first_id: int = 0, spread: bool = False) -> DataFrame:
     """One row per bar and grid point: (symbol, run_id, ts, open, close, pos, signal, warmup).
 
@@ -206,8 +218,7 @@ def grid_signals(bars: DataFrame, strategy: str, grid: list[dict], first_id: int
     base = with_inputs(bars, strategy, grid)
     runs = []
     for i, params in enumerate(grid):
-        given = {"vol": F.col(f"vol_{params['lookback']}")} if strategy == "vol-target" else {}
-        signal, warmup = STRATEGIES[strategy](**params, **given)
+        signal, warmup = STRATEGIES[strategy](**params, **_given(strategy, params))
         runs.append((i + first_id, signal, warmup))
     df = base.select("symbol", "ts", "open", "close", "bar", *[x.cast("double").alias(f"s{i}") for i, x, _ in runs])
     points = F.array(*[F.struct(F.lit(i).cast("long").alias("run_id"), F.col(f"s{i}").alias("signal"), F.lit(n).alias("warmup")) for i, _, n in runs])
