@@ -1,6 +1,7 @@
 """Edge cases of back-test signals, rules, recurrences, as-of joins and fits."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from tidewright.operators import backtest as bt
 from tidewright.operators import estimators as es
 from tidewright.operators import scan
 from tidewright.operators.asof import asof_join
+from tidewright.operators.options import greek_curves
 from tidewright.operators.portfolio import staged_runs
 from tidewright.operators.textaudit import section_coverage
 
@@ -174,3 +176,17 @@ def test_reversion_frames_are_computed_once_per_window(spark):
     b = bars(spark, [100.0 + i % 7 for i in range(90)])
     plan = bt.grid_signals(b, "mean-reversion", bt.GRIDS["mean-reversion"])._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert 0 < plan.count("stddev_samp(") <= 2 * len({p["window"] for p in bt.GRIDS["mean-reversion"]})
+
+
+def test_greek_curves_are_dealt_out_and_compiled(spark, capsys):
+    row = [("A", 1, "call", 900.0, 950.0, 0.1, 0.04, 0.2)]
+    book = spark.createDataFrame(row, "symbol string, contract_id long, kind string, strike double, spot double, years double, rate double, vol double").coalesce(1)
+    curves = greek_curves(book)
+    assert curves.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        greek_curves(book).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # larger methods are never compiled by the JVM

@@ -24,10 +24,14 @@ def _poly(coeffs: list[float], x: Column) -> Column:
 
 
 def ncdf(x: Column) -> Column:
-    """Cumulative normal, absolute error below 1e-15."""
+    """Cumulative normal, absolute error below 1e-15.
+
+    The tail stands in it once, flipped by exact factors: written in both branches, the generated method of a priced
+    book is larger than the JVM compiles (8,000 bytes) and runs interpreted.
+    """
     a = F.abs(x)
     e = F.exp(-a * a / 2)
     near = e * _poly(NUM, a) / _poly(DEN, a)
     cf = a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))
     tail = F.when(a > 37, 0.0).when(a < 7.07106781186547, near).otherwise(e / cf / 2.506628274631)
-    return F.when(x > 0, 1 - tail).otherwise(tail)
+    return F.when(x > 0, 1.0).otherwise(0.0) + F.when(x > 0, -1.0).otherwise(1.0) * tail

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.normal import ncdf, npdf
+from tidewright.session import dealt
 
 SHARES = 100
 REG_T, REG_T_FLOOR = 0.20, 0.10
@@ -148,8 +149,11 @@ def payoff_points(book: DataFrame, n: int = 41, low: float = 0.7, width: float =
 
 
 def greek_curves(book: DataFrame, n: int = 61, low: float = 0.67, width: float = 0.66) -> DataFrame:
-    """Price and greeks of each contract across underlying prices a third either way."""
-    p = book.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("step"))
+    """Price and greeks of each contract across underlying prices a third either way.
+
+    A book is a few bytes a contract, so that a file of millions is read by very few tasks; it is dealt out before it is unfolded.
+    """
+    p = dealt(book).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("step"))
     return priced(p.withColumn("spot", F.col("spot") * (low + width * F.col("step") / (n - 1))))
 
 
