@@ -1,6 +1,7 @@
 """Recurrences and back-tests against plain loops, exact ranks, solvers, no look-ahead."""
 
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -9,12 +10,13 @@ from pyspark.sql import functions as F
 
 from tests.test_golden import series
 from tidewright.functions import fits
+from tidewright.functions.phrases import RULES
 from tidewright.operators import backtest as bt
 from tidewright.operators import portfolio as pf
 from tidewright.operators import windows as win
 from tidewright.operators.ranks import exact_quantiles, leave_one_out_median
 from tidewright.operators.scan import ewm_mean, wilder_rsi
-from tidewright.operators.textaudit import banned_phrases
+from tidewright.operators.textaudit import banned_phrase_counts, banned_phrases
 
 
 def walk(n, seed=1):
@@ -183,6 +185,28 @@ def test_every_banned_phrase_is_located(spark):
     assert all(low[a:a + 4] in r for (a, _), r in zip(at, [x.excerpt.lower() for x in sorted(got, key=lambda r: r.start)]))
 
 
+def wordings(pattern):
+    """Every text that a phrase rule spells out."""
+    group = re.search(r"\(\?:([^()]*)\)(\??)", pattern) or re.search(r"([a-z])(\?)", pattern) or re.search(r"\[([- ]+)\]()", pattern)
+    if not group:
+        return [pattern.replace(r"\b", "").replace(r"\s+", "  ")]
+    choices = list(group[1]) if group[0].startswith("[") else group[1].split("|")
+    return [w for c in choices + [""] * bool(group[2]) for w in wordings(pattern[:group.start()] + c + pattern[group.end():])]
+
+
+def test_needles_are_in_every_wording_and_counts_equal_places(spark):
+    spelled = [(w, p) for _, p, _ in RULES for w in wordings(p)]
+    assert len(spelled) > 200 and all(re.search(p, w) for w, p in spelled)
+    texts = [f"So {w.upper()}, and {w} x{w}" for w, _ in spelled] + [None, "", "the causeway, leadto"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    want = {(i, n): len(re.findall(p, t.lower())) for i, t in enumerate(texts) if t for _, p, n in RULES if re.search(p, t.lower())}
+    assert {(r.doc_id, r.label): r.hits for r in banned_phrase_counts(docs).collect()} == want
+    places = banned_phrases(docs).groupBy("doc_id", "label").count().collect()
+    assert {(r.doc_id, r.label): r["count"] for r in places} == want
+    firsts = banned_phrases(docs, labels=["drove", "led to"], first=True).collect()
+    assert sorted((r.doc_id, r.label) for r in firsts) == sorted(k for k in want if k[1] in ("drove", "led to"))
+
+
 def test_stream_bars_equal_batch(spark, tmp_path):
     from tidewright.streaming.bars import hourly_bars
 

@@ -36,14 +36,14 @@ _CASES = "CASE " + " ".join(f"WHEN label = {quoted(n)} THEN regexp_extract_all(l
 
 @query("txt1_banned_phrase_counts", f"WITH {_REPORTS}, {_RULES}, x AS (SELECT doc_id, kind, label, len({_CASES}) AS hits FROM (SELECT doc_id, lower(text) AS low FROM reports), rules) SELECT doc_id, kind, label, hits FROM x WHERE hits > 0")
 def _(t: Tables):
-    return ta.banned_phrases(reports(t)).groupBy("doc_id", "kind", "label").agg(F.count("*").alias("hits"))
+    return ta.banned_phrase_counts(reports(t))
 
 
 @query("txt1_banned_phrase_excerpts", f"""WITH {_REPORTS}, a AS (SELECT doc_id, text, lower(text) AS low FROM reports), b AS (SELECT doc_id, text, length(regexp_extract(low, '(?s)^(.*?)\\bdriven by\\b', 1)) AS start FROM a WHERE regexp_matches(low, '\\bdriven by\\b'))
 SELECT doc_id, CAST(start AS BIGINT) AS start, trim(regexp_replace(substring(text, greatest(start - 30, 0) + 1, least(length(text), start + 39) - greatest(start - 30, 0)), '\\s+', ' ', 'g')) AS excerpt FROM b""")
 def _(t: Tables):
     """First place of one phrase per report, with its surroundings."""
-    hits = ta.banned_phrases(reports(t)).filter("label = 'driven by'")
+    hits = ta.banned_phrases(reports(t), labels=["driven by"], first=True)
     first = hits.groupBy("doc_id").agg(F.min_by(F.struct("start", "excerpt"), "start").alias("r"))
     return longs(first.select("doc_id", "r.*"))
 
