@@ -16,6 +16,7 @@ from tidewright.operators.asof import asof_join
 from tidewright.operators.options import greek_curves
 from tidewright.operators.portfolio import staged_runs
 from tidewright.operators.textaudit import section_coverage
+from tidewright.tables import tick_bars
 
 DAY = dt.date(2020, 1, 1)
 
@@ -190,3 +191,19 @@ def test_greek_curves_are_dealt_out_and_compiled(spark, capsys):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
     assert sizes and max(sizes) < 8000  # larger methods are never compiled by the JVM
+
+
+def test_sessions_of_many_blocks_are_folded_without_a_hash_table(spark):
+    rows = [("A", DAY + dt.timedelta(days=d), b, float(k), (d * 7 + b * 5 + k * 3) % 11 - 5, b * 10 + k, 1, 1, 1, 1.0, 0.05)
+            for d in range(3) for b in range(1 + 2 * d) for k in range(4)]
+    ticks = spark.createDataFrame(rows, "symbol string, ts date, block long, qty double, step int, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_discount double")
+    days = tick_bars(ticks)
+    plan = days._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "HashAggregate" not in plan
+    base = 0.0
+    for r in days.orderBy("ts").collect():
+        run = np.cumsum([x[4] for x in sorted(rows, key=lambda x: x[5]) if x[1] == r.ts])
+        root = np.sqrt(len(run))
+        want = [100 * np.exp(0.0025 * (base + v / root)) for v in (run[0], run.max(), run.min(), run[-1])]
+        assert [r.open, r.high, r.low, r.close] == pytest.approx(want, abs=1e-4) and r.volume == sum(x[3] for x in rows if x[1] == r.ts)
+        base += run[-1] / root

@@ -52,18 +52,22 @@ def tick_bars(ticks: DataFrame) -> DataFrame:
             F.count("*").alias("n"),
         )
     )
-    before = Window.partitionBy("symbol", "ts").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # A session's blocks are folded by running windows over one sort; a hash table of sessions would hold a task's whole share of them.
+    session = Window.partitionBy("symbol", "ts").orderBy("block")
+    so_far = session.rowsBetween(Window.unboundedPreceding, 0)
     days = (
-        blocks.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0)))
-        .groupBy("symbol", "ts")
-        .agg(
-            F.min_by("first", "block").alias("o"),
-            F.max(F.col("base") + F.col("hi")).alias("h"),
-            F.min(F.col("base") + F.col("lo")).alias("l"),
-            F.sum("total").alias("c"),
-            F.sum("qty").alias("volume"),
-            F.sqrt(F.sum("n")).alias("root"),
+        blocks.withColumn("base", F.sum("total").over(so_far) - F.col("total"))
+        .select(
+            "symbol", "ts",
+            F.first("first").over(so_far).alias("o"),
+            F.max(F.col("base") + F.col("hi")).over(so_far).alias("h"),
+            F.min(F.col("base") + F.col("lo")).over(so_far).alias("l"),
+            F.sum("total").over(so_far).alias("c"),
+            F.sum("qty").over(so_far).alias("volume"),
+            F.sqrt(F.sum("n").over(so_far)).alias("root"),
+            F.lead("block").over(session).isNull().alias("whole"),
         )
+        .filter("whole")
     )
     earlier = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     series = days.withColumn("base", F.coalesce(F.sum(F.col("c") / F.col("root")).over(earlier), F.lit(0.0)))
