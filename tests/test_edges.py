@@ -200,6 +200,7 @@ def test_sessions_of_many_blocks_are_folded_without_a_hash_table(spark):
     days = tick_bars(ticks)
     plan = days._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "HashAggregate" not in plan
+    assert days.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # symbols are dealt out
     base = 0.0
     for r in days.orderBy("ts").collect():
         run = np.cumsum([x[4] for x in sorted(rows, key=lambda x: x[5]) if x[1] == r.ts])
@@ -207,3 +208,15 @@ def test_sessions_of_many_blocks_are_folded_without_a_hash_table(spark):
         want = [100 * np.exp(0.0025 * (base + v / root)) for v in (run[0], run.max(), run.min(), run[-1])]
         assert [r.open, r.high, r.low, r.close] == pytest.approx(want, abs=1e-4) and r.volume == sum(x[3] for x in rows if x[1] == r.ts)
         base += run[-1] / root
+
+
+def test_recurrences_share_their_sorts(spark):
+    b = bars(spark, [100.0 + i % 7 for i in range(90)])
+    sorts = lambda df: len(re.findall(r"\bSort \[", df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]))
+    assert sorts(bt.with_inputs(b, "rsi", bt.GRIDS["rsi"])) <= 6  # once by time, once a period, and by time for the running sums
+    means = [("close", 2 / 6, "a"), ("close", 2 / 21, "b"), ("volume", 0.06, "c")]
+    assert sorts(scan.ewm_means(b, means)) <= 4
+    together, alone = scan.ewm_means(b, means), b
+    for mean in means:
+        alone = scan.ewm_mean(alone, *mean)
+    assert together.collect() == alone.select(together.columns).collect()

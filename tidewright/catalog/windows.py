@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidewright.catalog.registry import longs, query, rounded
 from tidewright.operators import macro
 from tidewright.operators import windows as win
-from tidewright.operators.scan import ewm_mean, ewm_rsi, wilder_rsi
+from tidewright.operators.scan import ewm_mean, ewm_means, ewm_rsi, wilder_rsi
 from tidewright.tables import HOURLY_SQL, INDEX_SQL, MACRO_SQL, SPEC_SQL, STOCK_SQL, Tables
 
 STOCK = f"WITH {STOCK_SQL}"
@@ -65,9 +65,7 @@ SELECT symbol, ts, round(list_reduce(cs, lambda a, x: a * 4 / 6 + x * 2 / 6), 6)
   round(sqrt(list_reduce(rs, lambda a, x: a * 0.94 + x * 0.06) * 252), 6) AS riskmetrics_vol FROM l""")
 def _(t: Tables):
     df = t.stocks().withColumn("ret", win.pct_return("close")).withColumn("sq", F.col("ret") * F.col("ret"))
-    df = ewm_mean(df, "close", 2 / 6, "ema_5")
-    df = ewm_mean(df, "close", 2 / 21, "ema_20")
-    df = ewm_mean(df, "sq", 0.06, "v")
+    df = ewm_means(df, [("close", 2 / 6, "ema_5"), ("close", 2 / 21, "ema_20"), ("sq", 0.06, "v")])
     return rounded(df.select("symbol", "ts", "ema_5", "ema_20", F.sqrt(F.col("v") * 252).alias("riskmetrics_vol")))
 
 

@@ -182,11 +182,10 @@ AXES = {
 def with_inputs(bars: DataFrame, strategy: str, grid: list[dict]) -> DataFrame:
     """Add the columns the strategy's signals read (bar number, running sum, log return, RSI per period, Hurst exponent per warm-up)."""
     from tidewright.operators.diagnostics import held_hurst
-    from tidewright.operators.scan import wilder_rsi
+    from tidewright.operators.scan import wilder_rsis
 
     if strategy == "rsi":
-        for period in sorted({p["period"] for p in grid}):
-            bars = wilder_rsi(bars, period, f"rsi_{period}")
+        bars = wilder_rsis(bars, {n: f"rsi_{n}" for n in sorted({p["period"] for p in grid})})
     if strategy == "regime-trend":
         for warm in sorted({regime_trend(**p)[1] for p in grid}):
             bars = held_hurst(bars, warm, HURST_WINDOW, out=f"hurst_{warm}")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.session import checkpointed
+from tidewright.session import checkpointed, dealt
 
 ORDERS_PER_BLOCK = 1 << 18
 STEP = 0.0025
@@ -70,7 +70,8 @@ def tick_bars(ticks: DataFrame) -> DataFrame:
         .filter("whole")
     )
     earlier = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    series = days.withColumn("base", F.coalesce(F.sum(F.col("c") / F.col("root")).over(earlier), F.lit(0.0)))
+    # A task's share of symbols is what all windows that follow sort; merged by size, few bytes of bars would be few, large shares.
+    series = dealt(days, "symbol").withColumn("base", F.coalesce(F.sum(F.col("c") / F.col("root")).over(earlier), F.lit(0.0)))
 
     def price(off: str) -> Column:
         return F.round(100 * F.exp(STEP * (F.col("base") + F.col(off) / F.col("root"))), 4)
