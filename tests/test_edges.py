@@ -8,11 +8,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.catalog.registry import REUSE
 from tidewright.functions.nulls import printed
 from tidewright.operators import backtest as bt
 from tidewright.operators import estimators as es
 from tidewright.operators import scan
 from tidewright.operators.asof import asof_join
+from tidewright.operators.evidence import factor_history
 from tidewright.operators.options import greek_curves
 from tidewright.operators.portfolio import staged_runs
 from tidewright.operators.textaudit import section_coverage
@@ -220,3 +222,16 @@ def test_recurrences_share_their_sorts(spark):
     for mean in means:
         alone = scan.ewm_mean(alone, *mean)
     assert together.collect() == alone.select(together.columns).collect()
+
+
+def test_calendar_tables_go_to_the_symbols(spark):
+    targets = spark.createDataFrame([("A", DAY, 1.0), ("B", DAY, -1.0)], "symbol string, ts date, target double").repartition(4, "symbol")
+    factors = spark.createDataFrame([("X", DAY, 0.5), ("Y", DAY, 0.1), ("A", DAY, 0.2), ("X", None, 1.0)], "factor_id string, ts date, value double")
+    pairs = factor_history(targets, factors)
+    assert sorted((r.symbol, r.factor_id) for r in pairs.collect()) == [("A", "X"), ("A", "Y"), ("B", "A"), ("B", "X"), ("B", "Y")]
+    plan = pairs.groupBy("symbol", "factor_id").count()._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan  # the targets' own exchange
+
+
+def test_queries_that_read_bars_again_keep_them():
+    assert {"q2_attribution_bundle", "sca21_bundle_numbers", "q9_bundle_facts", "q4_scenario_library", "q4_dated_episodes"} <= REUSE

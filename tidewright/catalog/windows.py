@@ -6,6 +6,7 @@ from tidewright.catalog.registry import longs, query, rounded
 from tidewright.operators import macro
 from tidewright.operators import windows as win
 from tidewright.operators.scan import ewm_mean, ewm_means, ewm_rsi, wilder_rsi
+from tidewright.session import calendar_sized
 from tidewright.tables import HOURLY_SQL, INDEX_SQL, MACRO_SQL, SPEC_SQL, STOCK_SQL, Tables
 
 STOCK = f"WITH {STOCK_SQL}"
@@ -173,7 +174,7 @@ SELECT symbol, ts, CASE WHEN m1 IS NOT NULL THEN CAST(m1 < -5 AS INT)::DOUBLE EN
   CASE WHEN m5 IS NOT NULL THEN CAST(m5 <= -2 AND coalesce(mret > -1, false) AS INT)::DOUBLE END AS shock_day FROM x""")
 def _(t: Tables):
     market = t.bars().filter("symbol = 'AF'").select("ts", win.pct_return("close").alias("market_ret"))
-    df = t.stocks().join(market, "ts", "left").withColumn("ret", win.pct_return("close"))
+    df = t.stocks().join(calendar_sized(market), "ts", "left").withColumn("ret", win.pct_return("close"))
     return df.select("symbol", "ts", *[win.trigger_flag(k, n, x, market_return="market_ret").alias(k) for k, n, x in TRIGGERS])
 
 

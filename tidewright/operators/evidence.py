@@ -9,13 +9,17 @@ from tidewright.functions.fixed import CONFIDENCE
 from tidewright.functions.nulls import safe_div
 from tidewright.operators import windows as win
 from tidewright.operators.ranks import leave_one_out_median
+from tidewright.session import calendar_sized
 
 PAIR = ["symbol", "factor_id"]
 
 
 def factor_history(targets: DataFrame, factors: DataFrame) -> DataFrame:
-    """Rows (symbol, factor_id, ts, factor, target) where both sides are known; a factor never explains itself."""
-    f = factors.filter("value IS NOT NULL").select("factor_id", "ts", F.col("value").alias("factor"))
+    """Rows (symbol, factor_id, ts, factor, target) where both sides are known; a factor never explains itself.
+
+    Factors are a few series: they go to the targets, whose rows are repeated by factor within their symbol's partition and not shuffled again.
+    """
+    f = calendar_sized(factors.filter("value IS NOT NULL").select("factor_id", "ts", F.col("value").alias("factor")))
     t = targets.filter("target IS NOT NULL").select("symbol", "ts", "target")
     return t.join(f, "ts").filter("symbol <> factor_id")
 
@@ -110,7 +114,7 @@ def rank_factors(scored: DataFrame) -> DataFrame:
 
 def market_model(targets: DataFrame, market: DataFrame, min_rows: int = 250) -> DataFrame:
     """Beta before the last session, and the move split into explained and specific parts."""
-    m = market.select("ts", F.col("ret").alias("market"))
+    m = calendar_sized(market.select("ts", F.col("ret").alias("market")))
     j = targets.join(m, "ts", "left").filter("target IS NOT NULL")
     last = F.max("ts").over(Window.partitionBy("symbol"))
     j = j.withColumn("past", F.col("ts") < last)

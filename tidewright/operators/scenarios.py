@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import windows as win
 from tidewright.operators.asof import asof_join
-from tidewright.session import checkpointed
+from tidewright.session import calendar_sized, checkpointed
 
 HORIZONS = (5, 21, 63)
 MAIN_HORIZON = 21
@@ -91,9 +91,6 @@ def proxy_flags(proxies: DataFrame, scenarios: list[Scenario]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-CALENDAR_ROWS = 500_000  # broadcast a calendar-sized table up to so many rows
-
-
 def aligned_to_targets(targets: DataFrame, flags: DataFrame, limit: int = 3, raised: bool = False) -> DataFrame:
     """Proxy flags on the targets' sessions, filled over at most ``limit`` of them; only raised flags if asked for.
 
@@ -104,9 +101,7 @@ def aligned_to_targets(targets: DataFrame, flags: DataFrame, limit: int = 3, rai
     names = flags.select("scenario").distinct().agg(F.collect_set("scenario").alias("names"))
     dates = targets.select("ts").distinct().join(F.broadcast(names)).select(F.explode("names").alias("scenario"), "ts")
     on_dates = asof_join(dates, flags, ["scenario"], "ts", "ts", ["flag"])
-    on_dates = checkpointed(on_dates.filter("flag >= 1") if raised else on_dates)
-    if on_dates.count() <= CALENDAR_ROWS:
-        on_dates = F.broadcast(on_dates)
+    on_dates = calendar_sized(on_dates.filter("flag >= 1") if raised else on_dates)
     j = targets.join(on_dates, "ts")
     stretch = Window.partitionBy("symbol", "scenario", "src_ts").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     used = F.sum((F.col("ts") > F.col("src_ts")).cast("int")).over(stretch)
@@ -137,7 +132,7 @@ def measure_scenarios(closes: DataFrame, proxies: DataFrame, market: DataFrame,
 
 def scenario_rows(closes: DataFrame, proxies: DataFrame, market: DataFrame, scenarios: list[Scenario]) -> tuple[DataFrame, DataFrame]:
     """(symbol, scenario, ts, pos, flag, fwd_...) of sessions on which a trigger may hold, and months by (symbol, scenario)."""
-    targets = with_forwards(closes).join(market.select("ts", F.col("ret").alias("market_ret")), "ts", "left")
+    targets = with_forwards(closes).join(calendar_sized(market.select("ts", F.col("ret").alias("market_ret"))), "ts", "left")
     own, others = [s for s in scenarios if s.driver == "self"], [s for s in scenarios if s.driver != "self"]
     flagged, freq = [], []
     if others:
