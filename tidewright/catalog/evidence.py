@@ -6,6 +6,7 @@ from tidewright.catalog.registry import longs, query, rounded
 from tidewright.catalog.windows import OBSERVATION_SQL, STOCK, W
 from tidewright.operators import evidence as ev
 from tidewright.operators import windows as win
+from tidewright.session import checkpointed, dealt
 from tidewright.tables import INDEX_SQL, STOCK_SQL, Tables
 
 PANEL = ["AF", "AO", "NF", "NO", "RF", "RO"]
@@ -16,7 +17,7 @@ def returns_pct(bars):
 
 
 def stock_targets(t: Tables):
-    return returns_pct(t.stocks()).withColumnRenamed("ret", "target")
+    return returns_pct(dealt(t.stocks(), "symbol")).withColumnRenamed("ret", "target")
 
 
 def index_factors(t: Tables):
@@ -174,5 +175,5 @@ counter AS (SELECT symbol, 'not_unusual' AS item, NULL AS factor_id FROM lo WHER
 
 @query("sca19_counter_evidence", f"WITH {COUNTER_SQL} SELECT * FROM counter")
 def _(t: Tables):
-    s = scored(t).withColumn("rank_score", F.round("rank_score", 9)).withColumn("lift", F.round("lift", 9))
+    s = checkpointed(scored(t).withColumn("rank_score", F.round("rank_score", 9)).withColumn("lift", F.round("lift", 9)))  # read three times
     return ev.counter_evidence(last_observation(t), s)
