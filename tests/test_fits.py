@@ -143,6 +143,31 @@ def test_packed_quantile_fits_are_the_single_ones(spark):
     assert not any(r.gap_closed for r in es.packed_certificate(moved, ["a", "flat"], "y").collect())
 
 
+def test_quantile_fits_close_their_gap_in_few_steps():
+    rng = np.random.default_rng(6)
+    taus = [0.05, 0.25, 0.5, 0.95]
+    z = np.concatenate([np.ones((4, 250, 1)), rng.normal(size=(4, 250, 2))], 2)
+    y = rng.normal(size=(4, 250))
+    y[3] = np.round(y[3])  # ties; these fits are done at other steps than the rest, and wait unchanged
+    beta, dual = fits.quantile_solutions(z, y, taus, 0.001, steps=20)
+    proof = fits.quantile_proofs(z[:, :, 1:], y, taus, beta[:, :, 0], beta[:, :, 1:], dual)
+    size = np.abs(beta[:, :, 1:]).sum(axis=2)  # the kernel's penalty, on columns as it got them
+    assert np.all(proof["loss"] + 250 * 0.001 * size - proof["dual"] <= 1e-8 * proof["scale"])
+    assert np.all(proof["low"] >= np.array(taus) - 1 - 1e-9) and np.all(proof["high"] <= np.array(taus) + 1e-9) and np.all(np.abs(proof["zero"]) < 1e-8)
+
+
+def test_sums_of_a_proof_are_those_of_its_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [(s, DAY + dt.timedelta(days=i), float(rng.normal()), 0.0, float(rng.normal())) for s in "AB" for i in range(70 if s == "A" else 12)]
+    packed = es.packed_training(spark.createDataFrame(rows, "symbol string, ts date, a double, flat double, y double"), ["a", "flat"], "y", 5, 20, 10).checkpoint()
+    few = es.fit_packed(packed, ["a", "flat"], "y", sums=True)
+    assert "rows" not in few.columns and "dual:array" not in few.schema.simpleString()  # nothing of a row's size leaves the fit
+    order = lambda df: sorted(tuple(r) for r in df.collect())
+    assert order(es.packed_certificate(few, ["a", "flat"], "y")) == order(es.packed_certificate(es.fit_packed(packed, ["a", "flat"], "y", proofs=True), ["a", "flat"], "y"))
+    moved = few.withColumn("fits", F.transform("fits", lambda f: f.withField("loss", f["loss"] + 0.05)))
+    assert not any(r.gap_closed for r in es.packed_certificate(moved, ["a", "flat"], "y").collect())
+
+
 def test_rescaled_range_keeps_a_series_in_one_row(spark):
     from tidewright.operators import diagnostics as dg
 

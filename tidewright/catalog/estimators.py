@@ -41,11 +41,16 @@ def _(t: Tables):
     return rounded(m.select("symbol", "refit", "level", "intercept", used.alias("nonzero"), F.array_join("kept", " ").alias("kept"), "n_train", "error"))
 
 
-def stock_design(t: Tables):
+def stock_rows(t: Tables):
     """Each symbol's last return and last five with the next five sessions' return as the target."""
     back = lambda k: win.pct_return("close", k)
     d = t.stocks().select("symbol", "ts", back(1).alias("x"), back(5).alias("x5"), (F.lead("close", 5).over(win.by_symbol()) / F.col("close") - 1).alias("y"))
-    return checkpointed(d.filter("x IS NOT NULL AND x5 IS NOT NULL AND y IS NOT NULL"))
+    return d.filter("x IS NOT NULL AND x5 IS NOT NULL AND y IS NOT NULL")
+
+
+def stock_design(t: Tables):
+    """The same, written once for queries that read it several times."""
+    return checkpointed(stock_rows(t))
 
 
 @query("est03_optimality_certificate", f"""{STOCK}, x AS (SELECT symbol, ts, close / lag(close) OVER {W} - 1 AS x, close / lag(close, 5) OVER {W} - 1 AS x5, lead(close, 5) OVER {W} / close - 1 AS y FROM stocks),
@@ -55,8 +60,8 @@ SELECT symbol, CAST(k * 63 AS BIGINT) AS refit, level, count(*) AS n_train, true
 FROM k, (SELECT unnest([0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95])::DOUBLE AS level) GROUP BY 1, 2, 3 HAVING count(*) >= 9""")
 def _(t: Tables):
     """Quantile regressions of all symbols and refit dates, each proved optimal by its dual values."""
-    train = es.packed_training(stock_design(t), ["x", "x5"], "y", 5, 250, 63)
-    g = es.packed_certificate(es.fit_packed(train, ["x", "x5"], "y", proofs=True), ["x", "x5"], "y")
+    train = es.packed_training(stock_rows(t), ["x", "x5"], "y", 5, 250, 63)
+    g = es.packed_certificate(es.fit_packed(train, ["x", "x5"], "y", sums=True), ["x", "x5"], "y")
     return g.withColumn("refit", F.col("refit").cast("bigint"))
 
 
