@@ -235,3 +235,26 @@ def test_calendar_tables_go_to_the_symbols(spark):
 
 def test_queries_that_read_bars_again_keep_them():
     assert {"q2_attribution_bundle", "sca21_bundle_numbers", "q9_bundle_facts", "q4_scenario_library", "q4_dated_episodes"} <= REUSE
+
+
+def test_run_summaries_read_their_bars_once(spark):
+    b = bars(spark, [100.0 + (i * 7) % 13 for i in range(90)]).repartition(4, "symbol")
+    points = [("buy-and-hold", {}), ("ma-crossover", {"fast": 5, "slow": 20}), ("mean-reversion", {"window": 21})]
+    summary = bt.run_summary(bt.run_backtest(bt.run_signals(b, points)))
+    plan = summary._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan  # the bars' own exchange
+    assert len(re.findall(r"\bWindow \[", plan)) <= 10 and "SortAggregate" not in plan
+    alone = [bt.run_summary(bt.run_backtest(bt.grid_signals(b, s, [p], i))).first() for i, (s, p) in enumerate(points)]
+    assert summary.orderBy("run_id").collect() == alone
+
+
+def test_summaries_count_rows_without_a_value(spark):
+    rows = [100.0, 110.0, None, 99.0, 99.0, 120.0, None, 90.0, 130.0]
+    held = [10.0, 10.0, None, 11.0, 12.0, 12.0, 12.0, 12.0, None]
+    df = spark.createDataFrame([("A", 0, DAY + dt.timedelta(days=i), e, h, 1.5, i % 2 == 0) for i, (e, h) in enumerate(zip(rows, held))],
+                               "symbol string, run_id long, ts date, equity double, benchmark double, cost double, traded boolean")
+    r = bt.run_summary(df).first()
+    assert (r.n_periods, r.trades, r.total_costs) == (7, 5, 13.5) and r.benchmark_return_pct == pytest.approx(20.0)
+    assert r.total_return_pct == pytest.approx(30.0) and r.max_drawdown_pct == pytest.approx(-25.0) and r.max_drawdown_bars == 1  # 120 to 90, at once
+    assert r.win_rate_pct == pytest.approx(60.0) and r.excess_return_pct == pytest.approx(10.0)
+    assert bt.run_summary(df.withColumn("benchmark", F.when(F.col("ts") < F.lit(DAY + dt.timedelta(days=2)), F.col("benchmark")))).count() == 0

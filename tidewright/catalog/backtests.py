@@ -30,11 +30,7 @@ _SIG = f"""sig AS (SELECT symbol, 0::BIGINT AS run_id, ts, open, close, CAST(1 A
 
 
 def three_runs(t: Tables):
-    s = t.stocks()
-    a = bt.grid_signals(s, "buy-and-hold", [{}], 0)
-    b = bt.grid_signals(s, "ma-crossover", [{"fast": 10, "slow": 50}], 1)
-    c = bt.grid_signals(s, "mean-reversion", [{"window": 21, "entry_z": -1.0, "exit_z": 0.5}], 2)
-    return a.unionByName(b).unionByName(c)
+    return bt.run_signals(t.stocks(), [("buy-and-hold", {}), ("ma-crossover", {"fast": 10, "slow": 50}), ("mean-reversion", {"window": 21, "entry_z": -1.0, "exit_z": 0.5})])
 
 
 @query("bt04_backtest_equity", f"{STOCK}, {_SIG}, {scan_sql('sig', 'symbol, run_id')} SELECT symbol, run_id, ts, round(exposure, 6) AS exposure, round(equity, 5) AS equity, round(benchmark, 5) AS benchmark, round(cost, 6) AS cost FROM result")

@@ -16,7 +16,7 @@ ORACLE: dict[str, str] = {}
 REUSE = {
     "flagship_factor_attribution", "agg07_quintile_hit_rates", "agg08_factor_scores", "top01_ranked_factors", "sca19_counter_evidence", "q2_attribution",
     "q4_scenario_outlook", "q5_quant_diagnostics", "q5_native_diagnostics", "q1_divergence_table", "agg17_coverage_report", "agg32_volatility_summary",
-    "agg35_regime_classes", "bt04_backtest_equity", "bt04_run_summaries", "bt05_walk_forward", "bt05_stitched_curve", "agg25_walk_forward_summary",
+    "agg35_regime_classes", "bt05_walk_forward", "bt05_stitched_curve", "agg25_walk_forward_summary",
     "q2_attribution_bundle", "sca21_bundle_numbers", "q9_bundle_facts", "q4_scenario_library", "q4_dated_episodes",
     "agg24_surface_ruggedness", "bt09_option_overlays", "bt12_plans", "est14_implied_views", "est09_smile_fits",
     "bt05_walk_momentum", "bt05_walk_mean_reversion", "bt05_walk_vol_target", "bt05_walk_rsi", "bt05_walk_regime_trend",

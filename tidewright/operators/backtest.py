@@ -4,7 +4,8 @@ A bar's signal is filled at the next open and marked at that bar's close. With e
 after the trade, w the weight drifted to before it and c the cost rate, equity grows per bar by a
 factor of those three alone, so equity is a running product. Cost makes w depend on the previous
 bar's w, but with a derivative of about c (below 1e-3), so a handful of substitutions of the lagged
-weight reach double precision: no sequential scan and no Python, whatever the number of runs.
+weight reach double precision: no sequential scan and no Python, whatever the number of runs. The
+substitutions are one expression over the last few exposures and opens, which one window fetches.
 ``Execution.substitutions`` is that number for its cost rate and exposure limit.
 """
 
@@ -66,20 +67,28 @@ def run_backtest(signals: DataFrame, ex: Execution | None = None, keys: list[str
     s = s.withColumn("e", F.coalesce(F.last("want", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     t = s.filter(F.col("pos") > F.greatest("warmup", F.lit(1)))
     # From here on every row is a traded bar: e is filled at its open and marked at its close.
-    t = t.select(*keys, "ts", "open", "close", "e", F.lag("e").over(w).alias("pe"), (F.col("open") / F.lag("open").over(w)).alias("g"))
-    start = F.col("pe").isNull()
-    t = t.withColumn("w", F.when(start, 0.0).otherwise(F.col("pe") * F.col("g") / (1 - F.col("pe") + F.col("pe") * F.col("g"))))
-    for _ in range(ex.substitutions):
-        t = t.withColumn("pw", F.lag("w").over(w))
-        grown = 1 - F.col("pe") - c * F.abs(F.col("pe") - F.col("pw")) + F.col("pe") * F.col("g")
-        t = t.withColumn("w", F.when(start, 0.0).otherwise(F.col("pe") * F.col("g") / grown))
-    paid = c * F.abs(F.col("e") - F.col("w"))
-    t = t.withColumn("pw", F.lag("w").over(w))
-    step = 1 - F.col("pe") - c * F.abs(F.col("pe") - F.col("pw")) + F.col("pe") * F.col("g")
+    t = t.select(*keys, "ts", "open", "close", "e")
+    back = ex.substitutions + 1
+    t = t.select("*", *[F.lag(c, k).over(w).alias(f"{c}_{k}") for c in ("e", "open") for k in range(1, back + 2)]).withColumns({"e_0": F.col("e"), "open_0": F.col("open")})
+    # Exposure before each of the last bars, and the growth of its open. Before the first bar there is nothing, which weighs nothing.
+    known = {f"p{k}": F.coalesce(f"e_{k + 1}", F.lit(0.0)) for k in range(back + 1)}
+    known |= {f"g{k}": F.when(F.col(f"e_{k + 1}").isNull(), 1.0).otherwise(F.col(f"open_{k}") / F.col(f"open_{k + 1}")) for k in range(back + 1)}
+    t = t.select(*keys, "ts", "open", "close", "e", F.col("e_1").alias("pe"), *[v.alias(n) for n, v in known.items()])
+
+    def drifted(k: int, before: Column | None) -> Column:
+        """The weight k bars ago from that of the bar before it."""
+        p, grown = F.col(f"p{k}"), F.col(f"p{k}") * F.col(f"g{k}")
+        return grown / (1 - p + grown if before is None else 1 - p - c * F.abs(p - before) + grown)
+
+    pw = reduce(lambda before, k: drifted(k, before), range(back, 0, -1), None)
+    t = t.select(*keys, "ts", "open", "close", "e", "pe", "p0", "g0", pw.alias("pw"))
+    step = 1 - F.col("p0") - c * F.abs(F.col("p0") - F.col("pw")) + F.col("p0") * F.col("g0")
+    t = t.select(*keys, "ts", "open", "close", "e", "pe", drifted(0, F.col("pw")).alias("w"), F.when(F.col("pe").isNull(), 0.0).otherwise(F.ln(step)).alias("grown"))
     # Portfolio value at each fill, before the trade.
-    t = t.withColumn("v", ex.initial_cash * F.exp(F.sum(F.when(start, 0.0).otherwise(F.ln(step))).over(prefix)))
+    t = t.select("*", (ex.initial_cash * F.exp(F.sum("grown").over(prefix))).alias("v"), F.first("open").over(prefix).alias("first_open"))
+    paid = c * F.abs(F.col("e") - F.col("w"))
     equity = F.col("v") * (1 - F.col("e") - paid + F.col("e") * F.col("close") / F.col("open"))
-    bench = ex.initial_cash * (1 - c) / F.first("open").over(prefix) * F.col("close")
+    bench = ex.initial_cash * (1 - c) / F.col("first_open") * F.col("close")
     return t.select(
         *keys, "ts", F.col("e").alias("exposure"), equity.alias("equity"), bench.alias("benchmark"), (F.col("v") * paid).alias("cost"),
         (F.abs(F.col("e") - F.coalesce("pe", F.lit(0.0))) > 1e-12).alias("traded"),
@@ -89,12 +98,13 @@ def run_backtest(signals: DataFrame, ex: Execution | None = None, keys: list[str
 def run_summary(result: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Headline statistics of each run beside buy-and-hold over the same window."""
     keys = keys or RUN
-    own = performance_stats(result, keys)
-    ref = performance_stats(result.withColumn("equity", F.col("benchmark")), keys)
-    tot = result.groupBy(*keys).agg(F.sum(F.col("traded").cast("long")).alias("trades"), F.sum("cost").alias("total_costs"))
-    ref = ref.select(*keys, F.col("total_return_pct").alias("benchmark_return_pct"))
-    j = own.join(ref, keys).join(tot, keys)
-    return j.withColumn("excess_return_pct", F.col("total_return_pct") - F.col("benchmark_return_pct"))
+    held = F.when(F.col("benchmark").isNotNull(), F.col("ts"))
+    more = {
+        "trades": F.sum(F.col("traded").cast("long")), "total_costs": F.sum("cost"), "__n": F.count("benchmark"),
+        "benchmark_return_pct": (F.max_by("benchmark", held) / F.min_by("benchmark", held) - 1) * 100,
+    }
+    s = performance_stats(result, keys, more=more).filter("__n >= 3").drop("__n")
+    return s.withColumn("excess_return_pct", F.col("total_return_pct") - F.col("benchmark_return_pct"))
 
 
 # --- signals: functions from bars to a Column over the past only ----------------------------------
@@ -181,19 +191,24 @@ AXES = {
 
 def with_inputs(bars: DataFrame, strategy: str, grid: list[dict]) -> DataFrame:
     """Add the columns the strategy's signals read (bar number, running sum, log return, RSI per period, Hurst exponent per warm-up)."""
+    return _with_inputs(bars, [(strategy, p) for p in grid], {strategy})
+
+
+def _with_inputs(bars: DataFrame, points: list[tuple[str, dict]], strategies: set[str]) -> DataFrame:
     from tidewright.operators.diagnostics import held_hurst
     from tidewright.operators.scan import wilder_rsis
 
-    if strategy == "rsi":
-        bars = wilder_rsis(bars, {n: f"rsi_{n}" for n in sorted({p["period"] for p in grid})})
-    if strategy == "regime-trend":
-        for warm in sorted({regime_trend(**p)[1] for p in grid}):
+    of = lambda strategy, name: sorted({p[name] for s, p in points if s == strategy})
+    if "rsi" in strategies:
+        bars = wilder_rsis(bars, {n: f"rsi_{n}" for n in of("rsi", "period")})
+    if "regime-trend" in strategies:
+        for warm in sorted({regime_trend(**p)[1] for s, p in points if s == "regime-trend"}):
             bars = held_hurst(bars, warm, HURST_WINDOW, out=f"hurst_{warm}")
     bars = bars.select("*", win.log_return("close").alias("log_ret"), win.position().alias("bar"), F.sum("close").over(win.whole_prefix()).alias("close_sum"))
-    if strategy == "vol-target":  # once per lookback, whatever the number of targets that read it
-        bars = bars.select("*", *[(win.fixed_weight_ewma_vol("log_ret", n, 0.94) * 100).alias(f"vol_{n}") for n in sorted({p["lookback"] for p in grid})])
-    if strategy == "mean-reversion":  # likewise once per window
-        frames = {n: win.trailing(n) for n in sorted({p["window"] for p in grid})}
+    if "vol-target" in strategies:  # once per lookback, whatever the number of targets that read it
+        bars = bars.select("*", *[(win.fixed_weight_ewma_vol("log_ret", n, 0.94) * 100).alias(f"vol_{n}") for n in of("vol-target", "lookback")])
+    if "mean-reversion" in strategies:  # likewise once per window
+        frames = {n: win.trailing(n) for n in of("mean-reversion", "window")}
         bars = bars.select("*", *[c for n, f in frames.items() for c in (F.avg("close").over(f).alias(f"mean_{n}"), F.stddev_samp("close").over(f).alias(f"sd_{n}"))])
     return bars
 
@@ -214,9 +229,14 @@ def grid_signals(bars: DataFrame, strategy: str, grid: list[dict], first_id: int
     once and the bars are shuffled once. With many symbols the runs stay in their symbol's partition;
     ``spread`` deals them out by (symbol, run) for the case of few symbols and many points.
     """
-    base = with_inputs(bars, strategy, grid)
+    return run_signals(bars, [(strategy, p) for p in grid], first_id, spread)
+
+
+def run_signals(bars: DataFrame, points: list[tuple[str, dict]], first_id: int = 0, spread: bool = False) -> DataFrame:
+    """``grid_signals`` of points (strategy, parameters) of any strategies: one pass over the bars for all of them."""
+    base = _with_inputs(bars, points, {s for s, _ in points})
     runs = []
-    for i, params in enumerate(grid):
+    for i, (strategy, params) in enumerate(points):
         signal, warmup = STRATEGIES[strategy](**params, **_given(strategy, params))
         runs.append((i + first_id, signal, warmup))
     df = base.select("symbol", "ts", "open", "close", "bar", *[x.cast("double").alias(f"s{i}") for i, x, _ in runs])

@@ -12,26 +12,31 @@ from tidewright.operators import windows as win
 FLAT = 1e-12
 
 
-def performance_stats(equity: DataFrame, keys: list[str], periods: int = 252, risk_free: float = 0.0) -> DataFrame:
+def performance_stats(equity: DataFrame, keys: list[str], periods: int = 252, risk_free: float = 0.0, more: dict[str, Column] | None = None) -> DataFrame:
     """Return, volatility, Sharpe, drawdown and win statistics of each equity curve, in one shuffle on its keys.
 
     A period whose return is zero up to rounding noise is flat: neither a win nor a loss,
-    and equal troughs up to that noise count as one, at the first of them.
+    and equal troughs up to that noise count as one, at the first of them. ``more`` are aggregates of all rows
+    of ``equity``, also those without a value, from the same pass.
     """
     w = Window.partitionBy(*keys).orderBy("ts")
-    every = Window.partitionBy(*keys)
     prefix = w.rowsBetween(Window.unboundedPreceding, 0)
-    e = equity.filter("equity IS NOT NULL").select(
-        *keys, "ts", "equity", F.row_number().over(w).alias("pos"), (F.col("equity") / F.lag("equity").over(w) - 1).alias("ret"),
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col("equity").isNotNull()
+    more = more or {}
+    e = (equity if more else equity.select(*keys, "ts", "equity")).select(
+        "*", F.when(known, F.count("equity").over(prefix)).alias("pos"), (F.col("equity") / F.last("equity", ignorenulls=True).over(earlier) - 1).alias("ret"),
         ((F.col("equity") / F.max("equity").over(prefix) - 1) * 100).alias("dd"))
-    e = e.withColumn("trough", F.min_by("pos", F.struct(F.round("dd", 9), "pos")).over(every))
+    # The last high so far and the deepest fall before are carried along: the last row that falls deeper is the trough, without a look back at all rows.
+    depth = F.round("dd", 9)
+    e = e.select("*", F.max(F.when(F.col("dd") >= -1e-12, F.col("pos"))).over(prefix).alias("high"), F.coalesce(depth < F.min(depth).over(earlier), F.col("pos") == 1).alias("deeper"))
     per_period = (1 + risk_free) ** (1.0 / periods) - 1
     g = e.groupBy(*keys).agg(
-        F.count("*").alias("n_periods"), F.max_by("equity", "pos").alias("last"), F.min_by("equity", "pos").alias("first"),
-        F.stddev_samp("ret").alias("sd"), F.avg("ret").alias("mean"), F.min("dd").alias("max_drawdown_pct"), F.max("trough").alias("trough"),
-        F.max(F.when((F.col("dd") >= -1e-12) & (F.col("pos") <= F.col("trough")), F.col("pos"))).alias("peak"),
+        F.count("equity").alias("n_periods"), F.max_by("equity", "pos").alias("last"), F.min_by("equity", "pos").alias("first"),
+        F.stddev_samp("ret").alias("sd"), F.avg("ret").alias("mean"), F.min("dd").alias("max_drawdown_pct"),
+        F.max(F.when(F.col("deeper"), F.col("pos"))).alias("trough"), F.max(F.when(F.col("deeper"), F.col("high"))).alias("peak"),
         F.sum((F.col("ret") > FLAT).cast("long")).alias("wins"), F.sum((F.col("ret") < -FLAT).cast("long")).alias("losses"),
-        F.avg(F.when(F.col("ret") > FLAT, F.col("ret"))).alias("win"), F.avg(F.when(F.col("ret") < -FLAT, F.col("ret"))).alias("loss"),
+        F.avg(F.when(F.col("ret") > FLAT, F.col("ret"))).alias("win"), F.avg(F.when(F.col("ret") < -FLAT, F.col("ret"))).alias("loss"), *[v.alias(n) for n, v in more.items()],
     ).filter("n_periods >= 3")
     growth = F.col("last") / F.col("first")
     moving = F.col("wins") + F.col("losses")
@@ -42,7 +47,7 @@ def performance_stats(equity: DataFrame, keys: list[str], periods: int = 252, ri
         F.when(F.col("sd") > 1e-12, (F.col("mean") - per_period) / F.col("sd") * F.sqrt(F.lit(float(periods)))).alias("sharpe"),
         "max_drawdown_pct", F.when(F.col("max_drawdown_pct") < 0, F.col("trough") - F.col("peak")).otherwise(0).cast("long").alias("max_drawdown_bars"),
         F.when(moving > 0, F.col("wins") / moving * 100).otherwise(0.0).alias("win_rate_pct"),
-        safe_div(F.col("win"), F.abs("loss")).alias("payoff_ratio"), "n_periods",
+        safe_div(F.col("win"), F.abs("loss")).alias("payoff_ratio"), "n_periods", *more,
     )
 
 
