@@ -15,15 +15,19 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions import walks
 from tidewright.operators import windows as win
 from tidewright.operators.stats import performance_stats
-from tidewright.session import dealt
+from tidewright.session import checkpointed, dealt
 
 RUN = ["symbol", "run_id"]
 HURST_WINDOW = 400
+ROWS_AT_ONCE = 50_000  # bars that a walk over arrays takes together, beside those of the last symbol
 
 
 @dataclass(frozen=True)
@@ -288,12 +292,71 @@ def walk_forward(bars: DataFrame, strategy: str, train: int = 504, test: int = 1
                  grid: list[dict] | None = None) -> DataFrame:
     """Out-of-sample returns: each fold picks the grid point with the best train Sharpe and trades the next window.
 
-    Most signals read a fixed number of bars, so one signal table serves every fold: folds are slices of it by position, which each
-    bar lists by arithmetic, and all (fold, point) runs are back-tested together. Signals of ``FROM_START`` are computed within the
-    slices: a fold's training bars, then its test bars with the warm-up of the point it picked. Settings whose Sharpe ratios agree to
-    nine digits are tied, and the first one is taken, as it is where no setting has a ratio.
+    Signals of ``FROM_START`` are computed within a fold's bars: its training bars, then its test bars with the warm-up of the point
+    it picked; other signals read a fixed number of bars. Settings whose Sharpe ratios agree to nine digits are tied, and the first
+    one is taken, as it is where no setting has a ratio.
+
+    Where ``functions.walks`` has the strategy, a symbol's folds are slices of its arrays, so that bars are neither shuffled nor sorted
+    again for each fold and point. Symbols with an unknown or impossible price go the way of the windows, which know NULL.
     """
     grid = grid or GRIDS[strategy]
+    points = [(p, max(STRATEGIES[strategy](**p)[1], 1)) for p in grid]
+    if strategy not in walks.HELD or any(warmup + 2 > train for _, warmup in points):
+        return _walk_by_windows(bars, strategy, train, test, ex, grid)
+    price = lambda c: (F.col(c) > 0) & (F.col(c) < math.inf)
+    whole = F.col("symbol").isNotNull() & F.col("ts").isNotNull() & price("open") & price("close")
+    odd = checkpointed(bars.filter(~F.coalesce(whole, F.lit(False))).select(F.col("symbol").alias("__odd")).distinct())
+    if odd.isEmpty():
+        return _walk_by_arrays(bars, strategy, points, train, test, ex)
+    same = F.col("symbol").eqNullSafe(F.col("__odd"))
+    plain = _walk_by_arrays(bars.join(odd, same, "left_anti"), strategy, points, train, test, ex)
+    return plain.unionByName(_walk_by_windows(bars.join(odd, same, "left_semi"), strategy, train, test, ex, grid))
+
+
+def _walk_by_arrays(bars: DataFrame, strategy: str, points: list[tuple[dict, int]], train: int, test: int, ex: Execution | None) -> DataFrame:
+    """``walk_forward`` of symbols whose prices are all known, one shuffle of the bars; a task holds the symbols of a few batches."""
+    ex = ex or Execution()
+    # The window leaves a symbol's rows together and in order; their numbers say where a symbol begins, and are checked.
+    numbered = dealt(bars.select("symbol", "ts", F.col("open").cast("double").alias("open"), F.col("close").cast("double").alias("close")), "symbol")
+    numbered = numbered.withColumn("bar", win.position())
+
+    def solved(batches):
+        t = pa.Table.from_batches(batches).combine_chunks()
+        bar = t["bar"].to_numpy()
+        begin = np.flatnonzero(bar == 1)
+        size = np.diff(np.append(begin, len(bar)))
+        if not np.array_equal(bar, np.arange(len(bar)) - np.repeat(begin, size) + 1):
+            raise ValueError("bars are not in the order of their symbols")
+        n = np.where(size >= train + test, (size - train) // test, 0)
+        fold = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        ends = np.repeat(begin, n) + train + fold * test
+        for which, k, rows, found in walks.walked(t["open"].to_numpy(), t["close"].to_numpy(), ends, strategy, points, train, test, ex):
+            own = t.select(["symbol", "ts"]).take(pa.array(rows.ravel()))
+            run = {"symbol": own["symbol"].combine_chunks(), "fold": np.repeat(fold[which], test), "run_id": np.full(rows.size, k), "ts": own["ts"].combine_chunks()}
+            yield from pa.table(run | {c: v.ravel() for c, v in found.items()}).to_batches()
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            begin = np.flatnonzero(batch.column("bar").to_numpy() == 1)
+            if rows >= ROWS_AT_ONCE and len(begin):
+                yield from solved([*held, batch.slice(0, begin[-1])])
+                batch, held, rows = batch.slice(begin[-1]), [], 0
+            held.append(batch)
+            rows += batch.num_rows
+        if rows:
+            yield from solved(held)
+
+    kinds = dict(numbered.dtypes)
+    return numbered.mapInArrow(run, f"symbol {kinds['symbol']}, fold bigint, run_id bigint, ts {kinds['ts']}, exposure double, equity double, benchmark double, cost double, traded boolean")
+
+
+def _walk_by_windows(bars: DataFrame, strategy: str, train: int, test: int, ex: Execution | None, grid: list[dict]) -> DataFrame:
+    """``walk_forward`` for any signal and for unknown prices.
+
+    Most signals read a fixed number of bars, so one signal table serves every fold: folds are slices of it by position, which each
+    bar lists by arithmetic, and all (fold, point) runs are back-tested together. Signals of ``FROM_START`` are computed within the slices.
+    """
     f = folds(bars, train, test)
     fold_keys = ["symbol", "fold", "run_id"]
     selecting = (F.ceil((F.col("bar") - train) / test), F.floor((F.col("bar") - 1) / test))
