@@ -10,6 +10,7 @@ from tidewright.operators import backtest as bt
 DAY = dt.date(2020, 1, 1)
 GRIDS = {
     "regime-trend": (420, 40, [{"fast": 5, "slow": 20, "hurst_threshold": h} for h in (0.5, 0.6)]),
+    "rsi": (60, 15, [{"period": p, "oversold": a, "overbought": b} for p, a, b in ((7, 30, 70), (14, 40, 60))]),
 }
 
 
@@ -48,3 +49,18 @@ def test_folds_and_points_cost_no_shuffle(spark, strategy):
     train, test, grid = GRIDS[strategy]
     b = bars(spark, train + 3 * test).filter("symbol IN ('A', 'B', 'flat')")
     assert exchanges(bt.walk_forward(b, strategy, train, test, grid=grid)) == 1
+
+
+def test_symbols_that_outgrow_a_batch_and_a_block(spark, monkeypatch):
+    """Symbols cut by batches, and taken few at a time, walk as they do together."""
+    train, test, grid = GRIDS["rsi"]
+    b = bars(spark, train + 5 * test).filter("symbol IS NOT NULL AND symbol <> 'gap'")
+    together = listed(bt.walk_forward(b, "rsi", train, test, grid=grid))
+    monkeypatch.setattr(bt, "ROWS_AT_ONCE", 1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "17")
+    try:
+        assert listed(bt.walk_forward(b, "rsi", train, test, grid=grid)) == together
+    finally:
+        spark.conf.set(key, before)

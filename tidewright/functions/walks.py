@@ -11,10 +11,23 @@ import math
 
 import numpy as np
 
-HELD = ("regime-trend",)  # the strategies that have a kernel here
+HELD = ("rsi", "regime-trend")  # the strategies that have a kernel here
 BLOCK = 256  # slices worked on at once
 
 
+def _rsi(close: np.ndarray, n: int) -> np.ndarray:
+    """Wilder's RSI at bars n + 1 and later of each slice, seeded with simple means."""
+    move = np.diff(close, axis=1)
+    sides = np.stack([np.maximum(move, 0.0), np.maximum(-move, 0.0)])
+    out = np.empty((2, len(close), close.shape[1] - n))
+    out[:, :, 0] = sides[:, :, :n].mean(axis=2)
+    for i in range(n, move.shape[1]):
+        out[:, :, i - n + 1] = (out[:, :, i - n] * (n - 1) + sides[:, :, i]) / n
+    gain, loss = out
+    flat = loss <= 1e-12
+    return np.where(flat, np.where(gain > 0, 100.0, 50.0), 100 - 100 / (1 + gain / np.where(flat, 1.0, loss)))
+
+
 def _lags(n: int, min_lag: int = 8, steps: int = 12) -> list[int]:
     top = n // 4
     lags = [min_lag if i == 0 else top if i == steps - 1 else math.floor(min_lag * (top / min_lag) ** (i / (steps - 1))) for i in range(steps)]
@@ -58,6 +71,10 @@ def _held_hurst(close: np.ndarray, warm: int, window: int, refresh: int) -> np.n
 def signals(strategy: str, params: dict, warmup: int, close: np.ndarray, kept: dict, hurst_window: int = 400) -> np.ndarray:
     """Signal at bar ``warmup`` and each later one of complete slices; ``kept`` holds what grid points share."""
     once = lambda key, make: kept[key] if key in kept else kept.setdefault(key, make())
+    if strategy == "rsi":
+        n = params["period"]
+        r = once(("rsi", n), lambda: _rsi(close, n))
+        return np.where(r <= params["oversold"], 1.0, np.where(r >= params["overbought"], 0.0, 0.5))[:, warmup - n - 1:]
     if strategy == "regime-trend":
         total = once("sum", lambda: np.pad(np.cumsum(close, axis=1), ((0, 0), (1, 0))))
         mean = lambda n: (total[:, warmup:] - total[:, warmup - n:total.shape[1] - n]) / n
