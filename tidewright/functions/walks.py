@@ -10,11 +10,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 
-HELD = ("rsi", "regime-trend")  # the strategies that have a kernel here
+HELD = ("mean-reversion", "rsi", "regime-trend")  # the strategies that have a kernel here
 BLOCK = 256  # slices worked on at once
 
 
+def _moving(x: np.ndarray, n: int) -> np.ndarray:
+    return sliding_window_view(x, n, axis=1)
+
+
 def _rsi(close: np.ndarray, n: int) -> np.ndarray:
     """Wilder's RSI at bars n + 1 and later of each slice, seeded with simple means."""
     move = np.diff(close, axis=1)
@@ -71,6 +76,12 @@ def _held_hurst(close: np.ndarray, warm: int, window: int, refresh: int) -> np.n
 def signals(strategy: str, params: dict, warmup: int, close: np.ndarray, kept: dict, hurst_window: int = 400) -> np.ndarray:
     """Signal at bar ``warmup`` and each later one of complete slices; ``kept`` holds what grid points share."""
     once = lambda key, make: kept[key] if key in kept else kept.setdefault(key, make())
+    if strategy == "mean-reversion":
+        n, a, b = params["window"], params["entry_z"], params["exit_z"]
+        mean, sd = once(("mr", n), lambda: (lambda m: (m.mean(axis=2), m.std(axis=2, ddof=1)))(_moving(close, n)))
+        flat = sd <= 1e-9
+        z = (close[:, n - 1:] - mean) / np.where(flat, 1.0, sd)
+        return np.where(flat, 0.0, np.where(z <= a, 1.0, np.where(z >= b, 0.0, (b - z) / (b - a))))[:, warmup - n:]
     if strategy == "rsi":
         n = params["period"]
         r = once(("rsi", n), lambda: _rsi(close, n))
