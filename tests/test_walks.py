@@ -12,6 +12,7 @@ GRIDS = {
     "regime-trend": (420, 40, [{"fast": 5, "slow": 20, "hurst_threshold": h} for h in (0.5, 0.6)]),
     "rsi": (60, 15, [{"period": p, "oversold": a, "overbought": b} for p, a, b in ((7, 30, 70), (14, 40, 60))]),
     "mean-reversion": (60, 15, [{"window": n, "entry_z": a, "exit_z": b} for n, a, b in ((21, -1.0, 0.5), (21, -2.0, 0.5), (10, -1.5, 0.0))]),
+    "vol-target": (60, 15, [{"target_vol": v, "lookback": n} for v, n in ((10.0, 20), (15.0, 20), (10.0, 40))]),
 }
 
 

@@ -12,7 +12,7 @@ import math
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
 
-HELD = ("mean-reversion", "rsi", "regime-trend")  # the strategies that have a kernel here
+HELD = ("mean-reversion", "vol-target", "rsi", "regime-trend")  # the strategies that have a kernel here
 BLOCK = 256  # slices worked on at once
 
 
@@ -82,6 +82,12 @@ def signals(strategy: str, params: dict, warmup: int, close: np.ndarray, kept: d
         flat = sd <= 1e-9
         z = (close[:, n - 1:] - mean) / np.where(flat, 1.0, sd)
         return np.where(flat, 0.0, np.where(z <= a, 1.0, np.where(z >= b, 0.0, (b - z) / (b - a))))[:, warmup - n:]
+    if strategy == "vol-target":
+        n = params["lookback"]
+        raw = np.array([0.94**k for k in range(n - 1, -1, -1)])
+        vol = once(("vt", n), lambda: np.sqrt(_moving(np.diff(np.log(close), axis=1) ** 2, n) @ (raw / raw.sum())) * math.sqrt(252.0) * 100)
+        moves = vol > 1e-6
+        return np.where(moves, np.minimum(params["target_vol"] / np.where(moves, vol, 1.0), 1.0), 0.0)[:, warmup - n - 1:]
     if strategy == "rsi":
         n = params["period"]
         r = once(("rsi", n), lambda: _rsi(close, n))
