@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewright.catalog.registry import longs, query, rounded
+from tidewright.catalog.registry import query, rounded
 from tidewright.catalog.windows import STOCK, W
 from tidewright.operators import scenarios as sc
 from tidewright.operators import windows as win
@@ -79,9 +79,7 @@ def _(t: Tables):
 SELECT symbol, scenario, CAST(episode AS BIGINT) AS episode, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS days, CAST(max(pos) - min(pos) + 1 AS BIGINT) AS sessions, round(arg_min(fwd_21, pos), 6) AS after_first_pct FROM nu GROUP BY 1, 2, 3""")
 def _(t: Tables):
     """When each scenario held for each symbol: its stretches with dates, and what followed their first day."""
-    rows, _freq = sc.scenario_rows(*inputs(t), SCENARIOS)
-    hits = rows.filter(f"flag >= 1 AND fwd_{sc.MAIN_HORIZON} IS NOT NULL")
-    return rounded(longs(sc.episodes(hits, ["symbol", "scenario"])))
+    return rounded(sc.dated_episodes(*inputs(t), SCENARIOS))
 
 
 _FLAG = f"f AS (SELECT symbol, ts, row_number() OVER {W} AS pos, (close / lag(close, 5) OVER {W} - 1) * 100 AS m FROM stocks)"

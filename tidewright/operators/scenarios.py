@@ -5,17 +5,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions import studies
 from tidewright.operators import windows as win
 from tidewright.operators.asof import asof_join
-from tidewright.session import calendar_sized, checkpointed
+from tidewright.session import calendar_sized, checkpointed, dealt
 
 HORIZONS = (5, 21, 63)
 MAIN_HORIZON = 21
 EPISODE_GAP = 10
 MIN_EPISODES = 2
+ROWS_AT_ONCE = 50_000  # sessions studied together, beside those of the last symbol
 
 
 @dataclass(frozen=True)
@@ -91,6 +95,83 @@ def proxy_flags(proxies: DataFrame, scenarios: list[Scenario]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def raised_by_date(targets: DataFrame, flags: DataFrame, names: list[str]) -> DataFrame:
+    """(ts, src_<i>): for session dates on which proxy scenario i is raised by the last proxy date at or before them, that date; one row a date."""
+    dates = targets.select("ts").distinct().select(F.explode(F.array(*[F.lit(n) for n in names])).alias("scenario"), "ts")
+    raised = asof_join(dates, flags, ["scenario"], "ts", "ts", ["flag"]).filter("flag >= 1")
+    return raised.groupBy("ts").agg(*[F.max(F.when(F.col("scenario") == n, F.col("src_ts"))).alias(f"src_{i}") for i, n in enumerate(names)])
+
+
+def scenario_sessions(closes: DataFrame, proxies: DataFrame, market: DataFrame, scenarios: list[Scenario], limit: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Sessions (symbol, ts, month, pos, fwd_..., hits, known) in which bit i stands for scenario i, and months by proxy scenario.
+
+    Symbols are dealt out once and stay whole and in order, one row a session, whatever the number of scenarios; what holds by date is
+    joined by date. A proxy's raised flag reaches at most ``limit`` sessions beyond its date: the one that many sessions back is not later.
+    """
+    own, others = [s for s in scenarios if s.driver == "self"], [s for s in scenarios if s.driver != "self"]
+    x = with_forwards(dealt(closes.select("symbol", "ts", "close"), "symbol"))
+    hits, known = [], []
+    if others:
+        flags = checkpointed(proxy_flags(proxies, others))
+        names = [s.name for s in others]
+        x = x.join(calendar_sized(raised_by_date(closes, flags, names)), "ts", "left")
+        months_seen = monthly_frequency(flags, ["scenario"])
+        for i, name in enumerate(names):
+            near = F.col("__back").isNull() | (F.col("__back") <= F.col(f"src_{i}"))
+            hits.append((scenarios.index(others[i]), F.col(f"src_{i}").isNotNull() & near))
+    else:
+        months_seen = closes.sparkSession.createDataFrame([], "scenario string, months_observed long, months_triggered long")
+    x = x.join(calendar_sized(market.select("ts", F.col("ret").alias("market_ret"))), "ts", "left")
+    # What comes last is a window by symbol, so that its rows are together and in order however the joins were done.
+    x = x.select("*", F.lag("ts", limit).over(win.by_symbol()).alias("__back"), *[win.shock_sigma(n).alias(f"__sigma{n}") for n in sorted({s.window for s in own if s.kind == "shock_day"})])
+    sigma = lambda s: F.col(f"__sigma{s.window}") if s.kind == "shock_day" else None
+    x = x.select("*", *[win.trigger_flag(s.kind, s.window, s.threshold, market_return="market_ret", sigma=sigma(s)).alias(f"__own{i}") for i, s in enumerate(own)])
+    for i, s in enumerate(own):
+        hits.append((scenarios.index(s), F.coalesce(F.col(f"__own{i}") >= 1, F.lit(False))))
+        known.append((scenarios.index(s), F.col(f"__own{i}").isNotNull()))
+    bits = lambda marks: sum((F.when(c, F.lit(1 << k)).otherwise(0).cast("long") for k, c in marks), F.lit(0).cast("long"))
+    month = F.coalesce(F.year("ts") * 12 + F.month("ts"), F.lit(-1)).cast("long")
+    return x.select("symbol", "ts", month.alias("month"), F.col("pos").cast("long").alias("pos"), *[f"fwd_{h}" for h in HORIZONS], bits(hits).alias("hits"), bits(known).alias("known")), months_seen
+
+
+def _over_symbols(sessions: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve`` of tables of whole symbols, some ``ROWS_AT_ONCE`` sessions at a time."""
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            begin = np.flatnonzero(batch.column("pos").to_numpy() == 1)
+            if rows >= ROWS_AT_ONCE and len(begin):
+                yield from solve(pa.Table.from_batches([*held, batch.slice(0, begin[-1])]).combine_chunks()).to_batches()
+                batch, held, rows = batch.slice(begin[-1]), [], 0
+            held.append(batch)
+            rows += batch.num_rows
+        if rows:
+            yield from solve(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    return sessions.mapInArrow(run, schema)
+
+
+def dated_episodes(closes: DataFrame, proxies: DataFrame, market: DataFrame, scenarios: list[Scenario]) -> DataFrame:
+    """``episodes`` of every symbol and scenario whose outcome over the main horizon is known."""
+    sessions, _ = scenario_sessions(closes, proxies, market, scenarios)
+    names = [s.name for s in scenarios]
+
+    def solve(t: pa.Table) -> pa.Table:
+        pos, after = t["pos"].to_numpy(), t[f"fwd_{MAIN_HORIZON}"].to_numpy()
+        owner = studies.owners(studies.beginnings(pos), len(pos))
+        group, rows = studies.hit_rows(t["hits"].to_numpy(), ~np.isnan(after), owner, len(names))
+        first = np.flatnonzero(studies.episode_starts(group, pos[rows], EPISODE_GAP))
+        n = np.diff(np.append(first, len(rows)))
+        a, z, g = rows[first], rows[first + n - 1], group[first]
+        number = np.arange(len(g)) - np.searchsorted(g, g) + 1
+        at = lambda c, r: t[c].take(pa.array(r))
+        return pa.table({"symbol": at("symbol", a), "scenario": pa.array(names).take(pa.array(g % len(names))), "episode": number, "first_ts": at("ts", a), "last_ts": at("ts", z),
+                         "days": n, "sessions": pos[z] - pos[a] + 1, "after_first_pct": after[a]})
+
+    kinds = dict(sessions.dtypes)
+    return _over_symbols(sessions, solve, f"symbol {kinds['symbol']}, scenario string, episode bigint, first_ts {kinds['ts']}, last_ts {kinds['ts']}, days bigint, sessions bigint, after_first_pct double")
+
+
 def aligned_to_targets(targets: DataFrame, flags: DataFrame, limit: int = 3, raised: bool = False) -> DataFrame:
     """Proxy flags on the targets' sessions, filled over at most ``limit`` of them; only raised flags if asked for.
 

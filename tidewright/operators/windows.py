@@ -182,11 +182,18 @@ def with_indicators(bars: DataFrame, wanted: list[tuple[str, int]], w=None) -> D
     return df.select("*", *[INDICATORS[k](n, w).alias(f"{k}_{n}") for k, n in wanted if k in INDICATORS]).drop("log_ret")
 
 
+def shock_sigma(window: int, w=None) -> Column:
+    """Deviation of the ``window`` values of ``ret`` before a row; NULL unless all of them are known."""
+    frame = before(window, w)
+    return F.when(F.count("ret").over(frame) == window, F.stddev_samp("ret").over(frame))
+
+
 def trigger_flag(kind: str, window: int, threshold: float, value: str = "close",
-                 market_return: str | None = None, w=None) -> Column:
+                 market_return: str | None = None, w=None, sigma: Column | None = None) -> Column:
     """1.0 where the condition holds, 0.0 where it does not, NULL where its measure is unknown.
 
-    For ``shock_day`` the input needs a ``ret`` column of one-row returns.
+    For ``shock_day`` the input needs a ``ret`` column of one-row returns; ``sigma`` is their ``shock_sigma`` where that is a column
+    (a frame is computed again for every mention).
     """
     w = w or by_symbol()
     if kind == "change_pct":
@@ -202,8 +209,7 @@ def trigger_flag(kind: str, window: int, threshold: float, value: str = "close",
         measure = (F.col(value) / peak - 1) * 100
         return F.when(measure.isNotNull(), (measure <= threshold).cast("double"))
     elif kind == "shock_day":
-        frame = before(window, w)
-        sigma = F.when(F.count("ret").over(frame) == window, F.stddev_samp("ret").over(frame))
+        sigma = shock_sigma(window, w) if sigma is None else sigma
         measure = F.when(sigma > 1e-12, F.col("ret") / sigma)
         hit = measure <= threshold
         if market_return:
