@@ -4,6 +4,7 @@ import datetime as dt
 import re
 
 import numpy as np
+import pytest
 
 from tidewright.operators import scenarios as sc
 from tidewright.operators import windows as win
@@ -93,6 +94,32 @@ def near(v):
     return round(v, 7) if isinstance(v, float) else v
 
 
+@pytest.mark.parametrize("at_once", (50_000, 1))
+def test_studies_equal_loops(spark, monkeypatch, at_once):
+    monkeypatch.setattr(sc, "ROWS_AT_ONCE", at_once)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000" if at_once > 1 else "13")
+    try:
+        c, p, m = tables(spark)
+        got = sorted((tuple(near(v) for v in r) for r in sc.measure_scenarios(c, p, m, SCENARIOS).collect()), key=str)
+    finally:
+        spark.conf.set(key, before)
+    want = []
+    for (symbol, name), (seen, raised, hits) in studied(c, p, m).items():
+        if name == "war":
+            want.append((symbol, name, *[None] * 12))
+        if not seen:
+            continue
+        hits = hits if symbol is not None else []  # what follows is joined by symbol
+        n, head = len(runs(hits)), (symbol, name, seen, raised, raised / seen * 100)
+        found = [(h, sorted(x[2][h] for x in hits if x[2][h] is not None)) for h in sc.HORIZONS if n >= sc.MIN_EPISODES]
+        rows = [(h, len(v), *np.percentile(v, [50, 10, 90]).tolist(), v[0], sum(x < 0 for x in v) / len(v) * 100, sum(x > 0 for x in v) / len(v) * 100) for h, v in found if v]
+        want += [(*head, n, *r) for r in rows or [(None,) * 8]]
+    assert got == sorted((tuple(near(v) for v in r) for r in want), key=str)
+    assert {r[1] for r in got if r[7]} == {"rise", "shock", "low", "slide"} and any(r[0] is None for r in got)
+
+
 def test_dated_episodes_equal_loops(spark):
     c, p, m = tables(spark)
     priced = [s for s in SCENARIOS if s.kind]
@@ -106,7 +133,7 @@ def test_dated_episodes_equal_loops(spark):
 def test_sessions_are_dealt_once_and_frames_computed_once(spark):
     """However many scenarios there are: one shuffle of the sessions into the session's own number of tasks, one moving deviation."""
     c, p, m = tables(spark)
-    for df in (sc.dated_episodes(c, p, m, [s for s in SCENARIOS if s.kind]),):
+    for df in (sc.measure_scenarios(c, p, m, SCENARIOS), sc.dated_episodes(c, p, m, [s for s in SCENARIOS if s.kind])):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert len(re.findall(r"Exchange hashpartitioning\(symbol#\d+, \d+\), REPARTITION_BY_NUM", plan)) == plan.count("Exchange hashpartitioning(symbol#") == 1
         assert df._jdf.queryExecution().optimizedPlan().toString().count("stddev_samp(") == 1

@@ -172,57 +172,53 @@ def dated_episodes(closes: DataFrame, proxies: DataFrame, market: DataFrame, sce
     return _over_symbols(sessions, solve, f"symbol {kinds['symbol']}, scenario string, episode bigint, first_ts {kinds['ts']}, last_ts {kinds['ts']}, days bigint, sessions bigint, after_first_pct double")
 
 
-def aligned_to_targets(targets: DataFrame, flags: DataFrame, limit: int = 3, raised: bool = False) -> DataFrame:
-    """Proxy flags on the targets' sessions, filled over at most ``limit`` of them; only raised flags if asked for.
-
-    The last proxy date per distinct session date is found once (calendar-sized), then joined by
-    date; only the fill limit needs the per-symbol order. A stretch of sessions shares one flag, so
-    raised flags can be picked before the join.
-    """
-    names = flags.select("scenario").distinct().agg(F.collect_set("scenario").alias("names"))
-    dates = targets.select("ts").distinct().join(F.broadcast(names)).select(F.explode("names").alias("scenario"), "ts")
-    on_dates = asof_join(dates, flags, ["scenario"], "ts", "ts", ["flag"])
-    on_dates = calendar_sized(on_dates.filter("flag >= 1") if raised else on_dates)
-    j = targets.join(on_dates, "ts")
-    stretch = Window.partitionBy("symbol", "scenario", "src_ts").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum((F.col("ts") > F.col("src_ts")).cast("int")).over(stretch)
-    return j.withColumn("used", used).withColumn("flag", F.when(F.col("used") <= limit, F.col("flag"))).drop("used", "src_ts")
-
-
 def measure_scenarios(closes: DataFrame, proxies: DataFrame, market: DataFrame, scenarios: list[Scenario]) -> DataFrame:
     """Per (symbol, scenario, horizon): frequency, episodes and the outcomes that followed.
 
     Fewer than two episodes give no outcomes, only the frequency and the count; a scenario without a trigger gives a row of
     unknown figures for each symbol.
     """
-    rows, freq = scenario_rows(closes, proxies, market, [s for s in scenarios if s.kind])
-    keys = ["symbol", "scenario"]
-    hits = rows.filter(f"flag >= 1 AND fwd_{MAIN_HORIZON} IS NOT NULL")
-    episodes = episode_counts(hits, keys)
-    base = freq.join(episodes, keys, "left").select(
-        *keys, "months_observed", "months_triggered", (F.col("months_triggered") / F.col("months_observed") * 100).alias("frequency_pct"),
-        F.coalesce("episodes", F.lit(0)).alias("episodes"))
-    out = horizon_outcomes(hits, keys).join(episodes.filter(F.col("episodes") >= MIN_EPISODES).select(*keys), keys, "left_semi")
-    measured = base.join(out, keys, "left")
-    unmeasured = [s.name for s in scenarios if not s.kind]
-    if unmeasured:
-        names = F.explode(F.array(*[F.lit(n) for n in unmeasured])).alias("scenario")
-        measured = measured.unionByName(closes.select("symbol").distinct().select("symbol", names), allowMissingColumns=True)
-    return measured
-
-
-def scenario_rows(closes: DataFrame, proxies: DataFrame, market: DataFrame, scenarios: list[Scenario]) -> tuple[DataFrame, DataFrame]:
-    """(symbol, scenario, ts, pos, flag, fwd_...) of sessions on which a trigger may hold, and months by (symbol, scenario)."""
-    targets = with_forwards(closes).join(calendar_sized(market.select("ts", F.col("ret").alias("market_ret"))), "ts", "left")
-    own, others = [s for s in scenarios if s.driver == "self"], [s for s in scenarios if s.driver != "self"]
-    flagged, freq = [], []
-    if others:
-        flags = checkpointed(proxy_flags(proxies, others))
-        flagged.append(aligned_to_targets(targets, flags, raised=True))
-        by_scenario = monthly_frequency(flags, ["scenario"])
-        freq.append(closes.select("symbol").distinct().join(F.broadcast(by_scenario)))
-    for s in own:
-        mine = targets.withColumn("scenario", F.lit(s.name)).withColumn("flag", win.trigger_flag(s.kind, s.window, s.threshold, market_return="market_ret"))
-        flagged.append(mine)
-        freq.append(monthly_frequency(mine, ["symbol", "scenario"]))
-    return reduce(lambda a, b: a.unionByName(b), flagged), reduce(lambda a, b: a.unionByName(b), freq)
+    priced = [s for s in scenarios if s.kind]
+    sessions, seen = scenario_sessions(closes, proxies, market, priced)
+    names, unpriced = [s.name for s in priced], [s.name for s in scenarios if not s.kind]
+    own = [i for i, s in enumerate(priced) if s.driver == "self"]
+    figures = ["median_pct", "p10_pct", "p90_pct", "worst_pct", "share_lower_pct", "share_higher_pct"]
+
+    def solve(t: pa.Table) -> pa.Table:
+        pos, hits, known, month = (t[c].to_numpy() for c in ("pos", "hits", "known", "month"))
+        begin = studies.beginnings(pos)
+        owner = studies.owners(begin, len(pos))
+        symbol = t["symbol"].take(pa.array(begin)).combine_chunks()
+        k = len(names)
+        group, rows = studies.hit_rows(hits, ~np.isnan(t[f"fwd_{MAIN_HORIZON}"].to_numpy()), owner, k)
+        if symbol.null_count:  # rows without a symbol belong to no series
+            named = symbol.is_valid().to_numpy(zero_copy_only=False)[group // k]
+            group, rows = group[named], rows[named]
+        runs = np.bincount(group[studies.episode_starts(group, pos[rows], EPISODE_GAP)], minlength=len(begin) * k)
+        observed, triggered = np.zeros((len(begin), k), np.int64), np.zeros((len(begin), k), np.int64)
+        for s in own:
+            observed[:, s], triggered[:, s] = studies.months((known >> s & 1).astype(bool), (hits >> s & 1).astype(bool), month, owner, len(begin))
+        told = runs[group] >= MIN_EPISODES
+        found = [(h, studies.outcomes(group[told], t[f"fwd_{h}"].to_numpy()[rows[told]])) for h in HORIZONS]
+        bare = np.setdiff1d(np.arange(len(begin) * k), np.concatenate([o["group"] for _, o in found]))
+        extra = np.repeat(np.arange(len(begin)), len(unpriced))
+        g = np.concatenate([o["group"] for _, o in found] + [bare])
+        without = len(bare) + len(extra)
+        part = lambda c: pa.concat_arrays([pa.array(np.concatenate([o[c] for _, o in found])), pa.nulls(without, pa.float64() if c in figures else pa.int64())])
+        unknown = pa.nulls(len(extra), pa.int64())
+        mine = np.isin(g % k, own)
+        count = lambda x: pa.concat_arrays([pa.array(x.ravel()[g], mask=~mine | (observed.ravel()[g] == 0)), unknown])
+        return pa.table({
+            "symbol": symbol.take(pa.array(np.concatenate([g // k, extra]))),
+            "scenario": pa.array([*names, *unpriced]).take(pa.array(np.concatenate([g % k, k + np.tile(np.arange(len(unpriced)), len(begin))]))),
+            "months_observed": count(observed), "months_triggered": count(triggered), "episodes": pa.concat_arrays([pa.array(runs[g]), unknown]),
+            "horizon": pa.concat_arrays([pa.array(np.concatenate([np.full(len(o["group"]), h) for h, o in found])), pa.nulls(without, pa.int64())]),
+            "n_days": part("n_days"), **{c: part(c) for c in figures}})
+
+    kind = dict(sessions.dtypes)["symbol"]
+    told = _over_symbols(sessions, solve, f"symbol {kind}, scenario string, months_observed bigint, months_triggered bigint, episodes bigint, horizon bigint, n_days bigint, {', '.join(f'{c} double' for c in figures)}")
+    # The months of a proxy are those of its own calendar, the same for every symbol; a scenario whose months are unknown has no row.
+    j = told.join(F.broadcast(seen.select("scenario", F.col("months_observed").alias("__o"), F.col("months_triggered").alias("__t"))), "scenario", "left")
+    j = j.withColumns({"months_observed": F.coalesce("months_observed", "__o"), "months_triggered": F.coalesce("months_triggered", "__t")})
+    j = j.filter(F.col("months_observed").isNotNull() | F.col("scenario").isin(unpriced))
+    return j.select("symbol", "scenario", "months_observed", "months_triggered", (F.col("months_triggered") / F.col("months_observed") * 100).alias("frequency_pct"), "episodes", "horizon", "n_days", *figures)
